@@ -84,8 +84,6 @@ def work_root(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique sub-folder of the work root (never reused across runs)."""
-    path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
-    return path
+    """A new, unique (not yet existing) path under the work root; never
+    reused across runs, so no run ever overwrites another's output."""
+    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
