@@ -149,3 +149,46 @@ SELECT event_id,
 FROM transactions"""))
 def scalar_time(spark, sf_dir):
     return R.scalar_time(transactions(spark, sf_dir))
+
+
+@register("qc_over_batch", with_txn("""
+SELECT event_id, region, event_time,
+       count(event_id) OVER w AS event_count,
+       CAST(sum(amount) OVER w AS DECIMAL(22,2)) AS total_amount,
+       max(event_time) OVER w AS max_event_time
+FROM transactions
+WINDOW w AS (PARTITION BY region ORDER BY event_time
+             RANGE BETWEEN INTERVAL 5 MINUTE PRECEDING AND CURRENT ROW)"""))
+def qc_over_batch(spark, sf_dir):
+    """Q-C per event: COUNT/SUM/MAX over the preceding 5 minutes of its region."""
+    from ..operators.overwin import over_range
+    return over_range(transactions(spark, sf_dir))
+
+
+@register("qc_hopping", with_txn("""
+SELECT window_start, region, count(*) AS event_count,
+       CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount, max(event_time) AS max_event_time,
+       window_start + INTERVAL 300 SECOND AS window_end
+FROM (SELECT t.*, time_bucket(INTERVAL 10 SECOND, event_time) - k * INTERVAL 10 SECOND
+                  AS window_start
+      FROM transactions t, range(30) AS r(k))
+GROUP BY window_start, region"""))
+def qc_hopping(spark, sf_dir):
+    """Q-C as 5-minute windows sliding every 10 seconds."""
+    from ..operators.overwin import hopping
+    return hopping(transactions(spark, sf_dir))
+
+
+@register("q1_by_nation", with_txn("""
+SELECT r.r_name, n.n_name, count(*) AS cnt, CAST(sum(t.amount) AS DECIMAL(22,2)) AS total
+FROM transactions t
+LEFT JOIN customer c ON t.user_id = c.c_custkey
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+GROUP BY 1, 2"""))
+def q1_by_nation(spark, sf_dir):
+    """Batch equi-join of the live table with the customer geography."""
+    from ..operators.joins import totals_by_nation
+    from ..schema import table
+    return totals_by_nation(transactions(spark, sf_dir), table(spark, sf_dir, "customer"),
+                            table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"))

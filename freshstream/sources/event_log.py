@@ -33,7 +33,8 @@ def message_json(event_id: Column, user_id: Column, amount: Column, region: Colu
                               event_time_text.alias("event_time")))
 
 
-def records_from_transactions(txn: DataFrame, dirty: bool = False) -> DataFrame:
+def records_from_transactions(txn: DataFrame, dirty: bool = False,
+                              offset: Column | None = None) -> DataFrame:
     """Render typed rows as log records.
 
     ``dirty=True`` turns every ``error``-typed event into a damaged message,
@@ -67,22 +68,41 @@ def records_from_transactions(txn: DataFrame, dirty: bool = False) -> DataFrame:
         F.col("user_id").cast("string").alias("key"),
         value.alias("value"),
         F.pmod(F.col("user_id"), F.lit(TOPIC_PARTITIONS)).cast("int").alias("partition"),
-        F.col("event_id").cast("long").alias("offset"),
+        (offset if offset is not None else F.col("event_id").cast("long")).alias("offset"),
         F.col("ingest_time").alias("timestamp"),
     )
 
 
+def redelivered_records(txn: DataFrame) -> DataFrame:
+    """An at-least-once feed: every ``purchase`` is sent twice.
+
+    The second copy arrives one second later, right after the original in
+    the same partition (offsets ``2*event_id`` and ``2*event_id + 1``), and
+    carries a corrected amount (+1.00) - the same key with a different value,
+    so last-write-wins is observable."""
+    copies = F.explode(F.when(F.col("event_type") == "purchase", F.array(F.lit(0), F.lit(1)))
+                       .otherwise(F.array(F.lit(0))))
+    t = (txn.withColumn("_copy", copies)
+         .withColumn("amount", (F.col("amount") + F.col("_copy")).cast("decimal(12,2)"))
+         .withColumn("ingest_time",
+                     F.timestamp_add("SECOND", F.col("_copy"), F.col("ingest_time"))))
+    return records_from_transactions(
+        t, offset=F.col("event_id").cast("long") * 2 + F.col("_copy"))
+
+
 def write_log(records: DataFrame, path: str, chunks: int = 4, fmt: str = "json") -> list[str]:
     """Write records as ``chunks`` time-ordered file groups under ``path``.
 
-    Each chunk is its own write, so file modification times increase with
-    event time and a file stream with ``maxFilesPerTrigger`` replays the log
-    in order, one chunk per micro-batch.  Chunk boundaries are quantiles of
-    the record timestamp (one sampled pass), each chunk write is a pushed-down
-    range filter over the source; no row passes through the driver."""
+    Each chunk is its own write of one time-sorted file, so file modification
+    times increase with append time and a file stream with
+    ``maxFilesPerTrigger=1`` replays the log in order, one chunk per
+    micro-batch.  Chunk boundaries are quantiles of the record timestamp (one
+    sampled pass); each chunk write is a pushed-down range filter over the
+    source.  This is a replay tool: pick ``chunks`` so one chunk fits a task
+    (the live path reads the topic instead)."""
     ts_long = F.unix_micros(F.col("timestamp"))
-    qs = records.select(ts_long.alias("t")).approxQuantile(
-        "t", [i / chunks for i in range(1, chunks)], 0.0)
+    qs = (records.select(ts_long.alias("t")).approxQuantile(
+        "t", [i / chunks for i in range(1, chunks)], 0.0) if chunks > 1 else [])
     bounds = [None, *qs, None]
     written = []
     for i in range(chunks):
@@ -93,7 +113,7 @@ def write_log(records: DataFrame, path: str, chunks: int = 4, fmt: str = "json")
         if hi is not None:
             part = part.where(ts_long <= F.lit(int(hi)))
         out = f"{path}/chunk={i:05d}"
-        (part.sortWithinPartitions("timestamp", "offset")
+        (part.repartition(1).sortWithinPartitions("timestamp", "offset")
          .write.mode("errorifexists").format(fmt).save(out))
         written.append(out)
     return written
