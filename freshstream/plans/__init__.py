@@ -5,5 +5,5 @@ from .registry import ORACLES, QUERIES
 
 def load_all():
     """Import every plan module so its queries register themselves."""
-    from . import batch, ingest, streams, tiered  # noqa: F401
+    from . import batch, ingest, lag, streams, tiered  # noqa: F401
     return QUERIES, ORACLES
