@@ -1,9 +1,11 @@
-"""Human-readable number / size formatting as built-in expressions.
+"""Human-readable quantities and sizes as built-in expressions.
 
-Fixed values: the quantity suffixes and the binary size units follow the
-usual readable-quantity / readable-size conventions:
-  quantity: '', ' thousand', ' million', ' billion', ' trillion', ' quadrillion'
-  size:     'B', 'KiB', 'MiB', 'GiB', 'TiB', 'PiB'
+Rule: pick the largest unit u_i with x >= base**i, print x / base**i rounded
+half-up to 2 decimals (plain decimal text), then a space and the unit.
+
+Fixed values (unit names):
+  quantity (base 1000): '', 'thousand', 'million', 'billion', 'trillion', 'quadrillion'
+  size (base 1024):     'B', 'KiB', 'MiB', 'GiB', 'TiB', 'PiB'
 """
 
 from __future__ import annotations
@@ -11,29 +13,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-QUANTITY_SUFFIXES = ["", " thousand", " million", " billion", " trillion", " quadrillion"]
+QUANTITY_UNITS = ["", "thousand", "million", "billion", "trillion", "quadrillion"]
 SIZE_UNITS = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
 
 
-def _scaled(x: Column, base: float, labels: list[str]) -> Column:
-    """Pick the largest unit with x >= base**i, print x / base**i with 2 decimals."""
-    xd = x.cast("double")
+def _scaled(x: Column, base: int, units: list[str]) -> Column:
+    xd = x.cast("decimal(38,6)")
     expr = None
-    for i in reversed(range(len(labels))):
-        scale = float(base ** i)
-        text = F.concat(F.format_number(xd / F.lit(scale), 2), F.lit(labels[i]))
-        if i == 0:
-            text = F.concat(F.format_number(xd, 2 if base == 1000.0 else 0), F.lit(labels[0]))
-        cond = F.abs(xd) >= F.lit(scale)
+    for i in reversed(range(len(units))):
+        scale = base ** i
+        val = F.round(xd / F.lit(scale), 2).cast("decimal(38,2)").cast("string")
+        text = F.concat_ws(" ", val, F.lit(units[i])) if units[i] else val
+        cond = xd >= F.lit(scale)
         expr = F.when(cond, text) if expr is None else expr.when(cond, text)
-    return expr.otherwise(F.concat(F.format_number(xd, 2 if base == 1000.0 else 0), F.lit(labels[0])))
+    return expr.otherwise(F.round(xd, 2).cast("decimal(38,2)").cast("string"))
 
 
 def readable_quantity(x: Column) -> Column:
     """1234567 -> '1.23 million'."""
-    return _scaled(x, 1000.0, QUANTITY_SUFFIXES)
+    return _scaled(x, 1000, QUANTITY_UNITS)
 
 
 def readable_size(x: Column) -> Column:
     """1536 -> '1.50 KiB'."""
-    return _scaled(x, 1024.0, [" " + u for u in SIZE_UNITS])
+    return _scaled(x, 1024, SIZE_UNITS)

@@ -143,3 +143,12 @@ def result_latency(spark, sf_dir):
     return f.select("window_start", "max_event_time", "emitted_at",
                     lag_ms(F.col("max_event_time"), F.col("emitted_at"))
                     .alias("result_latency_ms"))
+
+
+@register("table_sizes")
+def table_sizes(spark, sf_dir):
+    """Rows, compressed / uncompressed bytes and ratio of every supplied table
+    (footer sizes; checked against DuckDB's parquet_metadata in tests)."""
+    from ..operators.sizes import table_sizes as sizes
+    from ..schema import TABLES
+    return sizes(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES})

@@ -286,3 +286,37 @@ def enrich_stream(spark, sf_dir):
                  table(spark, sf_dir, "region"))
     out = runner.run_to_table(e, "enrich", "append")
     return spark.read.parquet(out).drop("batch_id")
+
+
+QC_SECOND_SQL = with_txn("""
+SELECT t.region, count(*) AS event_count, CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount,
+       max(event_time) AS max_event_time
+FROM transactions t JOIN (SELECT region, date_trunc('second', max(event_time)) AS newest
+                          FROM transactions GROUP BY region) n ON t.region = n.region
+WHERE date_trunc('second', t.event_time) >= n.newest - INTERVAL 300 SECOND
+GROUP BY t.region""")
+
+
+@register("qc_stateful", QC_SECOND_SQL)
+def qc_stateful(spark, sf_dir):
+    """Q-C as keyed state per region (transformWithStateInPandas), second
+    buckets, newest row per region from the update changelog."""
+    from ..streaming.qc_state import qc_stateful as build
+    typed = M.typed_stream(spark, replay_log(spark, sf_dir))
+    out = runner.run_to_table(build(typed), "qc-state", "update")
+    return _latest_changes(spark, out, ["region"])
+
+
+@register("qc_partials", QC_SECOND_SQL)
+def qc_partials(spark, sf_dir):
+    """Q-C the scalable way for hot keys: per-second partials per batch,
+    the last 301 seconds of each region re-aggregated on read."""
+    path = _partials(spark, sf_dir, "qc-partials", M.partials_qc)
+    merged = K.read_merged(spark, path, K.merge_partials(["second", "region"]))
+    newest = merged.groupBy("region").agg(F.max("second").alias("newest"))
+    frame = (merged.join(newest, "region")
+             .where(F.col("second") >= F.col("newest") - F.expr("INTERVAL 300 SECONDS")))
+    return (frame.groupBy("region")
+            .agg(F.sum("event_count").alias("event_count"),
+                 F.sum("total_amount").cast("decimal(22,2)").alias("total_amount"),
+                 F.max("max_event_time").alias("max_event_time")))

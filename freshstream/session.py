@@ -87,3 +87,10 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, unique (not yet existing) path under the work root; never
     reused across runs, so no run ever overwrites another's output."""
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check on the cluster file system (no data read)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

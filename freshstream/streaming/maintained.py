@@ -129,13 +129,11 @@ def late_split_sink(path: str, delay_seconds: int):
     deterministic and replay-safe."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
+        from ..session import path_exists
+        prev = None
+        if path_exists(spark, f"{path}/_marks"):
             marks = spark.read.parquet(f"{path}/_marks").where(F.col("batch_id") < batch_id)
             prev = marks.agg(F.max("mark").alias("m")).first()["m"]
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            prev = None
         b = batch.persist()
         try:
             if prev is None:

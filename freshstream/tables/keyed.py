@@ -31,6 +31,9 @@ Merge = Callable[[DataFrame], DataFrame]
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    from ..session import path_exists
+    if not path_exists(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
     except Exception as e:  # empty / missing folder

@@ -33,6 +33,9 @@ from ..operators.dedup import latest_per_key
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    from ..session import path_exists
+    if not path_exists(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
     except Exception as e:
