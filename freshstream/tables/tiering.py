@@ -103,9 +103,9 @@ def read_cold(spark: SparkSession, root: str, epoch: int | None = None,
     table (see ``register_external``) instead of the path."""
     if epoch is None:
         epoch, _ = committed_epoch(spark, root)
+    if epoch is None:  # nothing tiered yet: an empty snapshot of the hot schema
+        return spark.read.parquet(f"{root}/hot").drop("batch_id").limit(0)
     src = spark.table(table_name) if table_name else spark.read.parquet(f"{root}/cold")
-    if epoch is None:
-        return src.limit(0).drop("epoch")
     return src.where(F.col("epoch") <= epoch).drop("epoch")
 
 
