@@ -19,6 +19,8 @@ from ..tables import keyed as K
 from .registry import register, with_txn
 
 CHUNKS = 4
+# Region-keyed state (7 keys): one state store per possible key is enough.
+REGION_STATE_PARTITIONS = 8
 _LOGS: dict = {}
 
 
@@ -63,7 +65,8 @@ def _latest_changes(spark, path, keys):
 def qb_running_total(spark, sf_dir):
     """Q-B as a stateful streaming aggregate (update mode)."""
     typed = M.typed_stream(spark, replay_log(spark, sf_dir))
-    out = runner.run_to_table(M.qb_running_total(typed), "qb", "update")
+    out = runner.run_to_table(M.qb_running_total(typed), "qb", "update",
+                              state_partitions=REGION_STATE_PARTITIONS)
     return _latest_changes(spark, out, ["region"])
 
 
@@ -233,7 +236,8 @@ def compact_result_log(spark, sf_dir):
                       F.current_timestamp().alias("emitted_at"))
          .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
 
-    q = runner.start(M.qb_running_total(typed), "result-log", "update", emit)
+    q = runner.start(M.qb_running_total(typed), "result-log", "update", emit,
+                     state_partitions=REGION_STATE_PARTITIONS)
     q.awaitTermination(runner.DEFAULT_TIMEOUT_S)
     log = spark.read.parquet(path)
     newest = log.groupBy("key").agg(
@@ -303,7 +307,8 @@ def qc_stateful(spark, sf_dir):
     buckets, newest row per region from the update changelog."""
     from ..streaming.qc_state import qc_stateful as build
     typed = M.typed_stream(spark, replay_log(spark, sf_dir))
-    out = runner.run_to_table(build(typed), "qc-state", "update")
+    out = runner.run_to_table(build(typed), "qc-state", "update",
+                              state_partitions=REGION_STATE_PARTITIONS)
     return _latest_changes(spark, out, ["region"])
 
 

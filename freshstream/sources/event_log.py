@@ -102,7 +102,7 @@ def write_log(records: DataFrame, path: str, chunks: int = 4, fmt: str = "json")
     (the live path reads the topic instead)."""
     ts_long = F.unix_micros(F.col("timestamp"))
     qs = (records.select(ts_long.alias("t")).approxQuantile(
-        "t", [i / chunks for i in range(1, chunks)], 0.0) if chunks > 1 else [])
+        "t", [i / chunks for i in range(1, chunks)], 0.001) if chunks > 1 else [])
     bounds = [None, *qs, None]
     written = []
     for i in range(chunks):

@@ -1,8 +1,8 @@
 """Q-C on a stream: last 5 minutes per region, kept incrementally.
 
 Spark refuses OVER windows on streams, so the frame is kept as keyed state:
-per region, a map ``second -> (count, cents, max event micros)`` holding at
-most 301 entries (the reference keeps every event of the frame).  The frame
+per region, the buckets ``second -> (count, cents, max event micros)`` of
+the frame, at most 301 entries (the reference keeps every event of the frame).  The frame
 is the newest second of the region and the 300 seconds before it - exact at
 one-second granularity.  Each micro-batch emits one row per changed region.
 
@@ -39,37 +39,35 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class LastFiveMinutes(StatefulProcessor):
+    """State per region: one value holding the frame's buckets as parallel
+    arrays (at most 301 entries), so each micro-batch costs one state read
+    and one state write per region, whatever the input volume."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buckets = handle.getMapState("buckets", "second LONG",
-                                          "cnt LONG, cents LONG, max_us LONG")
+        self.frame = handle.getValueState(
+            "frame", "secs ARRAY<LONG>, cnts ARRAY<LONG>, cents ARRAY<LONG>, maxs ARRAY<LONG>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         region = key[0]
-        for pdf in rows:
-            g = pdf.groupby("second").agg(cnt=("cnt", "sum"), cents=("cents", "sum"),
-                                          max_us=("max_us", "max"))
-            for sec, r in g.iterrows():
-                k = (int(sec),)
-                c, s, m = int(r["cnt"]), int(r["cents"]), int(r["max_us"])
-                if self.buckets.containsKey(k):
-                    oc, os_, om = self.buckets.getValue(k)
-                    c, s, m = c + oc, s + os_, max(m, om)
-                self.buckets.updateValue(k, (c, s, m))
-        secs = [k[0] for k in self.buckets.keys()]
-        if not secs:
+        new = pd.concat(list(rows), ignore_index=True)
+        if len(new) == 0:
             return
-        newest = max(secs)
-        cnt = cents = 0
-        max_us = None
-        for k, v in list(self.buckets.iterator()):
-            if k[0] < newest - FRAME_SECONDS:
-                self.buckets.removeKey(k)
-                continue
-            cnt += v[0]
-            cents += v[1]
-            max_us = v[2] if max_us is None else max(max_us, v[2])
-        yield pd.DataFrame({"region": [region], "event_count": [cnt],
-                            "total_cents": [cents], "max_us": [max_us]})
+        parts = [new[["second", "cnt", "cents", "max_us"]]]
+        if self.frame.exists():
+            secs, cnts, cents, maxs = self.frame.get()
+            parts.append(pd.DataFrame({"second": secs, "cnt": cnts, "cents": cents,
+                                       "max_us": maxs}))
+        allb = pd.concat(parts, ignore_index=True)
+        newest = int(allb["second"].max())
+        allb = allb[allb["second"] >= newest - FRAME_SECONDS]
+        g = (allb.groupby("second", sort=True)
+             .agg(cnt=("cnt", "sum"), cents=("cents", "sum"), max_us=("max_us", "max")))
+        self.frame.update((g.index.astype("int64").tolist(), g["cnt"].astype("int64").tolist(),
+                           g["cents"].astype("int64").tolist(),
+                           g["max_us"].astype("int64").tolist()))
+        yield pd.DataFrame({"region": [region], "event_count": [int(g["cnt"].sum())],
+                            "total_cents": [int(g["cents"].sum())],
+                            "max_us": [int(g["max_us"].max())]})
 
     def close(self) -> None:
         pass

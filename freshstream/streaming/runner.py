@@ -52,24 +52,39 @@ def batch_writer(path: str, partition_by: list[str] | None = None,
 
 
 def start(df: DataFrame, name: str, mode: str, sink: Callable[[DataFrame, int], None],
-          preset: str = "replay", checkpoint: str | None = None, query_name: str | None = None):
-    """Start ``df`` with a foreachBatch ``sink``; returns the StreamingQuery."""
+          preset: str = "replay", checkpoint: str | None = None, query_name: str | None = None,
+          state_partitions: int | None = None):
+    """Start ``df`` with a foreachBatch ``sink``; returns the StreamingQuery.
+
+    ``state_partitions``: number of state-store partitions for a query whose
+    key space is small and fixed (e.g. the 7 regions).  It is recorded in the
+    checkpoint at the first start; more partitions than keys only add empty
+    state stores to every micro-batch."""
     spark = df.sparkSession
     ckpt = checkpoint or fresh_dir(spark, f"{name}-checkpoint")
     w = (df.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(**PRESETS[preset]["trigger"]))
     if query_name:
         w = w.queryName(query_name)
-    return w.start()
+    if state_partitions is None:
+        return w.start()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(key, before)
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", path: str | None = None,
                  checkpoint: str | None = None, partition_by: list[str] | None = None,
-                 timeout_s: int = DEFAULT_TIMEOUT_S) -> str:
+                 timeout_s: int = DEFAULT_TIMEOUT_S, state_partitions: int | None = None) -> str:
     """Run a stream to completion (availableNow) into a batch-keyed table."""
     spark = df.sparkSession
     out = path or fresh_dir(spark, name)
-    q = start(df, name, mode, batch_writer(out, partition_by), "replay", checkpoint)
+    q = start(df, name, mode, batch_writer(out, partition_by), "replay", checkpoint,
+              state_partitions=state_partitions)
     finished = q.awaitTermination(timeout_s)
     if not finished:
         q.stop()
