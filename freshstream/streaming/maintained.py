@@ -154,3 +154,27 @@ def late_split_sink(path: str, delay_seconds: int):
         finally:
             batch.unpersist()
     return write
+
+
+# -- error-rate stop and resume ----------------------------------------------
+
+def decoded_stream(spark: SparkSession, log_path: str, files_per_trigger: int = 1) -> DataFrame:
+    """Replay log -> decoded rows *with* their status (for guarded sinks)."""
+    return I.decode_json(EL.stream_log(spark, log_path, files_per_trigger=files_per_trigger))
+
+
+def guarded_sink(path: str, max_bad: int):
+    """Stop the stream when a batch holds more than ``max_bad`` malformed rows.
+
+    The check runs before anything is written, so the failed batch leaves no
+    output; restarting from the same checkpoint (e.g. with a raised budget)
+    re-runs exactly that batch.  Good rows land in ``path/batch_id=N``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        b = batch.persist()
+        try:
+            I.check_error_budget(b, max_bad)
+            (b.where(~F.col("status").isin(*I.BAD)).select(*I.TYPED_COLUMNS)
+             .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+        finally:
+            b.unpersist()
+    return write

@@ -3,6 +3,8 @@ watermark drops, processing-time windows, presets."""
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -105,3 +107,51 @@ def test_presets_start_and_stop(spark, workdir):
         q.processAllAvailable()
         q.stop()
         assert spark.read.parquet(f"{workdir}/{preset}").count() == txn.count()
+
+
+def test_error_budget_stops_then_resumes(spark, workdir):
+    from freshstream.sources import ingest as I
+    txn = transactions(spark, SF_SMALL)
+    EL.write_log(EL.records_from_transactions(txn, dirty=True), f"{workdir}/log/a", 2)
+    ckpt, out = f"{workdir}/ckpt", f"{workdir}/out"
+    q = runner.start(M.decoded_stream(spark, f"{workdir}/log"), "guard", "append",
+                     M.guarded_sink(out, 0), checkpoint=ckpt)
+    with pytest.raises(Exception, match="malformed"):
+        q.awaitTermination(120)
+    q = runner.start(M.decoded_stream(spark, f"{workdir}/log"), "guard", "append",
+                     M.guarded_sink(out, 10_000), checkpoint=ckpt)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    good = I.apply_policy(I.decode_json(EL.records_from_transactions(txn, dirty=True)))[0]
+    assert spark.read.parquet(out).count() == good.count()
+
+
+def test_progress_listener_and_offset_log(spark, workdir):
+    from freshstream.streaming.listener import ProgressRecorder, offset_log_from_progress
+    rec = ProgressRecorder(spark, f"{workdir}/progress", flush_every=1000)
+    spark.streams.addListener(rec)
+    try:
+        txn = transactions(spark, SF_SMALL)
+        log = _log(spark, workdir, txn, chunks=3)
+        runner.run_to_table(M.typed_stream(spark, log), "listened", "append")
+        import time
+        total = None
+        for _ in range(30):  # listener events arrive asynchronously
+            time.sleep(1)
+            rec.flush()
+            try:
+                total = spark.read.parquet(f"{workdir}/progress") \
+                    .agg(F.sum("input_rows")).first()[0]
+            except Exception:
+                continue
+            if total == txn.count():
+                break
+    finally:
+        spark.streams.removeListener(rec)
+    assert total == txn.count()
+    topic = spark.createDataFrame(
+        [("g", "2024-01-01T00:00:00.000Z", '{"t":{"0":5,"1":7}}', '{"t":{"0":9,"1":7}}')],
+        "query STRING, observed_at STRING, end_offset STRING, latest_offset STRING")
+    got = {(r["partition"], r["end_offset"], r["committed_offset"])
+           for r in offset_log_from_progress(topic).collect()}
+    assert got == {(0, 9, 5), (1, 7, 7)}
