@@ -153,3 +153,10 @@ def ttl_live_rows(spark, sf_dir):
     live = retention.read_live(spark, path, as_of, hours=2)
     return (live.groupBy("event_hour")
             .agg(F.count(F.lit(1)).alias("rows"), F.max("event_time").alias("max_event_time")))
+
+
+@register("q1_live", with_txn(_Q1.format(t="transactions")))
+def q1_live(spark, sf_dir):
+    """Q1's aggregate over the live (hot) table: every committed hot batch."""
+    root, _ = tiered_root(spark, sf_dir)
+    return R.regional_aggregate(TR.read_hot(spark, root).select(*TYPED))

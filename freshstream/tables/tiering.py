@@ -140,3 +140,26 @@ def register_external(spark: SparkSession, name: str, root: str) -> str:
     spark.sql(f"MSCK REPAIR TABLE {name}")
     spark.sql(f"REFRESH TABLE {name}")
     return name
+
+
+def stream_union(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The union read as a stream (snapshot, then follow).
+
+    The committed epoch ``E0`` is fixed once at start: the cold side replays
+    ``epoch <= E0`` and the hot side follows ``batch_id > last_batch_id(E0)``.
+    The two directories are never both read unfiltered: cold is a copy of
+    hot, so that would count tiered rows twice.  ``schema``: the typed row
+    schema (streaming file sources need it declared)."""
+    epoch, last = committed_epoch(spark, root)
+    from pyspark.sql.types import StructType
+    hot_schema = StructType(schema.fields[:]).add("batch_id", "integer")
+    cold_schema = StructType(schema.fields[:]).add("epoch", "integer")
+    hot = (spark.readStream.schema(hot_schema)
+           .option("basePath", f"{root}/hot").parquet(f"{root}/hot")
+           .where(F.col("batch_id") > last).drop("batch_id"))
+    if epoch is None:
+        return hot
+    cold = (spark.readStream.schema(cold_schema)
+            .option("basePath", f"{root}/cold").parquet(f"{root}/cold")
+            .where(F.col("epoch") <= epoch).drop("epoch"))
+    return cold.unionByName(hot)

@@ -112,3 +112,16 @@ def test_readable_formats(spark):
                     readable_size(F.col("x")).alias("s")).collect()
     assert [(r["q"], r["s"]) for r in got] == [
         ("5.00", "5.00 B"), ("1.54 thousand", "1.50 KiB"), ("1.23 million", "1.18 MiB")]
+
+
+def test_union_read_as_stream(spark, workdir):
+    from freshstream.streaming import runner
+    txn = transactions(spark, SF_SMALL).select(*COLS)
+    sink = TR.hot_sink(workdir)
+    sink(txn.where(F.col("event_time") < F.lit(dt.datetime(2024, 1, 20))), 0)
+    TR.tier(spark, workdir)
+    sink(txn.where(F.col("event_time") >= F.lit(dt.datetime(2024, 1, 20))), 1)
+    s = TR.stream_union(spark, workdir, txn.schema)
+    out = runner.run_to_table(s, "union-stream", "append", path=f"{workdir}/u")
+    got = spark.read.parquet(out).drop("batch_id").select(*COLS)
+    assert _same(got, txn)
