@@ -1,8 +1,9 @@
 """Registered streaming / maintained-table queries (ops 11, 12, 15, 16,
 39-50, 60).  Each one replays the supplied ``events`` as a record log
-through a real Structured Streaming query (availableNow, several
-micro-batches, checkpointed under ``spark.checkpoint.dir``) and returns the
-maintained table as a DataFrame."""
+through a real Structured Streaming query - producer style: append a chunk
+of the log, advance the query (availableNow, same checkpoint), repeat - so
+each query runs several ordered micro-batches and restarts, checkpointed
+under ``spark.checkpoint.dir``; it returns the maintained table."""
 
 from __future__ import annotations
 
@@ -21,27 +22,33 @@ from .registry import register, with_txn
 CHUNKS = 4
 # Region-keyed state (7 keys): one state store per possible key is enough.
 REGION_STATE_PARTITIONS = 8
-_LOGS: dict = {}
-
-
-def replay_log(spark, sf_dir, kind="clean"):
-    """Write (once per session and input) the replay log of ``events``."""
-    k = (sf_dir, kind)
-    if k not in _LOGS:
-        txn = transactions(spark, sf_dir)
-        path = fresh_dir(spark, f"log-{kind}")
-        if kind == "clean":
-            EL.write_log(EL.records_from_transactions(txn), path, CHUNKS)
-        elif kind == "redelivered":
-            EL.write_log(EL.redelivered_records(txn), path, CHUNKS)
-        elif kind == "late":
-            # on-time rows first, then every signup arrives in one late chunk
-            EL.write_log(EL.records_from_transactions(txn.where(F.col("event_type") != "signup")),
-                         path, CHUNKS)
-            EL.write_log(EL.records_from_transactions(txn.where(F.col("event_type") == "signup")),
-                         path + "/late", 1)
-        _LOGS[k] = path
-    return _LOGS[k]
+
+
+def feed(spark, sf_dir, kind="clean"):
+    """The replay log of ``events`` as append-ordered chunks (lazy frames)."""
+    txn = transactions(spark, sf_dir)
+    if kind == "clean":
+        return EL.segments(EL.records_from_transactions(txn), CHUNKS)
+    if kind == "redelivered":
+        return EL.segments(EL.redelivered_records(txn), CHUNKS)
+    if kind == "late":
+        # on-time rows first, then every signup arrives in one late chunk
+        on_time = EL.records_from_transactions(txn.where(F.col("event_type") != "signup"))
+        late = EL.records_from_transactions(txn.where(F.col("event_type") == "signup"))
+        return EL.segments(on_time, CHUNKS) + [late]
+    raise ValueError(kind)
+
+
+def _stream(spark, sf_dir, name, mode, transform, sink_factory=None, kind="clean",
+            keep_position=False, state_partitions=None):
+    """Replay the feed through ``transform`` into a sink; returns the sink folder."""
+    log = fresh_dir(spark, f"log-{name}")
+    out = fresh_dir(spark, name)
+    sink = sink_factory(out) if sink_factory else runner.batch_writer(out)
+    runner.replay(feed(spark, sf_dir, kind), log,
+                  lambda: transform(M.typed_stream(spark, log, keep_position=keep_position)),
+                  name, mode, sink, state_partitions=state_partitions)
+    return out
 
 
 QB_SQL = with_txn("""
@@ -64,9 +71,8 @@ def _latest_changes(spark, path, keys):
 @register("qb_running_total", QB_SQL)
 def qb_running_total(spark, sf_dir):
     """Q-B as a stateful streaming aggregate (update mode)."""
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir))
-    out = runner.run_to_table(M.qb_running_total(typed), "qb", "update",
-                              state_partitions=REGION_STATE_PARTITIONS)
+    out = _stream(spark, sf_dir, "qb", "update", M.qb_running_total,
+                  state_partitions=REGION_STATE_PARTITIONS)
     return _latest_changes(spark, out, ["region"])
 
 
@@ -78,27 +84,20 @@ HAVING date_trunc('minute', event_time) + INTERVAL 1 MINUTE
        <= (SELECT max(event_time) FROM transactions) - INTERVAL 1 MINUTE"""))
 def qa_final(spark, sf_dir):
     """Q-A, append mode: each closed window once (watermark 1 minute)."""
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir))
-    out = runner.run_to_table(M.qa_windows(typed, "1 minute"), "qa-final", "append")
+    out = _stream(spark, sf_dir, "qa-final", "append", lambda t: M.qa_windows(t, "1 minute"))
     return spark.read.parquet(out).drop("batch_id")
 
 
 @register("qa_partial", QA_ALL_SQL)
 def qa_partial(spark, sf_dir):
     """Q-A, update mode: partial results while open; newest per window."""
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir))
-    out = runner.run_to_table(M.qa_windows(typed, "1 minute"), "qa-partial", "update")
+    out = _stream(spark, sf_dir, "qa-partial", "update", lambda t: M.qa_windows(t, "1 minute"))
     return _latest_changes(spark, out, ["window_start", "region"])
 
 
 def _partials(spark, sf_dir, name, fn):
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir))
-    path = fresh_dir(spark, name)
-    q = runner.start(typed, name, "append", M.partial_sink(path, fn))
-    q.awaitTermination(runner.DEFAULT_TIMEOUT_S)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return path
+    return _stream(spark, sf_dir, name, "append", lambda t: t,
+                   sink_factory=lambda p: M.partial_sink(p, fn))
 
 
 @register("qb_partials", QB_SQL)
@@ -137,10 +136,8 @@ SELECT CAST(event_time AS DATE) AS event_date, count(*) AS rows,
 FROM transactions GROUP BY 1"""))
 def append_by_day(spark, sf_dir):
     """Append sink, day-partitioned and sorted; rows per day read back."""
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir))
-    path = fresh_dir(spark, "append")
-    q = runner.start(typed, "append", "append", M.append_by_day_sink(path))
-    q.awaitTermination(runner.DEFAULT_TIMEOUT_S)
+    path = _stream(spark, sf_dir, "append", "append", lambda t: t,
+                   sink_factory=M.append_by_day_sink)
     t = spark.read.option("basePath", path).parquet(path)
     return (t.groupBy("event_date")
             .agg(F.count(F.lit(1)).alias("rows"),
@@ -153,13 +150,11 @@ FROM transactions, (VALUES ('append'), ('qa_partials'), ('qb_partials')) AS s(si
 GROUP BY s.sink"""))
 def fanout_counts(spark, sf_dir):
     """One scan, one checkpoint, three sinks; each sink's totals read back."""
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir))
-    root = fresh_dir(spark, "fanout")
-    sinks = {"append": M.append_by_day_sink(f"{root}/append"),
-             "qa": M.partial_sink(f"{root}/qa", M.partials_qa),
-             "qb": M.partial_sink(f"{root}/qb", M.partials_qb)}
-    q = runner.start(typed, "fanout", "append", M.fanout_sink(sinks))
-    q.awaitTermination(runner.DEFAULT_TIMEOUT_S)
+    def sinks(root):
+        return M.fanout_sink({"append": M.append_by_day_sink(f"{root}/append"),
+                              "qa": M.partial_sink(f"{root}/qa", M.partials_qa),
+                              "qb": M.partial_sink(f"{root}/qb", M.partials_qb)})
+    root = _stream(spark, sf_dir, "fanout", "append", lambda t: t, sink_factory=sinks)
     a = (spark.read.option("basePath", f"{root}/append").parquet(f"{root}/append")
          .agg(F.count(F.lit(1)).alias("rows"),
               F.sum("amount").cast("decimal(22,2)").alias("total_amount"))
@@ -182,13 +177,8 @@ FROM transactions""")
 
 
 def _upsert_table(spark, sf_dir, name="pk"):
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir, "redelivered"), keep_position=True)
-    path = fresh_dir(spark, name)
-    q = runner.start(typed.drop("ingest_time"), name, "append", runner.batch_writer(path))
-    q.awaitTermination(runner.DEFAULT_TIMEOUT_S)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return path
+    return _stream(spark, sf_dir, name, "append", lambda t: t.drop("ingest_time"),
+                   kind="redelivered", keep_position=True)
 
 
 @register("upsert_latest", UPSERT_SQL)
@@ -225,10 +215,10 @@ def reconcile_pipelines(spark, sf_dir):
 def compact_result_log(spark, sf_dir):
     """Q-B written as an upsert result log (JSON key, JSON value), then
     compacted to the newest value per key and decoded back."""
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir))
-    path = fresh_dir(spark, "result-log")
+    def emitter(path):
+        return lambda batch, batch_id: emit(path, batch, batch_id)
 
-    def emit(batch, batch_id):
+    def emit(path, batch, batch_id):
         (batch.select(F.to_json(F.struct("region")).alias("key"),
                       F.to_json(F.struct(*batch.columns)).alias("value"),
                       F.lit(0).alias("partition"),
@@ -236,9 +226,8 @@ def compact_result_log(spark, sf_dir):
                       F.current_timestamp().alias("emitted_at"))
          .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
 
-    q = runner.start(M.qb_running_total(typed), "result-log", "update", emit,
-                     state_partitions=REGION_STATE_PARTITIONS)
-    q.awaitTermination(runner.DEFAULT_TIMEOUT_S)
+    path = _stream(spark, sf_dir, "result-log", "update", M.qb_running_total,
+                   sink_factory=emitter, state_partitions=REGION_STATE_PARTITIONS)
     log = spark.read.parquet(path)
     newest = log.groupBy("key").agg(
         F.max_by("value", F.struct("partition", "offset")).alias("value"))
@@ -252,11 +241,11 @@ def compact_result_log(spark, sf_dir):
 def dedup_stream(spark, sf_dir):
     """Duplicate suppression on event_id with bounded state
     (dropDuplicatesWithinWatermark over the at-least-once feed)."""
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir, "redelivered"))
-    d = (typed.withWatermark("event_time", "10 minutes")
-         .dropDuplicatesWithinWatermark(["event_id"])
-         .select("event_id", "user_id", "region", "event_type", "event_time"))
-    out = runner.run_to_table(d, "dedup", "append")
+    def dedupe(typed):
+        return (typed.withWatermark("event_time", "10 minutes")
+                .dropDuplicatesWithinWatermark(["event_id"])
+                .select("event_id", "user_id", "region", "event_type", "event_time"))
+    out = _stream(spark, sf_dir, "dedup", "append", dedupe, kind="redelivered")
     return spark.read.parquet(out).drop("batch_id")
 
 
@@ -267,12 +256,8 @@ WHERE event_type = 'signup'
                    - INTERVAL 1 MINUTE"""))
 def late_rows(spark, sf_dir):
     """Rows behind the watermark go to a side table instead of vanishing."""
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir, "late"))
-    path = fresh_dir(spark, "late")
-    q = runner.start(typed, "late", "append", M.late_split_sink(path, 60))
-    q.awaitTermination(runner.DEFAULT_TIMEOUT_S)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    path = _stream(spark, sf_dir, "late", "append", lambda t: t, kind="late",
+                   sink_factory=lambda p: M.late_split_sink(p, 60))
     return spark.read.parquet(f"{path}/late").select("event_id", "region", "event_time")
 
 
@@ -285,10 +270,9 @@ LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey"""))
 def enrich_stream(spark, sf_dir):
     """Stream-static left join: events -> customer -> nation -> region."""
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir)).drop("ingest_time")
-    e = J.enrich(typed, table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"),
-                 table(spark, sf_dir, "region"))
-    out = runner.run_to_table(e, "enrich", "append")
+    dims = [table(spark, sf_dir, n) for n in ("customer", "nation", "region")]
+    out = _stream(spark, sf_dir, "enrich", "append",
+                  lambda t: J.enrich(t.drop("ingest_time"), *dims))
     return spark.read.parquet(out).drop("batch_id")
 
 
@@ -306,9 +290,8 @@ def qc_stateful(spark, sf_dir):
     """Q-C as keyed state per region (transformWithStateInPandas), second
     buckets, newest row per region from the update changelog."""
     from ..streaming.qc_state import qc_stateful as build
-    typed = M.typed_stream(spark, replay_log(spark, sf_dir))
-    out = runner.run_to_table(build(typed), "qc-state", "update",
-                              state_partitions=REGION_STATE_PARTITIONS)
+    out = _stream(spark, sf_dir, "qc-state", "update", build,
+                  state_partitions=REGION_STATE_PARTITIONS)
     return _latest_changes(spark, out, ["region"])
 
 

@@ -35,25 +35,19 @@ def tiered_root(spark, sf_dir):
         return _TIERED[sf_dir]
     root = fresh_dir(spark, "tiered")
     log = fresh_dir(spark, "log-tiered")
-    ckpt = fresh_dir(spark, "tiered-checkpoint")
     cutoff = _cutoff(spark, sf_dir)
     txn = transactions(spark, sf_dir)
     cut = F.lit(cutoff).cast("timestamp")
-    EL.write_log(EL.records_from_transactions(txn.where(F.col("ingest_time") < cut)),
-                 f"{log}/a", 4)
 
-    def run():
-        typed = M.typed_stream(spark, log, keep_position=True)
-        q = runner.start(typed, "tiered", "append", TR.hot_sink(root), checkpoint=ckpt)
-        q.awaitTermination(runner.DEFAULT_TIMEOUT_S)
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
+    def build():
+        return M.typed_stream(spark, log, keep_position=True)
 
-    run()
+    before = EL.segments(EL.records_from_transactions(txn.where(F.col("ingest_time") < cut)), 4)
+    after = EL.segments(EL.records_from_transactions(txn.where(F.col("ingest_time") >= cut)), 4)
+    ckpt = runner.replay(before, log, build, "tiered", "append", TR.hot_sink(root))
     TR.tier(spark, root, now=cutoff)
-    EL.write_log(EL.records_from_transactions(txn.where(F.col("ingest_time") >= cut)),
-                 f"{log}/b", 4)
-    run()
+    runner.replay(after, log, build, "tiered", "append", TR.hot_sink(root), checkpoint=ckpt,
+                  first_seq=len(before))
     _TIERED[sf_dir] = (root, cutoff)
     return root, cutoff
 

@@ -90,33 +90,45 @@ def redelivered_records(txn: DataFrame) -> DataFrame:
         t, offset=F.col("event_id").cast("long") * 2 + F.col("_copy"))
 
 
-def write_log(records: DataFrame, path: str, chunks: int = 4, fmt: str = "json") -> list[str]:
-    """Write records as ``chunks`` time-ordered file groups under ``path``.
-
-    Each chunk is its own write of one time-sorted file, so file modification
-    times increase with append time and a file stream with
-    ``maxFilesPerTrigger=1`` replays the log in order, one chunk per
-    micro-batch.  Chunk boundaries are quantiles of the record timestamp (one
-    sampled pass); each chunk write is a pushed-down range filter over the
-    source.  This is a replay tool: pick ``chunks`` so one chunk fits a task
-    (the live path reads the topic instead)."""
+def chunk_bounds(records: DataFrame, chunks: int) -> list:
+    """Append-time boundaries splitting the log into ``chunks`` parts of
+    about equal size (one sampled quantile pass)."""
+    if chunks <= 1:
+        return []
+    return (records.select(F.unix_micros(F.col("timestamp")).alias("t"))
+            .approxQuantile("t", [i / chunks for i in range(1, chunks)], 0.001))
+
+
+def segments(records: DataFrame, chunks: int) -> list[DataFrame]:
+    """The log as ``chunks`` append-time ranges, oldest first (lazy frames;
+    each is a range filter over the same source)."""
     ts_long = F.unix_micros(F.col("timestamp"))
-    qs = (records.select(ts_long.alias("t")).approxQuantile(
-        "t", [i / chunks for i in range(1, chunks)], 0.001) if chunks > 1 else [])
-    bounds = [None, *qs, None]
-    written = []
-    for i in range(chunks):
+    bounds = [None, *chunk_bounds(records, chunks), None]
+    out = []
+    for i in range(len(bounds) - 1):
         part = records
         lo, hi = bounds[i], bounds[i + 1]
         if lo is not None:
             part = part.where(ts_long > F.lit(int(lo)))
         if hi is not None:
             part = part.where(ts_long <= F.lit(int(hi)))
-        out = f"{path}/chunk={i:05d}"
-        (part.repartition(1).sortWithinPartitions("timestamp", "offset")
-         .write.mode("errorifexists").format(fmt).save(out))
-        written.append(out)
-    return written
+        out.append(part)
+    return out
+
+
+def append_chunk(part: DataFrame, path: str, seq: int, fmt: str = "json") -> str:
+    """Append one chunk to the log folder, written in parallel by all tasks
+    (files sorted by append time within each task)."""
+    out = f"{path}/chunk={seq:06d}"
+    part.sortWithinPartitions("timestamp", "offset").write.mode("errorifexists") \
+        .format(fmt).save(out)
+    return out
+
+
+def write_log(records: DataFrame, path: str, chunks: int = 4, fmt: str = "json") -> list[str]:
+    """Write the whole log at once (for batch reads; streams use the
+    producer-style ``streaming.runner.replay``)."""
+    return [append_chunk(p, path, i, fmt) for i, p in enumerate(segments(records, chunks))]
 
 
 def read_log(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -126,11 +138,12 @@ def read_log(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 
 
 def stream_log(spark: SparkSession, path: str, fmt: str = "json",
-               files_per_trigger: int | None = 1, start: str = "earliest",
+               files_per_trigger: int | None = None, start: str = "earliest",
                start_timestamp=None) -> DataFrame:
-    """Streaming read of a replay log directory (one file per trigger by
-    default).  ``start``: ``earliest`` replays everything; ``timestamp``
-    keeps records at or after ``start_timestamp`` (op 2)."""
+    """Streaming read of a replay log directory.  ``files_per_trigger``
+    bounds the input of one micro-batch; ``start``: ``earliest`` replays
+    everything, ``timestamp`` keeps records at or after ``start_timestamp``
+    (op 2)."""
     r = (spark.readStream.format(fmt).schema(RECORD_SCHEMA)
          .option("recursiveFileLookup", "true"))
     if files_per_trigger:

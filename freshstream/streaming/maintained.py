@@ -20,7 +20,7 @@ AGG_COLUMNS = ("event_count", "total_amount", "max_event_time")
 
 
 def typed_stream(spark: SparkSession, log_path: str, policy: str = "drop",
-                 files_per_trigger: int = 1, keep_position: bool = False) -> DataFrame:
+                 files_per_trigger: int | None = None, keep_position: bool = False) -> DataFrame:
     """Replay log -> decoded, typed rows (bad rows dropped by default)."""
     dec = I.decode_json(EL.stream_log(spark, log_path, files_per_trigger=files_per_trigger))
     good = dec.where(~F.col("status").isin(*I.BAD))
@@ -158,7 +158,8 @@ def late_split_sink(path: str, delay_seconds: int):
 
 # -- error-rate stop and resume ----------------------------------------------
 
-def decoded_stream(spark: SparkSession, log_path: str, files_per_trigger: int = 1) -> DataFrame:
+def decoded_stream(spark: SparkSession, log_path: str,
+                   files_per_trigger: int | None = None) -> DataFrame:
     """Replay log -> decoded rows *with* their status (for guarded sinks)."""
     return I.decode_json(EL.stream_log(spark, log_path, files_per_trigger=files_per_trigger))
 

@@ -102,3 +102,40 @@ def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
         if schema is None:
             raise
         return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("int"))
+
+
+def replay(segments: list[DataFrame], log_path: str, build: Callable[[], DataFrame], name: str,
+           mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None,
+           state_partitions: int | None = None, first_seq: int = 0,
+           timeout_s: int = DEFAULT_TIMEOUT_S) -> str:
+    """Producer-style replay: append one chunk of the log, then advance the
+    stream (availableNow, same checkpoint) - one ordered micro-batch per
+    chunk, every chunk written in parallel.  ``build`` creates the streaming
+    DataFrame over ``log_path`` (called once the folder exists).  Returns the
+    checkpoint, so a later call can continue the same query."""
+    from ..sources.event_log import append_chunk
+    if not segments:
+        raise ValueError("nothing to replay")
+    spark = segments[0].sparkSession
+    ckpt = checkpoint or fresh_dir(spark, f"{name}-checkpoint")
+    df = None
+    for i, seg in enumerate(segments):
+        append_chunk(seg, log_path, first_seq + i)
+        if df is None:
+            df = build()
+        q = start(df, name, mode, sink, "replay", ckpt, state_partitions=state_partitions)
+        if not q.awaitTermination(timeout_s):
+            q.stop()
+            raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    return ckpt
+
+
+def replay_to_table(segments: list[DataFrame], log_path: str, build: Callable[[], DataFrame],
+                    name: str, mode: str = "append", state_partitions: int | None = None) -> str:
+    """``replay`` into a batch-keyed table; returns the table folder."""
+    out = fresh_dir(segments[0].sparkSession, name)
+    replay(segments, log_path, build, name, mode, batch_writer(out),
+           state_partitions=state_partitions)
+    return out
