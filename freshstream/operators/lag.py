@@ -11,9 +11,9 @@ Live, these tables are appended by a ``StreamingQueryListener`` (see
 with deterministic rules (below), so every measurement has an exact oracle.
 
 Scale: events are first reduced to one row per (series, minute) with a
-partial aggregate; running maxima / counts are then windows over those
-per-minute rows, partitioned by series (system x query, or topic partition).
-Their size grows with the time span, not with the event volume.
+partial aggregate; running maxima / counts over time are then two-level
+scans (``operators.scan``): within (series, day) groups, plus a carry over
+one row per (series, day) - no task holds the whole time axis.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import lag_ms, minute_start
+from .scan import running, suffix_min_from
 from ..schema import HISTOGRAM_BOUNDS, TOPIC_PARTITIONS
 
 # Replay rules (fixed): result delay of each measured system / query, ms.
@@ -60,12 +61,11 @@ def probe_ticks(txn: DataFrame) -> DataFrame:
     minute = (seen.unionByName(produced)
               .groupBy("system", "query", "tick_time", "kind")
               .agg(F.max("event_time").alias("et"), F.count(F.lit(1)).alias("n")))
-    w = (Window.partitionBy("system", "query").orderBy("tick_time")
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ran = minute.select(
-        "system", "query", "tick_time", "kind", "n",
-        F.max(F.when(F.col("kind") == "P", F.col("et"))).over(w).alias("producer_max_et"),
-        F.max(F.when(F.col("kind") == "R", F.col("et"))).over(w).alias("result_max_et"))
+    keys = ["system", "query"]
+    ran = running(minute, keys, "tick_time", F.when(F.col("kind") == "P", F.col("et")),
+                  "producer_max_et", "max")
+    ran = running(ran, keys, "tick_time", F.when(F.col("kind") == "R", F.col("et")),
+                  "result_max_et", "max")
     return (ran.where(F.col("kind") == "R")
             .select("tick_time", "system", "query", "producer_max_et", "result_max_et",
                     (F.col("n") / F.lit(1000.0)).alias("duration_s")))
@@ -96,8 +96,8 @@ def freshness_series(txn: DataFrame) -> DataFrame:
     """Q3 evaluated at every 1-minute tick: newest event seen by the tick."""
     per_min = (txn.groupBy(_tick(F.col("ingest_time")).alias("tick_time"))
                .agg(F.max("event_time").alias("et")))
-    w = Window.orderBy("tick_time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (per_min.select("tick_time", F.max("et").over(w).alias("newest_event_time"))
+    return (running(per_min, [], "tick_time", F.col("et"), "newest_event_time", "max")
+            .select("tick_time", "newest_event_time")
             .withColumn("freshness_lag_ms",
                         lag_ms(F.col("newest_event_time"), F.col("tick_time"))))
 
@@ -114,12 +114,11 @@ def offset_log(txn: DataFrame) -> DataFrame:
                           F.lit(0).alias("p"), F.lit(1).alias("c"))
     per_min = (produced.unionByName(consumed).groupBy("partition", "t")
                .agg(F.sum("p").alias("p"), F.sum("c").alias("c")))
-    w = (Window.partitionBy("partition").orderBy("t")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return per_min.select(
+    ran = running(per_min, ["partition"], "t", F.col("p"), "end_offset", "sum")
+    ran = running(ran, ["partition"], "t", F.col("c"), "committed_offset", "sum")
+    return ran.select(
         F.col("t").alias("observed_at"), F.lit(CONSUMER_GROUP).alias("group_id"),
-        F.lit(TOPIC).alias("topic"), "partition",
-        F.sum("p").over(w).alias("end_offset"), F.sum("c").over(w).alias("committed_offset"))
+        F.lit(TOPIC).alias("topic"), "partition", "end_offset", "committed_offset")
 
 
 def produce_rate(offsets: DataFrame) -> DataFrame:
@@ -153,15 +152,15 @@ def consumer_lag(offsets: DataFrame) -> DataFrame:
 def window_finalization(txn: DataFrame, delay_minutes: int = 1) -> DataFrame:
     """When each 1-minute event-time window could close: the arrival of the
     first row at or past window_end + delay (that row moves the watermark
-    past the window).  Per-minute minima first, then a forward RANGE frame
-    over the minute rows (minutes >= window_start + 1 + delay)."""
-    per_min = (txn.groupBy(minute_start(F.col("event_time")).alias("window_start"))
+    past the window): a suffix minimum of per-minute first arrivals, taken
+    from window_end + delay (see ``scan.suffix_min_from``)."""
+    per_min = (txn.groupBy(minute_start(F.col("event_time")).alias("m"))
                .agg(F.min("ingest_time").alias("first_ingest"),
-                    F.max("event_time").alias("max_event_time"))
-               .withColumn("_s", F.unix_seconds("window_start")))
-    w = Window.orderBy("_s").rangeBetween((1 + delay_minutes) * 60, Window.unboundedFollowing)
-    return (per_min.select(
-                "window_start",
-                (F.col("window_start") + F.expr("INTERVAL 1 MINUTE")).alias("window_end"),
-                "max_event_time", F.min("first_ingest").over(w).alias("emitted_at"))
-            .where(F.col("emitted_at").isNotNull()))
+                    F.max("event_time").alias("max_event_time")))
+    points = per_min.select(
+        F.col("m").alias("window_start"),
+        (F.col("m") + F.expr("INTERVAL 1 MINUTE")).alias("window_end"), "max_event_time",
+        (F.col("m") + F.expr(f"INTERVAL {1 + delay_minutes} MINUTES")).alias("needed"))
+    fin = suffix_min_from(points, "needed", per_min, "m", "first_ingest", "emitted_at")
+    return (fin.where(F.col("emitted_at").isNotNull())
+            .select("window_start", "window_end", "max_event_time", "emitted_at"))

@@ -70,3 +70,30 @@ def test_over_range_plan_splits_hot_region(spark):
                                      "amount DECIMAL(12,2)")
     plan = over_range(df)._jdf.queryExecution().executedPlan().toString()
     assert "_bucket" in plan  # partitioned by (region, bucket), not region alone
+
+
+def test_two_level_scans_cross_midnight(spark):
+    from freshstream.operators.scan import running, suffix_min_from
+    rnd = random.Random(3)
+    ts = sorted({BASE + dt.timedelta(minutes=rnd.randrange(0, 4 * 1440)) for _ in range(300)}
+                | {BASE + dt.timedelta(days=1) - dt.timedelta(minutes=1),
+                   BASE + dt.timedelta(days=1)})
+    rows = [(("a" if i % 3 else "b"), t, rnd.randrange(0, 1000)) for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "k STRING, t TIMESTAMP, v LONG")
+    got = {(r["k"], r["t"]): r["m"] for r in
+           running(df, ["k"], "t", F.col("v"), "m", "max").collect()}
+    want = {(k, t): max(v2 for k2, t2, v2 in rows if k2 == k and t2 <= t) for k, t, _ in rows}
+    assert got == want
+    got_s = {(r["k"], r["t"]): r["s"] for r in
+             running(df, ["k"], "t", F.col("v"), "s", "sum").collect()}
+    want_s = {(k, t): sum(v2 for k2, t2, v2 in rows if k2 == k and t2 <= t) for k, t, _ in rows}
+    assert got_s == want_s
+    pts = spark.createDataFrame([(t + dt.timedelta(minutes=2),) for _, t, _ in rows], "p TIMESTAMP")
+    got_m = {r["p"]: r["mn"] for r in
+             suffix_min_from(pts, "p", df, "t", "v", "mn").collect()}
+    want_m = {}
+    for _, t, _ in rows:
+        p = t + dt.timedelta(minutes=2)
+        later = [v for _, t2, v in rows if t2 >= p]
+        want_m[p] = min(later) if later else None
+    assert got_m == want_m
