@@ -122,15 +122,29 @@ def offset_log(txn: DataFrame) -> DataFrame:
 
 
 def produce_rate(offsets: DataFrame) -> DataFrame:
-    """Per partition: messages appended between observations / seconds."""
-    w = Window.partitionBy("partition").orderBy("observed_at")
-    prev_o = F.lag("end_offset").over(w)
-    prev_t = F.lag("observed_at").over(w)
-    d = offsets.select(
-        "partition", "observed_at",
-        (F.col("end_offset") - prev_o).alias("delta_offsets"),
-        F.timestamp_diff("SECOND", prev_t, F.col("observed_at")).alias("delta_s"))
-    return (d.where(F.col("delta_s").isNotNull())
+    """Per partition: messages appended between observations / seconds.
+
+    The previous observation is found within (partition, day) groups; the
+    first observation of a day takes the last one of the latest earlier
+    day, carried over one row per (partition, day)."""
+    d = offsets.withColumn("_day", F.date_trunc("day", F.col("observed_at")))
+    w = Window.partitionBy("partition", "_day").orderBy("observed_at")
+    inner = d.select("partition", "_day", "observed_at", "end_offset",
+                     F.lag("end_offset").over(w).alias("_po"),
+                     F.lag("observed_at").over(w).alias("_pt"))
+    last = (d.groupBy("partition", "_day")
+            .agg(F.max_by("end_offset", "observed_at").alias("_lo"),
+                 F.max("observed_at").alias("_lt")))
+    wd = Window.partitionBy("partition").orderBy("_day")
+    carry = last.select("partition", "_day", F.lag("_lo").over(wd).alias("_co"),
+                        F.lag("_lt").over(wd).alias("_ct"))
+    j = inner.join(carry, ["partition", "_day"], "left")
+    prev_o = F.coalesce(F.col("_po"), F.col("_co"))
+    prev_t = F.coalesce(F.col("_pt"), F.col("_ct"))
+    r = j.select("partition", "observed_at",
+                 (F.col("end_offset") - prev_o).alias("delta_offsets"),
+                 F.timestamp_diff("SECOND", prev_t, F.col("observed_at")).alias("delta_s"))
+    return (r.where(F.col("delta_s").isNotNull())
             .withColumn("rate_per_s", F.col("delta_offsets") / F.col("delta_s")))
 
 

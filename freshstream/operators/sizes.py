@@ -1,11 +1,10 @@
 """Table size report: rows, compressed / uncompressed bytes, ratio.
 
-The file list of each table comes from Spark's own listing
-(``DataFrame.inputFiles()``: metadata only).  Footers are then read in
-parallel on the executors (``mapInArrow`` over the file list, one footer per
-file via pyarrow), so the work is distributed by file and nothing but the
-path list passes through the driver.  Sizes are the sums of the column-chunk
-sizes recorded in the footers.
+The file list of each table is a distributed scan of the ``_metadata``
+column; footers are then read in parallel on the executors (``mapInArrow``
+over the file list, one footer per file via pyarrow), so the work is
+distributed by file and nothing passes through the driver.  Sizes are the
+sums of the column-chunk sizes recorded in the footers.
 """
 
 from __future__ import annotations
@@ -23,12 +22,18 @@ FOOTER_SCHEMA = "table STRING, file STRING, rows BIGINT, compressed BIGINT, unco
 
 
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from urllib.parse import unquote, urlparse
+
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
     for b in batches:
         out = {"table": [], "file": [], "rows": [], "compressed": [], "uncompressed": []}
         for table, path in zip(b.column("table").to_pylist(), b.column("file").to_pylist()):
-            fs, p = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+            u = urlparse(path)
+            if u.scheme in ("", "file"):
+                fs, p = pafs.LocalFileSystem(), unquote(u.path)
+            else:
+                fs, p = pafs.FileSystem.from_uri(path)
             with fs.open_input_file(p) as f:
                 md = pq.ParquetFile(f).metadata
             comp = unc = 0
@@ -47,11 +52,16 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def table_sizes(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
-    """tables: name -> parquet path.  One row per table."""
-    files = [(name, f) for name, path in tables.items()
-             for f in spark.read.parquet(path).inputFiles()]
-    listing = spark.createDataFrame(files, "table STRING, file STRING")
-    footers = listing.repartition(max(1, min(len(files), 64))).mapInArrow(_footers, FOOTER_SCHEMA)
+    """tables: name -> parquet path.  One row per table.
+
+    The file list is itself a distributed scan (``_metadata.file_path``,
+    no data columns read), then footers are read per file on executors."""
+    listing = None
+    for name, path in tables.items():
+        files = (spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"))
+                 .distinct().withColumn("table", F.lit(name)))
+        listing = files if listing is None else listing.unionByName(files)
+    footers = listing.select("table", "file").mapInArrow(_footers, FOOTER_SCHEMA)
     agg = footers.groupBy("table").agg(F.sum("rows").alias("rows"),
                                        F.sum("compressed").alias("compressed_bytes"),
                                        F.sum("uncompressed").alias("uncompressed_bytes"))

@@ -7,6 +7,8 @@ under ``spark.checkpoint.dir``; it returns the maintained table."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
@@ -300,10 +302,18 @@ def qc_partials(spark, sf_dir):
     """Q-C the scalable way for hot keys: per-second partials per batch,
     the last 301 seconds of each region re-aggregated on read."""
     path = _partials(spark, sf_dir, "qc-partials", M.partials_qc)
-    merged = K.read_merged(spark, path, K.merge_partials(["second", "region"]))
-    newest = merged.groupBy("region").agg(F.max("second").alias("newest"))
-    frame = (merged.join(newest, "region")
-             .where(F.col("second") >= F.col("newest") - F.expr("INTERVAL 300 SECONDS")))
+    # newest second per region: one row per region of the fixed domain
+    newest = {r["region"]: r["newest"] for r in
+              spark.read.parquet(path).groupBy("region")
+              .agg(F.max("second").alias("newest")).collect()}
+    lo = min(newest.values()) - dt.timedelta(seconds=300)
+    # only the last 301 seconds of partials are read and merged
+    recent = K.read_merged(
+        spark, path, lambda d: K.merge_partials(["second", "region"])(
+            d.where(F.col("second") >= F.lit(lo))))
+    bound = F.create_map(*[x for k, v in newest.items()
+                           for x in (F.lit(k), F.lit(v - dt.timedelta(seconds=300)))])
+    frame = recent.where(F.col("second") >= bound[F.col("region")])
     return (frame.groupBy("region")
             .agg(F.sum("event_count").alias("event_count"),
                  F.sum("total_amount").cast("decimal(22,2)").alias("total_amount"),
