@@ -6,11 +6,11 @@ equal time included), partitioned by region.
 
 A plain ``Window.partitionBy("region")`` would put a whole region - possibly
 a third of all rows - into one task.  Instead rows are split into
-``(region, time bucket)`` groups.  A row also serves as *context* for the
-next bucket when it lies within the window width of that bucket's start;
-context rows take part in the frames but are not emitted.  The result is
-exact for any bucket width larger than the window, and a group never holds
-more than one bucket of one region plus a window's worth of context.
+``(region, time bucket, sub-bucket)`` groups, with dense buckets cut finer
+(see ``over_range``).  A row also serves as *context* for each later group
+whose start lies within the window after it; context rows take part in the
+frames but are not emitted.  The result is exact, and a group holds a
+bounded number of rows plus one window's worth of context.
 
 ``hopping`` - the built-in alternative: 5-minute windows sliding every 10 s.
 Rows are first combined per (region, 10 s slice) - a map-side partial
@@ -28,28 +28,71 @@ MICROS_PER_SECOND = 1_000_000
 
 def over_range(txn: DataFrame, window_seconds: int = 300, bucket_seconds: int = 3600,
                partition_col: str = "region", time_col: str = "event_time",
-               keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    if bucket_seconds <= window_seconds:
-        raise ValueError("bucket width must exceed the window width")
+               keep: tuple[str, ...] = ("event_id",), target_rows: int = 4_000_000,
+               max_plan_rows: int = 5_000_000, min_sub_seconds: int | None = None) -> DataFrame:
+    """Exact RANGE frame per event, computed in bounded groups.
+
+    1. Count rows per (partition, coarse bucket) - a partial aggregate.
+    2. A bucket holding more than ``target_rows`` is cut into ``k`` equal
+       sub-buckets (k = ceil(n / target_rows)), no narrower than
+       ``min_sub_seconds`` (default: the window, so a row is context for at
+       most one later group - at most 2x rows; narrower sub-buckets bound the
+       group size further at the price of window/width copies).
+    3. Each row goes to its own sub-bucket, and as *context* to every
+       sub-bucket starting within the window after it - in its own coarse
+       bucket or the next one (found by looking up the next bucket's k).
+    4. Frames are computed per (partition, bucket, sub-bucket); context rows
+       are dropped.  Groups hold ~target_rows plus one window of context.
+    The plan table has one row per (partition, coarse bucket) and is
+    broadcast only when within ``max_plan_rows``."""
+    from .joins import bounded_broadcast
     w_us = window_seconds * MICROS_PER_SECOND
     b_us = bucket_seconds * MICROS_PER_SECOND
+    if bucket_seconds <= window_seconds:
+        raise ValueError("bucket width must exceed the window width")
     t = F.unix_micros(F.col(time_col))
-    own = F.floor(t / F.lit(b_us)).cast("long")
-    # A row is context for the next bucket when next_start - t <= window.
-    next_start = (own + 1) * F.lit(b_us)
-    buckets = F.when(next_start - t <= F.lit(w_us), F.array(own, own + 1)).otherwise(F.array(own))
-    rows = (txn.select(*keep, partition_col, time_col, "amount",
-                       t.alias("_t"), own.alias("_own"))
-            .withColumn("_bucket", F.explode(buckets)))
-    w = (Window.partitionBy(partition_col, "_bucket").orderBy("_t")
+    rows = txn.select(*keep, partition_col, time_col, "amount", t.alias("_t"),
+                      F.floor(t / F.lit(b_us)).cast("long").alias("_h"))
+    max_k = bucket_seconds // (min_sub_seconds or window_seconds)
+    plan = (rows.groupBy(partition_col, "_h").agg(F.count(F.lit(1)).alias("_n"))
+            .select(partition_col, "_h",
+                    F.least(F.lit(max_k), F.greatest(
+                        F.lit(1), F.ceil(F.col("_n") / F.lit(target_rows)))).cast("long")
+                    .alias("_k")))
+    plan = bounded_broadcast(plan, max_plan_rows)
+    nxt = plan.select(F.col(partition_col).alias("_p1"), (F.col("_h") - 1).alias("_h0"),
+                      F.col("_k").alias("_k1"))
+    r = (rows.join(plan, [partition_col, "_h"], "inner")
+         .join(nxt, (F.col(partition_col) == F.col("_p1")) & (F.col("_h") == F.col("_h0")),
+               "left"))
+    hs = F.col("_h") * F.lit(b_us)
+    wid = F.ceil(F.lit(b_us) / F.col("_k")).cast("long")
+    wid1 = F.ceil(F.lit(b_us) / F.col("_k1")).cast("long")
+    sub = F.floor((F.col("_t") - hs) / wid).cast("long")
+    reach = F.col("_t") + F.lit(w_us)
+    same_hi = F.least(F.col("_k") - 1, F.floor((reach - hs) / wid).cast("long"))
+    next_hi = F.least(F.col("_k1") - 1,
+                      F.floor((reach - hs - F.lit(b_us)) / wid1).cast("long"))
+    empty = F.array().cast("array<struct<h:bigint,s:bigint>>")
+
+    def targets(h, lo, hi):
+        return F.transform(F.sequence(lo, hi), lambda x: F.struct(h.alias("h"), x.alias("s")))
+
+    same = F.when(same_hi >= sub + 1, targets(F.col("_h"), sub + 1, same_hi)).otherwise(empty)
+    later = F.when(F.col("_k1").isNotNull() & (reach >= hs + F.lit(b_us)),
+                   targets(F.col("_h") + 1, F.lit(0).cast("long"), next_hi)).otherwise(empty)
+    own = F.array(F.struct(F.col("_h").alias("h"), sub.alias("s")))
+    spread = (r.withColumn("_own_s", sub)
+              .withColumn("_b", F.explode(F.concat(own, same, later))))
+    w = (Window.partitionBy(partition_col, "_b.h", "_b.s").orderBy("_t")
          .rangeBetween(-w_us, Window.currentRow))
-    framed = rows.select(
-        *keep, partition_col, time_col, "_bucket", "_own",
+    framed = spread.select(
+        *keep, partition_col, time_col, "_b", "_h", "_own_s",
         F.count("event_id").over(w).alias("event_count"),
         F.sum("amount").over(w).cast("decimal(22,2)").alias("total_amount"),
         F.max(time_col).over(w).alias("max_event_time"))
-    return (framed.where(F.col("_bucket") == F.col("_own"))
-            .drop("_bucket", "_own"))
+    return (framed.where((F.col("_b.h") == F.col("_h")) & (F.col("_b.s") == F.col("_own_s")))
+            .drop("_b", "_h", "_own_s"))
 
 
 def hopping(txn: DataFrame, size_seconds: int = 300, slide_seconds: int = 10,

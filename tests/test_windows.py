@@ -38,13 +38,19 @@ def brute(rows, w=dt.timedelta(minutes=5)):
     return out
 
 
-@pytest.mark.parametrize("bucket_seconds", [301, 900, 3600])
-def test_over_range_exact(spark, bucket_seconds):
+@pytest.mark.parametrize("bucket_seconds,target_rows",
+                         [(301, 10**6), (900, 10**6), (3600, 10**6), (3600, 40), (3600, 7),
+                          (900, 1), (3600, 1)])
+@pytest.mark.parametrize("min_sub", [None, 1])
+def test_over_range_exact(spark, bucket_seconds, target_rows, min_sub):
+    """Exact for any bucket width, including dense buckets cut into
+    sub-buckets narrower than the window (target_rows small)."""
     rows = fixture_rows()
     df = spark.createDataFrame(rows, "event_id STRING, region STRING, event_time TIMESTAMP, "
                                      "amount DECIMAL(12,2)")
     got = {r["event_id"]: (r["event_count"], r["total_amount"], r["max_event_time"])
-           for r in over_range(df, bucket_seconds=bucket_seconds).collect()}
+           for r in over_range(df, bucket_seconds=bucket_seconds, target_rows=target_rows,
+                               min_sub_seconds=min_sub).collect()}
     assert got == brute(rows)
 
 
@@ -69,7 +75,7 @@ def test_over_range_plan_splits_hot_region(spark):
     df = spark.createDataFrame(rows, "event_id STRING, region STRING, event_time TIMESTAMP, "
                                      "amount DECIMAL(12,2)")
     plan = over_range(df)._jdf.queryExecution().executedPlan().toString()
-    assert "_bucket" in plan  # partitioned by (region, bucket), not region alone
+    assert "_b.h" in plan or "_b" in plan  # partitioned by (region, bucket, sub), not region
 
 
 def test_two_level_scans_cross_midnight(spark):
