@@ -39,3 +39,19 @@ def reconcile(append_rows: DataFrame, pk_rows: DataFrame, key: str = "event_id")
         F.count_if((F.col("a") > 0) & (F.col("p") == 0)).alias("missing_in_pk"),
         F.count_if((F.col("p") > 0) & (F.col("a") == 0)).alias("missing_in_append"),
     ).withColumn("duplicate_rows", F.col("append_rows") - F.col("distinct_ids"))
+
+
+def local_dedupe(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Drop duplicate keys within each task's Arrow batches, before any
+    shuffle (stateless, so it is allowed in front of streaming operators).
+
+    Streaming duplicate suppression has no partial step of its own: without
+    this, every copy of a key travels to one task.  After it, at most one
+    copy per (task, batch) does."""
+    schema = df.schema
+
+    def drop(batches):
+        for pdf in batches:
+            yield pdf.drop_duplicates(subset=keys, keep="first")
+
+    return df.mapInPandas(drop, schema)

@@ -31,12 +31,56 @@ def geography(customer: DataFrame, nation: DataFrame, region: DataFrame,
             .select("c_custkey", "c_name", "n_name", "r_name"))
 
 
+def hot_keys(df: DataFrame, key: str, fraction: float = 0.01, sample: float = 0.01,
+             max_keys: int = 1000, seed: int = 7) -> list:
+    """Keys holding at least ``fraction`` of ``df``'s rows, estimated from a
+    sample (a routing decision only: results do not depend on it).  At most
+    ``max_keys`` are returned, so the list is bounded."""
+    s = df.select(key).sample(fraction=sample, seed=seed)
+    counts = s.groupBy(key).count()
+    total = s.count()
+    if total == 0:
+        return []
+    rows = (counts.where(F.col("count") >= F.lit(max(1.0, fraction * total)))
+            .orderBy(F.desc("count")).limit(max_keys).collect())
+    return [r[key] for r in rows]
+
+
+def skew_split_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                    how: str = "left", keys: list | None = None,
+                    max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Equi-join that survives a hot key on the left.
+
+    Rows of hot keys join a broadcast of only the matching right rows (their
+    count is checked); all other rows take the ordinary shuffle join.  Each
+    key is routed to exactly one side, so inner / left results are exact."""
+    hot = keys if keys is not None else hot_keys(left, left_key)
+    if not hot:
+        return left.join(right, left[left_key] == right[right_key], how)
+    is_hot_l = F.col(left_key).isin(hot)
+    r_hot = bounded_broadcast(right.where(F.col(right_key).isin(hot)), max_rows)
+    hot_part = left.where(is_hot_l).join(r_hot, F.col(left_key) == F.col(right_key), how)
+    cold_l = left.where(~is_hot_l | F.col(left_key).isNull())
+    cold_part = cold_l.join(right.where(~F.col(right_key).isin(hot)),
+                            F.col(left_key) == F.col(right_key), how)
+    return hot_part.unionByName(cold_part)
+
+
 def enrich(txn: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame,
            max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Per-event enrichment (stream-static or batch): left join on user_id."""
-    geo = bounded_broadcast(geography(customer, nation, region, max_rows), max_rows)
-    return (txn.join(geo, txn["user_id"] == geo["c_custkey"], "left")
-            .drop("c_custkey"))
+    """Per-event enrichment (stream-static or batch): left join on user_id.
+
+    The geography is broadcast when within ``max_rows``.  Beyond it, a batch
+    input takes the skew-split join (hot users through a broadcast of their
+    own rows); a stream keeps the stream-static shuffle join - apply
+    ``skew_split_join`` per micro-batch in ``foreachBatch`` if users are hot."""
+    geo = geography(customer, nation, region, max_rows)
+    if geo.count() <= max_rows:
+        return (txn.join(F.broadcast(geo), txn["user_id"] == geo["c_custkey"], "left")
+                .drop("c_custkey"))
+    if not txn.isStreaming:
+        return skew_split_join(txn, geo, "user_id", "c_custkey", "left").drop("c_custkey")
+    return txn.join(geo, txn["user_id"] == geo["c_custkey"], "left").drop("c_custkey")
 
 
 def totals_by_nation(txn: DataFrame, customer: DataFrame, nation: DataFrame,

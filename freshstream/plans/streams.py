@@ -242,9 +242,14 @@ def compact_result_log(spark, sf_dir):
     "SELECT event_id, user_id, region, event_type, event_time FROM transactions"))
 def dedup_stream(spark, sf_dir):
     """Duplicate suppression on event_id with bounded state
-    (dropDuplicatesWithinWatermark over the at-least-once feed)."""
+    (dropDuplicatesWithinWatermark over the at-least-once feed), after a
+    map-side dedupe so a key with many copies does not load one task."""
+    from ..operators.dedup import local_dedupe
+
     def dedupe(typed):
-        return (typed.withWatermark("event_time", "10 minutes")
+        cols = typed.select("event_id", "user_id", "region", "event_type", "event_time")
+        return (local_dedupe(cols, ["event_id"])
+                .withWatermark("event_time", "10 minutes")
                 .dropDuplicatesWithinWatermark(["event_id"])
                 .select("event_id", "user_id", "region", "event_type", "event_time"))
     out = _stream(spark, sf_dir, "dedup", "append", dedupe, kind="redelivered")

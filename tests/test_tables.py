@@ -125,3 +125,14 @@ def test_union_read_as_stream(spark, workdir):
     out = runner.run_to_table(s, "union-stream", "append", path=f"{workdir}/u")
     got = spark.read.parquet(out).drop("batch_id").select(*COLS)
     assert _same(got, txn)
+
+
+def test_skew_split_join_exact(spark):
+    from freshstream.operators.joins import hot_keys, skew_split_join
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, -1)],
+                                 "k LONG, v LONG")
+    right = spark.createDataFrame([(k, f"n{k}") for k in range(0, 3000, 2)], "rk LONG, name STRING")
+    assert 1 in hot_keys(left, "k", fraction=0.1, sample=0.5)
+    got = skew_split_join(left, right, "k", "rk", "left", max_rows=10)
+    want = left.join(right, left["k"] == right["rk"], "left")
+    assert _same(got.select("k", "v", "name"), want.select("k", "v", "name"))
