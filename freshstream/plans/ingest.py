@@ -94,7 +94,7 @@ def scan_from_timestamp(spark, sf_dir):
 
 @register("producer_high_mark", with_txn("""
 SELECT max(last_et) AS producer_max_event_time, count(*) AS partitions,
-       sum(last_offset) AS offset_sum
+       CAST(sum(last_offset) AS BIGINT) AS offset_sum
 FROM (SELECT partition, max("offset") AS last_offset,
              arg_max(event_time, "offset") AS last_et
       FROM log GROUP BY partition)""", LOG_CTE))

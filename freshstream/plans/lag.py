@@ -37,7 +37,8 @@ TICKS_CTE = """ticks AS (
 OFFSETS_CTE = """offsets AS (
   SELECT t AS observed_at, 'freshstream-consumer' AS group_id, 'transactions' AS topic,
          partition,
-         sum(p) OVER w AS end_offset, sum(c) OVER w AS committed_offset
+         CAST(sum(p) OVER w AS BIGINT) AS end_offset,
+         CAST(sum(c) OVER w AS BIGINT) AS committed_offset
   FROM (SELECT partition, t, sum(p) AS p, sum(c) AS c FROM (
           SELECT CAST(user_id % 12 AS INTEGER) AS partition,
                  date_trunc('minute', ingest_time) + INTERVAL 1 MINUTE AS t, 1 AS p, 0 AS c
@@ -66,7 +67,8 @@ def system_lag(spark, sf_dir):
 
 
 @register("probe_histogram", with_txn("""
-SELECT system, query, b.le, count_if(b.bound IS NULL OR duration_s <= b.bound) AS count
+SELECT system, query, b.le,
+       CAST(count_if(b.bound IS NULL OR duration_s <= b.bound) AS BIGINT) AS count
 FROM ticks, (VALUES ('0.001', 0.001), ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.025),
                     ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5),
                     ('1.0', 1.0), ('2.5', 2.5), ('+Inf', NULL)) AS b(le, bound)
@@ -102,8 +104,9 @@ def produce_rate(spark, sf_dir):
 
 
 @register("consumer_lag", with_txn("""
-SELECT group_id, partition, sum(end_offset) AS end_offset,
-       sum(committed_offset) AS committed_offset, sum(end_offset - committed_offset) AS lag
+SELECT group_id, partition, CAST(sum(end_offset) AS BIGINT) AS end_offset,
+       CAST(sum(committed_offset) AS BIGINT) AS committed_offset,
+       CAST(sum(end_offset - committed_offset) AS BIGINT) AS lag
 FROM (SELECT group_id, partition, arg_max(end_offset, observed_at) AS end_offset,
              arg_max(committed_offset, observed_at) AS committed_offset
       FROM offsets GROUP BY 1, 2)

@@ -197,10 +197,10 @@ def upsert_latest(spark, sf_dir):
 
 
 @register("reconcile_pipelines", with_txn("""
-SELECT count(*) + count_if(event_type = 'purchase') AS append_rows,
+SELECT CAST(count(*) + count_if(event_type = 'purchase') AS BIGINT) AS append_rows,
        count(*) AS pk_rows, count(*) AS distinct_ids,
        CAST(0 AS BIGINT) AS missing_in_pk, CAST(0 AS BIGINT) AS missing_in_append,
-       count_if(event_type = 'purchase') AS duplicate_rows
+       CAST(count_if(event_type = 'purchase') AS BIGINT) AS duplicate_rows
 FROM transactions"""))
 def reconcile_pipelines(spark, sf_dir):
     """Append table vs primary-key table of the same at-least-once feed."""
