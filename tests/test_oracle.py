@@ -16,10 +16,23 @@ def con():
     return duck(SF_SMALL)
 
 
+def duck_type(t):
+    from pyspark.sql import types as T
+    simple = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE",
+              T.StringType: "VARCHAR", T.TimestampNTZType: "TIMESTAMP", T.DateType: "DATE"}
+    if isinstance(t, T.DecimalType):
+        return f"DECIMAL({t.precision},{t.scale})"
+    return simple.get(type(t), str(t))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, con, name):
-    msg = compare(QUERIES[name](spark, SF_SMALL), con, ORACLES[name])
+    df = QUERIES[name](spark, SF_SMALL)
+    msg = compare(df, con, ORACLES[name])
     assert msg is None, msg
+    spark_types = {f.name: duck_type(f.dataType) for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {ORACLES[name]}").fetchall()}
+    assert spark_types == duck_types
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
