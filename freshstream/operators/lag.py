@@ -10,19 +10,26 @@ Live, these tables are appended by a ``StreamingQueryListener`` (see
 ``streaming.listener``).  In replays they are derived from the event table
 with deterministic rules (below), so every measurement has an exact oracle.
 
-Scale: events are first reduced to one row per (series, minute) with a
-partial aggregate; running maxima / counts over time are then two-level
-scans (``operators.scan``): within (series, day) groups, plus a carry over
-one row per (series, day) - no task holds the whole time axis.
+Scale: the events are scanned once and reduced to one row per ingest
+*slice* (partial aggregate).  A slice is as wide as every configured delay
+allows - the greatest common divisor of the delays and the one-minute tick -
+so a slice lands in exactly one tick for every delay, and the fan-out to
+the measured series is applied to slices, not events.  Running maxima /
+counts over time are then two-level scans (``operators.scan``): within
+(series, day) groups, plus a carry over one row per (series, day) - no task
+holds the whole time axis.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import lag_ms, minute_start
-from .scan import running, suffix_min_from
+from .scan import running, running_many, suffix_min_from
+from ..session import materialize
 from ..schema import HISTOGRAM_BOUNDS, TOPIC_PARTITIONS
 
 # Replay rules (fixed): result delay of each measured system / query, ms.
@@ -39,33 +46,52 @@ def _series():
                      for s, sd in SYSTEM_DELAY_MS.items() for q, qd in QUERY_DELAY_MS.items()])
 
 
+TICK_MS = 60000
+
+
 def _tick(ts):
     """The probe tick that first sees ``ts``: the end of its minute."""
     return minute_start(ts) + F.expr("INTERVAL 1 MINUTE")
 
 
+def slice_ms(*delays_ms: int) -> int:
+    """Widest slice of ingest time that falls into one tick for every delay:
+    slice starts, delays and tick starts are all multiples of it, so
+    ``tick(t + d) == tick(slice_start(t) + d)`` for every ``t`` in a slice."""
+    return math.gcd(TICK_MS, *delays_ms)
+
+
+def _slice_start(ts: Column, width_ms: int) -> Column:
+    w_us = width_ms * 1000
+    return F.timestamp_micros(F.floor(F.unix_micros(ts) / F.lit(w_us)).cast("long") * F.lit(w_us))
+
+
 def probe_ticks(txn: DataFrame) -> DataFrame:
     """One row per (system, query, tick) at which the result changed.
 
     producer_max_et: newest event produced by the tick; result_max_et: newest
     event visible in the system's result (visible = ingest + delay)."""
-    per_row = txn.select("event_time", "ingest_time", F.explode(_series()).alias("s"))
-    seen = per_row.select(
-        "s.system", "s.query",
-        _tick(F.timestamp_add("MILLISECOND", F.col("s.delay_ms"), F.col("ingest_time")))
-        .alias("tick_time"),
-        F.lit("R").alias("kind"), "event_time")
-    produced = per_row.select(
-        "s.system", "s.query", _tick(F.col("ingest_time")).alias("tick_time"),
-        F.lit("P").alias("kind"), "event_time")
-    minute = (seen.unionByName(produced)
-              .groupBy("system", "query", "tick_time", "kind")
+    delays = [sd + qd for sd in SYSTEM_DELAY_MS.values() for qd in QUERY_DELAY_MS.values()]
+    width = slice_ms(*delays)
+    slices = (txn.groupBy(_slice_start(F.col("ingest_time"), width).alias("_s"))
               .agg(F.max("event_time").alias("et"), F.count(F.lit(1)).alias("n")))
-    keys = ["system", "query"]
-    ran = running(minute, keys, "tick_time", F.when(F.col("kind") == "P", F.col("et")),
-                  "producer_max_et", "max")
-    ran = running(ran, keys, "tick_time", F.when(F.col("kind") == "R", F.col("et")),
-                  "result_max_et", "max")
+    per_series = slices.select("_s", "et", "n", F.explode(_series()).alias("s"))
+    both = per_series.select(
+        "s.system", "s.query", "et", "n",
+        F.explode(F.array(
+            F.struct(F.lit("R").alias("kind"),
+                     _tick(F.timestamp_add("MILLISECOND", F.col("s.delay_ms"), F.col("_s")))
+                     .alias("tick_time")),
+            F.struct(F.lit("P").alias("kind"), _tick(F.col("_s")).alias("tick_time")))
+        ).alias("k"))
+    minute = (both.groupBy("system", "query", F.col("k.tick_time").alias("tick_time"),
+                           F.col("k.kind").alias("kind"))
+              .agg(F.max("et").alias("et"), F.sum("n").alias("n")))
+    # small (series x ticks); written once so the events are scanned once
+    minute = materialize(minute)
+    ran = running_many(minute, ["system", "query"], "tick_time", [
+        ("producer_max_et", F.when(F.col("kind") == "P", F.col("et")), "max"),
+        ("result_max_et", F.when(F.col("kind") == "R", F.col("et")), "max")])
     return (ran.where(F.col("kind") == "R")
             .select("tick_time", "system", "query", "producer_max_et", "result_max_et",
                     (F.col("n") / F.lit(1000.0)).alias("duration_s")))
@@ -96,7 +122,7 @@ def freshness_series(txn: DataFrame) -> DataFrame:
     """Q3 evaluated at every 1-minute tick: newest event seen by the tick."""
     per_min = (txn.groupBy(_tick(F.col("ingest_time")).alias("tick_time"))
                .agg(F.max("event_time").alias("et")))
-    return (running(per_min, [], "tick_time", F.col("et"), "newest_event_time", "max")
+    return (running(materialize(per_min), [], "tick_time", F.col("et"), "newest_event_time", "max")
             .select("tick_time", "newest_event_time")
             .withColumn("freshness_lag_ms",
                         lag_ms(F.col("newest_event_time"), F.col("tick_time"))))
@@ -106,16 +132,20 @@ def offset_log(txn: DataFrame) -> DataFrame:
     """Per topic partition and tick: log end offset and the consumer group's
     committed offset (messages consumed = ingest + consumer delay)."""
     part = F.pmod(F.col("user_id"), F.lit(TOPIC_PARTITIONS)).cast("int")
-    produced = txn.select(part.alias("partition"), _tick(F.col("ingest_time")).alias("t"),
-                          F.lit(1).alias("p"), F.lit(0).alias("c"))
-    consumed = txn.select(part.alias("partition"),
-                          _tick(F.timestamp_add("MILLISECOND", F.lit(CONSUMER_DELAY_MS),
-                                                F.col("ingest_time"))).alias("t"),
-                          F.lit(0).alias("p"), F.lit(1).alias("c"))
-    per_min = (produced.unionByName(consumed).groupBy("partition", "t")
-               .agg(F.sum("p").alias("p"), F.sum("c").alias("c")))
-    ran = running(per_min, ["partition"], "t", F.col("p"), "end_offset", "sum")
-    ran = running(ran, ["partition"], "t", F.col("c"), "committed_offset", "sum")
+    width = slice_ms(CONSUMER_DELAY_MS)
+    slices = (txn.groupBy(part.alias("partition"),
+                          _slice_start(F.col("ingest_time"), width).alias("_s"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    both = slices.select("partition", F.explode(F.array(
+        F.struct(_tick(F.col("_s")).alias("t"), F.col("n").alias("p"),
+                 F.lit(0).cast("long").alias("c")),
+        F.struct(_tick(F.timestamp_add("MILLISECOND", F.lit(CONSUMER_DELAY_MS), F.col("_s")))
+                 .alias("t"), F.lit(0).cast("long").alias("p"), F.col("n").alias("c"))
+    )).alias("o"))
+    per_min = (both.groupBy("partition", F.col("o.t").alias("t"))
+               .agg(F.sum("o.p").alias("p"), F.sum("o.c").alias("c")))
+    ran = running_many(materialize(per_min), ["partition"], "t", [
+        ("end_offset", F.col("p"), "sum"), ("committed_offset", F.col("c"), "sum")])
     return ran.select(
         F.col("t").alias("observed_at"), F.lit(CONSUMER_GROUP).alias("group_id"),
         F.lit(TOPIC).alias("topic"), "partition", "end_offset", "committed_offset")
@@ -171,6 +201,8 @@ def window_finalization(txn: DataFrame, delay_minutes: int = 1) -> DataFrame:
     per_min = (txn.groupBy(minute_start(F.col("event_time")).alias("m"))
                .agg(F.min("ingest_time").alias("first_ingest"),
                     F.max("event_time").alias("max_event_time")))
+    # one row per minute, read three times below: written once
+    per_min = materialize(per_min)
     points = per_min.select(
         F.col("m").alias("window_start"),
         (F.col("m") + F.expr("INTERVAL 1 MINUTE")).alias("window_end"), "max_event_time",

@@ -22,23 +22,42 @@ _COMBINE = {"max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: a + b),
             "min": (F.min, F.least)}
 
 
-def running(df: DataFrame, keys: list[str], time_col: str, value: Column, out: str,
-            fn: str = "max", inclusive_peers: bool = True) -> DataFrame:
-    """Add ``out`` = fn(value) over all rows of the same ``keys`` with
-    time <= this row's time (peers included) - computed in day groups."""
-    agg, comb = _COMBINE[fn]
+def running_many(df: DataFrame, keys: list[str], time_col: str,
+                 specs: list[tuple[str, Column, str]], inclusive_peers: bool = True) -> DataFrame:
+    """Add one column per ``(out, value, fn)`` spec: fn(value) over all rows of
+    the same ``keys`` with time <= this row's time (peers included) -
+    computed in day groups.  All specs share one pass: one window within
+    (keys, day), one day total, one carry window, one join."""
     day = F.date_trunc("day", F.col(time_col))
-    d = df.withColumn("_day", day).withColumn("_v", value)
+    d = df.withColumn("_day", day)
+    for i, (_, value, _fn) in enumerate(specs):
+        d = d.withColumn(f"_v{i}", value)
     frame = Window.partitionBy(*keys, "_day").orderBy(time_col)
     frame = (frame.rangeBetween(Window.unboundedPreceding, Window.currentRow) if inclusive_peers
              else frame.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = d.withColumn("_in", agg("_v").over(frame))
-    days = d.groupBy(*keys, "_day").agg(agg("_v").alias("_tot"))
+    inner = d.select("*", *[_COMBINE[fn][0](f"_v{i}").over(frame).alias(f"_in{i}")
+                            for i, (_, _v, fn) in enumerate(specs)])
+    days = d.groupBy(*keys, "_day").agg(*[_COMBINE[fn][0](f"_v{i}").alias(f"_tot{i}")
+                                          for i, (_, _v, fn) in enumerate(specs)])
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carry = days.select(*keys, "_day", agg("_tot").over(before).alias("_carry"))
+    carry = days.select(*keys, "_day", *[_COMBINE[fn][0](f"_tot{i}").over(before)
+                                         .alias(f"_carry{i}")
+                                         for i, (_, _v, fn) in enumerate(specs)])
     j = inner.join(carry, [*keys, "_day"], "left")
-    res = F.when(F.col("_carry").isNull(), F.col("_in")).otherwise(comb(F.col("_in"), F.col("_carry")))
-    return j.withColumn(out, res).drop("_day", "_v", "_in", "_carry")
+    tmp = ["_day"]
+    for i, (out, _v, fn) in enumerate(specs):
+        comb = _COMBINE[fn][1]
+        j = j.withColumn(out, F.when(F.col(f"_carry{i}").isNull(), F.col(f"_in{i}"))
+                         .otherwise(comb(F.col(f"_in{i}"), F.col(f"_carry{i}"))))
+        tmp += [f"_v{i}", f"_in{i}", f"_carry{i}"]
+    return j.drop(*tmp)
+
+
+def running(df: DataFrame, keys: list[str], time_col: str, value: Column, out: str,
+            fn: str = "max", inclusive_peers: bool = True) -> DataFrame:
+    """Add ``out`` = fn(value) over all rows of the same ``keys`` with
+    time <= this row's time (peers included) - computed in day groups."""
+    return running_many(df, keys, time_col, [(out, value, fn)], inclusive_peers)
 
 
 def suffix_min_from(points: DataFrame, point_col: str, data: DataFrame, time_col: str,

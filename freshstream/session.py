@@ -83,6 +83,16 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def materialize(df):
+    """Cut lineage: write ``df`` once under ``spark.checkpoint.dir`` (a
+    reliable checkpoint on the shared file system, so a lost executor does
+    not lose it) and continue from the written files.  Used for small
+    intermediate tables that a plan reads more than once, so their (large)
+    input is scanned once."""
+    work_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, unique (not yet existing) path under the work root; never
     reused across runs, so no run ever overwrites another's output."""
