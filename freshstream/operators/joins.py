@@ -1,23 +1,57 @@
 """Enrichment joins: events -> customer -> nation -> region.
 
-Broadcast only behind a size check: ``bounded_broadcast`` counts the
-dimension (a footer-only Parquet job) and hints broadcast when it is within
-``max_rows``; otherwise the join is left to the planner (sort-merge with AQE
-skew splitting, or AQE's own runtime broadcast when the measured size is
-small).  nation / region are fixed-size TPC-H dimensions (25 / 5 rows) but
-still go through the same check.
+Broadcast only behind a size check: ``bounded_broadcast`` measures the
+dimension - rows and bytes, in one aggregate over exactly the columns that
+will be shipped - and hints broadcast only when both are within bounds;
+otherwise the join is left to the planner (sort-merge with AQE skew
+splitting, or AQE's own runtime broadcast when the measured size is small).
+nation / region are fixed-size TPC-H dimensions (25 / 5 rows) but still go
+through the same check.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 128 * 1024 * 1024
+# bytes of one row beyond its values (null bits, offsets, hash-table entry)
+ROW_OVERHEAD_BYTES = 16
 
 
-def bounded_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return F.broadcast(dim) if dim.count() <= max_rows else dim
+def _value_bytes(f: T.StructField) -> Column:
+    """Bytes a value of this column takes in a row (variable-length types
+    measured, fixed-width ones by their width)."""
+    if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) + F.lit(8)
+    if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.col(f.name))), F.lit(0)) + F.lit(8)
+    wide = isinstance(f.dataType, T.DecimalType) and f.dataType.precision > 18
+    return F.lit(16 if wide else 8)
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of ``df`` - one distributed aggregate, two numbers back."""
+    size = F.lit(ROW_OVERHEAD_BYTES)
+    for f in df.schema.fields:
+        size = size + _value_bytes(f)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    return int(r["n"]), int(r["b"] or 0)
+
+
+def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                   max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    rows, size = measure(dim)
+    return rows <= max_rows and size <= max_bytes
+
+
+def bounded_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(dim)`` when its measured rows and bytes are within bounds,
+    else ``dim`` unchanged (the planner picks a shuffle join)."""
+    return F.broadcast(dim) if fits_broadcast(dim, max_rows, max_bytes) else dim
 
 
 def geography(customer: DataFrame, nation: DataFrame, region: DataFrame,
@@ -75,7 +109,7 @@ def enrich(txn: DataFrame, customer: DataFrame, nation: DataFrame, region: DataF
     own rows); a stream keeps the stream-static shuffle join - apply
     ``skew_split_join`` per micro-batch in ``foreachBatch`` if users are hot."""
     geo = geography(customer, nation, region, max_rows)
-    if geo.count() <= max_rows:
+    if fits_broadcast(geo, max_rows):
         return (txn.join(F.broadcast(geo), txn["user_id"] == geo["c_custkey"], "left")
                 .drop("c_custkey"))
     if not txn.isStreaming:

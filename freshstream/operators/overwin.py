@@ -43,8 +43,12 @@ def over_range(txn: DataFrame, window_seconds: int = 300, bucket_seconds: int =
        bucket or the next one (found by looking up the next bucket's k).
     4. Frames are computed per (partition, bucket, sub-bucket); context rows
        are dropped.  Groups hold ~target_rows plus one window of context.
-    The plan table has one row per (partition, coarse bucket) and is
-    broadcast only when within ``max_plan_rows``."""
+    The plan table has one row per (partition, coarse bucket), carrying its
+    own ``k`` and the next bucket's; it comes from one aggregate over the
+    rows, is written once (so the size check and the join do not scan the
+    rows again) and is broadcast only when its measured size is within
+    bounds (``max_plan_rows``)."""
+    from ..session import materialize
     from .joins import bounded_broadcast
     w_us = window_seconds * MICROS_PER_SECOND
     b_us = bucket_seconds * MICROS_PER_SECOND
@@ -59,12 +63,18 @@ def over_range(txn: DataFrame, window_seconds: int = 300, bucket_seconds: int =
                     F.least(F.lit(max_k), F.greatest(
                         F.lit(1), F.ceil(F.col("_n") / F.lit(target_rows)))).cast("long")
                     .alias("_k")))
-    plan = bounded_broadcast(plan, max_plan_rows)
-    nxt = plan.select(F.col(partition_col).alias("_p1"), (F.col("_h") - 1).alias("_h0"),
-                      F.col("_k").alias("_k1"))
-    r = (rows.join(plan, [partition_col, "_h"], "inner")
-         .join(nxt, (F.col(partition_col) == F.col("_p1")) & (F.col("_h") == F.col("_h0")),
-               "left"))
+    # each bucket's k, and the same k as "next bucket" of the bucket before
+    roles = F.explode(F.array(
+        F.struct(F.col("_h").alias("h"), F.col("_k").alias("k"),
+                 F.lit(None).cast("long").alias("k1")),
+        F.struct((F.col("_h") - 1).alias("h"), F.lit(None).cast("long").alias("k"),
+                 F.col("_k").alias("k1"))))
+    plan = (plan.select(partition_col, roles.alias("_r"))
+            .groupBy(partition_col, F.col("_r.h").alias("_h"))
+            .agg(F.max("_r.k").alias("_k"), F.max("_r.k1").alias("_k1"))
+            .where(F.col("_k").isNotNull()))
+    plan = bounded_broadcast(materialize(plan), max_plan_rows)
+    r = rows.join(plan, [partition_col, "_h"], "inner")
     hs = F.col("_h") * F.lit(b_us)
     wid = F.ceil(F.lit(b_us) / F.col("_k")).cast("long")
     wid1 = F.ceil(F.lit(b_us) / F.col("_k1")).cast("long")

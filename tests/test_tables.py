@@ -1,6 +1,8 @@
 """Tiering, union read, compaction, upsert layout, retention, catalog, sizes."""
 
+import contextlib
 import datetime as dt
+import io
 
 import duckdb
 from pyspark.sql import functions as F
@@ -136,3 +138,21 @@ def test_skew_split_join_exact(spark):
     got = skew_split_join(left, right, "k", "rk", "left", max_rows=10)
     want = left.join(right, left["k"] == right["rk"], "left")
     assert _same(got.select("k", "v", "name"), want.select("k", "v", "name"))
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    """Few rows, wide values: the byte bound, not the row bound, refuses."""
+    from freshstream.operators.joins import bounded_broadcast, measure
+    narrow = spark.createDataFrame([(i, "x") for i in range(10)], "k INT, s STRING")
+    wide = spark.createDataFrame([(i, "x" * 10_000) for i in range(10)], "k INT, s STRING")
+    rows, size = measure(narrow)
+    assert rows == 10 and size == 10 * (16 + 8 + (1 + 8))
+    assert measure(wide)[1] > 100_000
+    probe = spark.range(10).withColumnRenamed("id", "k")
+    for dim, broadcast in ((narrow, True), (wide, False)):
+        j = probe.join(bounded_broadcast(dim, max_rows=100, max_bytes=50_000), "k")
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            j.explain("extended")
+        assert ("strategy=broadcast" in buf.getvalue()) == broadcast
+        assert j.count() == 10
