@@ -35,6 +35,15 @@ PRESETS = {
 
 DEFAULT_TIMEOUT_S = 600
 
+# State of every query started here: RocksDB (large state off the JVM heap;
+# required by transformWithState) with changelog checkpointing - applied even
+# when the session was built by someone else.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def batch_writer(path: str, partition_by: list[str] | None = None,
                  extra: Callable[[DataFrame, int], None] | None = None):
@@ -66,15 +75,22 @@ def start(df: DataFrame, name: str, mode: str, sink: Callable[[DataFrame, int],
          .option("checkpointLocation", ckpt).trigger(**PRESETS[preset]["trigger"]))
     if query_name:
         w = w.queryName(query_name)
-    if state_partitions is None:
-        return w.start()
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
+    conf = dict(STATE_CONF)
+    if state_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(state_partitions)
+    # a query captures the session's settings when it starts (and records
+    # the state settings in its checkpoint): set them for the start only
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         return w.start()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", path: str | None = None,
