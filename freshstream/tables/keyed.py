@@ -115,10 +115,14 @@ def merge_union(df: DataFrame) -> DataFrame:
 
 
 def hash_bucket_layout(key: str, buckets: int) -> Callable[[DataFrame], DataFrame]:
-    """Hash-distributed layout: ``bucket = pmod(xxhash64(key), n)``, one
-    shuffle, rows of a key co-located and sorted (op 21)."""
+    """Hash-distributed layout: ``bucket = pmod(xxhash64(key), n)`` (op 21).
+
+    One shuffle, range-partitioned on (bucket, key) over the session's
+    partition count - not ``n`` tasks, which would put 1/n of the table in
+    each - so every output file holds a contiguous, sorted (bucket, key)
+    range: rows of a key are co-located and a bucket is a set of files."""
     def lay(df: DataFrame) -> DataFrame:
         b = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets))
-        return (df.withColumn("bucket", b).repartition(buckets, "bucket")
-                .sortWithinPartitions(key))
+        return (df.withColumn("bucket", b).repartitionByRange("bucket", key)
+                .sortWithinPartitions("bucket", key))
     return lay
