@@ -44,6 +44,12 @@ def per_key_summary(decoded: DataFrame) -> DataFrame:
 
 
 def keyed_layout(df: DataFrame, key: str = "user_id", parts: int | None = None) -> DataFrame:
-    """Keyed partitioning of events: co-locate each key and keep its order."""
-    d = df.repartition(parts, key) if parts else df.repartition(key)
-    return d.sortWithinPartitions(key, "event_time", "event_id")
+    """Keyed partitioning of events that keeps each key's order.
+
+    Range-partitioned on (key, event_time, event_id) and sorted: a key's
+    messages are contiguous and in order, within one partition or - for a
+    key too large for one - across adjacent ones, so a hot key is split
+    rather than written by a single task."""
+    cols = [key, "event_time", "event_id"]
+    d = df.repartitionByRange(parts, *cols) if parts else df.repartitionByRange(*cols)
+    return d.sortWithinPartitions(*cols)

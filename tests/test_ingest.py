@@ -6,6 +6,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
+from freshstream.schema import transactions
 from freshstream.sources import ingest as I
 from freshstream.tables import formats
 
@@ -90,3 +92,20 @@ def test_bulk_delimited_roundtrip(spark, workdir):
     formats.write_delimited(txn, path, sep=formats.BULK_SEP)
     back = formats.read_delimited(spark, path, sep=formats.BULK_SEP)
     assert back.exceptAll(txn).count() == 0 and txn.exceptAll(back).count() == 0
+
+
+def test_keyed_layout_keeps_order_and_splits_hot_key(spark):
+    from freshstream.operators.logs import keyed_layout
+    t = transactions(spark, SF_SMALL)
+    hot = t.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(7))
+                       .otherwise(F.col("user_id")))
+    rows = (keyed_layout(hot, parts=8).withColumn("p", F.spark_partition_id())
+            .select("user_id", "event_time", "event_id", "p").collect())
+    assert len(rows) == t.count()
+    seq = {}
+    for r in rows:
+        seq.setdefault(r.user_id, []).append((r.p, r.event_time, r.event_id))
+    for v in seq.values():
+        assert [x[1:] for x in v] == sorted(x[1:] for x in v)
+        assert [x[0] for x in v] == sorted(x[0] for x in v)
+    assert len({x[0] for x in seq[7]}) > 1
