@@ -31,6 +31,8 @@ PRESETS = {
     "throughput": {"trigger": {"processingTime": "30 seconds"},
                    "source": {"maxFilesPerTrigger": 1000, "maxOffsetsPerTrigger": 5_000_000}},
     "replay": {"trigger": {"availableNow": True}, "source": {}},
+    # next micro-batch as soon as the previous one ends (producer-paced replay)
+    "asap": {"trigger": {"processingTime": "0 seconds"}, "source": {}},
 }
 
 DEFAULT_TIMEOUT_S = 600
@@ -123,22 +125,40 @@ def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def replay(segments: list[DataFrame], log_path: str, build: Callable[[], DataFrame], name: str,
            mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None,
            state_partitions: int | None = None, first_seq: int = 0,
-           timeout_s: int = DEFAULT_TIMEOUT_S) -> str:
-    """Producer-style replay: append one chunk of the log, then advance the
-    stream (availableNow, same checkpoint) - one ordered micro-batch per
-    chunk, every chunk written in parallel.  ``build`` creates the streaming
-    DataFrame over ``log_path`` (called once the folder exists).  Returns the
+           timeout_s: int = DEFAULT_TIMEOUT_S, restart_each_chunk: bool = False) -> str:
+    """Producer-style replay: append one chunk of the log (written in
+    parallel by all tasks), let the stream consume it, append the next.
+
+    By default the query is started once and runs like a live consumer: after
+    each append, ``processAllAvailable`` waits until the chunk (and any
+    watermark-driven no-data batch) is committed, so every chunk is its own
+    ordered micro-batch.  ``restart_each_chunk`` instead advances the query
+    with ``availableNow`` per chunk on the same checkpoint - a stop and
+    recovery after every chunk.  ``build`` creates the streaming DataFrame
+    over ``log_path`` (called once the folder exists).  Returns the
     checkpoint, so a later call can continue the same query."""
     from ..sources.event_log import append_chunk
     if not segments:
         raise ValueError("nothing to replay")
     spark = segments[0].sparkSession
     ckpt = checkpoint or fresh_dir(spark, f"{name}-checkpoint")
-    df = None
+    append_chunk(segments[0], log_path, first_seq)
+    df = build()
+    if not restart_each_chunk:
+        q = start(df, name, mode, sink, "asap", ckpt, state_partitions=state_partitions)
+        try:
+            q.processAllAvailable()
+            for i, seg in enumerate(segments[1:], 1):
+                append_chunk(seg, log_path, first_seq + i)
+                q.processAllAvailable()
+        finally:
+            q.stop()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+        return ckpt
     for i, seg in enumerate(segments):
-        append_chunk(seg, log_path, first_seq + i)
-        if df is None:
-            df = build()
+        if i:
+            append_chunk(seg, log_path, first_seq + i)
         q = start(df, name, mode, sink, "replay", ckpt, state_partitions=state_partitions)
         if not q.awaitTermination(timeout_s):
             q.stop()

@@ -63,13 +63,15 @@ def test_independent_consumer_groups(spark, workdir):
     assert counts == [txn.count(), txn.count()]
 
 
-def test_watermark_drops_late_rows(spark, workdir):
+@pytest.mark.parametrize("restart_each_chunk", [False, True])
+def test_watermark_drops_late_rows(spark, workdir, restart_each_chunk):
     txn = transactions(spark, SF_SMALL)
     segs = (EL.segments(EL.records_from_transactions(txn.where(F.col("event_type") != "signup")), 3)
             + [EL.records_from_transactions(txn.where(F.col("event_type") == "signup"))])
     log = f"{workdir}/log"
     ckpt = runner.replay(segs, log, lambda: M.qa_windows(M.typed_stream(spark, log), "1 minute"),
-                         "wm", "append", runner.batch_writer(f"{workdir}/qa"))
+                         "wm", "append", runner.batch_writer(f"{workdir}/qa"),
+                         restart_each_chunk=restart_each_chunk)
     kept = spark.read.parquet(f"{workdir}/qa").agg(F.sum("event_count")).first()[0]
     # late rows are judged against the watermark of the batch before them;
     # windows are emitted once the final watermark passes their end
