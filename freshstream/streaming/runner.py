@@ -122,6 +122,28 @@ def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
         return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("int"))
 
 
+def _drain(q, name: str, timeout_s: int) -> None:
+    """``processAllAvailable`` with a deadline: the wait runs in a helper
+    thread; past ``timeout_s`` the query is stopped and TimeoutError raised."""
+    import threading
+    err: list[BaseException] = []
+
+    def wait():
+        try:
+            q.processAllAvailable()
+        except BaseException as e:  # noqa: BLE001 - re-raised below
+            err.append(e)
+
+    t = threading.Thread(target=wait, daemon=True)
+    t.start()
+    t.join(timeout_s)
+    if t.is_alive():
+        q.stop()
+        raise TimeoutError(f"stream {name} did not catch up in {timeout_s}s")
+    if err:
+        raise err[0]
+
+
 def replay(segments: list[DataFrame], log_path: str, build: Callable[[], DataFrame], name: str,
            mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None,
            state_partitions: int | None = None, first_seq: int = 0,
@@ -147,10 +169,10 @@ def replay(segments: list[DataFrame], log_path: str, build: Callable[[], DataFra
     if not restart_each_chunk:
         q = start(df, name, mode, sink, "asap", ckpt, state_partitions=state_partitions)
         try:
-            q.processAllAvailable()
+            _drain(q, name, timeout_s)
             for i, seg in enumerate(segments[1:], 1):
                 append_chunk(seg, log_path, first_seq + i)
-                q.processAllAvailable()
+                _drain(q, name, timeout_s)
         finally:
             q.stop()
         if q.exception() is not None:

@@ -163,3 +163,13 @@ def test_progress_listener_and_offset_log(spark, workdir):
     got = {(r["partition"], r["end_offset"], r["committed_offset"])
            for r in offset_log_from_progress(topic).collect()}
     assert got == {(0, 9, 5), (1, 7, 7)}
+
+
+def test_replay_deadline_stops_the_query(spark, workdir):
+    txn = transactions(spark, SF_SMALL)
+    segs = EL.segments(EL.records_from_transactions(txn), 2)
+    log = f"{workdir}/log"
+    with pytest.raises(TimeoutError):
+        runner.replay(segs, log, lambda: M.qb_running_total(M.typed_stream(spark, log)),
+                      "deadline", "update", runner.batch_writer(f"{workdir}/out"), timeout_s=0)
+    assert not spark.streams.active
