@@ -187,12 +187,24 @@ def _upsert_table(spark, sf_dir, name="pk"):
 def upsert_latest(spark, sf_dir):
     """Primary-key table on event_id, last write (by arrival) wins.
 
-    Written as append-only deltas; compacted into a hash-bucketed base
-    (8 buckets on event_id); newest row per key merged on read."""
-    path = _upsert_table(spark, sf_dir)
-    merge = K.merge_latest("event_id", ("batch_id", "offset"))
-    K.compact(spark, path, merge, K.hash_bucket_layout("event_id", 8))
-    pk = K.read_merged(spark, path, merge)
+    Written as append-only deltas.  Half-way through the feed a compaction
+    folds the deltas into a hash-bucketed base (8 buckets on event_id) while
+    the stream then continues on its checkpoint; the read is base + newer
+    deltas (``read_latest``: only the deltas are shuffled)."""
+    log, path = fresh_dir(spark, "log-pk"), fresh_dir(spark, "pk")
+    segs = feed(spark, sf_dir, "redelivered")
+
+    def build():
+        return M.typed_stream(spark, log, keep_position=True).drop("ingest_time")
+
+    half = len(segs) // 2
+    sink = runner.batch_writer(path)
+    ckpt = runner.replay(segs[:half], log, build, "pk", "append", sink)
+    K.compact(spark, path, K.merge_latest("event_id", ("batch_id", "offset")),
+              K.hash_bucket_layout("event_id", 8))
+    runner.replay(segs[half:], log, build, "pk", "append", sink, checkpoint=ckpt,
+                  first_seq=half)
+    pk = K.read_latest(spark, path, "event_id", ("batch_id", "offset"))
     return pk.select("event_id", "user_id", "amount", "region", "event_type", "event_time")
 
 

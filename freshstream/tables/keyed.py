@@ -75,6 +75,34 @@ def read_merged(spark: SparkSession, path: str, merge: Merge) -> DataFrame:
     return merge(df)
 
 
+def read_latest(spark: SparkSession, path: str, key: str,
+                order: tuple[str, ...] = ("batch_id", "offset")) -> DataFrame:
+    """Primary-key read without shuffling the table.
+
+    The compacted base holds one row per key, and every delta is newer than
+    it, so the answer is: the newest delta row per key (a shuffle of the
+    deltas only - small, bounded by the compaction interval) plus the base
+    rows whose key has no delta (an anti join against the delta keys,
+    broadcast when their measured size is within bounds; otherwise a
+    shuffle join).  Same rows as ``read_merged`` with ``merge_latest``."""
+    from ..operators.dedup import latest_per_key
+    from ..operators.joins import bounded_broadcast
+    upto = committed_upto(spark, path)
+    d = deltas(spark, path, upto)
+    if upto is None:
+        if d is None:
+            raise FileNotFoundError(f"no data under {path}")
+        return latest_per_key(d, key, list(order))
+    base = (spark.read.parquet(f"{path}/_base/upto={upto}")
+            .withColumn("batch_id", F.lit(upto).cast("int")))
+    if d is None:
+        return base
+    newest = latest_per_key(d, key, list(order))
+    changed = bounded_broadcast(newest.select(key))
+    rest = base.join(changed, key, "left_anti")
+    return rest.unionByName(newest, allowMissingColumns=True)
+
+
 def compact(spark: SparkSession, path: str, merge: Merge, layout: Callable[[DataFrame], DataFrame] | None = None) -> int | None:
     """Fold every delta up to the newest batch into a new base, then commit."""
     d = _read_or_none(spark, path)
