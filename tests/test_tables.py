@@ -187,5 +187,7 @@ def test_read_latest_equals_merge_across_base_and_deltas(spark, workdir):
     lines = plan.splitlines()
     base_scans = [i for i, line in enumerate(lines) if "FileScan" in line and "_base" in line]
     assert base_scans
-    for i in base_scans:   # the base scan's parent is the anti join itself
-        assert "LeftAnti" in lines[i - 1]
+    for i in base_scans:   # above the base scan: the anti join, no exchange
+        above = next(line for line in reversed(lines[:i])
+                     if "Join" in line or "Exchange" in line)
+        assert "LeftAnti" in above
