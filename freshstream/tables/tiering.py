@@ -125,8 +125,11 @@ def read_union(spark: SparkSession, root: str, primary_key: str | None = None,
     hot = read_hot(spark, root, last)
     if primary_key is None:
         return cold.unionByName(hot.drop("batch_id"), allowMissingColumns=True)
+    from ..operators.joins import bounded_broadcast
     h = latest_per_key(hot, primary_key, [c for c in order if c in hot.columns])
-    cold_only = cold.join(h.select(primary_key), primary_key, "left_anti")
+    # hot = rows since the last tiering epoch: small, so its keys are
+    # broadcast (size-checked) and the cold snapshot is not shuffled
+    cold_only = cold.join(bounded_broadcast(h.select(primary_key)), primary_key, "left_anti")
     return cold_only.unionByName(h.drop("batch_id"), allowMissingColumns=True)
 
 
