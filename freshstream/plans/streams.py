@@ -201,7 +201,8 @@ def upsert_latest(spark, sf_dir):
     sink = runner.batch_writer(path)
     ckpt = runner.replay(segs[:half], log, build, "pk", "append", sink)
     K.compact(spark, path, K.merge_latest("event_id", ("batch_id", "offset")),
-              K.hash_bucket_layout("event_id", 8))
+              K.hash_bucket_layout("event_id", 8),
+              reader=lambda sp, p: K.read_latest(sp, p, "event_id", ("batch_id", "offset")))
     runner.replay(segs[half:], log, build, "pk", "append", sink, checkpoint=ckpt,
                   first_seq=half)
     pk = K.read_latest(spark, path, "event_id", ("batch_id", "offset"))

@@ -103,13 +103,20 @@ def read_latest(spark: SparkSession, path: str, key: str,
     return rest.unionByName(newest, allowMissingColumns=True)
 
 
-def compact(spark: SparkSession, path: str, merge: Merge, layout: Callable[[DataFrame], DataFrame] | None = None) -> int | None:
-    """Fold every delta up to the newest batch into a new base, then commit."""
+def compact(spark: SparkSession, path: str, merge: Merge,
+            layout: Callable[[DataFrame], DataFrame] | None = None,
+            reader: Callable[[SparkSession, str], DataFrame] | None = None) -> int | None:
+    """Fold every delta up to the newest batch into a new base, then commit.
+
+    ``reader`` replaces the generic merge read - e.g. ``read_latest`` for a
+    primary-key table, so the old base is not shuffled by the merge (only by
+    ``layout``, once)."""
     d = _read_or_none(spark, path)
     if d is None:
         return None
     upto = d.agg(F.max("batch_id").alias("m")).first()["m"]
-    merged = read_merged(spark, path, merge).drop("batch_id")
+    current = reader(spark, path) if reader is not None else read_merged(spark, path, merge)
+    merged = current.drop("batch_id")
     if layout is not None:
         merged = layout(merged)
     merged.write.mode("overwrite").parquet(f"{path}/_base/upto={upto}")

@@ -177,6 +177,10 @@ def test_read_latest_equals_merge_across_base_and_deltas(spark, workdir):
     amounts = {r["event_id"]: r["amount"] for r in got.collect()}
     assert amounts["e5"] == 1005 and amounts["e3"] == -3 and amounts["e7"] == 77
     assert amounts["e1"] == 1 and amounts["new"] == 1 and len(amounts) == 101
+    # a second compaction through the same reader keeps the answer
+    K.compact(spark, workdir, merge, K.hash_bucket_layout("event_id", 8),
+              reader=lambda sp, p: K.read_latest(sp, p, "event_id"))
+    assert _same(K.read_latest(spark, workdir, "event_id").select(*cols), want)
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         got.explain()
