@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_semantics
+from ..session import ensure_semantics, fresh_dir
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,26 @@ def op9(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query("op5_token_files")
+def op5(spark, sf_dir):
+    from . import tokenfiles
+    docs = tokenfiles.in_document_order(table(spark, sf_dir, "documents"))
+    out = tokenfiles.write(docs, fresh_dir(spark, "token-files"), vocabulary("byte_bpe_50k.json"),
+                           end_id=0, dtype="<u2")
+    return tokenfiles.read(spark, out, "<u2").select(
+        "doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+@query("op4_separator_scan")
+def op4(spark, sf_dir):
+    """Token counts of all documents, scanned from flat files without an
+    index.  The separator is an id outside the vocabulary (65280)."""
+    from . import separators, tokenfiles
+    from .common import texts
+    out = tokenfiles.write(texts(table(spark, sf_dir, "documents")), fresh_dir(spark, "flat-tokens"),
+                           vocabulary("byte_bpe_50k.json"), end_id=0xFF00, dtype=">u2", specials_are_text=True)
+    counts = separators.count(spark, out, end_id=0xFF00, dtype=">u2")
+    return (counts.join(separators.document_ids(spark, out), ["part", "doc_in_part"])
+            .select("doc_id", (F.col("n_tokens") - 1).alias("n_tokens")))
