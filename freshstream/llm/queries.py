@@ -66,3 +66,9 @@ def op4(spark, sf_dir):
     counts = separators.count(spark, out, end_id=0xFF00, dtype=">u2")
     return (counts.join(separators.document_ids(spark, out), ["part", "doc_in_part"])
             .select("doc_id", (F.col("n_tokens") - 1).alias("n_tokens")))
+
+
+@query("op2_quartile_digest")
+def op2(spark, sf_dir):
+    from .fingerprint import with_successor
+    return with_successor(table(spark, sf_dir, "documents"))
