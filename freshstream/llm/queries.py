@@ -72,3 +72,25 @@ def op4(spark, sf_dir):
 def op2(spark, sf_dir):
     from .fingerprint import with_successor
     return with_successor(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pu_quality")
+def op10(spark, sf_dir):
+    from . import quality
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    return (docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
+                        quality.score_column(model, F.col("text")).alias("score"))
+            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+
+
+@query("op6_temperature_mix")
+def op6(spark, sf_dir):
+    """Every row of the mix: doc_id, source, its tokens, the pass and place in
+    which it is drawn, and its source's weight."""
+    from .mixing import mix, token_count
+    rows = mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"),
+                       F.col("_pass").alias("pass"), F.col("_order").alias("place"),
+                       F.col("_weight").alias("weight"))
