@@ -94,3 +94,9 @@ def op6(spark, sf_dir):
     return rows.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"),
                        F.col("_pass").alias("pass"), F.col("_order").alias("place"),
                        F.col("_weight").alias("weight"))
+
+
+@query("op8_backoff_automaton")
+def op8(spark, sf_dir):
+    from .backoff_lm import score
+    return score(table(spark, sf_dir, "documents"))
