@@ -100,3 +100,9 @@ def op6(spark, sf_dir):
 def op8(spark, sf_dir):
     from .backoff_lm import score
     return score(table(spark, sf_dir, "documents"))
+
+
+@query("op1_ngram_jaccard")
+def op1(spark, sf_dir):
+    from .ngram_join import join
+    return join(table(spark, sf_dir, "documents"), words=4, percent=85)
