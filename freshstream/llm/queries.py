@@ -106,3 +106,9 @@ def op8(spark, sf_dir):
 def op1(spark, sf_dir):
     from .ngram_join import join
     return join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query("op7_pruned_graph")
+def op7(spark, sf_dir):
+    from .vector_graph import links
+    return links(table(spark, sf_dir, "embeddings"), cosine=0.9)
