@@ -112,3 +112,10 @@ def op1(spark, sf_dir):
 def op7(spark, sf_dir):
     from .vector_graph import links
     return links(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@query("op3_pii_boosting")
+def op3(spark, sf_dir):
+    from .pii import KINDS, find
+    out = find(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.col("base"), 256).alias("base_sha256"), "spans")
