@@ -4,13 +4,14 @@
 ``RANGE BETWEEN INTERVAL 5 MINUTE PRECEDING AND CURRENT ROW`` (peers with
 equal time included), partitioned by region.
 
-A plain ``Window.partitionBy("region")`` would put a whole region - possibly
-a third of all rows - into one task.  Instead rows are split into
-``(region, time bucket, sub-bucket)`` groups, with dense buckets cut finer
-(see ``over_range``).  A row also serves as *context* for each later group
-whose start lies within the window after it; context rows take part in the
-frames but are not emitted.  The result is exact, and a group holds a
-bounded number of rows plus one window's worth of context.
+A sliding frame recomputes its aggregate for every row, so its cost is rows
+times frame.  Here a frame is the difference of two running totals instead:
+all rows up to ``t`` minus all rows before ``t - 5 min``.  Every event asks for
+both, as itself and as a marker at ``t - 5 min``; running totals grow by one
+row at a time, so the cost is linear however dense a frame is.  The time axis
+is cut into one-second slices: a running total is the slice's own (one group
+per region and second) plus a carry, scanned in two levels over slice sums, so
+neither a hot region nor a dense 5 minutes is one task's work.
 
 ``hopping`` - the built-in alternative: 5-minute windows sliding every 10 s.
 Rows are first combined per (region, 10 s slice) - a map-side partial
@@ -24,85 +25,67 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS_PER_SECOND = 1_000_000
+SLICES_PER_STRETCH = 3600
 
 
-def over_range(txn: DataFrame, window_seconds: int = 300, bucket_seconds: int = 3600,
-               partition_col: str = "region", time_col: str = "event_time",
-               keep: tuple[str, ...] = ("event_id",), target_rows: int = 4_000_000,
-               max_plan_rows: int = 5_000_000, min_sub_seconds: int | None = None) -> DataFrame:
-    """Exact RANGE frame per event, computed in bounded groups.
+def over_range(txn: DataFrame, window_seconds: int = 300, partition_col: str = "region",
+               time_col: str = "event_time", keep: tuple[str, ...] = ("event_id",),
+               slice_micros: int = MICROS_PER_SECOND) -> DataFrame:
+    """Exact RANGE frame per event from running totals.
 
-    1. Count rows per (partition, coarse bucket) - a partial aggregate.
-    2. A bucket holding more than ``target_rows`` is cut into ``k`` equal
-       sub-buckets (k = ceil(n / target_rows)), no narrower than
-       ``min_sub_seconds`` (default: the window, so a row is context for at
-       most one later group - at most 2x rows; narrower sub-buckets bound the
-       group size further at the price of window/width copies).
-    3. Each row goes to its own sub-bucket, and as *context* to every
-       sub-bucket starting within the window after it - in its own coarse
-       bucket or the next one (found by looking up the next bucket's k).
-    4. Frames are computed per (partition, bucket, sub-bucket); context rows
-       are dropped.  Groups hold ~target_rows plus one window of context.
-    The plan table has one row per (partition, coarse bucket), carrying its
-    own ``k`` and the next bucket's; it comes from one aggregate over the
-    rows, is written once (so the size check and the join do not scan the
-    rows again) and is broadcast only when its measured size is within
-    bounds (``max_plan_rows``)."""
-    from ..session import materialize
-    from .joins import bounded_broadcast
-    w_us = window_seconds * MICROS_PER_SECOND
-    b_us = bucket_seconds * MICROS_PER_SECOND
-    if bucket_seconds <= window_seconds:
-        raise ValueError("bucket width must exceed the window width")
+    NULL regions are one partition; rows with NULL time are each other's frame
+    (as in SQL, where NULLs are peers); a frame without any amount has a NULL
+    total."""
+    payload = F.struct(*keep, partition_col, time_col)
     t = F.unix_micros(F.col(time_col))
-    rows = txn.select(*keep, partition_col, time_col, "amount", t.alias("_t"),
-                      F.floor(t / F.lit(b_us)).cast("long").alias("_h"))
-    max_k = bucket_seconds // (min_sub_seconds or window_seconds)
-    plan = (rows.groupBy(partition_col, "_h").agg(F.count(F.lit(1)).alias("_n"))
-            .select(partition_col, "_h",
-                    F.least(F.lit(max_k), F.greatest(
-                        F.lit(1), F.ceil(F.col("_n") / F.lit(target_rows)))).cast("long")
-                    .alias("_k")))
-    # each bucket's k, and the same k as "next bucket" of the bucket before
-    roles = F.explode(F.array(
-        F.struct(F.col("_h").alias("h"), F.col("_k").alias("k"),
-                 F.lit(None).cast("long").alias("k1")),
-        F.struct((F.col("_h") - 1).alias("h"), F.lit(None).cast("long").alias("k"),
-                 F.col("_k").alias("k1"))))
-    plan = (plan.select(partition_col, roles.alias("_r"))
-            .groupBy(partition_col, F.col("_r.h").alias("_h"))
-            .agg(F.max("_r.k").alias("_k"), F.max("_r.k1").alias("_k1"))
-            .where(F.col("_k").isNotNull()))
-    plan = bounded_broadcast(materialize(plan), max_plan_rows)
-    r = rows.join(plan, [partition_col, "_h"], "inner")
-    hs = F.col("_h") * F.lit(b_us)
-    wid = F.ceil(F.lit(b_us) / F.col("_k")).cast("long")
-    wid1 = F.ceil(F.lit(b_us) / F.col("_k1")).cast("long")
-    sub = F.floor((F.col("_t") - hs) / wid).cast("long")
-    reach = F.col("_t") + F.lit(w_us)
-    same_hi = F.least(F.col("_k") - 1, F.floor((reach - hs) / wid).cast("long"))
-    next_hi = F.least(F.col("_k1") - 1,
-                      F.floor((reach - hs - F.lit(b_us)) / wid1).cast("long"))
-    empty = F.array().cast("array<struct<h:bigint,s:bigint>>")
-
-    def targets(h, lo, hi):
-        return F.transform(F.sequence(lo, hi), lambda x: F.struct(h.alias("h"), x.alias("s")))
-
-    same = F.when(same_hi >= sub + 1, targets(F.col("_h"), sub + 1, same_hi)).otherwise(empty)
-    later = F.when(F.col("_k1").isNotNull() & (reach >= hs + F.lit(b_us)),
-                   targets(F.col("_h") + 1, F.lit(0).cast("long"), next_hi)).otherwise(empty)
-    own = F.array(F.struct(F.col("_h").alias("h"), sub.alias("s")))
-    spread = (r.withColumn("_own_s", sub)
-              .withColumn("_b", F.explode(F.concat(own, same, later))))
-    w = (Window.partitionBy(partition_col, "_b.h", "_b.s").orderBy("_t")
-         .rangeBetween(-w_us, Window.currentRow))
-    framed = spread.select(
-        *keep, partition_col, time_col, "_b", "_h", "_own_s",
-        F.count("event_id").over(w).alias("event_count"),
-        F.sum("amount").over(w).cast("decimal(22,2)").alias("total_amount"),
-        F.max(time_col).over(w).alias("max_event_time"))
-    return (framed.where((F.col("_b.h") == F.col("_h")) & (F.col("_b.s") == F.col("_own_s")))
-            .drop("_b", "_h", "_own_s"))
+    rows = txn.select(F.monotonically_increasing_id().alias("_u"), payload.alias("_row"),
+                      F.coalesce(F.concat(F.lit("="), F.col(partition_col).cast("string")),
+                                 F.lit("NULL")).alias("_p"),
+                      t.alias("_t"), F.col("event_id").isNotNull().cast("long").alias("_c"),
+                      F.col("amount").cast("decimal(22,2)").alias("_a"))
+    timed = rows.where(F.col("_t").isNotNull())
+    # the event itself (counts, sign +) and its marker (does not count, sign -)
+    asks = F.explode(F.array(
+        F.struct(F.col("_t").alias("q"), F.lit(1).alias("role")),
+        F.struct((F.col("_t") - F.lit(window_seconds * MICROS_PER_SECOND)).alias("q"),
+                 F.lit(0).alias("role"))))
+    e = timed.withColumn("_ask", asks).select(
+        "_u", "_p", F.col("_ask.q").alias("_q"), F.col("_ask.role").alias("_role"),
+        F.floor(F.col("_ask.q") / F.lit(slice_micros)).cast("long").alias("_s"),
+        *[F.when(F.col("_ask.role") == 1, F.col(c)).alias(c) for c in ("_row", "_c", "_a")])
+    # totals of all slices before a slice
+    totals = [F.sum("_c").alias("c"), F.sum("_a").alias("a"), F.count("_a").alias("n")]
+    slices = e.groupBy("_p", "_s").agg(*totals).withColumn(
+        "_h", F.floor(F.col("_s") / F.lit(SLICES_PER_STRETCH)))
+    before = (Window.unboundedPreceding, -1)
+    names = ("c", "a", "n")
+    stretches = slices.groupBy("_p", "_h").agg(*[F.sum(x).alias(x) for x in names])
+    over_h = Window.partitionBy("_p").orderBy("_h").rowsBetween(*before)
+    over_s = Window.partitionBy("_p", "_h").orderBy("_s").rowsBetween(*before)
+    zero = F.lit(0).cast("decimal(22,2)")
+    stretches = stretches.select("_p", "_h", *[F.coalesce(F.sum(x).over(over_h), zero).alias(f"h{x}")
+                                               for x in names])
+    carry = (slices.select("_p", "_s", "_h", *[F.coalesce(F.sum(x).over(over_s), zero).alias(f"s{x}")
+                                               for x in names])
+             .join(stretches, ["_p", "_h"])
+             .select("_p", "_s", *[(F.col(f"s{x}") + F.col(f"h{x}")).alias(x) for x in names]))
+    # inside a slice; at equal times markers come before events
+    own = (Window.partitionBy("_p", "_s").orderBy("_q", "_role")
+           .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    run = {"c": F.sum("_c").over(own), "a": F.sum("_a").over(own), "n": F.count("_a").over(own)}
+    e = e.select("_u", "_p", "_s", "_role", "_row", *[F.coalesce(v, zero).alias(f"r{k}") for k, v in run.items()])
+    e = e.join(carry, ["_p", "_s"])
+    sign = F.when(F.col("_role") == 1, F.lit(1)).otherwise(F.lit(-1))
+    out = e.groupBy("_u").agg(F.max("_row").alias("_row"),
+                              *[F.sum((F.col(f"r{x}") + F.col(x)) * sign).alias(x) for x in names])
+    framed = out.select("_row.*", F.col("c").cast("long").alias("event_count"),
+                        F.when(F.col("n") > 0, F.col("a").cast("decimal(22,2)")).alias("total_amount"))
+    framed = framed.withColumn("max_event_time", F.col(time_col))
+    untimed = rows.where(F.col("_t").isNull())
+    peers = untimed.groupBy("_p").agg(F.sum("_c").alias("event_count"),
+                                      F.sum("_a").cast("decimal(22,2)").alias("total_amount"))
+    untimed = untimed.join(peers, "_p").select("_row.*", "event_count", "total_amount")
+    return framed.unionByName(untimed.withColumn("max_event_time", F.col(time_col)))
 
 
 def hopping(txn: DataFrame, size_seconds: int = 300, slide_seconds: int = 10,

@@ -38,22 +38,60 @@ def brute(rows, w=dt.timedelta(minutes=5)):
     return out
 
 
-@pytest.mark.parametrize("bucket_seconds,target_rows",
-                         [(301, 10**6), (900, 10**6), (3600, 10**6), (3600, 40), (3600, 7),
-                          (900, 1), (3600, 1)])
-@pytest.mark.parametrize("min_sub", [None, 1])
-def test_over_range_exact(spark, bucket_seconds, target_rows, min_sub):
-    """Exact for any bucket width, including dense buckets cut into
-    sub-buckets narrower than the window (target_rows small)."""
+@pytest.mark.parametrize("slice_micros,stretch", [(1_000_000, 3600), (1_000_000, 2), (7_000_000, 5),
+                                                   (3_600_000_000, 3600), (1_000, 100)])
+def test_over_range_exact(spark, monkeypatch, slice_micros, stretch):
+    """Exact for any slice width, wider or narrower than the frame."""
+    from freshstream.operators import overwin
+    monkeypatch.setattr(overwin, "SLICES_PER_STRETCH", stretch)
     rows = fixture_rows()
     df = spark.createDataFrame(rows, "event_id STRING, region STRING, event_time TIMESTAMP, "
                                      "amount DECIMAL(12,2)")
     got = {r["event_id"]: (r["event_count"], r["total_amount"], r["max_event_time"])
-           for r in over_range(df, bucket_seconds=bucket_seconds, target_rows=target_rows,
-                               min_sub_seconds=min_sub).collect()}
+           for r in over_range(df, slice_micros=slice_micros).collect()}
     assert got == brute(rows)
 
 
+def test_over_range_nulls_and_repeats(spark):
+    """NULL regions are one partition, NULL times peers of each other, NULL
+    amounts are skipped, repeated rows are counted and returned."""
+    t = lambda s: BASE + dt.timedelta(seconds=s)
+    rows = [("1", "a", t(0), None), ("2", "a", t(10), Decimal("2.00")), ("2", "a", t(10), Decimal("2.00")),
+            ("3", None, t(5), Decimal("1.00")), ("4", None, t(305), Decimal("1.50")), ("5", None, t(306), None),
+            ("6", "a", None, Decimal("7.00")), ("7", "a", None, Decimal("8.00")), ("8", None, None, None),
+            (None, "a", t(20), Decimal("4.00"))]
+    df = spark.createDataFrame(rows, "event_id STRING, region STRING, event_time TIMESTAMP, "
+                                     "amount DECIMAL(12,2)")
+    got = sorted((r.event_id or "-", r.event_count, r.total_amount, r.max_event_time)
+                 for r in over_range(df).collect())
+    D = Decimal
+    assert got == [("-", 3, D("8.00"), t(20)), ("1", 1, None, t(0)), ("2", 3, D("4.00"), t(10)),
+                   ("2", 3, D("4.00"), t(10)), ("3", 1, D("1.00"), t(5)), ("4", 2, D("2.50"), t(305)),
+                   ("5", 2, D("1.50"), t(306)), ("6", 2, D("15.00"), None), ("7", 2, D("15.00"), None),
+                   ("8", 1, None, None)]
+    assert over_range(df.limit(0)).count() == 0
+
+
+def test_over_range_is_linear_in_a_dense_frame(spark):
+    """All rows of one region inside one 5-minute frame: twice the rows take
+    about twice the time (a frame recomputed per row would take four times)."""
+    import time
+
+    def seconds(n):
+        df = spark.range(n).select(
+            F.col("id").cast("string").alias("event_id"), F.lit("a").alias("region"),
+            F.timestamp_micros(F.lit(1_700_000_100_000_000) + F.col("id") * F.lit(299_000_000 // n)).alias("event_time"),
+            F.lit(1).cast("decimal(12,2)").alias("amount"))
+        at = time.perf_counter()
+        top = over_range(df).agg(F.max("event_count").alias("c"), F.sum("event_count").alias("s")).first()
+        assert top.c == n and top.s == n * (n + 1) // 2
+        return time.perf_counter() - at
+
+    seconds(20_000)
+    small, large = seconds(250_000), seconds(500_000)
+    assert large < 3.2 * small + 2
+
+
 def test_hopping_equals_builtin_window(spark):
     rows = fixture_rows(300)
     df = spark.createDataFrame(rows, "event_id STRING, region STRING, event_time TIMESTAMP, "
@@ -75,7 +113,11 @@ def test_over_range_plan_splits_hot_region(spark):
     df = spark.createDataFrame(rows, "event_id STRING, region STRING, event_time TIMESTAMP, "
                                      "amount DECIMAL(12,2)")
     plan = over_range(df)._jdf.queryExecution().executedPlan().toString()
-    assert "_b.h" in plan or "_b" in plan  # partitioned by (region, bucket, sub), not region
+    # every window over rows is partitioned by (region, slice), never by region alone
+    assert "hashpartitioning(_p" in plan and "Window [" in plan
+    for line in plan.splitlines():
+        if "Window [" in line and "_q" in line:
+            assert "_s#" in line
 
 
 def test_two_level_scans_cross_midnight(spark):
