@@ -23,11 +23,14 @@ def _total(c="amount"):
 
 
 def regional_aggregate(txn: DataFrame) -> DataFrame:
-    """region, cnt, total, avg_amount (avg as DOUBLE = sum / count)."""
+    """region, cnt, total, avg_amount.  The average skips NULL amounts, as
+    AVG does: total / count(amount), NULL where a region has none."""
     return (txn.groupBy("region")
             .agg(F.count(F.lit(1)).alias("cnt"),
-                 _total().alias("total"))
-            .withColumn("avg_amount", F.col("total").cast("double") / F.col("cnt"))
+                 _total().alias("total"), F.count("amount").alias("_amounts"))
+            .select("region", "cnt", "total",
+                    F.when(F.col("_amounts") > 0, F.col("total").cast("double") / F.col("_amounts"))
+                    .alias("avg_amount"))
             .orderBy(F.desc("total"), F.asc("region")))
 
 

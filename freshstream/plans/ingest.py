@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.time import parse_event_time
 from ..operators import logs as L
-from ..operators.clock import replay_clock
+from ..operators.clock import MAX_DELAY, clock
 from ..schema import transactions
 from ..session import fresh_dir
 from ..sources import event_log as EL
 from ..sources import ingest as I
-from .registry import AS_OF_SQL, register, with_txn
+from .registry import AS_OF_SQL, DAMAGED_CTE, register, with_txn
 
 LOG_CTE = """log AS (
   SELECT CAST(user_id AS VARCHAR) AS key, CAST(user_id % 12 AS INTEGER) AS partition,
@@ -52,6 +52,32 @@ def malformed_split(spark, sf_dir):
                  F.sum("amount").cast("decimal(22,2)").alias("total_amount")))
 
 
+@register("q1_damaged", with_txn("""
+SELECT region, count(*) AS cnt, CAST(sum(amount) AS DECIMAL(22,2)) AS total,
+       CAST(sum(amount) AS DOUBLE) / count(amount) AS avg_amount
+FROM damaged GROUP BY region""", DAMAGED_CTE))
+def q1_damaged(spark, sf_dir):
+    """Q1 over the damaged feed: the average skips missing amounts."""
+    from ..operators.regional import regional_aggregate
+    good, _ = I.apply_policy(I.decode_json(_records(spark, sf_dir, dirty=True)), "drop")
+    return regional_aggregate(good)
+
+
+@register("qc_damaged", with_txn("""
+SELECT event_id, region, event_time,
+       count(event_id) OVER w AS event_count,
+       CAST(sum(amount) OVER w AS DECIMAL(22,2)) AS total_amount,
+       max(event_time) OVER w AS max_event_time
+FROM damaged
+WINDOW w AS (PARTITION BY region ORDER BY event_time
+             RANGE BETWEEN INTERVAL 5 MINUTE PRECEDING AND CURRENT ROW)""", DAMAGED_CTE))
+def qc_damaged(spark, sf_dir):
+    """Q-C per event over the damaged feed."""
+    from ..operators.overwin import over_range
+    good, _ = I.apply_policy(I.decode_json(_records(spark, sf_dir, dirty=True)), "drop")
+    return over_range(good)
+
+
 @register("json_paths", """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
        json_extract_string(props, '$.k') AS k_text
@@ -85,8 +111,9 @@ FROM log WHERE "timestamp" >= """ + AS_OF_SQL + """ - INTERVAL 7 DAY
 GROUP BY partition""", LOG_CTE))
 def scan_from_timestamp(spark, sf_dir):
     """Start position 'timestamp': replay from an instant (clock - 7 days)."""
-    recs = _records(spark, sf_dir)
-    start = replay_clock(transactions(spark, sf_dir)) - dt.timedelta(days=7)
+    start = clock(spark, sf_dir) - dt.timedelta(days=7)
+    # a record is appended within MAX_DELAY of its event: bound the scan, too
+    recs = EL.records_from_transactions(transactions(spark, sf_dir, since=start - MAX_DELAY))
     return (EL.from_timestamp(recs, start).groupBy("partition")
             .agg(F.count(F.lit(1)).alias("rows"), F.min("offset").alias("first_offset"),
                  F.max("offset").alias("last_offset")))

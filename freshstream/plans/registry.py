@@ -24,6 +24,13 @@ TXN_CTE = f"transactions AS ({TRANSACTIONS_SQL})"
 AS_OF_SQL = "(SELECT max(ingest_time) FROM transactions)"
 
 
+# What the damaged feed (``records_from_transactions(dirty=True)``) leaves.
+DAMAGED_CTE = """damaged AS (
+  SELECT event_id, user_id, CASE WHEN event_type = 'error' AND user_id % 5 = 2 THEN NULL ELSE amount END AS amount,
+         region, event_type, event_time, ingest_time
+  FROM transactions WHERE event_type <> 'error' OR user_id % 5 IN (2, 4))"""
+
+
 def with_txn(sql: str, *ctes: str) -> str:
     """Prefix ``sql`` with the transactions view (and extra CTEs)."""
     return "WITH " + ",\n".join([TXN_CTE, *ctes]) + "\n" + sql

@@ -7,8 +7,6 @@ under ``spark.checkpoint.dir``; it returns the maintained table."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
@@ -19,25 +17,37 @@ from ..sources import event_log as EL
 from ..streaming import maintained as M
 from ..streaming import runner
 from ..tables import keyed as K
-from .registry import register, with_txn
+from .registry import DAMAGED_CTE, register, with_txn
 
+# At least this many micro-batches per replay, and one per CHUNK_BYTES of input.
 CHUNKS = 4
+CHUNK_BYTES = 1 << 30
 # Region-keyed state (7 keys): one state store per possible key is enough.
 REGION_STATE_PARTITIONS = 8
 
 
+def chunk_count(spark, sf_dir: str) -> int:
+    """Micro-batches of a replay: by the input's size on disk."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/events.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max(CHUNKS, -(-fs.getContentSummary(path).getLength() // CHUNK_BYTES))
+
+
 def feed(spark, sf_dir, kind="clean"):
     """The replay log of ``events`` as append-ordered chunks (lazy frames)."""
     txn = transactions(spark, sf_dir)
+    chunks = chunk_count(spark, sf_dir)
     if kind == "clean":
-        return EL.segments(EL.records_from_transactions(txn), CHUNKS)
+        return EL.segments(EL.records_from_transactions(txn), chunks)
     if kind == "redelivered":
-        return EL.segments(EL.redelivered_records(txn), CHUNKS)
+        return EL.segments(EL.redelivered_records(txn), chunks)
+    if kind == "damaged":
+        return EL.segments(EL.records_from_transactions(txn, dirty=True), chunks)
     if kind == "late":
         # on-time rows first, then every signup arrives in one late chunk
         on_time = EL.records_from_transactions(txn.where(F.col("event_type") != "signup"))
         late = EL.records_from_transactions(txn.where(F.col("event_type") == "signup"))
-        return EL.segments(on_time, CHUNKS) + [late]
+        return EL.segments(on_time, chunks) + [late]
     raise ValueError(kind)
 
 
@@ -78,6 +88,18 @@ def qb_running_total(spark, sf_dir):
     return _latest_changes(spark, out, ["region"])
 
 
+@register("qb_damaged", with_txn("""
+SELECT region, count(*) AS event_count, CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount,
+       max(event_time) AS max_event_time
+FROM damaged GROUP BY region""", DAMAGED_CTE))
+def qb_damaged(spark, sf_dir):
+    """Q-B over the damaged feed: unreadable rows dropped, rows without an
+    amount counted but not added up."""
+    out = _stream(spark, sf_dir, "qb-damaged", "update", M.qb_running_total, kind="damaged",
+                  state_partitions=REGION_STATE_PARTITIONS)
+    return _latest_changes(spark, out, ["region"])
+
+
 @register("qa_final", with_txn("""
 SELECT date_trunc('minute', event_time) AS window_start, region, count(*) AS event_count,
        CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount, max(event_time) AS max_event_time
@@ -183,8 +205,7 @@ def _upsert_table(spark, sf_dir, name="pk"):
                    kind="redelivered", keep_position=True)
 
 
-@register("upsert_latest", UPSERT_SQL)
-def upsert_latest(spark, sf_dir):
+def primary_key_table(spark, sf_dir):
     """Primary-key table on event_id, last write (by arrival) wins.
 
     Written as append-only deltas.  Half-way through the feed a compaction
@@ -195,18 +216,24 @@ def upsert_latest(spark, sf_dir):
     segs = feed(spark, sf_dir, "redelivered")
 
     def build():
-        return M.typed_stream(spark, log, keep_position=True).drop("ingest_time")
+        return M.typed_stream(spark, log, keep_position=True)
 
     half = len(segs) // 2
     sink = runner.batch_writer(path)
     ckpt = runner.replay(segs[:half], log, build, "pk", "append", sink)
     K.compact(spark, path, K.merge_latest("event_id", ("batch_id", "offset")),
               K.hash_bucket_layout("event_id", 8),
-              reader=lambda sp, p: K.read_latest(sp, p, "event_id", ("batch_id", "offset")))
+              reader=lambda sp, p, n: K.read_latest(sp, p, "event_id", ("batch_id", "offset"), n))
     runner.replay(segs[half:], log, build, "pk", "append", sink, checkpoint=ckpt,
                   first_seq=half)
-    pk = K.read_latest(spark, path, "event_id", ("batch_id", "offset"))
-    return pk.select("event_id", "user_id", "amount", "region", "event_type", "event_time")
+    return K.read_latest(spark, path, "event_id", ("batch_id", "offset"))
+
+
+@register("upsert_latest", UPSERT_SQL)
+def upsert_latest(spark, sf_dir):
+    """The primary-key table's rows."""
+    return primary_key_table(spark, sf_dir).select(
+        "event_id", "user_id", "amount", "region", "event_type", "event_time")
 
 
 @register("reconcile_pipelines", with_txn("""
@@ -216,9 +243,12 @@ SELECT CAST(count(*) + count_if(event_type = 'purchase') AS BIGINT) AS append_ro
        CAST(count_if(event_type = 'purchase') AS BIGINT) AS duplicate_rows
 FROM transactions"""))
 def reconcile_pipelines(spark, sf_dir):
-    """Append table vs primary-key table of the same at-least-once feed."""
+    """Append table vs primary-key table of the same at-least-once feed: two
+    pipelines, each with its own log, checkpoint and table."""
+    append_rows = spark.read.option("basePath", (p := _stream(
+        spark, sf_dir, "append-reconcile", "append", lambda t: t, kind="redelivered",
+        sink_factory=M.append_by_day_sink))).parquet(p)
     path = _upsert_table(spark, sf_dir, "pk-reconcile")
-    append_rows = spark.read.parquet(path)
     pk = K.read_merged(spark, path, K.merge_latest("event_id", ("batch_id", "offset")))
     return reconcile(append_rows, pk).select(
         F.col("append_rows").cast("long"), F.col("pk_rows").cast("long"),
@@ -296,42 +326,39 @@ def enrich_stream(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id")
 
 
-QC_SECOND_SQL = with_txn("""
+# the frame of each region's newest row: RANGE 5 MINUTE PRECEDING, ends included
+QC_SQL = with_txn("""
 SELECT t.region, count(*) AS event_count, CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount,
        max(event_time) AS max_event_time
-FROM transactions t JOIN (SELECT region, date_trunc('second', max(event_time)) AS newest
+FROM transactions t JOIN (SELECT region, max(event_time) AS newest
                           FROM transactions GROUP BY region) n ON t.region = n.region
-WHERE date_trunc('second', t.event_time) >= n.newest - INTERVAL 300 SECOND
+WHERE t.event_time >= n.newest - INTERVAL 5 MINUTE
 GROUP BY t.region""")
 
 
-@register("qc_stateful", QC_SECOND_SQL)
+@register("qc_stateful", QC_SQL)
 def qc_stateful(spark, sf_dir):
-    """Q-C as keyed state per region (transformWithStateInPandas), second
-    buckets, newest row per region from the update changelog."""
+    """Q-C as keyed state per region (transformWithStateInPandas),
+    millisecond buckets, newest row per region from the update changelog."""
     from ..streaming.qc_state import qc_stateful as build
     out = _stream(spark, sf_dir, "qc-state", "update", build,
                   state_partitions=REGION_STATE_PARTITIONS)
     return _latest_changes(spark, out, ["region"])
 
 
-@register("qc_partials", QC_SECOND_SQL)
+@register("qc_partials", QC_SQL)
 def qc_partials(spark, sf_dir):
-    """Q-C the scalable way for hot keys: per-second partials per batch,
-    the last 301 seconds of each region re-aggregated on read."""
+    """Q-C the scalable way for hot keys: per-millisecond partials per batch,
+    the last 5 minutes of each region re-aggregated on read."""
     path = _partials(spark, sf_dir, "qc-partials", M.partials_qc)
-    # newest second per region: one row per region of the fixed domain
-    newest = {r["region"]: r["newest"] for r in
-              spark.read.parquet(path).groupBy("region")
-              .agg(F.max("second").alias("newest")).collect()}
-    lo = min(newest.values()) - dt.timedelta(seconds=300)
-    # only the last 301 seconds of partials are read and merged
-    recent = K.read_merged(
-        spark, path, lambda d: K.merge_partials(["second", "region"])(
-            d.where(F.col("second") >= F.lit(lo))))
-    bound = F.create_map(*[x for k, v in newest.items()
-                           for x in (F.lit(k), F.lit(v - dt.timedelta(seconds=300)))])
-    frame = recent.where(F.col("second") >= bound[F.col("region")])
+    newest = (spark.read.parquet(path).groupBy(F.col("region").alias("_region"))
+              .agg(F.max("ms").alias("_newest")))
+    # no frame begins before this instant, so older partials are not read
+    low = newest.agg(F.min("_newest")).first()[0]
+    recent = K.read_merged(spark, path, lambda d: K.merge_partials(["ms", "region"])(
+        d if low is None else d.where(F.col("ms") >= F.lit(low - 300_000))))
+    frame = recent.join(newest, F.col("region").eqNullSafe(F.col("_region"))).where(
+        F.col("ms") >= F.col("_newest") - F.lit(300_000))
     return (frame.groupBy("region")
             .agg(F.sum("event_count").alias("event_count"),
                  F.sum("total_amount").cast("decimal(22,2)").alias("total_amount"),

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import regional as R
-from ..operators.clock import replay_clock
+from ..operators.clock import clock
 from ..schema import transactions
 from ..session import fresh_dir
 from ..sources import event_log as EL
@@ -24,7 +24,7 @@ CUTOFF_SQL = "(SELECT date_trunc('day', max(ingest_time)) - INTERVAL 7 DAY FROM
 
 
 def _cutoff(spark, sf_dir):
-    c = replay_clock(transactions(spark, sf_dir))
+    c = clock(spark, sf_dir)
     return c.replace(hour=0, minute=0, second=0, microsecond=0) - dt.timedelta(days=7)
 
 
@@ -79,7 +79,7 @@ def tier_epochs(spark, sf_dir):
 
 
 _Q1 = """SELECT region, count(*) AS cnt, CAST(sum(amount) AS DECIMAL(22,2)) AS total,
-       CAST(sum(amount) AS DOUBLE) / count(*) AS avg_amount FROM {t} GROUP BY region"""
+       CAST(sum(amount) AS DOUBLE) / count(amount) AS avg_amount FROM {t} GROUP BY region"""
 _Q2 = """SELECT date_trunc('minute', event_time) AS window_start, region,
        count(*) AS event_count, CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount
 FROM {t} GROUP BY 1, 2 ORDER BY window_start DESC, total_amount DESC, region LIMIT 120"""
@@ -105,7 +105,7 @@ def q2_cold(spark, sf_dir):
 @register("q3_cold", with_txn(_Q3.format(t="cold", clock=AS_OF_SQL), COLD_CTE))
 def q3_cold(spark, sf_dir):
     """Freshness of the cold snapshot against the live clock (large lag)."""
-    return R.q3_freshness(_cold(spark, sf_dir), replay_clock(transactions(spark, sf_dir)))
+    return R.q3_freshness(_cold(spark, sf_dir), clock(spark, sf_dir))
 
 
 @register("union_read", with_txn(f"SELECT {', '.join(TYPED)} FROM transactions"))
@@ -127,7 +127,7 @@ def q2_union(spark, sf_dir):
 @register("q3_union", with_txn(_Q3.format(t="transactions", clock=AS_OF_SQL)))
 def q3_union(spark, sf_dir):
     u = _union(spark, sf_dir)
-    return R.q3_freshness(u, replay_clock(transactions(spark, sf_dir)))
+    return R.q3_freshness(u, clock(spark, sf_dir))
 
 
 @register("ttl_live_rows", with_txn(f"""
@@ -140,7 +140,7 @@ def ttl_live_rows(spark, sf_dir):
     """Retention: an hour-partitioned table keeps only hours newer than
     as_of - 2 h; the expiry job drops whole partitions, readers filter too."""
     from ..tables import retention
-    as_of = replay_clock(transactions(spark, sf_dir))
+    as_of = clock(spark, sf_dir)
     path = fresh_dir(spark, "ttl")
     retention.write_hourly(transactions(spark, sf_dir), path)
     retention.expire(spark, path, as_of, hours=2)
@@ -154,3 +154,47 @@ def q1_live(spark, sf_dir):
     """Q1's aggregate over the live (hot) table: every committed hot batch."""
     root, _ = tiered_root(spark, sf_dir)
     return R.regional_aggregate(TR.read_hot(spark, root).select(*TYPED))
+
+
+@register("q2_live", with_txn(_Q2.format(t="transactions")))
+def q2_live(spark, sf_dir):
+    root, _ = tiered_root(spark, sf_dir)
+    return R.q2_tumbling(TR.read_hot(spark, root).select(*TYPED))
+
+
+@register("q3_live", with_txn(_Q3.format(t="transactions", clock=AS_OF_SQL)))
+def q3_live(spark, sf_dir):
+    root, _ = tiered_root(spark, sf_dir)
+    return R.q3_freshness(TR.read_hot(spark, root).select(*TYPED), clock(spark, sf_dir))
+
+
+# the primary-key table of the at-least-once feed: a purchase's second copy
+# (amount + 1, a second later) replaces the first
+PK_CTE = """pk AS (
+  SELECT event_id, user_id,
+         CAST(CASE WHEN event_type = 'purchase' THEN amount + 1 ELSE amount END AS DECIMAL(12,2)) AS amount,
+         region, event_type, event_time,
+         CASE WHEN event_type = 'purchase' THEN ingest_time + INTERVAL 1 SECOND ELSE ingest_time END
+           AS ingest_time
+  FROM transactions)"""
+
+
+def _pk(spark, sf_dir):
+    from .streams import primary_key_table
+    return primary_key_table(spark, sf_dir).select(*TYPED)
+
+
+@register("q1_pk", with_txn(_Q1.format(t="pk"), PK_CTE))
+def q1_pk(spark, sf_dir):
+    """Q1 on the primary-key table: base plus newer deltas, last write wins."""
+    return R.regional_aggregate(_pk(spark, sf_dir))
+
+
+@register("q2_pk", with_txn(_Q2.format(t="pk"), PK_CTE))
+def q2_pk(spark, sf_dir):
+    return R.q2_tumbling(_pk(spark, sf_dir))
+
+
+@register("q3_pk", with_txn(_Q3.format(t="pk", clock=AS_OF_SQL), PK_CTE))
+def q3_pk(spark, sf_dir):
+    return R.q3_freshness(_pk(spark, sf_dir), clock(spark, sf_dir))

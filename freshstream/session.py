@@ -3,8 +3,9 @@
 Everything the library writes (stream checkpoints, replay logs, hot/cold
 tables, compacted outputs) lives under one root: the folder the cluster
 names in ``spark.checkpoint.dir``.  On a cluster that is a shared,
-fault-tolerant file system; only when it is unset (local tests) do we
-create one under the system temp folder and record it in the session.
+fault-tolerant file system.  Only a ``local[...]`` session without it (tests)
+gets one under the system temp folder, recorded in the session; on a cluster
+a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -73,6 +74,8 @@ def work_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="freshstream-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)

@@ -79,9 +79,11 @@ def partials_qa(batch: DataFrame) -> DataFrame:
 
 
 def partials_qc(batch: DataFrame) -> DataFrame:
-    """Per-second partials for Q-C: re-aggregate the last 300 on read."""
-    return batch.groupBy(F.date_trunc("second", F.col("event_time")).alias("second"),
-                         "region").agg(*_aggs())
+    """Per-millisecond partials for Q-C: the last 5 minutes of a region are
+    re-aggregated on read.  Event times have whole milliseconds, so the frame
+    is exact; rows without an event time are in no frame."""
+    return (batch.where(F.col("event_time").isNotNull())
+            .groupBy(F.unix_millis(F.col("event_time")).alias("ms"), "region").agg(*_aggs()))
 
 
 def partial_sink(path: str, fn):
@@ -127,7 +129,8 @@ def late_split_sink(path: str, delay_seconds: int):
     """Never-drop route for late data.
 
     Rows older than (newest event time of all *earlier* batches - delay) are
-    written to ``path/late``, the others to ``path/main``.  The running mark
+    written to ``path/late``, the others - rows without an event time among
+    them - to ``path/main``.  The running mark
     is a one-row table per batch (``path/_marks``), so the split is
     deterministic and replay-safe."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -137,15 +140,15 @@ def late_split_sink(path: str, delay_seconds: int):
         if path_exists(spark, f"{path}/_marks"):
             marks = spark.read.parquet(f"{path}/_marks").where(F.col("batch_id") < batch_id)
             prev = marks.agg(F.max("mark").alias("m")).first()["m"]
-        b = batch.persist()
+        b = batch
         try:
             if prev is None:
                 late_cond = F.lit(False)
             else:
                 wm = F.lit(prev).cast("timestamp") - F.make_dt_interval(
                     secs=F.lit(delay_seconds))
-                late_cond = F.col("event_time") < wm
-            b = b.withColumn("_late", late_cond)
+                late_cond = F.coalesce(F.col("event_time") < wm, F.lit(False))
+            b = batch.withColumn("_late", late_cond).persist()
             b.where(~F.col("_late")).drop("_late").write.mode("overwrite") \
                 .parquet(f"{path}/main/batch_id={batch_id}")
             b.where(F.col("_late")).drop("_late").write.mode("overwrite") \
@@ -155,7 +158,7 @@ def late_split_sink(path: str, delay_seconds: int):
                 mark = mark.select(F.greatest("mark", F.lit(prev).cast("timestamp")).alias("mark"))
             mark.write.mode("overwrite").parquet(f"{path}/_marks/batch_id={batch_id}")
         finally:
-            batch.unpersist()
+            b.unpersist()
     return write
 
 

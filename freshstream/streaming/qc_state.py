@@ -1,15 +1,18 @@
 """Q-C on a stream: last 5 minutes per region, kept incrementally.
 
 Spark refuses OVER windows on streams, so the frame is kept as keyed state:
-per region, the buckets ``second -> (count, cents, max event micros)`` of
-the frame, at most 301 entries (the reference keeps every event of the frame).  The frame
-is the newest second of the region and the 300 seconds before it - exact at
-one-second granularity.  Each micro-batch emits one row per changed region.
+per region, the buckets ``millisecond -> (count, amounts, cents)`` of the
+frame.  Event times have whole milliseconds, so the frame - the region's newest
+event time and the 5 minutes before it, both ends included - is exact, and
+state holds at most one entry per millisecond, whatever the traffic.  Each
+micro-batch emits one row per changed region.  A NULL region is a key of its
+own; rows without an event time are in no frame; NULL amounts are counted as
+events but not added up.
 
 Skew: only 7 keys, so at most 7 busy stateful tasks.  Rows are therefore
-combined per (region, second) *before* the shuffle by a stateless
+combined per (region, millisecond) *before* the shuffle by a stateless
 ``mapInPandas`` step, so the stateful operator receives at most one row per
-(task, region, second) however hot a region is.  Amounts travel as integer
+(task, region, millisecond) however hot a region is.  Amounts travel as integer
 cents: exact sums without decimal objects in Python.
 """
 
@@ -23,51 +26,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-FRAME_SECONDS = 300
-BUCKET_SCHEMA = "region STRING, second LONG, cnt LONG, cents LONG, max_us LONG"
-OUTPUT_SCHEMA = "region STRING, event_count LONG, total_cents LONG, max_us LONG"
+FRAME_MS = 300_000
+BUCKET_SCHEMA = "region STRING, ms LONG, cnt LONG, amounts LONG, cents LONG"
+OUTPUT_SCHEMA = "region STRING, event_count LONG, amounts LONG, total_cents LONG, max_ms LONG"
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf) == 0:
             continue
-        g = (pdf.groupby(["region", "second"], sort=False)
-             .agg(cnt=("cnt", "sum"), cents=("cents", "sum"), max_us=("max_us", "max"))
+        g = (pdf.groupby(["region", "ms"], sort=False, dropna=False)
+             .agg(cnt=("cnt", "sum"), amounts=("amounts", "sum"), cents=("cents", "sum"))
              .reset_index())
-        yield g[["region", "second", "cnt", "cents", "max_us"]]
+        g["region"] = g["region"].astype(object).where(g["region"].notna(), None)
+        yield g[["region", "ms", "cnt", "amounts", "cents"]]
 
 
 class LastFiveMinutes(StatefulProcessor):
     """State per region: one value holding the frame's buckets as parallel
-    arrays (at most 301 entries), so each micro-batch costs one state read
+    arrays , so each micro-batch costs one state read
     and one state write per region, whatever the input volume."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.frame = handle.getValueState(
-            "frame", "secs ARRAY<LONG>, cnts ARRAY<LONG>, cents ARRAY<LONG>, maxs ARRAY<LONG>")
+            "frame", "ms ARRAY<LONG>, cnts ARRAY<LONG>, amounts ARRAY<LONG>, cents ARRAY<LONG>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         region = key[0]
         new = pd.concat(list(rows), ignore_index=True)
         if len(new) == 0:
             return
-        parts = [new[["second", "cnt", "cents", "max_us"]]]
+        cols = ["ms", "cnt", "amounts", "cents"]
+        parts = [new[cols]]
         if self.frame.exists():
-            secs, cnts, cents, maxs = self.frame.get()
-            parts.append(pd.DataFrame({"second": secs, "cnt": cnts, "cents": cents,
-                                       "max_us": maxs}))
+            parts.append(pd.DataFrame(dict(zip(cols, self.frame.get()))))
         allb = pd.concat(parts, ignore_index=True)
-        newest = int(allb["second"].max())
-        allb = allb[allb["second"] >= newest - FRAME_SECONDS]
-        g = (allb.groupby("second", sort=True)
-             .agg(cnt=("cnt", "sum"), cents=("cents", "sum"), max_us=("max_us", "max")))
-        self.frame.update((g.index.astype("int64").tolist(), g["cnt"].astype("int64").tolist(),
-                           g["cents"].astype("int64").tolist(),
-                           g["max_us"].astype("int64").tolist()))
+        newest = int(allb["ms"].max())
+        g = allb[allb["ms"] >= newest - FRAME_MS].groupby("ms", sort=True)[cols[1:]].sum()
+        self.frame.update((g.index.astype("int64").tolist(),
+                           *[g[c].astype("int64").tolist() for c in cols[1:]]))
         yield pd.DataFrame({"region": [region], "event_count": [int(g["cnt"].sum())],
-                            "total_cents": [int(g["cents"].sum())],
-                            "max_us": [int(g["max_us"].max())]})
+                            "amounts": [int(g["amounts"].sum())],
+                            "total_cents": [int(g["cents"].sum())], "max_ms": [newest]})
 
     def close(self) -> None:
         pass
@@ -75,18 +75,13 @@ class LastFiveMinutes(StatefulProcessor):
 
 def qc_stateful(typed: DataFrame) -> DataFrame:
     """Typed stream -> per-batch (region, event_count, total_amount, max_event_time)."""
-    us = F.unix_micros(F.col("event_time"))
-    buckets = typed.select(
-        "region",
-        F.floor(us / F.lit(1_000_000)).cast("long").alias("second"),
-        F.lit(1).cast("long").alias("cnt"),
-        (F.col("amount") * F.lit(100)).cast("long").alias("cents"),
-        us.alias("max_us"))
+    buckets = typed.where(F.col("event_time").isNotNull()).select(
+        "region", F.unix_millis(F.col("event_time")).alias("ms"), F.lit(1).cast("long").alias("cnt"),
+        F.col("amount").isNotNull().cast("long").alias("amounts"),
+        F.coalesce((F.col("amount") * F.lit(100)).cast("long"), F.lit(0)).alias("cents"))
     combined = buckets.mapInPandas(_combine, BUCKET_SCHEMA)
     out = combined.groupBy("region").transformWithStateInPandas(
         LastFiveMinutes(), OUTPUT_SCHEMA, "Update", "None")
-    return out.select(
-        "region", "event_count",
-        (F.col("total_cents").cast("decimal(22,0)") / F.lit(100)).cast("decimal(22,2)")
-        .alias("total_amount"),
-        F.timestamp_micros("max_us").alias("max_event_time"))
+    total = (F.col("total_cents").cast("decimal(22,0)") / F.lit(100)).cast("decimal(22,2)")
+    return out.select("region", "event_count", F.when(F.col("amounts") > 0, total).alias("total_amount"),
+                      F.timestamp_millis("max_ms").alias("max_event_time"))

@@ -35,7 +35,8 @@ PRESETS = {
     "asap": {"trigger": {"processingTime": "0 seconds"}, "source": {}},
 }
 
-DEFAULT_TIMEOUT_S = 600
+#: Seconds a replayed chunk may take; None: no limit.
+DEFAULT_TIMEOUT_S = None
 
 # State of every query started here: RocksDB (large state off the JVM heap;
 # required by transformWithState) with changelog checkpointing - applied even
@@ -97,14 +98,13 @@ def start(df: DataFrame, name: str, mode: str, sink: Callable[[DataFrame, int],
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", path: str | None = None,
                  checkpoint: str | None = None, partition_by: list[str] | None = None,
-                 timeout_s: int = DEFAULT_TIMEOUT_S, state_partitions: int | None = None) -> str:
+                 timeout_s: int | None = DEFAULT_TIMEOUT_S, state_partitions: int | None = None) -> str:
     """Run a stream to completion (availableNow) into a batch-keyed table."""
     spark = df.sparkSession
     out = path or fresh_dir(spark, name)
     q = start(df, name, mode, batch_writer(out, partition_by), "replay", checkpoint,
               state_partitions=state_partitions)
-    finished = q.awaitTermination(timeout_s)
-    if not finished:
+    if not _terminated(q, timeout_s):
         q.stop()
         raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
     if q.exception() is not None:
@@ -112,6 +112,13 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", path: str | Non
     return out
 
 
+def _terminated(q, timeout_s: int | None) -> bool:
+    if timeout_s is None:
+        q.awaitTermination()
+        return True
+    return q.awaitTermination(timeout_s)
+
+
 def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """All rows of a batch-keyed table, with their ``batch_id``."""
     try:
@@ -122,7 +129,7 @@ def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
         return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("int"))
 
 
-def _drain(q, name: str, timeout_s: int) -> None:
+def _drain(q, name: str, timeout_s: int | None) -> None:
     """``processAllAvailable`` with a deadline: the wait runs in a helper
     thread; past ``timeout_s`` the query is stopped and TimeoutError raised."""
     import threading
@@ -147,7 +154,7 @@ def _drain(q, name: str, timeout_s: int) -> None:
 def replay(segments: list[DataFrame], log_path: str, build: Callable[[], DataFrame], name: str,
            mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None,
            state_partitions: int | None = None, first_seq: int = 0,
-           timeout_s: int = DEFAULT_TIMEOUT_S, restart_each_chunk: bool = False) -> str:
+           timeout_s: int | None = DEFAULT_TIMEOUT_S, restart_each_chunk: bool = False) -> str:
     """Producer-style replay: append one chunk of the log (written in
     parallel by all tasks), let the stream consume it, append the next.
 
@@ -182,7 +189,7 @@ def replay(segments: list[DataFrame], log_path: str, build: Callable[[], DataFra
         if i:
             append_chunk(seg, log_path, first_seq + i)
         q = start(df, name, mode, sink, "replay", ckpt, state_partitions=state_partitions)
-        if not q.awaitTermination(timeout_s):
+        if not _terminated(q, timeout_s):
             q.stop()
             raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
         if q.exception() is not None:

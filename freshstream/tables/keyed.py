@@ -7,7 +7,10 @@ Layout under ``path``::
     _commits/upto=<k>/...   one-row marker, written *after* the base it names
 
 Readers take the newest committed ``upto`` once, then read that base plus
-the deltas with ``batch_id > upto`` (partition pruning).  A compaction that
+the deltas with ``batch_id > upto`` (partition pruning).  A compaction fixes
+its own ``upto`` once - the newest batch that, like all before it, is completely
+written (``_SUCCESS``) - and reads nothing newer, so a batch that lands
+meanwhile stays a delta.  A compaction that
 dies before its marker is invisible; one that finishes changes nothing in
 the answer.  Old deltas and bases are left for a retention job, so no file
 is deleted while a reader may hold it.
@@ -50,17 +53,56 @@ def committed_upto(spark: SparkSession, path: str) -> int | None:
     return row["m"]
 
 
-def deltas(spark: SparkSession, path: str, after: int | None = None) -> DataFrame | None:
+def finished_upto(spark: SparkSession, path: str) -> int | None:
+    """The newest batch such that it and all earlier ones are complete."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {int(s.getPath().getName().split("=")[1]): fs.exists(
+        jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")) for s in fs.globStatus(p) or []}
+    done = None
+    for n in sorted(found):
+        if not found[n]:
+            break
+        done = n
+    return done
+
+
+def deltas(spark: SparkSession, path: str, after: int | None = None,
+           up_to: int | None = None) -> DataFrame | None:
     d = _read_or_none(spark, path)
+    if d is not None and up_to is not None:
+        d = d.where(F.col("batch_id") <= F.lit(up_to))
     if d is not None and after is not None:
         d = d.where(F.col("batch_id") > F.lit(after))
     return d
 
 
-def read_merged(spark: SparkSession, path: str, merge: Merge) -> DataFrame:
-    """Base (if committed) + newer deltas, merged.  The commit is read once."""
+def expire_folded(spark: SparkSession, path: str, keep_bases: int = 2) -> int:
+    """Retention: delete deltas that the oldest of the last ``keep_bases``
+    committed bases already holds, and the bases before it; returns the
+    number of folders deleted.  Readers of a kept base miss nothing."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    number = lambda s: int(s.getPath().getName().split("=")[1])
+    marks = sorted(map(number, fs.globStatus(p(f"{path}/_commits/upto=*")) or []))
+    if len(marks) < keep_bases:
+        return 0
+    oldest = marks[-keep_bases]
+    gone = [s.getPath() for s in fs.globStatus(p(f"{path}/batch_id=*")) or [] if number(s) <= oldest]
+    for kind in ("_commits", "_base"):       # a marker goes before its base
+        gone += [s.getPath() for s in fs.globStatus(p(f"{path}/{kind}/upto=*")) or [] if number(s) < oldest]
+    for g in gone:
+        fs.delete(g, True)
+    return len(gone)
+
+
+def read_merged(spark: SparkSession, path: str, merge: Merge, up_to: int | None = None) -> DataFrame:
+    """Base (if committed) + newer deltas (to ``up_to``, if given), merged.
+    The commit is read once."""
     upto = committed_upto(spark, path)
-    d = deltas(spark, path, upto)
+    d = deltas(spark, path, upto, up_to)
     parts = []
     if upto is not None:
         parts.append(spark.read.parquet(f"{path}/_base/upto={upto}")
@@ -76,7 +118,7 @@ def read_merged(spark: SparkSession, path: str, merge: Merge) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, path: str, key: str,
-                order: tuple[str, ...] = ("batch_id", "offset")) -> DataFrame:
+                order: tuple[str, ...] = ("batch_id", "offset"), up_to: int | None = None) -> DataFrame:
     """Primary-key read without shuffling the table.
 
     The compacted base holds one row per key, and every delta is newer than
@@ -88,7 +130,7 @@ def read_latest(spark: SparkSession, path: str, key: str,
     from ..operators.dedup import latest_per_key
     from ..operators.joins import bounded_broadcast
     upto = committed_upto(spark, path)
-    d = deltas(spark, path, upto)
+    d = deltas(spark, path, upto, up_to)
     if upto is None:
         if d is None:
             raise FileNotFoundError(f"no data under {path}")
@@ -105,17 +147,18 @@ def read_latest(spark: SparkSession, path: str, key: str,
 
 def compact(spark: SparkSession, path: str, merge: Merge,
             layout: Callable[[DataFrame], DataFrame] | None = None,
-            reader: Callable[[SparkSession, str], DataFrame] | None = None) -> int | None:
-    """Fold every delta up to the newest batch into a new base, then commit.
+            reader: Callable[[SparkSession, str, int], DataFrame] | None = None) -> int | None:
+    """Fold every delta up to the newest complete batch into a new base, then
+    commit.  Returns that batch, or None if there was nothing to fold.
 
-    ``reader`` replaces the generic merge read - e.g. ``read_latest`` for a
+    ``reader`` (spark, path, up_to) replaces the generic merge read - e.g. ``read_latest`` for a
     primary-key table, so the old base is not shuffled by the merge (only by
     ``layout``, once)."""
-    d = _read_or_none(spark, path)
-    if d is None:
+    upto = finished_upto(spark, path)
+    if upto is None or upto == committed_upto(spark, path):
         return None
-    upto = d.agg(F.max("batch_id").alias("m")).first()["m"]
-    current = reader(spark, path) if reader is not None else read_merged(spark, path, merge)
+    current = (reader(spark, path, upto) if reader is not None
+               else read_merged(spark, path, merge, upto))
     merged = current.drop("batch_id")
     if layout is not None:
         merged = layout(merged)

@@ -3,6 +3,8 @@
 import contextlib
 import datetime as dt
 import io
+import os
+from decimal import Decimal
 
 import duckdb
 from pyspark.sql import functions as F
@@ -66,6 +68,62 @@ def test_compaction_keeps_answer(spark, workdir):
     assert _same(before, K.read_merged(spark, workdir, merge))
 
 
+def test_batch_landing_during_compaction_counts_once(spark, workdir):
+    """A batch committed between the compaction's start and its marker stays a
+    delta; an unfinished batch is not folded; retention keeps the answer."""
+    def batch(i, rows=10):
+        spark.range(rows).select(F.lit("a").alias("region"), F.lit(1).cast("long").alias("event_count"),
+                                 F.lit(1).cast("decimal(22,2)").alias("total_amount"),
+                                 F.current_timestamp().alias("max_event_time")) \
+            .write.mode("overwrite").parquet(f"{workdir}/batch_id={i}")
+
+    merge = K.merge_partials(["region"])
+    total = lambda: K.read_merged(spark, workdir, merge).first().event_count
+    batch(0)
+    batch(1)
+
+    def late(df):
+        batch(2)
+        return df
+
+    assert K.compact(spark, workdir, merge, layout=late) == 1
+    assert total() == 30
+    batch(3)
+    os.remove(f"{workdir}/batch_id=3/_SUCCESS")          # still being written
+    assert K.compact(spark, workdir, merge) == 2 and K.committed_upto(spark, workdir) == 2
+    assert total() == 40
+    batch(3)
+    batch(4)
+    assert K.compact(spark, workdir, merge) == 4 and K.compact(spark, workdir, merge) is None
+    assert K.expire_folded(spark, workdir, keep_bases=2) > 0
+    assert total() == 50 and not os.path.exists(f"{workdir}/batch_id=1")
+
+
+def test_late_split_keeps_rows_without_time(spark, workdir):
+    from freshstream.streaming.maintained import late_split_sink
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    sink = late_split_sink(workdir, 60)
+    sink(spark.createDataFrame([("a", t(30))], "event_id STRING, event_time TIMESTAMP"), 0)
+    sink(spark.createDataFrame([("b", t(31)), ("l", t(1)), ("n", None)],
+                               "event_id STRING, event_time TIMESTAMP"), 1)
+    ids = lambda k: sorted(r.event_id for r in spark.read.parquet(f"{workdir}/{k}").collect())
+    assert ids("main") == ["a", "b", "n"] and ids("late") == ["l"]
+
+
+def test_average_skips_null_amounts(spark):
+    from freshstream.operators.regional import regional_aggregate
+    df = spark.createDataFrame([("a", Decimal(10)), ("a", Decimal(20)), ("a", None), ("b", None)], "region STRING, amount DECIMAL(12,2)")
+    got = {r.region: (r.cnt, r.avg_amount) for r in regional_aggregate(df).collect()}
+    assert got == {"a": (3, 15.0), "b": (1, None)}
+
+
+def test_reconcile_reports_a_missing_key(spark):
+    from freshstream.operators.dedup import reconcile
+    append = spark.createDataFrame([("a",), ("b",), ("b",)], "event_id STRING")
+    r = reconcile(append, append.where("event_id <> 'a'").distinct()).first()
+    assert (r.missing_in_pk, r.missing_in_append, r.duplicate_rows) == (1, 0, 1)
+
+
 def test_latest_per_key_hot_key(spark):
     rows = [("k", i, i * 10) for i in range(5000)] + [("j", 1, 5)]
     df = spark.createDataFrame(rows, "key STRING, offset LONG, v LONG")
