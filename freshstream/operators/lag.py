@@ -180,17 +180,31 @@ def produce_rate(offsets: DataFrame) -> DataFrame:
 
 def consumer_lag(offsets: DataFrame) -> DataFrame:
     """Newest observation per partition: end - committed; rolled up to the
-    group total (partition NULL)."""
+    total of each topic (partition NULL); end_offset there is the topic's size
+    in messages."""
     newest = (offsets.groupBy("group_id", "topic", "partition")
               .agg(F.max_by(F.struct("end_offset", "committed_offset"), "observed_at").alias("o")))
     lagged = newest.select("group_id", "topic", "partition", "o.end_offset",
                            "o.committed_offset",
                            (F.col("o.end_offset") - F.col("o.committed_offset")).alias("lag"))
-    return (lagged.rollup("group_id", "partition")
+    return (lagged.rollup("group_id", "topic", "partition")
             .agg(F.sum("end_offset").alias("end_offset"),
                  F.sum("committed_offset").alias("committed_offset"),
                  F.sum("lag").alias("lag"))
-            .where(F.col("group_id").isNotNull()))
+            .where(F.col("topic").isNotNull()))
+
+
+def measured_latency(results: DataFrame, window_seconds: int = 60) -> DataFrame:
+    """Latency of results that carry the instant their sink wrote them
+    (``emitted_at``): per region, the windows, and from the windows' ends and
+    newest events to that instant, in milliseconds."""
+    closed = F.col("window_start") + F.expr(f"INTERVAL {window_seconds} SECONDS")
+    each = results.select("region", lag_ms(closed, F.col("emitted_at")).alias("final"),
+                          lag_ms(F.col("max_event_time"), F.col("emitted_at")).alias("result"))
+    return each.groupBy("region").agg(
+        F.count(F.lit(1)).alias("windows"), F.min("final").alias("min_finalization_ms"),
+        F.max("final").alias("max_finalization_ms"), F.avg("result").alias("avg_result_latency_ms"),
+        F.max("result").alias("max_result_latency_ms"))
 
 
 def window_finalization(txn: DataFrame, delay_minutes: int = 1) -> DataFrame:

@@ -104,15 +104,15 @@ def produce_rate(spark, sf_dir):
 
 
 @register("consumer_lag", with_txn("""
-SELECT group_id, partition, CAST(sum(end_offset) AS BIGINT) AS end_offset,
+SELECT group_id, topic, partition, CAST(sum(end_offset) AS BIGINT) AS end_offset,
        CAST(sum(committed_offset) AS BIGINT) AS committed_offset,
        CAST(sum(end_offset - committed_offset) AS BIGINT) AS lag
-FROM (SELECT group_id, partition, arg_max(end_offset, observed_at) AS end_offset,
+FROM (SELECT group_id, topic, partition, arg_max(end_offset, observed_at) AS end_offset,
              arg_max(committed_offset, observed_at) AS committed_offset
-      FROM offsets GROUP BY 1, 2)
-GROUP BY ROLLUP (group_id, partition) HAVING group_id IS NOT NULL""", OFFSETS_CTE))
+      FROM offsets GROUP BY 1, 2, 3)
+GROUP BY ROLLUP (group_id, topic, partition) HAVING topic IS NOT NULL""", OFFSETS_CTE))
 def consumer_lag(spark, sf_dir):
-    """Consumer lag by partition and for the whole group (rollup row)."""
+    """Consumer lag by partition and for each topic of the group (rollup row)."""
     return G.consumer_lag(G.offset_log(_txn(spark, sf_dir)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import regional as R
 from ..operators.clock import clock
 from ..schema import transactions
-from ..session import fresh_dir
+from ..session import fresh_dir, work_root
 from ..sources import event_log as EL
 from ..streaming import maintained as M
 from ..streaming import runner
@@ -31,8 +31,13 @@ def _cutoff(spark, sf_dir):
 def tiered_root(spark, sf_dir):
     """Replay events into the hot tier, tier everything before the cutoff,
     then replay the rest (same checkpoint: the stream resumes)."""
-    if sf_dir in _TIERED:
-        return _TIERED[sf_dir]
+    # the build is shared by the queries of one session over unchanged files
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/events.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = (sf_dir, spark.sparkContext.applicationId, work_root(spark),
+             fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())
+    if state in _TIERED:
+        return _TIERED[state]
     root = fresh_dir(spark, "tiered")
     log = fresh_dir(spark, "log-tiered")
     cutoff = _cutoff(spark, sf_dir)
@@ -48,7 +53,7 @@ def tiered_root(spark, sf_dir):
     TR.tier(spark, root, now=cutoff)
     runner.replay(after, log, build, "tiered", "append", TR.hot_sink(root), checkpoint=ckpt,
                   first_seq=len(before))
-    _TIERED[sf_dir] = (root, cutoff)
+    _TIERED[state] = (root, cutoff)
     return root, cutoff
 
 

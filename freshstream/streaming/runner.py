@@ -63,6 +63,15 @@ def batch_writer(path: str, partition_by: list[str] | None = None,
     return write
 
 
+def stamped_writer(path: str):
+    """``batch_writer`` that stamps each result row with ``emitted_at``, the
+    instant its batch was written."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("emitted_at", F.current_timestamp())
+         .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+    return write
+
+
 def start(df: DataFrame, name: str, mode: str, sink: Callable[[DataFrame, int], None],
           preset: str = "replay", checkpoint: str | None = None, query_name: str | None = None,
           state_partitions: int | None = None):
