@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators.dedup import latest_per_key, reconcile
-from ..schema import table, transactions
+from ..schema import table, transactions, transactions_from_events
 from ..session import fresh_dir
 from ..sources import event_log as EL
 from ..streaming import maintained as M
@@ -35,19 +35,19 @@ def chunk_count(spark, sf_dir: str) -> int:
 
 def feed(spark, sf_dir, kind="clean"):
     """The replay log of ``events`` as append-ordered chunks (lazy frames)."""
-    txn = transactions(spark, sf_dir)
-    chunks = chunk_count(spark, sf_dir)
+    txns = [transactions_from_events(e) for e in
+            EL.event_chunks(table(spark, sf_dir, "events"), chunk_count(spark, sf_dir))]
     if kind == "clean":
-        return EL.segments(EL.records_from_transactions(txn), chunks)
+        return [EL.records_from_transactions(t) for t in txns]
     if kind == "redelivered":
-        return EL.segments(EL.redelivered_records(txn), chunks)
+        return [EL.redelivered_records(t) for t in txns]
     if kind == "damaged":
-        return EL.segments(EL.records_from_transactions(txn, dirty=True), chunks)
+        return [EL.records_from_transactions(t, dirty=True) for t in txns]
     if kind == "late":
         # on-time rows first, then every signup arrives in one late chunk
-        on_time = EL.records_from_transactions(txn.where(F.col("event_type") != "signup"))
-        late = EL.records_from_transactions(txn.where(F.col("event_type") == "signup"))
-        return EL.segments(on_time, chunks) + [late]
+        on_time = [EL.records_from_transactions(t.where(F.col("event_type") != "signup")) for t in txns]
+        late = transactions(spark, sf_dir).where(F.col("event_type") == "signup")
+        return [*on_time, EL.records_from_transactions(late)]
     raise ValueError(kind)
 
 

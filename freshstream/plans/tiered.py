@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import regional as R
-from ..operators.clock import clock
-from ..schema import transactions
+from ..operators.clock import MAX_DELAY, clock
+from ..schema import table, transactions, transactions_from_events
 from ..session import fresh_dir, work_root
 from ..sources import event_log as EL
 from ..streaming import maintained as M
@@ -41,14 +41,19 @@ def tiered_root(spark, sf_dir):
     root = fresh_dir(spark, "tiered")
     log = fresh_dir(spark, "log-tiered")
     cutoff = _cutoff(spark, sf_dir)
-    txn = transactions(spark, sf_dir)
     cut = F.lit(cutoff).cast("timestamp")
+    # a row is ingested within MAX_DELAY after its event: both sides prune on ts
+    events, day = table(spark, sf_dir, "events"), F.lit(cutoff).cast("timestamp_ntz")
+    first = EL.event_chunks(events.where((F.col("ts") < day) | F.col("ts").isNull()), 4)
+    rest = EL.event_chunks(events.where(F.col("ts") >= day - MAX_DELAY), 4)
+    chunks = lambda parts, keep: [EL.records_from_transactions(transactions_from_events(e).where(keep))
+                                  for e in parts]
 
     def build():
         return M.typed_stream(spark, log, keep_position=True)
 
-    before = EL.segments(EL.records_from_transactions(txn.where(F.col("ingest_time") < cut)), 4)
-    after = EL.segments(EL.records_from_transactions(txn.where(F.col("ingest_time") >= cut)), 4)
+    before = chunks(first, F.coalesce(F.col("ingest_time") < cut, F.lit(True)))
+    after = chunks(rest, F.col("ingest_time") >= cut)
     ckpt = runner.replay(before, log, build, "tiered", "append", TR.hot_sink(root))
     TR.tier(spark, root, now=cutoff)
     runner.replay(after, log, build, "tiered", "append", TR.hot_sink(root), checkpoint=ckpt,
