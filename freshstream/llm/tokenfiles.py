@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from ..session import path_exists
 from .common import slices, texts, worker_cache
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Word pattern of byte-level BPE (fixed by the vocabulary).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -68,6 +68,7 @@ class WordCachedTokenizer:
         if special:
             self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
@@ -79,15 +80,23 @@ class WordCachedTokenizer:
 
     def encode(self, many: list[str]) -> list[bytes]:
         """Each text's ids as flat integers of ``dtype``."""
-        import numpy as np
+        from struct import pack as flat
         split, cache = list(map(self.split, many)), self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for words in split for w in words}.difference(cache))
+        order, code = ("<>"[self.dtype[0] == ">"], "H" if self.dtype.endswith("u2") else "I")
+        if len(cache) > CACHE_WORDS:          # the generation before stays for look-ups
+            self.older, self.cache = cache, {}
+            cache = self.cache
+        older, new = self.older, []
+        for w in {w for words in split for w in words}.difference(cache):
+            got = older.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                cache[w] = got
         for lo in range(0, len(new), 20_000):
             part = new[lo:lo + 20_000]
             for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.asarray(e.ids, dtype=self.dtype).tobytes()
+                cache[w] = flat(f"{order}{len(e.ids)}{code}", *e.ids)
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
