@@ -25,6 +25,7 @@ with a map-side partial step, so a hot key never lands whole in one task.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -147,18 +148,23 @@ def read_latest(spark: SparkSession, path: str, key: str,
 
 def compact(spark: SparkSession, path: str, merge: Merge,
             layout: Callable[[DataFrame], DataFrame] | None = None,
-            reader: Callable[[SparkSession, str, int], DataFrame] | None = None) -> int | None:
+            reader: Callable[..., DataFrame] | None = None) -> int | None:
     """Fold every delta up to the newest complete batch into a new base, then
     commit.  Returns that batch, or None if there was nothing to fold.
 
-    ``reader`` (spark, path, up_to) replaces the generic merge read - e.g. ``read_latest`` for a
+    ``reader`` (spark, path, up_to) - or (spark, path), where nothing writes
+    meanwhile - replaces the generic merge read - e.g. ``read_latest`` for a
     primary-key table, so the old base is not shuffled by the merge (only by
     ``layout``, once)."""
     upto = finished_upto(spark, path)
     if upto is None or upto == committed_upto(spark, path):
         return None
-    current = (reader(spark, path, upto) if reader is not None
-               else read_merged(spark, path, merge, upto))
+    if reader is None:
+        current = read_merged(spark, path, merge, upto)
+    elif len(inspect.signature(reader).parameters) > 2:
+        current = reader(spark, path, upto)
+    else:
+        current = reader(spark, path)
     merged = current.drop("batch_id")
     if layout is not None:
         merged = layout(merged)
