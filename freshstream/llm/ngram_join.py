@@ -23,8 +23,8 @@ own hash permutation.
 
 A candidate pair (in 3 and 4) must also share a prefix token under every
 further order; the pairs left are verified exactly on the whole sets.  Sets
-are read again from the texts for classes in candidates only (a fixed-size
-bit table says which may be), a leader's followers in salted groups.
+are read again from the texts for classes in pairs only (a fixed-size bit
+table says which may be), a leader's followers in salted groups.
 
 Edge cases: NULL or empty text: n_shingles 0, linked with nothing (its
 component is its own doc_id).  With fewer words than a shingle the whole
@@ -244,6 +244,18 @@ def wanted_sets(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
+def with_sets_of(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, words: int) -> DataFrame:
+    """``sets`` (node, tokens) with those of all classes in the pairs."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if sets is not None:
+        nodes = nodes.join(sets.select("node"), "node", "left_anti")
+    nodes = written(nodes, "ngram-nodes")
+    if sets is not None and not nodes.limit(1).count():
+        return sets
+    more = written(wanted_sets(docs, words, nodes), "ngram-wanted")
+    return more if sets is None else sets.unionByName(more)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, counts, percent: int) -> DataFrame:
     """The pairs (a, b) that share prefix tokens under all further orders and
     whose sets reach the threshold.  The pairs of one ``a`` are dealt into
@@ -294,8 +306,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     blocks = (blocks.withColumn("low", F.min("node").over(block)).withColumn("high", F.max("node").over(block))
               .where("low <> high").select("token", "node", "n", "last").dropDuplicates(["token", "node"]))
     blocks = written(blocks, "ngram-blocks")
-    sets = written(wanted_sets(own, words, blocks.select("node").distinct()), "ngram-wanted")
-    links, comp = None, blocks.select("node", F.col("node").alias("component")).distinct()
+    sets = links = linked = None
+    comp = blocks.select("node", F.col("node").alias("component")).distinct()
     for star in range(STAR_ROUNDS + 1):
         at = blocks.join(comp, "node") if links is not None else blocks.withColumn("component", F.col("node"))
         # blocks that still hold several components
@@ -308,10 +320,14 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
                         F.sum("k").alias("rows")).first()
         if not left.rows:
             break
-        closing = star == STAR_ROUNDS or (star > 0 and left.pairs <= 4 * left.rows)
-        pairs = written(closing_pairs(at, percent) if closing else star_pairs(at, star), "ngram-pairs")
-        new = verified(pairs, sets, counts, percent)
-        links = written(new if links is None else links.unionByName(new), "ngram-links")
+        # close when few pairs are left, or when stars no longer find much
+        closing = star == STAR_ROUNDS or (star > 0 and (
+            left.pairs <= 4 * left.rows or 100 * linked < comp.count()))
+        pairs = written(closing_pairs(at, percent) if closing else star_pairs(at, star, percent), "ngram-pairs")
+        sets = with_sets_of(pairs, sets, own, words)
+        new = written(verified(pairs, sets, counts, percent), "ngram-links")
+        linked = new.count()
+        links = new if links is None else links.unionByName(new)
         comp = components(links)
         comp = written(blocks.select("node").distinct().join(comp, "node", "left").select(
             "node", F.coalesce("component", "node").alias("component")), "ngram-components")
@@ -329,13 +345,16 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def star_pairs(at: DataFrame, star: int) -> DataFrame:
+def star_pairs(at: DataFrame, star: int, percent: int) -> DataFrame:
     """One pair per class: with the leader of most of its blocks (the class of
-    the smallest hash of this round), if it is of another component."""
+    the smallest hash of this round), if it is of another component and leads
+    a fair share of the class's prefix (similar sets share about half of it;
+    who misses that here is left to the closing round)."""
     turn = F.xxhash64("node", F.lit(star))
     lead = at.groupBy("token").agg(F.min(F.struct(turn.alias("h"), "node", "component")).alias("lead"))
     met = at.join(lead, "token").where("component <> lead.component")
-    met = met.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count("*").alias("k"))
+    met = met.groupBy("node", "n", F.col("lead.node").alias("leader")).agg(F.count("*").alias("k"))
+    met = met.where(F.col("k") * 10 >= 3 * (F.col("n") - F.floor(F.col("n") * percent / 100 + F.lit(0.999999)) + 1))
     best = met.groupBy("node").agg(F.max(F.struct("k", "leader")).alias("best"))
     return best.select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
 
