@@ -244,6 +244,16 @@ def wanted_sets(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after new links (a, b): only the components they
+    connect are walked, each pair of them once."""
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(
+        F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return comp.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+
 def with_sets_of(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, words: int) -> DataFrame:
     """``sets`` (node, tokens) with those of all classes in the pairs."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -306,10 +316,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     blocks = (blocks.withColumn("low", F.min("node").over(block)).withColumn("high", F.max("node").over(block))
               .where("low <> high").select("token", "node", "n", "last").dropDuplicates(["token", "node"]))
     blocks = written(blocks, "ngram-blocks")
-    sets = links = linked = None
+    sets = linked = None
     comp = blocks.select("node", F.col("node").alias("component")).distinct()
     for star in range(STAR_ROUNDS + 1):
-        at = blocks.join(comp, "node") if links is not None else blocks.withColumn("component", F.col("node"))
+        at = blocks.join(comp, "node") if star else blocks.withColumn("component", F.col("node"))
         # blocks that still hold several components
         at = (at.withColumn("low", F.min("component").over(block)).withColumn("high", F.max("component").over(block))
               .where("low <> high").drop("low", "high"))
@@ -327,10 +337,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         sets = with_sets_of(pairs, sets, own, words)
         new = written(verified(pairs, sets, counts, percent), "ngram-links")
         linked = new.count()
-        links = new if links is None else links.unionByName(new)
-        comp = components(links)
-        comp = written(blocks.select("node").distinct().join(comp, "node", "left").select(
-            "node", F.coalesce("component", "node").alias("component")), "ngram-components")
+        comp = written(joined(comp, new), "ngram-components")
         if closing:
             break
     # the smallest doc_id of a class, then of its component
