@@ -2,28 +2,26 @@
 
 Training counts cover every whole training text.  The unigram model is the
 smoothed one of the contract, ``(c + 0.1) / (N + 0.1 (V + 1))``, which leaves
-mass for unknown words.  Above it stand n-grams whose share of the training
-tokens is at least ``arc_share``, with absolute discounting: an n-gram arc has
+mass for unknown words.  Above it stand all n-grams seen at least ``min_count``
+times (by default once: nothing is pruned; ``arc_share`` can ask for a share of
+the training tokens as well), with absolute discounting: an n-gram arc has
 probability ``(c - d) / C(history) + weight(history) * p(word | shorter)``,
 where ``weight`` is the mass left over, so every state is a distribution.
-The threshold is a share of the corpus: the model means the same at any size,
-and there are at most ``order / arc_share`` arcs, whatever the corpus - the
-proven bound that lets the automaton go to every task.
 
-States are the root, the kept words and the kept longer n-grams; each has arcs
-for its kept continuations and one failure arc, with the weight above, to its
-longest proper suffix.  A document is scored in one traversal from left to
-right: follow the word's arc if the state has it, else take the failure arc,
-add its weight and try again.
+States are the root, the words and the longer n-grams; each has arcs for its
+continuations and one failure arc, with the weight above, to its longest proper
+suffix.  The model grows with the corpus, so the automaton is laid out as
+tables, one row for each n-gram that any document holds: its key, the keys of
+its prefix (the state the arc leaves) and suffix (the state the failure arc of
+that one leads to), and its counts.  Level by level a row's probability comes
+from its prefix (count, weight) and its suffix (probability).
 
-Words are split in two by the same kind of bound: those with a share of at
-least ``word_share`` (at most ``1 / word_share``) have their counts in every
-task; all rarer ones - each a small group by definition, so no join key is
-hot - get theirs by a join with the full count table, from which their part
-of both scores is added up.
+Rows that stand for at least ``word_share`` or ``held_share`` of all tokens (at
+most ``1 / share`` of each order, a proven bound) go to every task; all others -
+each a small group by definition, so no join key is hot - are joined.  The
+shares decide only where a number is looked up, never what it is.
 
-n-gram counts go level by level: an n-gram can be kept only if its prefix and
-its suffix are, so tasks count, with a bounded map-side combine, only those.
+Keys are 64-bit hashes, taken as identity.
 
 Edge cases: NULL text is empty: one token, the end.  Rows with NULL doc_id are
 scored and never learnt from.  Repeated doc_ids are scored row by row.
@@ -35,6 +33,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import log10
 
 import pyarrow as pa
@@ -46,46 +45,139 @@ from .common import slices, written
 END = b" "                   # cannot be a word: the end of every document
 ADD = 0.1
 DISCOUNT = 0.5
-COMBINE = 400_000            # entries of a task's map-side combine
+COMBINE = 3_000_000          # n-grams of a task's map-side combine
 
 
 def words_of(text: str) -> list[bytes]:
     """Words of the text with A-Z lower-cased (bytes.split separates at
-    exactly \\x20 and \\x09-\\x0D)."""
+    exactly \x20 and \x09-\x0D)."""
     return text.encode("utf-8").lower().split()
 
 
-def combined(batches: Iterator[pa.RecordBatch], count, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Counts of ``count(text)``'s keys, added up in a bounded table."""
-    table: Counter = Counter()
-
-    def flush():
-        return pa.RecordBatch.from_arrays([pa.array(list(table), kind), pa.array(list(table.values()), pa.int64())],
-                                          names=["key", "n"])
-
-    for b in slices(batches, "text", 1 << 20):
-        for text in b.column(0).to_pylist():
-            table.update(count(text))
-        if len(table) > COMBINE:
-            yield flush()
-            table.clear()
-    if table:
-        yield flush()
-
-
-def word_counts(train: DataFrame) -> DataFrame:
-    """(key binary, n): every token of the training texts, the end included."""
+class Keys(dict):
+    """64-bit keys of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        key = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return key
+
+
+def longer(a, b):
+    """Keys of n-grams from the keys of their prefixes and last words."""
+    import numpy as np
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for _ in range(2):
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def grams_of(texts: list[str | None], keys: Keys, order: int) -> list[tuple]:
+    """For each order from 1: keys, start places and documents of the n-grams
+    of these texts, each preceded by one end and closed by one (the first end
+    is no token: order 1 has it not)."""
+    import numpy as np
+    parts = [[END, *words_of(t or ""), END] for t in texts]
+    doc = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    word = np.array([keys[w] for x in parts for w in x], dtype="uint64")
+    key, out = word, []
+    first = np.concatenate([[True], doc[1:] != doc[:-1]])
+    for k in range(1, order + 1):
+        if k > 1:
+            key = longer(key[:-1], word[k - 1:])
+        here = ~first if k == 1 else doc[:len(key)] == doc[k - 1:]
+        out.append((key, np.flatnonzero(here), doc, first))
+    return out
+
+
+def gram_counts(own: DataFrame, order: int) -> DataFrame:
+    """(level, key, prefix, suffix, starts, n, every): all n-grams of all
+    documents, with their counts in training and in all documents; ``starts``:
+    it opens a document."""
 
     def run(batches):
-        yield from combined(batches, lambda t: words_of(t) + [END], pa.binary())
+        import numpy as np
+        keys, held, size = Keys(), [], 0
+
+        def flush():
+            for k in range(order):
+                key, prefix, suffix, starts, learnt = (np.concatenate(x) for x in zip(*[h[k] for h in held]))
+                one, at, which = np.unique(key, return_index=True, return_inverse=True)
+                opens = np.zeros(len(one), dtype=bool)
+                opens[which[starts]] = True
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(one), k + 1, "int32")), pa.array(one.view("int64")),
+                     pa.array(prefix[at].view("int64")), pa.array(suffix[at].view("int64")), pa.array(opens),
+                     pa.array(np.bincount(which, weights=learnt, minlength=len(one)).astype("int64")),
+                     pa.array(np.bincount(which, minlength=len(one)).astype("int64"))],
+                    names=["level", "key", "prefix", "suffix", "starts", "n", "every"])
 
-    return train.mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        for b in slices(batches, "text", 1 << 20):
+            train = np.asarray(b.column(b.schema.get_field_index("train")).to_numpy(zero_copy_only=False), dtype=bool)
+            levels, rows = grams_of(b.column(b.schema.get_field_index("text")).to_pylist(), keys, order), []
+            for k, (key, at, doc, first) in enumerate(levels):
+                below = levels[k - 1][0] if k else key
+                rows.append((key[at], below[at], below[at + (k > 0)], first[at], train[doc[at]]))
+                size += len(at)
+            held.append(rows)
+            if size > COMBINE:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    rows = own.select("text", F.expr("has_id AND NOT held_out").alias("train")).mapInArrow(
+        run, "level int, key long, prefix long, suffix long, starts boolean, n long, every long")
+    return rows.groupBy("level", "key").agg(
+        F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"), F.bool_or("starts").alias("starts"),
+        F.sum("n").alias("n"), F.sum("every").alias("every"))
+
+
+def looked_up(rows: DataFrame, on: str, states: DataFrame, columns: dict[str, str], least: float) -> DataFrame:
+    """``rows`` with ``columns`` of the state whose key is in ``on``: frequent
+    states are broadcast; rows that found theirs are dealt out by their own key
+    in the join with all others."""
+    names = list(columns)
+    state = states.select(F.col("key").alias("_state"), F.col("every").alias("_every"),
+                          *[F.col(c).alias(f"_{k}") for k, c in columns.items()])
+    hot = state.where(F.col("_every") >= least).drop("_every").select(
+        F.col("_state").alias("_hot"), *[F.col(f"_{k}").alias(f"_hot_{k}") for k in names])
+    near = rows.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")
+    near = near.withColumn("_to", F.when(F.col("_hot").isNull(), F.col(on)).otherwise(F.col("key")))
+    cold = state.where(F.col("_every") < least).drop("_every")
+    both = near.join(cold, F.col("_to") == F.col("_state"), "left")
+    return both.select(*rows.columns, *[
+        F.when(F.col("_hot").isNull(), F.col(f"_{k}")).otherwise(F.col(f"_hot_{k}")).alias(k) for k in names])
+
+
+def arcs(grams: DataFrame, order: int, scale: float, least: float, word_least: float, gram_least: float) -> list[DataFrame]:
+    """For each order from 1, (key, starts, n, every, p): the probability of
+    every n-gram's last word after the others."""
+    one = grams.where("level = 1")
+    levels = [one.select("key", "starts", "n", "every", ((F.col("n") + ADD) / F.lit(scale)).alias("p"))]
+    for k in range(2, order + 1):
+        own = grams.where(F.col("level") == k)
+        # the mass that a history's arcs take
+        taken = own.where(F.col("n") >= least).groupBy(F.col("prefix").alias("key")).agg(
+            F.sum(F.col("n") - DISCOUNT).alias("taken"))
+        states = written(levels[-1].join(taken, "key", "left").select(
+            "key", "every", "n", "p", F.coalesce(1 - F.col("taken") / F.col("n"), F.lit(1.0)).alias("left")), f"lm-states-{k - 1}")
+        bound = word_least if k == 2 else gram_least
+        rows = looked_up(own, "prefix", states, {"total": "n", "left": "left"}, bound)
+        rows = looked_up(rows, "suffix", states, {"shorter": "p"}, bound)
+        arc = F.when(F.col("n") >= least, (F.col("n") - DISCOUNT) / F.col("total")).otherwise(0.0)
+        levels.append(written(rows.select("key", "starts", "n", "every", (arc + F.col("left") * F.col("shorter")).alias("p")),
+                              f"lm-arcs-{k}"))
+    return levels
 
 
 class Automaton:
     """States with arcs {word id: (log10 p, next state)}, one failure arc and
-    its log10 weight each.  State 0 is the root; word ids are those of the
-    frequent words; ``grams`` maps a state's n-gram (a tuple) to the state."""
+    its log10 weight each.  State 0 is the root; ``grams`` maps a state's
+    n-gram (a tuple) to the state.  The layout of the model for one process;
+    ``score`` lays the same states and arcs out as tables."""
 
     def __init__(self, unigram: dict[int, float], counts: dict[int, int]):
         self.arcs: list[dict[int, tuple[float, int]]] = [{}]
@@ -159,37 +251,9 @@ class Automaton:
         return total
 
 
-def gram_counts(train: DataFrame, ids, kept: list[dict], order: int) -> DataFrame:
-    """Counts of the n-grams of ``order`` whose prefix and suffix are kept, as
-    one number per n-gram: index of its prefix * number of words + last word.
-    The text is preceded by one end."""
-    words = len(ids.value)
-    prefixes = {g: i for i, g in enumerate(kept[order - 2])}
-
-    def run(batches):
-        known, wide = ids.value, len(ids.value)
-        end = known.get(END)
-
-        def count(text):
-            t = [end, *map(known.get, words_of(text)), end]
-            if order == 2:
-                return [a * wide + b for a, b in zip(t, t[1:]) if a is not None and b is not None]
-            out = []
-            for i in range(len(t) - order + 1):
-                g = tuple(t[i:i + order])
-                at = prefixes.get(g[:-1])
-                if at is not None and g[1:] in prefixes:
-                    out.append(at * wide + g[-1])
-            return out
-
-        yield from combined(batches, count, pa.int64())
-
-    assert words
-    return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3,
-          word_share: float = 4e-6, arc_share: float = 5e-6, folds: int = 10, held_out_fold: int = 0) -> DataFrame:
+          word_share: float = 4e-6, arc_share: float = 0.0, folds: int = 10, held_out_fold: int = 0,
+          min_count: int = 1, held_share: float = 5e-6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     for every row."""
     spark = docs.sparkSession
@@ -198,71 +262,73 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                       F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"),
                       F.col(id_col).isNotNull().alias("has_id"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    train = own.where("has_id AND NOT held_out").select("text")
-    counts = written(word_counts(train), "lm-words")
-    seen = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = seen.n or 0, seen.v
+    grams = written(gram_counts(own, order), "lm-grams")
+    seen = grams.where("level = 1").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"),
+                                        F.sum("every").alias("every")).first()
+    n, v, every = seen.n or 0, seen.v, seen.every or 0
     scale = n + ADD * (v + 1)
-    frequent = {bytes(r.key): r.n for r in                       # at most 1 / word_share rows
-                counts.where(F.col("n") >= F.lit(word_share * n)).collect()} if n else {}
-    # words that may stand in a kept n-gram: by the same argument at most 1 / arc_share
-    least = arc_share * n
-    arc_words = sorted(w for w, c in frequent.items() if c >= least or w == END)
-    ids = spark.sparkContext.broadcast({w: i for i, w in enumerate(arc_words)})
-    kept: list[dict] = [{(i,): frequent[w] for i, w in enumerate(arc_words)}]
-    for k in range(2, order + 1):
-        if not kept[-1]:
-            break
-        prefix = list(kept[-1])
-        rows = gram_counts(train, ids, kept, k).where(F.col("n") >= F.lit(least)).collect()   # <= 1 / arc_share
-        kept.append({(*prefix[r.key // len(arc_words)], r.key % len(arc_words)): r.n for r in rows})
-    unigram = {i: (frequent[w] + ADD) / scale for i, w in enumerate(arc_words)}
-    automaton = Automaton(unigram, {g[0]: c for g, c in kept[0].items()}).build(kept[1:])
-    start = automaton.state((ids.value[END],)) if END in ids.value else 0
-    model = spark.sparkContext.broadcast((automaton.arcs, automaton.fail, automaton.weight, start, ids.value,
-                                          {w: log10((c + ADD) / scale) for w, c in frequent.items()}))
+    word_least, gram_least = word_share * every, held_share * every
+    levels = arcs(grams, order, scale, max(min_count, arc_share * n), word_least, gram_least)
+    # what documents ask for: their words, the n-grams of the highest order, shorter ones at their start
+    known = (F.col("n") > 0).cast("int")
+    asked = levels[0].select("key", F.log10("p").alias("log"), known.alias("known"), F.lit(True).alias("word"),
+                             (F.col("every") >= word_least).alias("hot"))
+    for k, rows in enumerate(levels[1:], 2):
+        rows = rows if k == order else rows.where("starts")
+        asked = asked.unionByName(rows.select("key", F.log10("p").alias("log"), F.lit(0).alias("known"),
+                                              F.lit(False).alias("word"), (F.col("every") >= gram_least).alias("hot")))
+    import numpy as np
+    hot = asked.where("hot").select("key", "log", "known").toArrow()      # at most 1 / share rows of each order
+    by_key = np.argsort(np.asarray(hot.column("key")).view("uint64"), kind="stable")
+    model = spark.sparkContext.broadcast((np.asarray(hot.column("key")).view("uint64")[by_key],
+                                          np.asarray(hot.column("log"))[by_key],
+                                          np.asarray(hot.column("known"))[by_key]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arcs, fail, weight, start, known, logs = model.value
-        walk = Automaton.__new__(Automaton)
-        walk.arcs, walk.fail, walk.weight = arcs, fail, weight
+        import numpy as np
+        held, logs, seen = model.value
+        keys = Keys()
         for b in slices(batches, "text", 1 << 20):
-            tokens, found, base, total, rare = [], [], [], [], []
-            for text in b.column(b.schema.get_field_index("text")).to_pylist():
-                w = [*words_of(text), END]
-                p = list(map(logs.get, w))
-                few = Counter(x for x, y in zip(w, p) if y is None)
-                t = list(map(known.get, w))
-                # frequent words that are on no arc stand in no n-gram: the root's part
-                side = sum(y for x, y in zip(t, p) if x is None and y is not None)
-                tokens.append(len(w))
-                found.append(len(w) - few.total())
-                base.append(sum(y for y in p if y is not None))
-                total.append(walk.traverse(t, start) + side)
-                rare.append(list(few.items()))
+            levels, rows = grams_of(b.column(b.schema.get_field_index("text")).to_pylist(), keys, order), b.num_rows
+            sums, found, tokens, rest = [np.zeros(rows), np.zeros(rows)], np.zeros(rows), None, []
+            for k, (key, at, doc, first) in enumerate(levels):
+                if 0 < k < order - 1:
+                    at = at[first[at]]
+                key, doc = key[at], doc[at]
+                where = np.minimum(np.searchsorted(held, key), max(0, len(held) - 1))
+                hit = held[where] == key if len(held) else np.zeros(len(key), dtype=bool)
+                where = where[hit]
+                sums[k > 0] += np.bincount(doc[hit], weights=logs[where], minlength=rows)
+                if not k:
+                    tokens = np.bincount(doc, minlength=rows)
+                    found += np.bincount(doc[hit], weights=seen[where], minlength=rows)
+                rest.append((doc[~hit], key[~hit]))
+            doc, key = (np.concatenate(x) for x in zip(*rest))
+            turn = np.lexsort((key, doc))
+            doc, key = doc[turn], key[turn]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])[:len(doc)])
+            times = np.diff(np.append(new, len(doc)))
+            cuts = np.searchsorted(doc[new], np.arange(rows + 1)).astype("int32")
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), x)
+                     for x in (pa.array(key[new].view("int64")), pa.array(times.astype("int64")))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")]
-                + [pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()),
-                   pa.array(total, pa.float64()),
-                   pa.array([[{"key": k, "n": c} for k, c in x] for x in rare],
-                            pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())])))],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "total", "rare"])
+                + [pa.array(tokens.astype("int64")), pa.array(found.astype("int64")), pa.array(sums[0]), pa.array(sums[1]),
+                   *lists],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "total", "keys", "times"])
 
     local = written(
         own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(
             run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, "
-                 "total double, rare array<struct<key:binary,n:long>>"), "lm-scored")
-    rare = local.select("row", F.explode("rare").alias("r")).select("row", "r.key", F.col("r.n").alias("times"))
-    least_known = counts.where(F.col("n") < F.lit(word_share * n)) if n else counts
-    c = F.coalesce(F.col("n"), F.lit(0))
-    part = (rare.join(least_known, "key", "left")
-            .withColumn("log", F.col("times") * F.log10((c + ADD) / F.lit(scale)))
-            .groupBy("row").agg(F.sum("log").alias("log"),
-                                F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more")))
-    part = part.withColumn("log", F.coalesce("log", F.lit(0.0)))
-    zero = F.coalesce(F.col("log"), F.lit(0.0))
-    return (local.drop("rare").join(part, "row", "left")
-            .select("doc_id", "held_out", "n_tokens",
-                    (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+                 "total double, keys array<long>, times array<long>"), "lm-scored")
+    rare = local.select("row", F.explode(F.arrays_zip("keys", "times")).alias("r")).select(
+        "row", F.col("r.keys").alias("key"), F.col("r.times").alias("times"))
+    part = rare.join(asked.where("NOT hot"), "key").groupBy("row").agg(
+        F.sum(F.when(F.col("word"), F.col("times") * F.col("log"))).alias("more_base"),
+        F.sum(F.when(~F.col("word"), F.col("times") * F.col("log"))).alias("more_total"),
+        F.sum(F.col("times") * F.col("known")).alias("more"))
+    plus = lambda c, more: F.col(c) + F.coalesce(F.col(more), F.lit(0))
+    return (local.drop("keys", "times").join(part, "row", "left")
+            .select("doc_id", "held_out", "n_tokens", plus("known", "more").alias("n_known"),
                     F.lit(n).cast("long").alias("train_tokens"),
-                    (F.col("base") + zero).alias("base_score"), (F.col("total") + zero).alias("score")))
+                    plus("base", "more_base").alias("base_score"), (plus("total", "more_total") if order > 1 else plus("base", "more_base")).alias("score")))

@@ -94,3 +94,16 @@ def test_no_training_rows(spark):
     r = lm.score(docs).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
     assert lm.score(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [5e-6, 0.02])
+def test_n_grams_seen_once_count_whatever_the_corpus_size(spark, share):
+    rows = [*corpus(), *[(1000 + i, "filler " * 500, 5) for i in range(1000)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3)
+    given = {} if share == 5e-6 else {"word_share": share, "held_share": share}
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    got = sorted(map(tuple, lm.score(docs, **given).collect()), key=key)
+    want = sorted(brute(rows, 3, 1e-12, 1e-12), key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert g[5] == pytest.approx(w[5], rel=1e-9, abs=1e-6) and g[6] == pytest.approx(w[6], rel=1e-9, abs=1e-6), g[0]
