@@ -2,18 +2,16 @@
 
 1. Equal vectors become one class with a multiplicity, so exact copies are
    never paired.  Classes are assigned to the ``OVERLAP`` nearest of the
-   centroids fitted on a bounded sample (at most ``SAMPLE`` vectors); that
-   makes overlapping shards.  A shard beyond ``SHARD_ROWS`` is split by signs
-   of projections, and its parts share ``BRIDGES`` members.
+   centroids fitted on a bounded sample; that makes overlapping shards.
 2. Each shard builds its part of the graph: neighbours by cosine, robustly
    pruned (a neighbour is dropped if a kept one is closer to it than the node
-   is, by the factor ``ALPHA``).  The shards' adjacency lists are united by
-   node.
-3. Every shard searches the united graph for its members: greedy beam from the
-   shard's medoid, then range expansion - every node found in range is
-   expanded until no new one is.  Found pairs are compared exactly; a shard
-   gives back which of its members they connect, one row per member, never
-   the pairs.  Components come from those rows.
+   is, by the factor ``ALPHA``).  Only here is a shard beyond ``SHARD_ROWS``
+   taken in parts, which share ``BRIDGES`` members.
+3. Walks leave the shard: the lists of all shards are united, and a node also
+   visits every shard in which one of its ``WALK`` closest neighbours of each
+   list stands.  In a shard members and visitors are all compared with all
+   members, in blocks, without exception; a block gives back which of them
+   are connected, one row per member, never the pairs.  Components come from those.
 4. Verification: two vectors that are linked are in one component, so exact
    link counts come from comparing the members of each component, in blocks
    (a large component is cut into chunks, each pair of chunks is a task); a
@@ -42,7 +40,7 @@ from .components import components
 
 OVERLAP, SAMPLE, MEAN_ROWS, MOST_CENTROIDS = 2, 16_384, 400, 1024
 SHARD_ROWS, BRIDGES = 1200, 64
-DEGREE, ALPHA, BEAM, STEPS = 24, 1.2, 12, 40
+DEGREE, ALPHA, BEAM, STEPS, WALK = 24, 1.2, 12, 40, 3
 CHUNK, SMALL = 1024, 128
 AUDIT, RECALL = 200, 0.95
 
@@ -60,7 +58,7 @@ def centroids_of(sample, k: int, rounds: int = 6, seed: int = 3):
     rng = np.random.default_rng(seed)
     c = sample[rng.choice(len(sample), k, replace=False)]
     for _ in range(rounds):
-        near = np.argmax(sample @ c.T, axis=1)
+        near = np.concatenate([np.argmax(sample[lo:lo + 1024] @ c.T, axis=1) for lo in range(0, len(sample), 1024)])
         total = np.zeros_like(c)
         np.add.at(total, near, sample)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -147,50 +145,37 @@ def roots(linked):
 
 
 def shard_rows(classes: DataFrame, overlap: int) -> DataFrame:
-    """(shard, cluster, node, vec): every class in its nearest clusters' shards."""
+    """(cluster, node, vec): every class in its nearest clusters."""
     import numpy as np
     spark = classes.sparkSession
     total = classes.count()
     share = min(1.0, SAMPLE / max(1, total))
     sample = classes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("vec").collect()
     if not sample:
-        return classes.select(F.lit(0).cast("long").alias("shard"), F.lit(0).alias("cluster"), "node", "vec").limit(0)
+        return classes.select(F.lit(0).alias("cluster"), "node", "vec")
     pool = np.array([r.vec for r in sample], dtype="float64")
     k = max(1, min(MOST_CENTROIDS, len(pool), total // MEAN_ROWS))
-    cents = centroids_of(pool, k)
-    held = spark.sparkContext.broadcast(cents)
+    held = spark.sparkContext.broadcast(centroids_of(pool, k))
 
     def assign(batches):
         import numpy as np
         c = held.value
         m = min(overlap, len(c))
-        turn = np.random.default_rng(5).normal(size=(c.shape[1], 40))
-        for b in batches:
-            x = matrix(b.column(1))
-            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :m]
-            for j in range(m):
-                side = ((x - c[near[:, j]]) @ turn > 0).astype("int64") @ (1 << np.arange(40, dtype="int64"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(near[:, j].astype("int32")), b.column(0), b.column(1), pa.array(side)],
-                    names=["cluster", "node", "vec", "side"])
-
-    rows = classes.select("node", "vec").mapInArrow(assign, "cluster int, node long, vec array<double>, side long")
-    rows = written(rows, "graph-shards")
-    # one row per cluster; at most MOST_CENTROIDS of them
-    bits = rows.groupBy("cluster").agg(F.count("*").alias("n")).withColumn(
-        "parts", F.lit(1).cast("long") * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(
-            F.log2(F.col("n") / SHARD_ROWS)).cast("double"))).cast("long"))
-    rows = rows.join(F.broadcast(bits.select("cluster", "parts", "n")), "cluster")
-    own = F.pmod(F.col("side"), F.col("parts"))
-    # members that every part of a split cluster shares: about BRIDGES by hash
-    bridge = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit("bridge")), F.col("n")) < BRIDGES)
-    parts = F.when(bridge, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))
-    return rows.withColumn("part", F.explode(parts)).select(
-        (F.col("cluster").cast("long") * (1 << 40) + F.col("part")).alias("shard"), "cluster", "node", "vec")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                near = np.argsort(-(matrix(b.column(1)) @ c.T), axis=1, kind="stable")[:, :m]
+                for j in range(m):
+                    yield pa.RecordBatch.from_arrays([pa.array(near[:, j].astype("int32")), b.column(0), b.column(1)],
+                                                     names=["cluster", "node", "vec"])
+
+    rows = classes.select("node", "vec").mapInArrow(assign, "cluster int, node long, vec array<double>")
+    return written(rows, "graph-shards")
 
 
 def build(shards: DataFrame) -> DataFrame:
-    """(node, adjacent array<long>): the united adjacency lists."""
+    """(node, adjacent array<long>): adjacency lists, closest first, one for
+    each shard of a node."""
 
     def graph(t: pa.Table) -> pa.Table:
         import numpy as np
@@ -201,36 +186,48 @@ def build(shards: DataFrame) -> DataFrame:
         return pa.table({"node": nodes, "adjacent": pa.ListArray.from_arrays(
             pa.array(cuts), pa.array(nodes[adj[keep]], pa.int64()))})
 
-    lists = shards.groupBy("shard").applyInArrow(graph, "node long, adjacent array<long>")
-    # a node is in a bounded number of shards: its lists stay short
-    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent"))
+    size = shards.groupBy("cluster").agg(F.count("*").alias("n"))       # one row per cluster
+    parts = F.ceil(F.col("n") / SHARD_ROWS).cast("long")
+    # members that every part of a large shard shares: about BRIDGES by hash
+    bridge = (parts > 1) & (F.pmod(F.xxhash64("node", F.lit("bridge")), F.col("n")) < BRIDGES)
+    part = F.when(bridge, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("node", F.lit("part")), parts)))
+    rows = shards.join(F.broadcast(size), "cluster").select("cluster", F.explode(part).alias("part"), "node", "vec")
+    return rows.groupBy("cluster", "part").applyInArrow(graph, "node long, adjacent array<long>")
+
+
+def visitors(shards: DataFrame, graph: DataFrame) -> DataFrame:
+    """(cluster, node, vec): the shards that walks lead nodes to - those of
+    their closest neighbours in the united lists - and that are not their own."""
+    steps = graph.select(F.col("node").alias("walker"), F.explode(F.slice("adjacent", 1, WALK)).alias("node")).distinct()
+    places = shards.select("cluster", "node")
+    led = steps.join(places, "node").select("cluster", F.col("walker").alias("node")).distinct()
+    led = led.join(places, ["cluster", "node"], "left_anti")
+    return led.join(shards.select("node", "vec").dropDuplicates(["node"]), "node").select("cluster", "node", "vec")
 
 
-def search(shards: DataFrame, graph: DataFrame, cosine: float) -> DataFrame:
-    """(a, b): each member of a shard with the smallest member that verified
-    pairs connect it to there."""
+def search(shards: DataFrame, cosine: float) -> DataFrame:
+    """(a, b): each member of a block with the smallest member that pairs in
+    range connect it to there, from (cluster, node, vec, guest).  Every member
+    of a shard shares a block with every other and with every guest."""
 
     def find(t: pa.Table) -> pa.Table:
         import numpy as np
         order = np.argsort(np.asarray(t.column("node")), kind="stable")
         nodes, x = np.asarray(t.column("node"))[order], matrix(t.column("vec"))[order]
-        sim = x @ x.T
-        lists = t.column("adjacent").to_pylist()
-        wide = max(1, max(map(len, lists)))
-        adj = np.full((len(nodes), wide), -1, dtype="int32")
-        for i, j in enumerate(order):
-            own = np.asarray(lists[j], dtype="int64")
-            at = np.searchsorted(nodes, own)
-            at[at == len(nodes)] = 0
-            own = at[nodes[at] == own]
-            adj[i, :len(own)] = own
-        medoid = int(np.argmax(sim.sum(axis=1)))
-        found = roots(range_search(sim, adj, medoid, cosine))
+        found = roots(x @ x.T >= cosine)
         other = found != np.arange(len(nodes))
         return pa.table({"a": nodes[other], "b": nodes[found[other]]})
 
-    both = shards.join(graph, "node").select("shard", "node", "vec", "adjacent")
-    return both.groupBy("shard").applyInArrow(find, "a long, b long")
+    one = lambda flag: F.ceil(F.sum(F.when(flag, 1).otherwise(0)) / CHUNK).cast("long")
+    size = shards.groupBy("cluster").agg(one(~F.col("guest")).alias("own"), one(F.col("guest")).alias("guests"))
+    chunk = F.when(F.col("guest"), F.col("own") + F.pmod(F.xxhash64("node"), F.col("guests"))).otherwise(
+        F.pmod(F.xxhash64("node"), F.col("own")))
+    last = F.when(F.col("guest"), F.col("own")).otherwise(F.col("own") + F.col("guests")) - 1
+    rows = shards.join(F.broadcast(size), "cluster").select(               # one row per cluster
+        "cluster", chunk.alias("chunk"), "node", "vec", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    rows = rows.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "vec")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(find, "a long, b long")
 
 
 def counted(members: DataFrame, cosine: float) -> DataFrame:
@@ -313,8 +310,10 @@ def links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vecto
     classes = written(classes.select("node", "raw", "times", "smallest",
                                      F.transform("raw", lambda x: x / F.col("norm")).alias("vec")), "graph-classes")
     for overlap in range(OVERLAP, OVERLAP + 4):
-        shards = shard_rows(classes, overlap)
-        found = components(written(search(shards, build(shards), cosine), "graph-found"))
+        own = shard_rows(classes, overlap)
+        shards = written(own.withColumn("guest", F.lit(False)).unionByName(
+            visitors(own, build(own)).withColumn("guest", F.lit(True))), "graph-visits")
+        found = components(written(search(shards, cosine), "graph-found"))
         comp = classes.join(found, "node", "left").select(
             "node", "times", "smallest", "vec", F.coalesce("component", "node").alias("component"))
         comp = written(comp, "graph-components")

@@ -73,3 +73,27 @@ def test_search_recall_of_the_graph_alone():
     assert (adj >= 0).sum(axis=1).max() <= vg.DEGREE
     got = vg.range_search(sim, adj, int(np.argmax(sim.sum(axis=1))), 0.9)
     assert (got & (sim >= 0.9)).sum() >= 0.97 * (sim >= 0.9).sum() and not (got & (sim < 0.9)).any()
+
+
+def unit(rows):
+    x = np.asarray(rows, float)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_all_pairs_of_a_large_shard_and_of_its_visitors_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vg, "CHUNK", 16)
+    r = np.random.default_rng(4)
+    x = unit(r.normal(size=(120, 16)))
+    x = unit(np.concatenate([x, x + r.normal(size=x.shape) * 0.03]))      # 120 isolated pairs
+    shards = spark.createDataFrame([(7, i, v.tolist(), i >= 200) for i, v in enumerate(x)],
+                                   "cluster int, node long, vec array<double>, guest boolean")
+    got = {(r.a, r.b) for r in vg.search(shards, 0.9).collect()}
+    assert got == {(i + 120, i) for i in range(120)}
+
+
+def test_walks_leave_the_shard(spark):
+    x = unit(np.random.default_rng(5).normal(size=(6, 8))).tolist()
+    shards = spark.createDataFrame([(0, 1, x[1]), (0, 2, x[2]), (1, 2, x[2]), (1, 3, x[3])],
+                                   "cluster int, node long, vec array<double>")
+    got = {(r.cluster, r.node) for r in vg.visitors(shards, vg.build(shards)).collect()}
+    assert got == {(1, 1), (0, 3)}
