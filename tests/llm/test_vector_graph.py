@@ -97,3 +97,14 @@ def test_walks_leave_the_shard(spark):
                                    "cluster int, node long, vec array<double>")
     got = {(r.cluster, r.node) for r in vg.visitors(shards, vg.build(shards)).collect()}
     assert got == {(1, 1), (0, 3)}
+
+
+def test_audit_counts_each_linked_class_and_sees_a_lost_pair(spark):
+    r = np.random.default_rng(6)
+    group = unit(r.normal(size=16) + r.normal(size=(50, 16)) * 0.01)
+    alone = unit(r.normal(size=(2, 16)))
+    x = np.concatenate([group, alone, unit(alone + r.normal(size=(2, 16)) * 0.01)])
+    classes = spark.createDataFrame([(i, v.tolist(), 100, i in (0, 50, 51)) for i, v in enumerate(x)],
+                                    "node long, vec array<double>, times long, asked boolean")
+    links = spark.createDataFrame([(0, 4900), (51, 100)], "node long, others long")     # 50 has lost its only link
+    assert vg.audit(classes, links, 0.9) == pytest.approx(2 / 3)
