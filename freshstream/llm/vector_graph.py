@@ -2,7 +2,8 @@
 
 1. Equal vectors become one class with a multiplicity, so exact copies are
    never paired.  Classes are assigned to the ``OVERLAP`` nearest of the
-   centroids fitted on a bounded sample; that makes overlapping shards.
+   centroids; that makes overlapping shards.  The number of centroids, and of
+   the sample they are fitted on, grows with the root of the table.
 2. Each shard builds its part of the graph: neighbours by cosine, robustly
    pruned (a neighbour is dropped if a kept one is closer to it than the node
    is, by the factor ``ALPHA``).  Only here is a shard beyond ``SHARD_ROWS``
@@ -19,7 +20,8 @@
 5. Audit: the link counts of all classes that hold a vec_id divisible by
    ``EVERY`` are taken by brute force against all rows, in blocks; recall is
    the mean over those that have links.  Below ``RECALL`` the graph is built
-   anew with one more shard per vector.
+   anew with one more shard per vector; if the last build fails too, all
+   classes are compared with all (exact, quadratic, in blocks over tasks).
 
 Edge cases: vectors that are NULL, zero, hold NULL or non-finite numbers, or
 have another length than the most frequent one link with nothing: n_links 0,
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-OVERLAP, SAMPLE, MEAN_ROWS, MOST_CENTROIDS = 2, 16_384, 400, 1024
+OVERLAP, MOST_OVERLAP, SAMPLE, MEAN_ROWS, MOST_CENTROIDS = 2, 5, 16_384, 400, 1024
 SHARD_ROWS, BRIDGES = 1200, 64
 DEGREE, ALPHA, BEAM, STEPS, WALK = 24, 1.2, 12, 40, 3
 CHUNK, SMALL = 1024, 128
@@ -150,12 +152,14 @@ def shard_rows(classes: DataFrame, overlap: int) -> DataFrame:
     import numpy as np
     spark = classes.sparkSession
     total = classes.count()
-    share = min(1.0, SAMPLE / max(1, total))
+    # both grow with the root of the table
+    most = max(MOST_CENTROIDS, int(total ** 0.5))
+    share = min(1.0, max(SAMPLE, 8 * most) / max(1, total))
     sample = classes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("vec").collect()
     if not sample:
         return classes.select(F.lit(0).alias("cluster"), "node", "vec")
     pool = np.array([r.vec for r in sample], dtype="float64")
-    k = max(1, min(MOST_CENTROIDS, len(pool), total // MEAN_ROWS))
+    k = max(1, min(most, len(pool), total // MEAN_ROWS))
     held = spark.sparkContext.broadcast(centroids_of(pool, k))
 
     def assign(batches):
@@ -324,16 +328,20 @@ def links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vecto
                .withColumn("node", F.monotonically_increasing_id()))
     classes = written(classes.select("node", "raw", "times", "smallest", "asked",
                                      F.transform("raw", lambda x: x / F.col("norm")).alias("vec")), "graph-classes")
-    for overlap in range(OVERLAP, OVERLAP + 4):
-        own = shard_rows(classes, overlap)
-        shards = written(own.withColumn("guest", F.lit(False)).unionByName(
-            visitors(own, build(own)).withColumn("guest", F.lit(True))), "graph-visits")
+    for overlap in range(OVERLAP, MOST_OVERLAP + 2):
+        exact = overlap > MOST_OVERLAP                # no graph met the recall: all with all
+        if exact:
+            shards = classes.select(F.lit(0).alias("cluster"), "node", "vec", F.lit(False).alias("guest"))
+        else:
+            own = shard_rows(classes, overlap)
+            shards = written(own.withColumn("guest", F.lit(False)).unionByName(
+                visitors(own, build(own)).withColumn("guest", F.lit(True))), "graph-visits")
         found = components(written(search(shards, cosine), "graph-found"))
         comp = classes.join(found, "node", "left").select(
             "node", "times", "smallest", "vec", F.coalesce("component", "node").alias("component"))
         comp = written(comp, "graph-components")
         others = written(counted(comp.select("component", "node", "times", "vec"), cosine), "graph-counts")
-        if audit(classes, others, cosine) >= RECALL:
+        if exact or audit(classes, others, cosine) >= RECALL:
             break
     smallest = comp.groupBy("component").agg(F.min("smallest").alias("component_id"))
     named = (comp.select("node", "component").join(smallest, "component").join(others, "node", "left")

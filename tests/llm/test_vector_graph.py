@@ -108,3 +108,13 @@ def test_audit_counts_each_linked_class_and_sees_a_lost_pair(spark):
                                     "node long, vec array<double>, times long, asked boolean")
     links = spark.createDataFrame([(0, 4900), (51, 100)], "node long, others long")     # 50 has lost its only link
     assert vg.audit(classes, links, 0.9) == pytest.approx(2 / 3)
+
+
+def test_failed_audits_end_in_the_exact_comparison(spark, monkeypatch):
+    monkeypatch.setattr(vg, "audit", lambda *a: 0.0)
+    monkeypatch.setattr(vg, "MOST_OVERLAP", vg.OVERLAP)
+    monkeypatch.setattr(vg, "visitors", lambda shards, graph: shards.limit(0))
+    monkeypatch.setattr(vg, "shard_rows", lambda classes, overlap: classes.selectExpr("int(node) AS cluster", "node", "vec"))
+    rows = list(enumerate(groups()))
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert order(vg.links(docs).collect()) == order(brute(rows))
