@@ -48,11 +48,11 @@ GENERATORS = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
     ("email", rf"(?<![{L}])[{L}]{{1,64}}+\x20?(?:\[at\]|\(at\)|\{{at\}}|\x20at\x20|@)\x20?[A-Za-z0-9-]{{1,63}}+"
               r"(?:(?:\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}+){1,4}+"),
-    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9A-Fa-f]{1,4}|(?<=::))(?![0-9A-Za-z])(?!:[0-9A-Fa-f:])"),
     ("card", r"(?<![0-9A-Za-z._/-])[0-9]{4}(?:[._/\x20-]{1,2}[0-9]{4}){3}(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+(.-])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z.-])"),
 ]
-BASE = 4
+BASE, IPV6 = 4, 5
 HINTS = r"(?i)mail|phone|call|tel|fax|mobile|card|visa|pay|ip|host|server|address|contact|reach"
 
 
@@ -69,12 +69,16 @@ def luhn(d: Column) -> Column:
     return F.when(F.length(d).between(12, 19), total % 10 == 0).otherwise(False)
 
 
-def passes(kind: Column, match: Column) -> Column:
-    """The test a base span of its kind has to pass."""
+def passes(g: Column, kind: Column, match: Column) -> Column:
+    """The test of form that a span has to pass: its kind's, but for IPv6 its
+    own (eight groups, or two to seven around one ``::``)."""
     n = F.length(digits(match))
     octets = match.rlike(r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
                          r"(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$")
-    return (F.when(kind == "ip", octets).when(kind == "card", n.between(16, 19) & luhn(digits(match)))
+    group, some = "[0-9A-Fa-f]{1,4}", "(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?"
+    groups = F.size(F.filter(F.split(match, ":"), lambda x: x != ""))
+    six = match.rlike(f"^(?:{group}:){{7}}{group}$") | (match.rlike(f"^{some}::{some}$") & groups.between(2, 7))
+    return (F.when(g == IPV6, six).when(kind == "ip", octets).when(kind == "card", n.between(16, 19) & luhn(digits(match)))
             .when(kind == "phone", n.between(8, 15)).otherwise(True))
 
 
@@ -111,7 +115,7 @@ def spans_of(found: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k, _ in GENERATORS]), F.col("g") + 1)
     return each.select("row", "g", kind.alias("kind"), (F.col("end") - size).alias("start"), "end", "match",
                        "before", "after", (F.col("g") < BASE).alias("base"),
-                       passes(kind, F.col("match")).alias("good"))
+                       passes(F.col("g"), kind, F.col("match")).alias("good"))
 
 
 def with_features(spans: DataFrame) -> tuple[DataFrame, list[str]]:

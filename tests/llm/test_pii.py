@@ -80,3 +80,11 @@ def test_redact(spark):
     got = {r.row: r for r in pii.redact(docs).collect()}
     assert got[1].text == "é [EMAIL], [PHONE]!" and got[1].kind == "s" and got[1].cands == 3
     assert got[2].text is None and got[3].text == "none 👍"
+
+
+def test_ipv6_has_its_own_test_of_form(spark):
+    good = ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80:1:2:3:4:5:6:7", "2001:db8::1", "fe80::1ff:fe23:4567:890a"]
+    bad = ["00:1A:2B:3C:4D:5E", "12:30:45", "1:2:3:4:5:6:7", "::", "1.2.3.4"]
+    docs = spark.createDataFrame([(i, f"host {a}: up, {a}.") for i, a in enumerate(good + bad)], "row long, text string")
+    got = pii.spans_of(pii.proposals(docs, docs.text, ["row"])).where("g = 5 AND good").collect()
+    assert sorted((r.row, r.match) for r in got) == [(i, a) for i, a in enumerate(good) for _ in "12"]
