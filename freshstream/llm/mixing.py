@@ -1,7 +1,8 @@
 """Mixing sources to target weights by temperature.
 
 Token shares of the sources are raised to a power (1 / temperature) and
-normalised; a smaller power is flatter.  The power is found by bisection - in
+normalised; a power below 1 is flatter, one above 1 is steeper (for sources
+whose own entropy is beyond the target).  The power is found by bisection - in
 each pass one aggregate over the per-source table evaluates a whole grid of
 powers and keeps the bracket - so that the weights' entropy reaches
 ``target_entropy`` (a share of the largest possible, log of the number of
@@ -40,6 +41,7 @@ BLOCK_ROWS = 128
 SUPER = 1024
 GRID = 64
 PASSES = 5
+MOST_DOUBLES = 40            # up to powers of 2 ** 39
 
 
 def token_count(text):
@@ -63,28 +65,53 @@ def curve(shares: DataFrame, budget_ratio: float, low: float, high: float) -> li
     """Entropy (share of the largest) and largest repetition of GRID + 1 powers."""
     powers = F.array(*[F.lit(low + (high - low) * i / GRID) for i in range(GRID + 1)])
     each = shares.select("share", F.explode(powers).alias("power"))
-    each = each.withColumn("w", F.pow("share", "power"))
+    # relative to the largest share: no sum of weights underflows at large powers
+    top = F.lit(shares.agg(F.max("share").alias("m")).first().m or 1.0)
+    each = each.withColumn("share", F.col("share") / top).withColumn("w", F.pow("share", "power"))
+    budget_ratio = F.lit(budget_ratio) / top
     rows = each.groupBy("power").agg(
         F.sum("w").alias("z"), F.sum(F.col("w") * F.log("share")).alias("wl"), F.count("*").alias("n"),
-        F.max(F.col("w") / F.col("share")).alias("most"))
+        (F.max(F.col("w") / F.col("share")) * budget_ratio / F.sum("w")).alias("repeats"))
     out = []
     for r in rows.orderBy("power").collect():             # GRID + 1 rows
         import math
         entropy = math.log(r.z) - r.power * r.wl / r.z
-        out.append((r.power, entropy / math.log(r.n) if r.n > 1 else 1.0, budget_ratio * r.most / r.z))
+        out.append((r.power, entropy / math.log(r.n) if r.n > 1 else 1.0, r.repeats))
     return out
 
 
 def temperature(shares: DataFrame, target_entropy: float, max_repeats: float, budget_ratio: float) -> float:
-    """The smallest power in [0, 1] that is at or below the target entropy
-    and within the repetition limit; 1 (the sources' own shares) if none is."""
-    low, high = 0.0, 1.0
-    for _ in range(PASSES):
+    """The smallest power that is at or below the target entropy and within
+    the repetition limit.  If none is (the limit forbids so steep a mix, or
+    shares are equal, so no power changes them), the steepest one from 1 up
+    that is within the limit; 1 (the sources' own shares) if that is beyond it."""
+    low, high, reach, kind = 0.0, 1.0, 1.0, None
+    fine = lambda h, rep: h <= target_entropy + 1e-12 and rep <= max_repeats + 1e-12
+    for _ in range(MOST_DOUBLES):
         points = curve(shares, budget_ratio, low, high)
         if not points:
             return 1.0
-        ok = [p for p, h, rep in points if h <= target_entropy + 1e-12 and rep <= max_repeats + 1e-12]
-        high = min(ok, default=high)
+        if any(fine(h, rep) for _, h, rep in points):
+            kind = fine
+            break
+        if points[-1][2] > max_repeats + 1e-12:      # the limit binds between here and there
+            break
+        low, high, reach = high, 2 * high, high
+        if points[-1][1] >= points[0][1] and points[-1][0] > 1:      # equal shares: a power does nothing
+            return 1.0
+    if kind is None:                                  # steepest power within the limit
+        low, high = reach, max(high, reach)
+        for _ in range(PASSES):
+            points = curve(shares, budget_ratio, low, high)
+            within = [p for p, _, rep in points if rep <= max_repeats + 1e-12]
+            low = max(within, default=low)
+            high = min((p for p, _, _ in points if p > low), default=high)
+            if not within or low == points[-1][0]:
+                break
+        return low
+    for _ in range(PASSES):
+        points = curve(shares, budget_ratio, low, high)
+        high = min((p for p, h, rep in points if fine(h, rep)), default=high)
         low = max((p for p, _, _ in points if p < high), default=low)
         if high == points[0][0]:
             break
@@ -99,8 +126,9 @@ def weights(per_source: DataFrame, target_entropy: float = 0.9, max_repeats: flo
         return per_source.where("false").selectExpr("source", "docs", "tokens", "0D share", "0D weight", "0D quota")
     shares = per_source.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total)))
     power = temperature(shares, target_entropy, max_repeats, budget_ratio)
-    z = shares.agg(F.sum(F.pow("share", F.lit(power))).alias("z")).first().z
-    return (shares.withColumn("weight", F.pow("share", F.lit(power)) / F.lit(z))
+    top = F.lit(shares.agg(F.max("share").alias("m")).first().m)
+    z = shares.agg(F.sum(F.pow(F.col("share") / top, F.lit(power))).alias("z")).first().z
+    return (shares.withColumn("weight", F.pow(F.col("share") / top, F.lit(power)) / F.lit(z))
             .withColumn("quota", F.col("weight") * F.lit(float(total) * budget_ratio)))
 
 

@@ -83,3 +83,16 @@ def test_token_count(spark):
     texts = [(None, 0), ("", 0), (" ", 0), ("a", 1), (" a\t\nb ", 2), ("é b", 2), ("x\u00a0y", 1)]
     df = spark.createDataFrame(texts, "text string, n long")
     assert all(r.c == r.n for r in df.select("n", mixing.token_count(df.text).alias("c")).collect())
+
+
+def test_default_target_is_met_where_sources_are_even(spark):
+    per = spark.createDataFrame([(f"s{i}", 10, 1000 + 10 * i) for i in range(20)], "source string, docs long, tokens long")
+    h = lambda w: -sum(r.weight * math.log(r.weight) for r in w if r.weight) / math.log(20)
+    w = mixing.weights(per, max_repeats=50.0).collect()
+    assert abs(h(w) - 0.9) < 1e-6 and max(r.quota / r.tokens for r in w) <= 50
+    # here the default limit of repetitions binds first
+    w = mixing.weights(per, target_entropy=0.5).collect()
+    assert 0.5 < h(w) < 0.99 and max(r.quota / r.tokens for r in w) == pytest.approx(4.0, abs=1e-3)
+    # equal sources: no power changes them
+    per = spark.createDataFrame([(f"s{i}", 10, 1000) for i in range(20)], "source string, docs long, tokens long")
+    assert [r.quota for r in mixing.weights(per).collect()] == pytest.approx([1000.0] * 20)
