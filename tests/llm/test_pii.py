@@ -88,3 +88,15 @@ def test_ipv6_has_its_own_test_of_form(spark):
     docs = spark.createDataFrame([(i, f"host {a}: up, {a}.") for i, a in enumerate(good + bad)], "row long, text string")
     got = pii.spans_of(pii.proposals(docs, docs.text, ["row"])).where("g = 5 AND good").collect()
     assert sorted((r.row, r.match) for r in got) == [(i, a) for i, a in enumerate(good) for _ in "12"]
+
+
+def test_looser_spans_are_judged_by_evidence_not_by_form_alone(spark):
+    clean = ["we arrived at 10.30 sharp", "look at site.Then go", "they stay at home.We do not", "use face::cafe here",
+             "order 212 555 1234 is late"]
+    private = [("mail joe.smith [at] mail [dot] org now", "email:5:34"), ("contact ann at site dot com", "email:8:27"),
+               ("host 2001:db8:1::8a2e:7334 is up", "ip:5:26"), ("call (212) 555-1234 now", "phone:5:19")]
+    docs = spark.createDataFrame(list(enumerate(clean + [t for t, _ in private])), "doc_id long, text string")
+    got = [r.spans for r in pii.find(docs).orderBy("doc_id").collect()]
+    assert got == [""] * len(clean) + [want for _, want in private]
+    texts = [r.text for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert texts[:len(clean)] == clean and all("[" + w.split(":")[0].upper() + "]" in t for t, (_, w) in zip(texts[len(clean):], private))
