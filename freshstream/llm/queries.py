@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_semantics, fresh_dir
-from .common import table
+from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,29 @@ def op3(spark, sf_dir):
     from .pii import KINDS, find
     out = find(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.col("base"), 256).alias("base_sha256"), "spans")
+
+
+@query("op11_repeated_capture")
+def op11(spark, sf_dir):
+    from .fill_in_middle import restore, transform
+    out = transform(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restore(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    from . import conversation_repair as R
+    given = R.conversation_rows(table(spark, sf_dir, "conversations"))
+    rows = R.damage(given)
+    found = written(R.audits(rows), "audits")        # read twice below
+    texts = R.digests(R.repaired(rows, found)).toDF("text_conv", "sha256")
+    convs = given.select("conv_id").distinct()
+    counts = ["gaps", *R.COUNTED, "cost"]
+    return (convs.join(found.withColumnRenamed("conv_id", "found_conv"),
+                       F.col("conv_id").eqNullSafe(F.col("found_conv")), "left")
+            .join(texts, F.col("conv_id").eqNullSafe(F.col("text_conv")), "left")
+            .select("conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
