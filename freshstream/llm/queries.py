@@ -145,3 +145,10 @@ def op12(spark, sf_dir):
             .select("conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
                     F.coalesce("audit", F.lit("")).alias("audit"),
                     F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
+@query("op13_hashed_ratio")
+def op13(spark, sf_dir):
+    from .quality_rules import judge
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
