@@ -17,6 +17,7 @@ from ..sources import event_log as EL
 from ..streaming import maintained as M
 from ..streaming import runner
 from ..tables import keyed as K
+from ..tables.bucketed import BucketedTable
 from .registry import DAMAGED_CTE, register, with_txn
 
 # At least this many micro-batches per replay, and one per CHUNK_BYTES of input.
@@ -224,37 +225,54 @@ def _upsert_table(spark, sf_dir, name="pk"):
                    kind="redelivered", keep_position=True)
 
 
-def primary_key_table(spark, sf_dir):
-    """Primary-key table on event_id, last write (by arrival) wins.
+def primary_key_table(spark, sf_dir, kind="redelivered", name="pk"):
+    """Primary-key table on event_id, last write (by arrival) wins: 8 hash
+    buckets (``tables.bucketed``).
 
-    Written as append-only deltas.  Half-way through the feed a compaction
-    folds the deltas into a hash-bucketed base (8 buckets on event_id) while
-    the stream then continues on its checkpoint; the read is base + newer
-    deltas (``read_latest``: only the deltas are shuffled)."""
-    log, path = fresh_dir(spark, "log-pk"), fresh_dir(spark, "pk")
-    segs = feed(spark, sf_dir, "redelivered")
+    Stream batches land as deltas.  Half-way through the feed a compaction
+    folds them into the buckets, then the stream goes on from its checkpoint;
+    a read is the buckets plus the newer deltas."""
+    log, path = fresh_dir(spark, f"log-{name}"), fresh_dir(spark, name)
+    segs = feed(spark, sf_dir, kind)
 
     def build():
         return M.typed_stream(spark, log, keep_position=True)
 
     half = len(segs) // 2
     sink = runner.batch_writer(path)
-    ckpt = runner.replay(segs[:half], log, build, "pk", "append", sink)
-    K.compact(spark, path, K.merge_latest("event_id", ("batch_id", "offset")),
-              K.hash_bucket_layout("event_id", 8),
-              reader=lambda sp, p, n: K.read_latest(sp, p, "event_id", ("batch_id", "offset"), n))
-    runner.replay(segs[half:], log, build, "pk", "append", sink, checkpoint=ckpt,
-                  first_seq=half)
-    return K.read_latest(spark, path, "event_id", ("batch_id", "offset"))
+    ckpt = runner.replay(segs[:half], log, build, name, "append", sink)
+    pk = BucketedTable(spark, path, "event_id", build().schema)
+    pk.compact()
+    runner.replay(segs[half:], log, build, name, "append", sink, checkpoint=ckpt, first_seq=half)
+    return pk
 
 
 @register("upsert_latest", UPSERT_SQL)
 def upsert_latest(spark, sf_dir):
     """The primary-key table's rows."""
-    return primary_key_table(spark, sf_dir).select(
+    return primary_key_table(spark, sf_dir).read().select(
         "event_id", "user_id", "amount", "region", "event_type", "event_time")
 
 
+@register("pk_join", with_txn("""
+SELECT region, count(*) AS rows, CAST(count_if(event_type = 'purchase') AS BIGINT) AS corrected,
+       CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS DECIMAL(22,2)) AS correction
+FROM transactions GROUP BY region"""))
+def pk_join(spark, sf_dir):
+    """Two primary-key tables joined on their key - the one fed once, the one
+    fed at least once with corrections.  Both are compacted, so both sides are
+    bucketed scans and the join needs no exchange."""
+    once, again = (primary_key_table(spark, sf_dir, kind, f"pk-{kind}") for kind in ("clean", "redelivered"))
+    for t in (once, again):
+        t.compact()
+    a = once.read().select("event_id", "region", F.col("amount").alias("first"))
+    b = again.read().select("event_id", F.col("amount").alias("last"))
+    j = a.join(b.hint("merge"), "event_id")
+    return (j.groupBy("region")
+            .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("first") != F.col("last")).alias("corrected"),
+                 F.sum(F.col("last") - F.col("first")).cast("decimal(22,2)").alias("correction")))
+
+
 @register("reconcile_pipelines", with_txn("""
 SELECT CAST(count(*) + count_if(event_type = 'purchase') AS BIGINT) AS append_rows,
        count(*) AS pk_rows, count(*) AS distinct_ids,

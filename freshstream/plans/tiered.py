@@ -191,12 +191,12 @@ PK_CTE = """pk AS (
 
 def _pk(spark, sf_dir):
     from .streams import primary_key_table
-    return primary_key_table(spark, sf_dir).select(*TYPED)
+    return primary_key_table(spark, sf_dir).read().select(*TYPED)
 
 
 @register("q1_pk", with_txn(_Q1.format(t="pk"), PK_CTE))
 def q1_pk(spark, sf_dir):
-    """Q1 on the primary-key table: base plus newer deltas, last write wins."""
+    """Q1 on the primary-key table: buckets plus newer deltas, last write wins."""
     return R.regional_aggregate(_pk(spark, sf_dir))
 
 
