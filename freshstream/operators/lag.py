@@ -1,30 +1,21 @@
 """Lag and throughput measurements as data jobs.
 
-The reference measures with a polling probe and a metrics dashboard; here
-the same quantities are computed from tables:
-
-  probe_ticks(tick_time, system, query, producer_max_et, result_max_et, duration_s)
-  offset_log(observed_at, group_id, topic, partition, end_offset, committed_offset)
-
-Live, these tables are appended by a ``StreamingQueryListener`` (see
-``streaming.listener``).  In replays they are derived from the event table
-with deterministic rules (below), so every measurement has an exact oracle.
-
-Scale: the events are scanned once and reduced to one row per ingest
-*slice* (partial aggregate).  A slice is as wide as every configured delay
-allows - the greatest common divisor of the delays and the one-minute tick -
-so a slice lands in exactly one tick for every delay, and the fan-out to
-the measured series is applied to slices, not events.  Running maxima /
-counts over time are then two-level scans (``operators.scan``): within
-(series, day) groups, plus a carry over one row per (series, day) - no task
-holds the whole time axis.
+Measured quantities come as tables:
+
+  ticks(tick, observed_at, system, query, producer_max_et, result_max_et, duration_s)
+  offsets(tick, observed_at, group_id, topic, partition, end_offset, committed_offset)
+
+recorded from a running pipeline (``streaming.measure``).  Freshness and produce
+rate over time need no measurement: they follow from the events' own ingest
+times.  Those are scanned once and reduced to one row per minute (partial
+aggregate); running maxima and counts over minutes are two-level scans
+(``operators.scan``): within (series, day) groups, plus a carry over one row per
+(series, day) - no task holds the whole time axis.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import lag_ms, minute_start
@@ -32,76 +23,18 @@ from .scan import running, running_many, suffix_min_from
 from ..session import materialize
 from ..schema import HISTOGRAM_BOUNDS, TOPIC_PARTITIONS
 
-# Replay rules (fixed): result delay of each measured system / query, ms.
-SYSTEM_DELAY_MS = {"stream": 0, "olap": 1000, "lake": 120000}
-QUERY_DELAY_MS = {"qa": 60000, "qb": 0, "qc": 0}
-CONSUMER_DELAY_MS = 30000
-CONSUMER_GROUP = "freshstream-consumer"
-TOPIC = "transactions"
-
-
-def _series():
-    return F.array(*[F.struct(F.lit(s).alias("system"), F.lit(q).alias("query"),
-                              F.lit(sd + qd).alias("delay_ms"))
-                     for s, sd in SYSTEM_DELAY_MS.items() for q, qd in QUERY_DELAY_MS.items()])
-
-
-TICK_MS = 60000
-
 
 def _tick(ts):
     """The probe tick that first sees ``ts``: the end of its minute."""
     return minute_start(ts) + F.expr("INTERVAL 1 MINUTE")
 
 
-def slice_ms(*delays_ms: int) -> int:
-    """Widest slice of ingest time that falls into one tick for every delay:
-    slice starts, delays and tick starts are all multiples of it, so
-    ``tick(t + d) == tick(slice_start(t) + d)`` for every ``t`` in a slice."""
-    return math.gcd(TICK_MS, *delays_ms)
-
-
-def _slice_start(ts: Column, width_ms: int) -> Column:
-    w_us = width_ms * 1000
-    return F.timestamp_micros(F.floor(F.unix_micros(ts) / F.lit(w_us)).cast("long") * F.lit(w_us))
-
-
-def probe_ticks(txn: DataFrame) -> DataFrame:
-    """One row per (system, query, tick) at which the result changed.
-
-    producer_max_et: newest event produced by the tick; result_max_et: newest
-    event visible in the system's result (visible = ingest + delay)."""
-    delays = [sd + qd for sd in SYSTEM_DELAY_MS.values() for qd in QUERY_DELAY_MS.values()]
-    width = slice_ms(*delays)
-    slices = (txn.groupBy(_slice_start(F.col("ingest_time"), width).alias("_s"))
-              .agg(F.max("event_time").alias("et"), F.count(F.lit(1)).alias("n")))
-    per_series = slices.select("_s", "et", "n", F.explode(_series()).alias("s"))
-    both = per_series.select(
-        "s.system", "s.query", "et", "n",
-        F.explode(F.array(
-            F.struct(F.lit("R").alias("kind"),
-                     _tick(F.timestamp_add("MILLISECOND", F.col("s.delay_ms"), F.col("_s")))
-                     .alias("tick_time")),
-            F.struct(F.lit("P").alias("kind"), _tick(F.col("_s")).alias("tick_time")))
-        ).alias("k"))
-    minute = (both.groupBy("system", "query", F.col("k.tick_time").alias("tick_time"),
-                           F.col("k.kind").alias("kind"))
-              .agg(F.max("et").alias("et"), F.sum("n").alias("n")))
-    # small (series x ticks); written once so the events are scanned once
-    minute = materialize(minute)
-    ran = running_many(minute, ["system", "query"], "tick_time", [
-        ("producer_max_et", F.when(F.col("kind") == "P", F.col("et")), "max"),
-        ("result_max_et", F.when(F.col("kind") == "R", F.col("et")), "max")])
-    return (ran.where(F.col("kind") == "R")
-            .select("tick_time", "system", "query", "producer_max_et", "result_max_et",
-                    (F.col("n") / F.lit(1000.0)).alias("duration_s")))
-
-
 def system_lag(ticks: DataFrame) -> DataFrame:
-    """producer_max - result_max per (system, query): current, mean, max."""
+    """producer_max - result_max per (system, query): current, mean, max.
+    Ticks at which a system shows no result have no lag."""
     lagged = ticks.withColumn("lag_ms", lag_ms(F.col("result_max_et"), F.col("producer_max_et")))
-    return (lagged.groupBy("system", "query")
-            .agg(F.max_by("lag_ms", "tick_time").alias("current_lag_ms"),
+    return (lagged.where(F.col("lag_ms").isNotNull()).groupBy("system", "query")
+            .agg(F.max_by("lag_ms", "tick").alias("current_lag_ms"),
                  F.avg("lag_ms").alias("avg_lag_ms"),
                  F.max("lag_ms").alias("max_lag_ms"),
                  F.count(F.lit(1)).alias("ticks")))
@@ -128,27 +61,13 @@ def freshness_series(txn: DataFrame) -> DataFrame:
                         lag_ms(F.col("newest_event_time"), F.col("tick_time"))))
 
 
-def offset_log(txn: DataFrame) -> DataFrame:
-    """Per topic partition and tick: log end offset and the consumer group's
-    committed offset (messages consumed = ingest + consumer delay)."""
+def end_offsets(txn: DataFrame) -> DataFrame:
+    """Per topic partition and minute of ingest: the log's end offset."""
     part = F.pmod(F.col("user_id"), F.lit(TOPIC_PARTITIONS)).cast("int")
-    width = slice_ms(CONSUMER_DELAY_MS)
-    slices = (txn.groupBy(part.alias("partition"),
-                          _slice_start(F.col("ingest_time"), width).alias("_s"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    both = slices.select("partition", F.explode(F.array(
-        F.struct(_tick(F.col("_s")).alias("t"), F.col("n").alias("p"),
-                 F.lit(0).cast("long").alias("c")),
-        F.struct(_tick(F.timestamp_add("MILLISECOND", F.lit(CONSUMER_DELAY_MS), F.col("_s")))
-                 .alias("t"), F.lit(0).cast("long").alias("p"), F.col("n").alias("c"))
-    )).alias("o"))
-    per_min = (both.groupBy("partition", F.col("o.t").alias("t"))
-               .agg(F.sum("o.p").alias("p"), F.sum("o.c").alias("c")))
-    ran = running_many(materialize(per_min), ["partition"], "t", [
-        ("end_offset", F.col("p"), "sum"), ("committed_offset", F.col("c"), "sum")])
-    return ran.select(
-        F.col("t").alias("observed_at"), F.lit(CONSUMER_GROUP).alias("group_id"),
-        F.lit(TOPIC).alias("topic"), "partition", "end_offset", "committed_offset")
+    per_min = (txn.groupBy(part.alias("partition"), _tick(F.col("ingest_time")).alias("t"))
+               .agg(F.count(F.lit(1)).alias("p")))
+    ran = running_many(materialize(per_min), ["partition"], "t", [("end_offset", F.col("p"), "sum")])
+    return ran.select(F.col("t").alias("observed_at"), "partition", "end_offset")
 
 
 def produce_rate(offsets: DataFrame) -> DataFrame:
@@ -180,10 +99,10 @@ def produce_rate(offsets: DataFrame) -> DataFrame:
 
 def consumer_lag(offsets: DataFrame) -> DataFrame:
     """Newest observation per partition: end - committed; rolled up to the
-    total of each topic (partition NULL); end_offset there is the topic's size
-    in messages."""
+    total of each group and topic (partition NULL); end_offset there is the
+    topic's size in messages."""
     newest = (offsets.groupBy("group_id", "topic", "partition")
-              .agg(F.max_by(F.struct("end_offset", "committed_offset"), "observed_at").alias("o")))
+              .agg(F.max_by(F.struct("end_offset", "committed_offset"), "tick").alias("o")))
     lagged = newest.select("group_id", "topic", "partition", "o.end_offset",
                            "o.committed_offset",
                            (F.col("o.end_offset") - F.col("o.committed_offset")).alias("lag"))
@@ -194,19 +113,6 @@ def consumer_lag(offsets: DataFrame) -> DataFrame:
             .where(F.col("topic").isNotNull()))
 
 
-def measured_latency(results: DataFrame, window_seconds: int = 60) -> DataFrame:
-    """Latency of results that carry the instant their sink wrote them
-    (``emitted_at``): per region, the windows, and from the windows' ends and
-    newest events to that instant, in milliseconds."""
-    closed = F.col("window_start") + F.expr(f"INTERVAL {window_seconds} SECONDS")
-    each = results.select("region", lag_ms(closed, F.col("emitted_at")).alias("final"),
-                          lag_ms(F.col("max_event_time"), F.col("emitted_at")).alias("result"))
-    return each.groupBy("region").agg(
-        F.count(F.lit(1)).alias("windows"), F.min("final").alias("min_finalization_ms"),
-        F.max("final").alias("max_finalization_ms"), F.avg("result").alias("avg_result_latency_ms"),
-        F.max("result").alias("max_result_latency_ms"))
-
-
 def window_finalization(txn: DataFrame, delay_minutes: int = 1) -> DataFrame:
     """When each 1-minute event-time window could close: the arrival of the
     first row at or past window_end + delay (that row moves the watermark

@@ -6,48 +6,36 @@ from pyspark.sql import functions as F
 
 from ..functions.time import lag_ms
 from ..operators import lag as G
-from ..schema import transactions
+from ..schema import table, transactions, transactions_from_events
+from ..session import work_root
+from ..sources import event_log as EL
+from ..streaming import measure
 from .registry import register, with_txn
 
-# DuckDB forms of the replay rules in ``operators.lag``.
-SERIES_CTE = """series AS (
-  SELECT * FROM (VALUES ('stream','qa',60000),('stream','qb',0),('stream','qc',0),
-                        ('olap','qa',61000),('olap','qb',1000),('olap','qc',1000),
-                        ('lake','qa',180000),('lake','qb',120000),('lake','qc',120000))
-         AS s(system, query, delay_ms))"""
-TICKS_CTE = """ticks AS (
-  SELECT tick_time, system, query, producer_max_et, result_max_et, n / 1000.0 AS duration_s
-  FROM (SELECT system, query, tick_time, kind, n,
-          max(CASE WHEN kind = 'P' THEN et END) OVER w AS producer_max_et,
-          max(CASE WHEN kind = 'R' THEN et END) OVER w AS result_max_et
-        FROM (SELECT system, query, tick_time, kind, max(event_time) AS et, count(*) AS n
-              FROM (SELECT s.system, s.query,
-                           date_trunc('minute', t.ingest_time + to_milliseconds(s.delay_ms))
-                             + INTERVAL 1 MINUTE AS tick_time, 'R' AS kind, t.event_time
-                    FROM transactions t, series s
-                    UNION ALL
-                    SELECT s.system, s.query,
-                           date_trunc('minute', t.ingest_time) + INTERVAL 1 MINUTE,
-                           'P', t.event_time
-                    FROM transactions t, series s)
-              GROUP BY 1, 2, 3, 4)
-        WINDOW w AS (PARTITION BY system, query ORDER BY tick_time
-                     RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-  WHERE kind = 'R')"""
+# Ticks of the recorded run, as ``measure.record`` makes them: equal spans of
+# event time; a system shows what its last advance (every n-th tick) consumed.
+TICKS = 5
+TICKS_CTE = f"""span AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events),
+cuts AS (SELECT CAST(k AS BIGINT) AS k, make_timestamp((lo + ((hi - lo) * k) // {TICKS}) // 1000 * 1000) AS cut
+         FROM span, range(1, {TICKS}) AS r(k)),
+ticked AS (SELECT t.*, (SELECT count(*) FROM cuts WHERE cut <= t.event_time) AS tick FROM transactions t),
+systems AS (SELECT * FROM (VALUES ('stream', 1), ('partials', 2), ('append', 3)) AS s(system, cadence)),
+shown AS (SELECT i AS tick, system, (i + 1) // cadence * cadence - 1 AS upto
+          FROM range(0, {TICKS}) AS r(i), systems),
+marks AS (SELECT i AS tick, max(event_time) AS mark FROM range(-1, {TICKS}) AS r(i) JOIN ticked ON tick <= i
+          GROUP BY 1),
+ticks AS (
+  SELECT s.tick, s.system, q.query, p.mark AS producer_max_et,
+         (SELECT max(event_time) FROM ticked t WHERE t.tick <= s.upto
+            AND (s.system <> 'stream' OR q.query <> 'qa'
+                 OR date_trunc('minute', event_time) + INTERVAL 1 MINUTE
+                    <= (SELECT mark FROM marks m WHERE m.tick = s.upto) - INTERVAL 1 MINUTE)) AS result_max_et
+  FROM shown s JOIN marks p ON p.tick = s.tick, (VALUES ('qa'), ('qb'), ('qc')) AS q(query))"""
 OFFSETS_CTE = """offsets AS (
-  SELECT t AS observed_at, 'freshstream-consumer' AS group_id, 'transactions' AS topic,
-         partition,
-         CAST(sum(p) OVER w AS BIGINT) AS end_offset,
-         CAST(sum(c) OVER w AS BIGINT) AS committed_offset
-  FROM (SELECT partition, t, sum(p) AS p, sum(c) AS c FROM (
-          SELECT CAST(user_id % 12 AS INTEGER) AS partition,
-                 date_trunc('minute', ingest_time) + INTERVAL 1 MINUTE AS t, 1 AS p, 0 AS c
-          FROM transactions
-          UNION ALL
-          SELECT CAST(user_id % 12 AS INTEGER),
-                 date_trunc('minute', ingest_time + INTERVAL 30 SECOND) + INTERVAL 1 MINUTE,
-                 0, 1
-          FROM transactions) GROUP BY 1, 2)
+  SELECT t AS observed_at, partition, CAST(sum(p) OVER w AS BIGINT) AS end_offset
+  FROM (SELECT CAST(user_id % 12 AS INTEGER) AS partition,
+               date_trunc('minute', ingest_time) + INTERVAL 1 MINUTE AS t, count(*) AS p
+        FROM transactions GROUP BY 1, 2)
   WINDOW w AS (PARTITION BY partition ORDER BY t
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
@@ -56,26 +44,40 @@ def _txn(spark, sf_dir):
     return transactions(spark, sf_dir)
 
 
+_RECORDED: dict = {}
+
+
+def recorded(spark, sf_dir):
+    """The recorded run over the events (``streaming.measure``), once a session
+    and state of the files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/events.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = (sf_dir, spark.sparkContext.applicationId, work_root(spark),
+             fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())
+    if state not in _RECORDED:
+        chunks = EL.time_chunks(table(spark, sf_dir, "events"), TICKS)
+        _RECORDED[state] = measure.record(
+            spark, [EL.records_from_transactions(transactions_from_events(c)) for c in chunks])
+    return _RECORDED[state]
+
+
 @register("system_lag", with_txn("""
-SELECT system, query, arg_max(lag_ms, tick_time) AS current_lag_ms, avg(lag_ms) AS avg_lag_ms,
+SELECT system, query, CAST(arg_max(lag_ms, tick) AS BIGINT) AS current_lag_ms, avg(lag_ms) AS avg_lag_ms,
        max(lag_ms) AS max_lag_ms, count(*) AS ticks
 FROM (SELECT *, date_diff('millisecond', result_max_et, producer_max_et) AS lag_ms FROM ticks)
-GROUP BY 1, 2""", SERIES_CTE, TICKS_CTE))
+WHERE lag_ms IS NOT NULL GROUP BY 1, 2""", TICKS_CTE))
 def system_lag(spark, sf_dir):
-    """producer high mark - result high mark, per (system, query)."""
-    return G.system_lag(G.probe_ticks(_txn(spark, sf_dir)))
+    """Source high mark - newest event of each system's result, per (system,
+    query), over the recorded ticks at which it showed one."""
+    return G.system_lag(measure.ticks(spark, recorded(spark, sf_dir)))
 
 
-@register("probe_histogram", with_txn("""
-SELECT system, query, b.le,
-       CAST(count_if(b.bound IS NULL OR duration_s <= b.bound) AS BIGINT) AS count
-FROM ticks, (VALUES ('0.001', 0.001), ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.025),
-                    ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5),
-                    ('1.0', 1.0), ('2.5', 2.5), ('+Inf', NULL)) AS b(le, bound)
-GROUP BY 1, 2, 3""", SERIES_CTE, TICKS_CTE))
+@register("probe_histogram")
 def probe_histogram(spark, sf_dir):
-    """Cumulative probe-duration histogram per (system, query)."""
-    return G.probe_histogram(G.probe_ticks(_txn(spark, sf_dir)))
+    """Cumulative histogram of the recorded probe durations per (system,
+    query).  Durations are wall time, so there is no oracle over the supplied
+    tables; tests compute it in SQL from the recorded ticks."""
+    return G.probe_histogram(measure.ticks(spark, recorded(spark, sf_dir)))
 
 
 @register("freshness_series", with_txn("""
@@ -100,20 +102,59 @@ FROM (SELECT partition, observed_at,
 WHERE delta_s IS NOT NULL""", OFFSETS_CTE))
 def produce_rate(spark, sf_dir):
     """Messages appended per second, per partition, between observations."""
-    return G.produce_rate(G.offset_log(_txn(spark, sf_dir)))
+    return G.produce_rate(G.end_offsets(_txn(spark, sf_dir)))
 
 
 @register("consumer_lag", with_txn("""
-SELECT group_id, topic, partition, CAST(sum(end_offset) AS BIGINT) AS end_offset,
-       CAST(sum(committed_offset) AS BIGINT) AS committed_offset,
-       CAST(sum(end_offset - committed_offset) AS BIGINT) AS lag
-FROM (SELECT group_id, topic, partition, arg_max(end_offset, observed_at) AS end_offset,
-             arg_max(committed_offset, observed_at) AS committed_offset
-      FROM offsets GROUP BY 1, 2, 3)
-GROUP BY ROLLUP (group_id, topic, partition) HAVING topic IS NOT NULL""", OFFSETS_CTE))
+SELECT group_id, 'transactions' AS topic, partition, CAST(count(user_id) AS BIGINT) AS end_offset,
+       CAST(count_if(tick <= upto) AS BIGINT) AS committed_offset,
+       CAST(count_if(tick > upto) AS BIGINT) AS lag
+FROM (SELECT g.group_id, p.partition, s.upto
+      FROM (VALUES ('stream-qa', 'stream'), ('stream-qb', 'stream'), ('stream-qc', 'stream'),
+                   ('partials', 'partials'), ('append', 'append')) AS g(group_id, system)
+      JOIN shown s ON s.system = g.system AND s.tick = (SELECT max(tick) FROM shown),
+      (SELECT CAST(range AS INTEGER) AS partition FROM range(12)) AS p) gp
+LEFT JOIN ticked t ON t.user_id % 12 = gp.partition
+GROUP BY ROLLUP (group_id, topic, partition) HAVING group_id IS NOT NULL AND topic IS NOT NULL""", TICKS_CTE))
 def consumer_lag(spark, sf_dir):
-    """Consumer lag by partition and for each topic of the group (rollup row)."""
-    return G.consumer_lag(G.offset_log(_txn(spark, sf_dir)))
+    """Consumer lag by partition and for each group (rollup row): messages in
+    the log less messages its batches consumed, as recorded."""
+    return G.consumer_lag(measure.offsets(spark, recorded(spark, sf_dir)))
+
+
+@register("measured_finalization", with_txn("""
+SELECT w AS window_start, region, mark - INTERVAL 1 MINUTE AS watermark,
+       date_diff('millisecond', w + INTERVAL 1 MINUTE, mark - INTERVAL 1 MINUTE) AS finalization_lag_ms
+FROM (SELECT w, region, (SELECT min(mark) FROM marks
+                         WHERE w + INTERVAL 1 MINUTE <= mark - INTERVAL 1 MINUTE) AS mark
+      FROM (SELECT DISTINCT date_trunc('minute', event_time) AS w, region FROM transactions))
+WHERE mark IS NOT NULL""", TICKS_CTE))
+def measured_finalization(spark, sf_dir):
+    """How far event time had run past each closed window when its result was
+    emitted: the watermark of the emitting batch (listener progress), joined
+    to the rows that batch wrote, minus the window's end."""
+    f = measure.finalized(spark, recorded(spark, sf_dir))
+    return f.select("window_start", "region", "watermark",
+                    lag_ms(F.col("window_end"), F.col("watermark")).alias("finalization_lag_ms"))
+
+
+@register("measured_latency", with_txn("""
+SELECT w AS window_start, region, newest AS max_event_time, mark AS producer_max_et,
+       date_diff('millisecond', newest, mark) AS result_latency_ms
+FROM (SELECT w, region, newest, (SELECT min(mark) FROM marks
+                                 WHERE w + INTERVAL 1 MINUTE <= mark - INTERVAL 1 MINUTE) AS mark
+      FROM (SELECT date_trunc('minute', event_time) AS w, region, max(event_time) AS newest
+            FROM transactions GROUP BY 1, 2))
+WHERE mark IS NOT NULL""", TICKS_CTE))
+def measured_latency(spark, sf_dir):
+    """Result latency per result: the source's high mark at the tick that
+    showed a window's result, minus the newest event in it."""
+    root = recorded(spark, sf_dir)
+    marks = measure.ticks(spark, root).where("system = 'stream' AND query = 'qa'").select(
+        "producer_max_et", (F.col("producer_max_et") - F.expr("INTERVAL 1 MINUTE")).alias("watermark")).distinct()
+    rows = measure.finalized(spark, root).join(F.broadcast(marks), "watermark")
+    return rows.select("window_start", "region", "max_event_time", "producer_max_et",
+                       lag_ms(F.col("max_event_time"), F.col("producer_max_et")).alias("result_latency_ms"))
 
 
 FINAL_CTE = """fin AS (

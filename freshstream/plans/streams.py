@@ -113,25 +113,6 @@ def qa_final(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id")
 
 
-@register("measured_finalization", with_txn("""
-SELECT region, count(*) AS windows, true AS all_after_close, true AS ordered
-FROM (SELECT DISTINCT date_trunc('minute', event_time) AS w, region FROM transactions)
-WHERE w + INTERVAL 1 MINUTE <= (SELECT max(event_time) FROM transactions) - INTERVAL 1 MINUTE
-GROUP BY region"""))
-def measured_finalization(spark, sf_dir):
-    """Result latency from stamped results: Q-A's closed windows as the sink
-    wrote them.  The measured milliseconds depend on the run; what is compared
-    is that every closed window was emitted, after its end, and that the
-    figures are consistent."""
-    from ..operators.lag import measured_latency
-    out = _stream(spark, sf_dir, "qa-stamped", "append", lambda t: M.qa_windows(t, "1 minute"),
-                  sink_factory=runner.stamped_writer)
-    return measured_latency(spark.read.parquet(out)).select(
-        "region", "windows", (F.col("min_finalization_ms") >= 0).alias("all_after_close"),
-        ((F.col("max_finalization_ms") >= F.col("min_finalization_ms"))
-         & (F.col("max_result_latency_ms") >= F.col("avg_result_latency_ms"))).alias("ordered"))
-
-
 @register("qa_partial", QA_ALL_SQL)
 def qa_partial(spark, sf_dir):
     """Q-A, update mode: partial results while open; newest per window."""

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.time import format_event_time
 from ..schema import RECORD_SCHEMA, TOPIC_PARTITIONS
@@ -137,12 +138,41 @@ def event_chunks(events: DataFrame, chunks: int) -> list[DataFrame]:
     return out
 
 
-def append_chunk(part: DataFrame, path: str, seq: int, fmt: str = "json") -> str:
+def time_chunks(events: DataFrame, chunks: int) -> list[DataFrame]:
+    """``events`` as ``chunks`` equal spans of the raw ``ts`` column, oldest
+    first (rows without one in the first): bounds are exact (``lo + (hi - lo) * k
+    div chunks``, down to the millisecond), one pass over that column."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(micros), F.max(micros)).first()
+    cuts = [] if lo is None else [(lo + (hi - lo) * k // chunks) // 1000 * 1000 for k in range(1, chunks)]
+    return between(events, cuts, chunks)
+
+
+def between(events: DataFrame, cuts: list[int], chunks: int) -> list[DataFrame]:
+    """The ``chunks`` ranges of ``ts`` between cuts (microseconds)."""
+    kind = events.schema["ts"].dataType
+    edges = [F.timestamp_micros(F.lit(c)).cast(kind) for c in cuts]
+    out, ts = [], F.col("ts")
+    for k in range(chunks):
+        part = events
+        if k and cuts:
+            part = part.where(ts >= edges[k - 1])
+        if k < len(edges):
+            part = part.where((ts < edges[k]) | ts.isNull() if k == 0 else ts < edges[k])
+        out.append(part if cuts or k == 0 else part.limit(0))
+    return out
+
+
+def append_chunk(part: DataFrame, path: str, seq: int, fmt: str = "json",
+                 rows_per_file: int | None = None) -> str:
     """Append one chunk to the log folder, written in parallel by all tasks
-    (files sorted by append time within each task)."""
+    (files sorted by append time within each task).  ``rows_per_file`` bounds a
+    file, so that a consumer's row limit can be counted in files."""
     out = f"{path}/chunk={seq:06d}"
-    part.sortWithinPartitions("timestamp", "offset").write.mode("errorifexists") \
-        .format(fmt).save(out)
+    w = part.sortWithinPartitions("timestamp", "offset").write.mode("errorifexists").format(fmt)
+    if rows_per_file:
+        w = w.option("maxRecordsPerFile", rows_per_file)
+    w.save(out)
     return out
 
 
@@ -158,27 +188,72 @@ def read_log(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
             .option("recursiveFileLookup", "true").load(path))
 
 
+def log_end(spark: SparkSession, path: str) -> int:
+    """Number of the newest complete chunk in the log's listing (-1: none)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/chunk=*")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(s.getPath().getName().split("=")[1]) for s in fs.globStatus(p) or []
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return max(done, default=-1)
+
+
+def start_boundary(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """Where this consumer started: the log's end at its first start, kept in
+    its checkpoint, so a restart does not move it."""
+    from ..session import path_exists
+    kept = f"{checkpoint}/start"
+    if not path_exists(spark, f"{kept}/_SUCCESS"):
+        (spark.range(1).select(F.lit(log_end(spark, path)).cast("long").alias("boundary"))
+         .write.mode("overwrite").parquet(kept))
+    return spark.read.parquet(kept).first()["boundary"]
+
+
 def stream_log(spark: SparkSession, path: str, fmt: str = "json",
                files_per_trigger: int | None = None, start: str = "earliest",
-               start_timestamp=None) -> DataFrame:
-    """Streaming read of a replay log directory.  ``files_per_trigger``
-    bounds the input of one micro-batch; ``start``: ``earliest`` replays
-    everything, ``timestamp`` keeps records at or after ``start_timestamp``
-    (op 2)."""
-    r = (spark.readStream.format(fmt).schema(RECORD_SCHEMA)
-         .option("recursiveFileLookup", "true"))
+               start_timestamp=None, preset: str | None = None, rows_per_file: int | None = None,
+               after_chunk: int | None = None) -> DataFrame:
+    """Streaming read of a replay log directory.
+
+    ``preset`` bounds a micro-batch (``streaming.presets``; ``rows_per_file`` as
+    the log was written), ``files_per_trigger`` does so directly.  ``start``:
+    ``earliest`` replays everything, ``timestamp`` keeps records at or after
+    ``start_timestamp``, ``latest`` reads chunks after ``after_chunk`` only - the
+    ``start_boundary`` of the consumer (partition-pruned: older chunks are
+    listed, not read)."""
+    from ..streaming.presets import PRESETS
+    options = PRESETS[preset].file_options(rows_per_file) if preset else {}
     if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    df = r.load(path)
+        options = {"maxFilesPerTrigger": files_per_trigger}
+    r = spark.readStream.format(fmt).options(**options)
+    if start == "latest":
+        if after_chunk is None:
+            raise ValueError("latest needs the consumer's start boundary (after_chunk)")
+        chunked = StructType(RECORD_SCHEMA.fields[:]).add("chunk", "integer")
+        return (r.schema(chunked).option("basePath", path).load(path)
+                .where(F.col("chunk") > after_chunk).drop("chunk"))
+    df = r.schema(RECORD_SCHEMA).option("recursiveFileLookup", "true").load(path)
     if start == "timestamp" and start_timestamp is not None:
         df = df.where(F.col("timestamp") >= F.lit(start_timestamp).cast("timestamp"))
     return df
 
 
+def read_chunks(spark: SparkSession, path: str, upto: int, fmt: str = "json") -> DataFrame:
+    """Batch read of the chunks up to and including ``upto``."""
+    if upto < 0:
+        return spark.createDataFrame([], RECORD_SCHEMA)
+    chunked = StructType(RECORD_SCHEMA.fields[:]).add("chunk", "integer")
+    return (spark.read.format(fmt).schema(chunked).option("basePath", path).load(path)
+            .where(F.col("chunk") <= upto).drop("chunk"))
+
+
 def kafka_stream(spark: SparkSession, servers: str, topic: str, start: str = "earliest",
-                 **options) -> DataFrame:
+                 preset: str | None = None, **options) -> DataFrame:
     """Live source.  Needs the Kafka connector on the classpath; the output
-    has the same envelope as the replay log."""
+    has the same envelope as the replay log.  ``start`` may be ``earliest`` or
+    ``latest``; ``preset`` sets the limits of a micro-batch."""
+    from ..streaming.presets import PRESETS
+    options = {**(PRESETS[preset].kafka_options() if preset else {}), **options}
     r = (spark.readStream.format("kafka")
          .option("kafka.bootstrap.servers", servers)
          .option("subscribe", topic)

@@ -1,14 +1,15 @@
 """Live measurement feed: streaming progress -> rows of a table.
 
 A ``StreamingQueryListener`` receives every micro-batch's progress on the
-driver (a few hundred bytes each).  Rows are buffered and appended to a
-Parquet table every ``flush_every`` events, so the lag jobs of
-``operators.lag`` can run on live data:
+driver (a few hundred bytes each) and only keeps it in memory; whoever runs
+the queries writes it out with ``flush`` (after a tick, or or from a
+thread of its own), so nothing is written on the listener bus:
 
   progress(query, run_id, batch_id, observed_at, input_rows, input_rows_per_s,
-           processed_rows_per_s, duration_ms, watermark, source, start_offset,
-           end_offset, latest_offset)
+           processed_rows_per_s, duration_ms, watermark, observed, source,
+           start_offset, end_offset, latest_offset)
 
+``observed`` holds the metrics of ``DataFrame.observe`` as JSON.
 ``offset_log_from_progress`` turns topic offsets (JSON ``{topic: {partition:
 offset}}``) into ``offset_log`` rows: ``end_offset`` = the log end
 (latestOffset), ``committed_offset`` = what the batch consumed (endOffset).
@@ -25,15 +26,18 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 PROGRESS_SCHEMA = ("query STRING, run_id STRING, batch_id BIGINT, observed_at STRING, "
                    "input_rows BIGINT, input_rows_per_s DOUBLE, processed_rows_per_s DOUBLE, "
-                   "duration_ms BIGINT, watermark STRING, source STRING, start_offset STRING, "
+                   "duration_ms BIGINT, watermark STRING, observed STRING, source STRING, start_offset STRING, "
                    "end_offset STRING, latest_offset STRING")
+FIELDS = [c.split()[0] for c in PROGRESS_SCHEMA.split(", ")]
 
 
 class ProgressRecorder(StreamingQueryListener):
-    def __init__(self, spark: SparkSession, path: str, flush_every: int = 20):
-        self.spark, self.path, self.flush_every = spark, path, flush_every
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
         self.rows: list[tuple] = []
-        self.lock = threading.Lock()
+        self.ended: set[str] = set()
+        self.change = threading.Condition()
+        self.closing = threading.Event()
 
     def onQueryStarted(self, event):
         pass
@@ -43,28 +47,47 @@ class ProgressRecorder(StreamingQueryListener):
 
     def onQueryProgress(self, event):
         p = json.loads(event.progress.json)
-        for s in p.get("sources", []) or [{}]:
-            row = (p.get("name"), p.get("runId"), p.get("batchId"), p.get("timestamp"),
-                   p.get("numInputRows"), p.get("inputRowsPerSecond"),
-                   p.get("processedRowsPerSecond"),
-                   (p.get("durationMs") or {}).get("triggerExecution"),
-                   (p.get("eventTime") or {}).get("watermark"),
-                   s.get("description"), _text(s.get("startOffset")),
-                   _text(s.get("endOffset")), _text(s.get("latestOffset")))
-            with self.lock:
-                self.rows.append(row)
-        if len(self.rows) >= self.flush_every:
-            self.flush()
+        rows = [(p.get("name"), p.get("runId"), p.get("batchId"), p.get("timestamp"),
+                 p.get("numInputRows"), p.get("inputRowsPerSecond"), p.get("processedRowsPerSecond"),
+                 (p.get("durationMs") or {}).get("triggerExecution"),
+                 (p.get("eventTime") or {}).get("watermark"), _text(p.get("observedMetrics")),
+                 s.get("description"), _text(s.get("startOffset")), _text(s.get("endOffset")),
+                 _text(s.get("latestOffset"))) for s in p.get("sources", []) or [{}]]
+        with self.change:
+            self.rows += rows
 
     def onQueryTerminated(self, event):
-        self.flush()
-
-    def flush(self) -> None:
-        with self.lock:
+        with self.change:
+            self.ended.add(str(event.runId))
+            self.change.notify_all()
+
+    def wait(self, run_id: str, timeout_s: float | None = None) -> bool:
+        """Until all progress of a finished run has arrived (events come on
+        a bus, in order, some time after the fact)."""
+        with self.change:
+            return self.change.wait_for(lambda: run_id in self.ended, timeout_s)
+
+    def flush(self) -> list[dict]:
+        """Append what has arrived to the table; returns it."""
+        with self.change:
             rows, self.rows = self.rows, []
         if rows:
             (self.spark.createDataFrame(rows, PROGRESS_SCHEMA)
              .write.mode("append").parquet(self.path))
+        return [dict(zip(FIELDS, r)) for r in rows]
+
+    def flush_from_thread(self, seconds: float) -> threading.Thread:
+        """For queries that run on: flush from a thread until ``close``."""
+        def run():
+            while not self.closing.wait(seconds):
+                self.flush()
+        t = threading.Thread(target=run, daemon=True)
+        t.start()
+        return t
+
+    def close(self) -> None:
+        self.closing.set()
+        self.flush()
 
 
 def _text(v):

@@ -7,11 +7,8 @@ planned, the commit log says it was not finished) it rewrites the same
 folder, so the table never holds a batch twice.  Checkpoints and tables
 live under the session's ``spark.checkpoint.dir``.
 
-Trigger presets (the reference's latency / throughput knobs):
-  low_latency  processingTime 1 s,  small input per batch
-  balanced     processingTime 5 s
-  throughput   processingTime 30 s, large input per batch
-  replay       availableNow (process what exists, then stop)
+Trigger and admission presets are in ``presets``: the trigger is set here, the
+source's limits where the stream is read (``event_log.stream_log``).
 """
 
 from __future__ import annotations
@@ -22,18 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_dir
-
-PRESETS = {
-    "low_latency": {"trigger": {"processingTime": "1 second"},
-                    "source": {"maxFilesPerTrigger": 1, "maxOffsetsPerTrigger": 10_000}},
-    "balanced": {"trigger": {"processingTime": "5 seconds"},
-                 "source": {"maxFilesPerTrigger": 10, "maxOffsetsPerTrigger": 100_000}},
-    "throughput": {"trigger": {"processingTime": "30 seconds"},
-                   "source": {"maxFilesPerTrigger": 1000, "maxOffsetsPerTrigger": 5_000_000}},
-    "replay": {"trigger": {"availableNow": True}, "source": {}},
-    # next micro-batch as soon as the previous one ends (producer-paced replay)
-    "asap": {"trigger": {"processingTime": "0 seconds"}, "source": {}},
-}
+from .presets import PRESETS
 
 #: Seconds a replayed chunk may take; None: no limit.
 DEFAULT_TIMEOUT_S = None
@@ -84,7 +70,7 @@ def start(df: DataFrame, name: str, mode: str, sink: Callable[[DataFrame, int],
     spark = df.sparkSession
     ckpt = checkpoint or fresh_dir(spark, f"{name}-checkpoint")
     w = (df.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(**PRESETS[preset]["trigger"]))
+         .option("checkpointLocation", ckpt).trigger(**PRESETS[preset].trigger))
     if query_name:
         w = w.queryName(query_name)
     conf = dict(STATE_CONF)
@@ -128,16 +114,6 @@ def _terminated(q, timeout_s: int | None) -> bool:
     return q.awaitTermination(timeout_s)
 
 
-def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """All rows of a batch-keyed table, with their ``batch_id``."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:
-        if schema is None:
-            raise
-        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("int"))
-
-
 def _drain(q, name: str, timeout_s: int | None) -> None:
     """``processAllAvailable`` with a deadline: the wait runs in a helper
     thread; past ``timeout_s`` the query is stopped and TimeoutError raised."""

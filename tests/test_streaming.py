@@ -136,7 +136,7 @@ def test_error_budget_stops_then_resumes(spark, workdir):
 
 def test_progress_listener_and_offset_log(spark, workdir):
     from freshstream.streaming.listener import ProgressRecorder, offset_log_from_progress
-    rec = ProgressRecorder(spark, f"{workdir}/progress", flush_every=1000)
+    rec = ProgressRecorder(spark, f"{workdir}/progress")
     spark.streams.addListener(rec)
     try:
         txn = transactions(spark, SF_SMALL)
