@@ -15,7 +15,7 @@ from ..schema import table, transactions, transactions_from_events
 from ..session import fresh_dir
 from ..sources import event_log as EL
 from ..streaming import maintained as M
-from ..streaming import runner
+from ..streaming import runner, snapshot
 from ..tables import keyed as K
 from ..tables.bucketed import BucketedTable
 from .registry import DAMAGED_CTE, register, with_txn
@@ -317,6 +317,52 @@ def dedup_stream(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id")
 
 
+# middle of the events' time span, where a consumer starts
+MIDDLE_SQL = """middle AS (SELECT make_timestamp((epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2)
+                                     // 1000 * 1000) AS cut FROM events)"""
+
+
+def _started_midway(spark, sf_dir, start):
+    """A consumer started when half of the log is there, stopped, and started
+    again on its checkpoint after the rest has been appended in two steps."""
+    first, last = EL.time_chunks(table(spark, sf_dir, "events"), 2)
+    log, out, ckpt = (fresh_dir(spark, f"{x}-{start}") for x in ("log", "table", "checkpoint"))
+    records = lambda e: EL.records_from_transactions(transactions_from_events(e))
+    EL.append_chunk(records(first), log, 0)
+    later = [last.where(F.col("event_id") % 2 == 0), last.where(F.coalesce(F.col("event_id") % 2 != 0, F.lit(True)))]
+    for seq, part in enumerate([None, *later]):
+        if part is not None:
+            EL.append_chunk(records(part), log, seq)
+        q = snapshot.follow(spark, log, f"from-{start}", M.typed_rows, runner.batch_writer(out), ckpt, start)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(out)
+
+
+@register("snapshot_then_follow", with_txn("""
+SELECT CASE WHEN event_time < cut THEN 'snapshot' ELSE 'follow' END AS phase, region,
+       count(*) AS rows, count(DISTINCT event_id) AS events, CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount
+FROM transactions, middle GROUP BY 1, 2""", MIDDLE_SQL))
+def snapshot_then_follow(spark, sf_dir):
+    """Start position 'full': the log up to the boundary as one batch job,
+    then the stream from there; every event once over the handover."""
+    t = _started_midway(spark, sf_dir, "full")
+    return (t.groupBy(F.when(F.col("batch_id") == snapshot.SNAPSHOT, "snapshot").otherwise("follow").alias("phase"),
+                      "region")
+            .agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("events"),
+                 F.sum("amount").cast("decimal(22,2)").alias("total_amount")))
+
+
+@register("scan_latest", with_txn("""
+SELECT event_id, user_id, amount, region, event_type, event_time FROM transactions, middle
+WHERE event_time >= cut""", MIDDLE_SQL))
+def scan_latest(spark, sf_dir):
+    """Start position 'latest': only what arrives after the consumer started."""
+    return _started_midway(spark, sf_dir, "latest").select(
+        "event_id", "user_id", "amount", "region", "event_type", "event_time")
+
+
 @register("late_rows", with_txn("""
 SELECT event_id, region, event_time FROM transactions
 WHERE event_type = 'signup'

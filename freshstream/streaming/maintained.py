@@ -19,15 +19,22 @@ from . import runner
 AGG_COLUMNS = ("event_count", "total_amount", "max_event_time")
 
 
-def typed_stream(spark: SparkSession, log_path: str, policy: str = "drop",
-                 files_per_trigger: int | None = None, keep_position: bool = False) -> DataFrame:
-    """Replay log -> decoded, typed rows (bad rows dropped by default)."""
-    dec = I.decode_json(EL.stream_log(spark, log_path, files_per_trigger=files_per_trigger))
+def typed_rows(records: DataFrame, keep_position: bool = False, decode=I.decode_json) -> DataFrame:
+    """Log records (batch or stream) -> typed rows; bad rows dropped.  ``decode``
+    reads the message format (``decode_json``, ``decode_csv``)."""
+    dec = decode(records)
     good = dec.where(~F.col("status").isin(*I.BAD))
     cols = list(I.TYPED_COLUMNS) + (["partition", "offset"] if keep_position else [])
     return good.select(*cols)
 
 
+def typed_stream(spark: SparkSession, log_path: str, files_per_trigger: int | None = None,
+                 keep_position: bool = False, decode=I.decode_json, **source) -> DataFrame:
+    """Replay log -> decoded, typed rows; ``source``: options of ``stream_log``."""
+    return typed_rows(EL.stream_log(spark, log_path, files_per_trigger=files_per_trigger, **source),
+                      keep_position, decode)
+
+
 def _aggs():
     return [F.count(F.lit(1)).alias("event_count"),
             F.sum("amount").cast("decimal(22,2)").alias("total_amount"),
