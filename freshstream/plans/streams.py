@@ -410,6 +410,25 @@ def qc_stateful(spark, sf_dir):
     return _latest_changes(spark, out, ["region"])
 
 
+@register("qc_idle", with_txn("""
+SELECT t.region, CAST(count_if(t.event_time >= n.newest - INTERVAL 5 MINUTE AND live) AS BIGINT) AS event_count,
+       CAST(sum(CASE WHEN t.event_time >= n.newest - INTERVAL 5 MINUTE AND live THEN amount END)
+            AS DECIMAL(22,2)) AS total_amount,
+       max(event_time) AS max_event_time
+FROM transactions t JOIN (
+  SELECT region, max(event_time) AS newest, max(event_time) + INTERVAL 5 MINUTE
+         >= (SELECT max(event_time) FROM transactions) - INTERVAL 1 MINUTE AS live
+  FROM transactions GROUP BY region) n ON t.region = n.region
+GROUP BY t.region"""))
+def qc_idle(spark, sf_dir):
+    """Q-C with event-time timers: a region whose newest event lies more than
+    the frame behind the watermark shows no events, and holds no state."""
+    from ..streaming.qc_state import qc_stateful as build
+    out = _stream(spark, sf_dir, "qc-idle", "update", lambda t: build(t, "1 minute"),
+                  state_partitions=REGION_STATE_PARTITIONS)
+    return _latest_changes(spark, out, ["region"])
+
+
 @register("qc_partials", QC_SQL)
 def qc_partials(spark, sf_dir):
     """Q-C the scalable way for hot keys: per-millisecond partials per batch,
