@@ -317,6 +317,41 @@ def dedup_stream(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id")
 
 
+LATE_COPY_S = 9 * 86400
+
+
+@register("dedup_late", with_txn(
+    "SELECT event_id, user_id, amount, region, event_type, event_time FROM transactions"))
+def dedup_late(spark, sf_dir):
+    """Exact duplicate suppression over a feed whose copies come days behind
+    the watermark: every event once, the first arrival's values."""
+    from ..streaming.dedup import dedup_sink
+    records = EL.redelivered_records(transactions(spark, sf_dir), LATE_COPY_S)
+    log, out = fresh_dir(spark, "log-dedup-late"), fresh_dir(spark, "dedup-late")
+    runner.replay(EL.segments(records, chunk_count(spark, sf_dir) + 1), log,
+                  lambda: M.typed_stream(spark, log, keep_position=True), "dedup-late", "append", dedup_sink(out))
+    return spark.read.parquet(f"{out}/rows").select(
+        "event_id", "user_id", "amount", "region", "event_type", "event_time")
+
+
+@register("reconcile_keys", with_txn("""
+SELECT event_id, CAST(1 AS BIGINT) AS left_rows,
+       CAST(CASE WHEN event_type = 'signup' THEN 0 ELSE 1 END AS BIGINT) AS right_rows,
+       CASE WHEN event_type = 'signup' THEN 'missing_right' ELSE 'different' END AS status
+FROM transactions WHERE (event_type = 'signup' AND user_id % 50 = 0) OR (event_type = 'error' AND user_id % 50 = 1)
+"""))
+def reconcile_keys(spark, sf_dir):
+    """Two pipelines compared by bucket digests, and key by key where those
+    differ: the second one loses some events and damages others."""
+    from ..operators.digest import reconcile_by_digest
+    some = lambda kind, k: (F.col("event_type") == kind) & (F.col("user_id") % 50 == k)
+    lossy = lambda t: t.where(~some("signup", 0)).withColumn(
+        "amount", F.when(some("error", 1), F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(12,2)"))
+    one = spark.read.parquet(_stream(spark, sf_dir, "whole", "append", lambda t: t))
+    two = spark.read.parquet(_stream(spark, sf_dir, "lossy", "append", lossy))
+    return reconcile_by_digest(one.drop("batch_id"), two.drop("batch_id"), "event_id")
+
+
 # middle of the events' time span, where a consumer starts
 MIDDLE_SQL = """middle AS (SELECT make_timestamp((epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2)
                                      // 1000 * 1000) AS cut FROM events)"""

@@ -74,11 +74,11 @@ def records_from_transactions(txn: DataFrame, dirty: bool = False,
     )
 
 
-def redelivered_records(txn: DataFrame) -> DataFrame:
+def redelivered_records(txn: DataFrame, after_s: int = 1) -> DataFrame:
     """An at-least-once feed: every ``purchase`` is sent twice.
 
-    The second copy arrives one second later, right after the original in
-    the same partition (offsets ``2*event_id`` and ``2*event_id + 1``), and
+    The second copy arrives ``after_s`` seconds later (one: right after the
+    original in the same partition; offsets ``2*event_id`` and ``2*event_id + 1``), and
     carries a corrected amount (+1.00) - the same key with a different value,
     so last-write-wins is observable."""
     copies = F.explode(F.when(F.col("event_type") == "purchase", F.array(F.lit(0), F.lit(1)))
@@ -86,7 +86,7 @@ def redelivered_records(txn: DataFrame) -> DataFrame:
     t = (txn.withColumn("_copy", copies)
          .withColumn("amount", (F.col("amount") + F.col("_copy")).cast("decimal(12,2)"))
          .withColumn("ingest_time",
-                     F.timestamp_add("SECOND", F.col("_copy"), F.col("ingest_time"))))
+                     F.timestamp_add("SECOND", F.col("_copy") * after_s, F.col("ingest_time"))))
     return records_from_transactions(
         t, offset=F.col("event_id").cast("long") * 2 + F.col("_copy"))
 
