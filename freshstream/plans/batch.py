@@ -5,9 +5,35 @@ from __future__ import annotations
 import datetime as dt
 
 from ..operators import regional as R
+from ..operators.clock import AS_OF, MAX_DELAY
 from ..operators.clock import clock as _clock
 from ..schema import transactions
-from .registry import AS_OF_SQL, register, with_txn
+from ..session import fresh_dir
+from ..tables import daily
+from .registry import AS_OF_SQL, register, state_of, with_txn
+
+_DAILY: dict = {}
+
+
+def daily_table(spark, sf_dir):
+    """The events in the day-partitioned append table, loaded once a session
+    and state of the files."""
+    from ..streaming.maintained import append_by_day_sink
+    state = state_of(spark, sf_dir)
+    if state not in _DAILY:
+        path = fresh_dir(spark, "by-day")
+        append_by_day_sink(path)(transactions(spark, sf_dir), 0)
+        _DAILY[state] = path
+    return _DAILY[state]
+
+
+def _recent(spark, sf_dir, lookback):
+    """(clock, rows since ``lookback`` before it) of the append table; the
+    clock and the rows both read the newest partitions only."""
+    path = daily_table(spark, sf_dir)
+    live = spark.conf.get(AS_OF, "replay") != "replay"
+    as_of = _clock(spark, sf_dir) if live else daily.newest_ingest(spark, path) or dt.datetime(1970, 1, 1)
+    return as_of, daily.since(daily.read(spark, path), lookback(as_of))
 
 
 @register("q1_regional", with_txn("""
@@ -18,9 +44,8 @@ WHERE event_time >= """ + AS_OF_SQL + """ - INTERVAL 1 HOUR
 GROUP BY region ORDER BY total DESC"""))
 def q1_regional(spark, sf_dir):
     """Q1: last hour per region (flagship)."""
-    as_of = _clock(spark, sf_dir)
-    lo = as_of - dt.timedelta(hours=1)
-    return R.q1_regional(transactions(spark, sf_dir, since=lo), as_of)
+    as_of, txn = _recent(spark, sf_dir, lambda t: t - dt.timedelta(hours=1))
+    return R.q1_regional(txn, as_of)
 
 
 @register("q1_all", with_txn("""
@@ -82,27 +107,25 @@ FROM transactions
 WHERE ingest_time >= """ + AS_OF_SQL + """ - INTERVAL 5 MINUTE
 GROUP BY 1 ORDER BY minute DESC"""))
 def ingest_rate(spark, sf_dir):
-    as_of = _clock(spark, sf_dir)
-    # ingest_time <= event_time + 5 s, so the scan bound is 5 s wider.
-    lo = as_of - dt.timedelta(minutes=5, seconds=5)
-    return R.ingest_rate(transactions(spark, sf_dir, since=lo), as_of)
+    # a row is ingested within MAX_DELAY after its event: the scan bound is wider by it
+    as_of, txn = _recent(spark, sf_dir, lambda t: t - dt.timedelta(minutes=5) - MAX_DELAY)
+    return R.ingest_rate(txn, as_of)
 
 
 @register("last_5min", with_txn("""
 SELECT 'last_5min' AS probe, max(event_time) AS max_event_time, count(*) AS rows
 FROM transactions WHERE event_time >= """ + AS_OF_SQL + """ - INTERVAL 5 MINUTE"""))
 def last_5min(spark, sf_dir):
-    as_of = _clock(spark, sf_dir)
-    return R.last_5min(transactions(spark, sf_dir, since=as_of - dt.timedelta(minutes=5)), as_of)
+    as_of, txn = _recent(spark, sf_dir, lambda t: t - dt.timedelta(minutes=5))
+    return R.last_5min(txn, as_of)
 
 
 @register("current_minute", with_txn("""
 SELECT 'current_minute' AS probe, max(event_time) AS max_event_time, count(*) AS rows
 FROM transactions WHERE event_time >= date_trunc('minute', """ + AS_OF_SQL + """)"""))
 def current_minute(spark, sf_dir):
-    as_of = _clock(spark, sf_dir)
-    lo = as_of.replace(second=0, microsecond=0)
-    return R.current_minute(transactions(spark, sf_dir, since=lo), as_of)
+    as_of, txn = _recent(spark, sf_dir, lambda t: t.replace(second=0, microsecond=0))
+    return R.current_minute(txn, as_of)
 
 
 @register("recent_buckets", with_txn("""
@@ -112,9 +135,8 @@ FROM transactions
 WHERE date_trunc('minute', event_time) >= """ + AS_OF_SQL + """ - INTERVAL 2 MINUTE
 GROUP BY 1, 2"""))
 def recent_buckets(spark, sf_dir):
-    as_of = _clock(spark, sf_dir)
-    lo = (as_of - dt.timedelta(minutes=2))
-    return R.recent_buckets(transactions(spark, sf_dir, since=lo), as_of)
+    as_of, txn = _recent(spark, sf_dir, lambda t: t - dt.timedelta(minutes=2))
+    return R.recent_buckets(txn, as_of)
 
 
 @register("qc_rescan", with_txn("""
@@ -123,9 +145,8 @@ SELECT region, count(*) AS event_count, CAST(sum(amount) AS DECIMAL(22,2)) AS to
 FROM transactions WHERE event_time >= """ + AS_OF_SQL + """ - INTERVAL 5 MINUTE
 GROUP BY region"""))
 def qc_rescan(spark, sf_dir):
-    as_of = _clock(spark, sf_dir)
-    lo = as_of - dt.timedelta(minutes=5)
-    return R.qc_rescan(transactions(spark, sf_dir, since=lo), as_of)
+    as_of, txn = _recent(spark, sf_dir, lambda t: t - dt.timedelta(minutes=5))
+    return R.qc_rescan(txn, as_of)
 
 
 @register("scalar_time", with_txn("""

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.time import lag_ms
 from ..operators import lag as G
 from ..schema import table, transactions, transactions_from_events
-from ..session import work_root
 from ..sources import event_log as EL
 from ..streaming import measure
-from .registry import register, with_txn
+from .registry import register, state_of, with_txn
 
 # Ticks of the recorded run, as ``measure.record`` makes them: equal spans of
 # event time; a system shows what its last advance (every n-th tick) consumed.
@@ -50,10 +49,7 @@ _RECORDED: dict = {}
 def recorded(spark, sf_dir):
     """The recorded run over the events (``streaming.measure``), once a session
     and state of the files."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/events.parquet")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    state = (sf_dir, spark.sparkContext.applicationId, work_root(spark),
-             fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())
+    state = state_of(spark, sf_dir)
     if state not in _RECORDED:
         chunks = EL.time_chunks(table(spark, sf_dir, "events"), TICKS)
         _RECORDED[state] = measure.record(

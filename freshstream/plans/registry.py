@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import TRANSACTIONS_SQL
-from ..session import ensure_semantics
+from ..session import ensure_semantics, work_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,15 @@ def as_output(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def state_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """What a table built from the events in this session hangs on: folder,
+    application, work folder, size and time of the files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/events.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return (sf_dir, spark.sparkContext.applicationId, work_root(spark),
+            fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from ..operators import regional as R
 from ..operators.clock import MAX_DELAY, clock
 from ..schema import table, transactions, transactions_from_events
-from ..session import fresh_dir, work_root
+from ..session import fresh_dir
 from ..sources import event_log as EL
 from ..streaming import maintained as M
 from ..streaming import runner
 from ..tables import tiering as TR
-from .registry import AS_OF_SQL, register, with_txn
+from .registry import AS_OF_SQL, register, state_of, with_txn
 
 TYPED = ["event_id", "user_id", "amount", "region", "event_type", "event_time", "ingest_time"]
 _TIERED: dict = {}
@@ -32,10 +32,7 @@ def tiered_root(spark, sf_dir):
     """Replay events into the hot tier, tier everything before the cutoff,
     then replay the rest (same checkpoint: the stream resumes)."""
     # the build is shared by the queries of one session over unchanged files
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/events.parquet")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    state = (sf_dir, spark.sparkContext.applicationId, work_root(spark),
-             fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())
+    state = state_of(spark, sf_dir)
     if state in _TIERED:
         return _TIERED[state]
     root = fresh_dir(spark, "tiered")

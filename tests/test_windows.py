@@ -145,3 +145,48 @@ def test_two_level_scans_cross_midnight(spark):
         later = [v for _, t2, v in rows if t2 >= p]
         want_m[p] = min(later) if later else None
     assert got_m == want_m
+
+
+def test_both_plans_of_the_range_frame_agree(spark):
+    from freshstream.operators import overwin
+    rows = fixture_rows() + [("n1", None, BASE, Decimal("1.00")), ("n2", "a", None, Decimal("2.00")),
+                             ("n3", "a", None, None), ("n3", "a", None, None), ("n4", None, None, Decimal("3.00"))]
+    df = spark.createDataFrame(rows, "event_id STRING, region STRING, event_time TIMESTAMP, amount DECIMAL(12,2)")
+    pairs, slices = overwin.over_pairs(df), over_range(df, most_rows=10)
+    assert pairs.exceptAll(slices).count() == 0 and slices.exceptAll(pairs).count() == 0
+    assert pairs.count() == len(rows)
+    assert over_range(df.limit(0)).count() == 0
+
+
+def test_pair_plan_has_one_scan_and_one_exchange(spark):
+    from conftest import SF_SMALL
+    from freshstream.operators import overwin
+    from freshstream.schema import transactions
+    text = overwin.over_pairs(transactions(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1
+    assert "SortAggregate" not in text
+
+
+PRUNED = ["q1_regional", "ingest_rate", "last_5min", "current_minute", "recent_buckets", "qc_rescan"]
+
+
+@pytest.mark.parametrize("name", PRUNED)
+def test_time_probes_prune_partitions(spark, name):
+    """A filter on the day folders, and one pushed to the files left."""
+    from conftest import SF_SMALL
+    from freshstream.plans import load_all
+    df = load_all()[0][name](spark, SF_SMALL)
+    scan = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
+    assert len(scan) == 1
+    filters = scan[0].split("PartitionFilters: [")[1].split("]")[0]
+    assert "event_date" in filters and "GreaterThanOrEqual(event_time" in scan[0]
+
+
+def test_clock_reads_the_newest_days(spark):
+    from conftest import SF_SMALL
+    from freshstream.operators.clock import clock
+    from freshstream.plans.batch import daily_table
+    from freshstream.tables import daily
+    path = daily_table(spark, SF_SMALL)
+    assert daily.newest_ingest(spark, path) == clock(spark, SF_SMALL)
+    assert len(daily.days(spark, path)) >= 29
