@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators.clock import clock
 from ..operators.dedup import latest_per_key, reconcile
 from ..schema import table, transactions, transactions_from_events
 from ..session import fresh_dir
@@ -17,8 +18,9 @@ from ..sources import event_log as EL
 from ..streaming import maintained as M
 from ..streaming import runner, snapshot
 from ..tables import keyed as K
+from ..tables import retention
 from ..tables.bucketed import BucketedTable
-from .registry import DAMAGED_CTE, register, with_txn
+from .registry import AS_OF_SQL, DAMAGED_CTE, register, with_txn
 
 # At least this many micro-batches per replay, and one per CHUNK_BYTES of input.
 CHUNKS = 4
@@ -155,6 +157,31 @@ def qa_merged(spark, sf_dir):
     return K.read_merged(spark, path, merge)
 
 
+@register("qa_ttl", with_txn(f"""
+SELECT date_trunc('minute', event_time) AS window_start, region, count(*) AS event_count,
+       CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount, max(event_time) AS max_event_time
+FROM transactions
+WHERE date_trunc('minute', event_time) >= date_trunc('minute', {AS_OF_SQL} - INTERVAL 24 HOUR)
+GROUP BY 1, 2"""))
+def qa_ttl(spark, sf_dir):
+    """Per-minute partials under retention (24 hours here): upkeep after every
+    batch folds them and drops expired windows and folded batches."""
+    merge = K.merge_partials(["window_start", "region"])
+
+    def sink(path):
+        write = M.partial_sink(path, M.partials_qa)
+
+        def run(batch, batch_id):
+            write(batch, batch_id)
+            newest = batch.agg(F.max("event_time").cast("timestamp_ntz").alias("m")).first()["m"]
+            if newest is not None:
+                retention.maintain_partials(batch.sparkSession, path, merge, newest, 24)
+        return run
+
+    path = _stream(spark, sf_dir, "qa-ttl", "append", lambda t: t, sink_factory=sink)
+    return retention.read_partials(spark, path, merge, clock(spark, sf_dir), 24)
+
+
 @register("append_by_day", with_txn("""
 SELECT CAST(event_time AS DATE) AS event_date, count(*) AS rows,
        CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount
@@ -425,6 +452,35 @@ def enrich_stream(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id")
 
 
+@register("enrich_changing", with_txn("""
+SELECT t.event_id, t.user_id, t.amount, t.region, t.event_type, t.event_time,
+       CASE WHEN t.event_time >= cut AND c.c_nationkey % 2 = 0 THEN c.c_name || ' (moved)' ELSE c.c_name END AS c_name,
+       n.n_name, r.r_name
+FROM transactions t CROSS JOIN middle
+LEFT JOIN customer c ON t.user_id = c.c_custkey
+LEFT JOIN nation n ON n.n_nationkey = CASE WHEN t.event_time >= cut AND c.c_nationkey % 2 = 0
+                                           THEN c.c_nationkey + 1 ELSE c.c_nationkey END
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""", MIDDLE_SQL))
+def enrich_changing(spark, sf_dir):
+    """Enrichment while the customer dimension changes: half-way through the
+    feed the customers of every other nation move to the next one."""
+    from ..streaming import enrich as E
+    log, out, dim = (fresh_dir(spark, x) for x in ("log-changing", "enriched", "customers"))
+    customer, nation, region = (table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
+    moves = F.col("c_nationkey") % 2 == 0
+    moved = (customer.withColumn("c_name", F.when(moves, F.concat("c_name", F.lit(" (moved)")))
+                                 .otherwise(F.col("c_name")))
+             .withColumn("c_nationkey", F.when(moves, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey"))))
+    sink = E.enrich_sink(out, lambda sp: (E.current(sp, dim), nation, region))
+    ckpt = None
+    for seq, (part, version) in enumerate(zip(EL.time_chunks(table(spark, sf_dir, "events"), 2), (customer, moved))):
+        E.publish(version, dim)
+        ckpt = runner.replay([EL.records_from_transactions(transactions_from_events(part))], log,
+                             lambda: M.typed_stream(spark, log).drop("ingest_time"), "enrich-changing", "append",
+                             sink, checkpoint=ckpt, first_seq=seq)
+    return spark.read.parquet(out).drop("batch_id")
+
+
 # the frame of each region's newest row: RANGE 5 MINUTE PRECEDING, ends included
 QC_SQL = with_txn("""
 SELECT t.region, count(*) AS event_count, CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount,

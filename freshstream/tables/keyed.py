@@ -15,10 +15,9 @@ dies before its marker is invisible; one that finishes changes nothing in
 the answer.  Old deltas and bases are left for a retention job, so no file
 is deleted while a reader may hold it.
 
-This serves three table kinds of the reference:
+This serves two table kinds of the reference:
   * partial-aggregate tables (merge = sum / sum / max per key),
   * primary-key tables (merge = latest per key by arrival),
-  * plain append tables (merge = union).
 Writes cost only the new rows; the merge is one shuffle on the table key
 with a map-side partial step, so a hot key never lands whole in one task.
 """
@@ -148,14 +147,16 @@ def read_latest(spark: SparkSession, path: str, key: str,
 
 def compact(spark: SparkSession, path: str, merge: Merge,
             layout: Callable[[DataFrame], DataFrame] | None = None,
-            reader: Callable[..., DataFrame] | None = None) -> int | None:
+            reader: Callable[..., DataFrame] | None = None,
+            live: Callable[[DataFrame], DataFrame] | None = None) -> int | None:
     """Fold every delta up to the newest complete batch into a new base, then
     commit.  Returns that batch, or None if there was nothing to fold.
 
     ``reader`` (spark, path, up_to) - or (spark, path), where nothing writes
     meanwhile - replaces the generic merge read - e.g. ``read_latest`` for a
     primary-key table, so the old base is not shuffled by the merge (only by
-    ``layout``, once)."""
+    ``layout``, once).  ``live`` keeps the rows that have not expired, so the
+    base does not grow past the retention."""
     upto = finished_upto(spark, path)
     if upto is None or upto == committed_upto(spark, path):
         return None
@@ -166,6 +167,8 @@ def compact(spark: SparkSession, path: str, merge: Merge,
     else:
         current = reader(spark, path)
     merged = current.drop("batch_id")
+    if live is not None:
+        merged = live(merged)
     if layout is not None:
         merged = layout(merged)
     merged.write.mode("overwrite").parquet(f"{path}/_base/upto={upto}")
@@ -194,10 +197,6 @@ def merge_latest(key: str, order=("batch_id", "offset")) -> Merge:
     return m
 
 
-def merge_union(df: DataFrame) -> DataFrame:
-    return df
-
-
 def hash_bucket_layout(key: str, buckets: int) -> Callable[[DataFrame], DataFrame]:
     """Hash-distributed layout: ``bucket = pmod(xxhash64(key), n)`` (op 21).
 

@@ -50,3 +50,29 @@ def read_live(spark: SparkSession, path: str, as_of: dt.datetime, hours: int = 2
     # partition values are inferred as numbers; compare as the text key
     t = t.withColumn("event_hour", F.col("event_hour").cast("string"))
     return t.where(F.col("event_hour") >= F.lit(_cutoff_key(as_of, hours)))
+
+
+# -- maintained aggregates ------------------------------------------------------
+
+def within(as_of: dt.datetime, hours: int, time_col: str = "window_start"):
+    """Rows of a time-keyed aggregate that have not expired (whole minutes)."""
+    edge = (as_of - dt.timedelta(hours=hours)).replace(second=0, microsecond=0)
+    return lambda df: df.where(F.col(time_col) >= F.lit(edge).cast("timestamp_ntz").cast("timestamp"))
+
+
+def maintain_partials(spark: SparkSession, path: str, merge, as_of: dt.datetime, hours: int = 2,
+                      time_col: str = "window_start") -> int:
+    """Upkeep of a partial-aggregate table: fold the batches, leave out what has
+    expired, and delete what the last two bases no longer need.  Run every few
+    batches, the table holds the batches of two runs and the live windows,
+    however long the stream runs; returns the number of deleted folders."""
+    from . import keyed as K
+    K.compact(spark, path, merge, live=within(as_of, hours, time_col))
+    return K.expire_folded(spark, path)
+
+
+def read_partials(spark: SparkSession, path: str, merge, as_of: dt.datetime, hours: int = 2,
+                  time_col: str = "window_start") -> DataFrame:
+    """Merged live windows; the same answer before and after any upkeep."""
+    from . import keyed as K
+    return K.read_merged(spark, path, lambda df: merge(within(as_of, hours, time_col)(df)))

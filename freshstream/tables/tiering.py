@@ -77,7 +77,7 @@ def tier(spark: SparkSession, root: str, sort_cols=("region", "event_time", "eve
     if commits is None:
         return None
     upto = commits.agg(F.max("batch_id").alias("m")).first()["m"]
-    if upto is None or upto <= last:
+    if upto is None or upto <= last:  # nothing new (or all of it expired)
         return None
     k = 0 if epoch is None else epoch + 1
     hot = (spark.read.parquet(f"{root}/hot")
@@ -133,6 +133,30 @@ def read_union(spark: SparkSession, root: str, primary_key: str | None = None,
     return cold_only.unionByName(h.drop("batch_id"), allowMissingColumns=True)
 
 
+def expire_hot(spark: SparkSession, root: str, keep_epochs: int = 1) -> int:
+    """Delete hot batches (and their markers) that were in the cold tier
+    ``keep_epochs`` epochs ago already; returns how many.  A union read that
+    began under one of the epochs since then finds all it reads; the hot table
+    holds what ``keep_epochs`` + 1 tiering intervals bring, not the whole stream."""
+    epochs = _read(spark, f"{root}/tier_epochs")
+    if epochs is None:
+        return 0
+    newest = epochs.agg(F.max("epoch").alias("m")).first()["m"]
+    bound = epochs.where(F.col("epoch") == newest - keep_epochs).agg(F.max("last_batch_id").alias("b")).first()["b"]
+    if bound is None:
+        return 0
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path
+    fs = p(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = 0
+    for kind in ("hot_commits", "hot"):               # a marker goes before its batch
+        for s in fs.globStatus(p(f"{root}/{kind}/batch_id=*")) or []:
+            if int(s.getPath().getName().split("=")[1]) <= bound:
+                fs.delete(s.getPath(), True)
+                gone += kind == "hot"
+    return gone
+
+
 def register_external(spark: SparkSession, name: str, root: str) -> str:
     """External read-only table over the cold tier (another engine's view of
     the lake): a catalog table by name.  Partitions (epochs) are inferred
