@@ -57,6 +57,16 @@ def q1_all(spark, sf_dir):
     return R.regional_aggregate(transactions(spark, sf_dir))
 
 
+@register("q1_like", with_txn("""
+SELECT region, count(*) AS cnt, CAST(sum(amount) AS DECIMAL(22,2)) AS total,
+       CAST(sum(amount) AS DOUBLE) / count(amount) AS avg_amount
+FROM transactions WHERE event_type LIKE '%i%' AND region NOT LIKE 'us-%' GROUP BY region"""))
+def q1_like(spark, sf_dir):
+    """Q1 over rows picked by name patterns (LIKE)."""
+    txn = transactions(spark, sf_dir)
+    return R.regional_aggregate(txn.where("event_type LIKE '%i%' AND region NOT LIKE 'us-%'"))
+
+
 @register("q2_tumbling", with_txn("""
 SELECT date_trunc('minute', event_time) AS window_start, region,
        count(*) AS event_count, CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount

@@ -15,6 +15,7 @@ from ..operators.dedup import latest_per_key, reconcile
 from ..schema import table, transactions, transactions_from_events
 from ..session import fresh_dir
 from ..sources import event_log as EL
+from ..sources import ingest as I
 from ..streaming import maintained as M
 from ..streaming import runner, snapshot
 from ..tables import keyed as K
@@ -46,6 +47,8 @@ def feed(spark, sf_dir, kind="clean"):
         return [EL.redelivered_records(t) for t in txns]
     if kind == "damaged":
         return [EL.records_from_transactions(t, dirty=True) for t in txns]
+    if kind == "csv":
+        return [EL.csv_records(t) for t in txns]
     if kind == "late":
         # on-time rows first, then every signup arrives in one late chunk
         on_time = [EL.records_from_transactions(t.where(F.col("event_type") != "signup")) for t in txns]
@@ -55,13 +58,13 @@ def feed(spark, sf_dir, kind="clean"):
 
 
 def _stream(spark, sf_dir, name, mode, transform, sink_factory=None, kind="clean",
-            keep_position=False, state_partitions=None):
+            keep_position=False, state_partitions=None, decode=I.decode_json):
     """Replay the feed through ``transform`` into a sink; returns the sink folder."""
     log = fresh_dir(spark, f"log-{name}")
     out = fresh_dir(spark, name)
     sink = sink_factory(out) if sink_factory else runner.batch_writer(out)
     runner.replay(feed(spark, sf_dir, kind), log,
-                  lambda: transform(M.typed_stream(spark, log, keep_position=keep_position)),
+                  lambda: transform(M.typed_stream(spark, log, keep_position=keep_position, decode=decode)),
                   name, mode, sink, state_partitions=state_partitions)
     return out
 
@@ -103,6 +106,18 @@ def qb_damaged(spark, sf_dir):
     return _latest_changes(spark, out, ["region"])
 
 
+@register("qb_csv", with_txn("""
+SELECT region, count(*) AS event_count,
+       CAST(sum(CASE WHEN event_type <> 'error' THEN amount END) AS DECIMAL(22,2)) AS total_amount,
+       max(event_time) AS max_event_time
+FROM transactions GROUP BY region"""))
+def qb_csv(spark, sf_dir):
+    """Q-B over a CSV feed (``\\N`` nulls), decoded in the stream."""
+    out = _stream(spark, sf_dir, "qb-csv", "update", M.qb_running_total, kind="csv",
+                  state_partitions=REGION_STATE_PARTITIONS, decode=I.decode_csv)
+    return _latest_changes(spark, out, ["region"])
+
+
 @register("qa_final", with_txn("""
 SELECT date_trunc('minute', event_time) AS window_start, region, count(*) AS event_count,
        CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount, max(event_time) AS max_event_time

@@ -74,6 +74,19 @@ def records_from_transactions(txn: DataFrame, dirty: bool = False,
     )
 
 
+def csv_records(txn: DataFrame, sep: str = ",", null_value: str = "\\N", null_kind: str = "error") -> DataFrame:
+    """Typed rows as CSV-valued records; rows of type ``null_kind`` come with
+    a null amount, so the null text is exercised."""
+    amount = F.when(F.col("event_type") != null_kind, F.col("amount"))
+    line = F.to_csv(F.struct("event_id", "user_id", amount.alias("amount"), "region", "event_type",
+                             format_event_time(F.col("event_time")).alias("event_time")),
+                    {"sep": sep, "nullValue": null_value})
+    return txn.select(
+        F.col("user_id").cast("string").alias("key"), line.alias("value"),
+        F.pmod(F.col("user_id"), F.lit(TOPIC_PARTITIONS)).cast("int").alias("partition"),
+        F.col("event_id").cast("long").alias("offset"), F.col("ingest_time").alias("timestamp"))
+
+
 def redelivered_records(txn: DataFrame, after_s: int = 1) -> DataFrame:
     """An at-least-once feed: every ``purchase`` is sent twice.
 

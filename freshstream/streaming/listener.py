@@ -36,6 +36,7 @@ class ProgressRecorder(StreamingQueryListener):
         self.spark, self.path = spark, path
         self.rows: list[tuple] = []
         self.ended: set[str] = set()
+        self.last_batch: dict[str, int] = {}
         self.change = threading.Condition()
         self.closing = threading.Event()
 
@@ -55,17 +56,22 @@ class ProgressRecorder(StreamingQueryListener):
                  _text(s.get("latestOffset"))) for s in p.get("sources", []) or [{}]]
         with self.change:
             self.rows += rows
+            self.last_batch[p.get("runId")] = p.get("batchId")
+            self.change.notify_all()
 
     def onQueryTerminated(self, event):
         with self.change:
             self.ended.add(str(event.runId))
             self.change.notify_all()
 
-    def wait(self, run_id: str, timeout_s: float | None = None) -> bool:
-        """Until all progress of a finished run has arrived (events come on
-        a bus, in order, some time after the fact)."""
+    def wait(self, run_id: str, batch_id: int | None = None, timeout_s: float | None = None) -> bool:
+        """Until the progress of a run has arrived - all of it if the run has
+        ended, else up to ``batch_id`` (events come on a bus, in order, some
+        time after the fact)."""
         with self.change:
-            return self.change.wait_for(lambda: run_id in self.ended, timeout_s)
+            return self.change.wait_for(
+                lambda: run_id in self.ended if batch_id is None else self.last_batch.get(run_id, -1) >= batch_id,
+                timeout_s)
 
     def flush(self) -> list[dict]:
         """Append what has arrived to the table; returns it."""

@@ -8,7 +8,8 @@ every tick probes what each of them shows:
   append    one query into the day-partitioned table, re-scanned by probes
 
 A system's consumers are advanced every ``cadence`` ticks (its flush interval),
-so slower ones really are behind.  Recorded, all from the run:
+so slower ones really are behind; those of cadence 1 run on as live queries, the
+others are started on their checkpoint when they are due.  Recorded, all from the run:
 
   ticks     (tick, observed_at, system, query, producer_max_et, result_max_et, duration_s):
             the source's high mark (last message per partition), the newest event
@@ -71,7 +72,9 @@ class Group:
     build: object
     sink: object
     state_partitions: int | None = None
+    live: bool = False
     checkpoint: str = ""
+    query: object = None
     consumed: Counter = field(default_factory=Counter)
 
 
@@ -103,7 +106,7 @@ def record(spark: SparkSession, ticks: list[DataFrame], cadence: dict[str, int]
         Group("partials", "partials", "append", lambda: typed("partials"), fan),
         Group("append", "append", "append", lambda: typed("append"), M.append_by_day_sink(out["append"]))]
     for g in groups:
-        g.checkpoint = f"{root}/checkpoints/{g.name}"
+        g.checkpoint, g.live = f"{root}/checkpoints/{g.name}", cadence[g.system] == 1
     probes = ([("stream", q, out[q], "max_event_time") for q in ("qa", "qb", "qc")]
               + [("partials", q, f"{out['partials']}/{q}", "max_event_time") for q in ("qa", "qb", "qc")]
               + [("append", q, out["append"], "event_time") for q in ("qa", "qb", "qc")])
@@ -128,6 +131,9 @@ def record(spark: SparkSession, ticks: list[DataFrame], cadence: dict[str, int]
                        for g in groups for p in range(TOPIC_PARTITIONS)]
             spark.createDataFrame(offsets, OFFSET_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/offsets")
     finally:
+        for g in groups:
+            if g.query is not None:
+                g.query.stop()
         spark.streams.removeListener(recorder)
     return root
 
@@ -135,13 +141,18 @@ def record(spark: SparkSession, ticks: list[DataFrame], cadence: dict[str, int]
 def advance(groups: list[Group], recorder: ProgressRecorder) -> None:
     """Let ``groups`` consume all there is (side by side, each on its own
     checkpoint), and take what their batches consumed from the progress."""
-    running = [(g, runner.start(g.build(), g.name, g.mode, g.sink, "catch_up", g.checkpoint, g.name,
-                                state_partitions=g.state_partitions)) for g in groups]
-    for g, q in running:
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(f"{g.name}: {q.exception()}")
-        if not recorder.wait(str(q.runId), 60):
+    for g in groups:
+        if not g.live or g.query is None:
+            g.query = runner.start(g.build(), g.name, g.mode, g.sink, "asap" if g.live else "catch_up", g.checkpoint,
+                                   g.name, state_partitions=g.state_partitions)
+    for g in groups:
+        if g.live:
+            g.query.processAllAvailable()
+        else:
+            g.query.awaitTermination()
+        if g.query.exception() is not None:
+            raise RuntimeError(f"{g.name}: {g.query.exception()}")
+        if not recorder.wait(str(g.query.runId), g.query.lastProgress["batchId"] if g.live else None, 60):
             raise TimeoutError(f"no progress of {g.name}")
     by_name = {g.name: g for g in groups}
     for row in recorder.flush():
