@@ -1,7 +1,7 @@
 """Table size report: rows, compressed / uncompressed bytes, ratio.
 
-The file list of each table is a distributed scan of the ``_metadata``
-column; footers are then read in parallel on the executors (``mapInArrow``
+The file list of each table comes from Spark's file listing (the ``binaryFile``
+source, one row per file, contents not read); footers are then read in parallel on the executors (``mapInArrow``
 over the file list, one footer per file via pyarrow), so the work is
 distributed by file and nothing passes through the driver.  Sizes are the
 sums of the column-chunk sizes recorded in the footers.
@@ -54,12 +54,13 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def table_sizes(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     """tables: name -> parquet path.  One row per table.
 
-    The file list is itself a distributed scan (``_metadata.file_path``,
-    no data columns read), then footers are read per file on executors."""
+    One row per file and nothing per data row; footers are read per file on
+    executors."""
     listing = None
     for name, path in tables.items():
-        files = (spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"))
-                 .distinct().withColumn("table", F.lit(name)))
+        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+                 .option("recursiveFileLookup", "true").load(path)
+                 .select(F.col("path").alias("file"), F.lit(name).alias("table")))
         listing = files if listing is None else listing.unionByName(files)
     footers = listing.select("table", "file").mapInArrow(_footers, FOOTER_SCHEMA)
     agg = footers.groupBy("table").agg(F.sum("rows").alias("rows"),
