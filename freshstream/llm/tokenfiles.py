@@ -40,9 +40,13 @@ from pyspark.sql.window import Window
 from ..session import path_exists
 from .common import slices, texts, worker_cache
 
-CACHE_WORDS = 200_000
-#: Word pattern of byte-level BPE (fixed by the vocabulary).
+CACHE_WORDS = 400_000
+#: Word pattern of byte-level BPE (fixed by the vocabulary), and what it comes to
+#: in a text of Latin-1 characters only.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_LEVEL = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+"
+               r"|\s+(?!\S)|\s+")
 
 
 class WordCachedTokenizer:
@@ -51,9 +55,10 @@ class WordCachedTokenizer:
 
     def __init__(self, path: str, dtype: str, specials_are_text: bool):
         import json
+        import re
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
@@ -62,41 +67,50 @@ class WordCachedTokenizer:
         self.lib.encode_special_tokens = specials_are_text
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.dtype, self.words = dtype, regex.compile(BYTE_LEVEL)
+        self.dtype, self.words, self.latin_words = dtype, regex.compile(BYTE_LEVEL), re.compile(LATIN_LEVEL)
+        # words come cut and distinct: the library neither cuts nor caches them
+        self.lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.lib.model._resize_cache(0)
         special = [] if specials_are_text else [t["content"] for t in spec["added_tokens"]]
         self.special, self.cut = set(special), None
         if special:
             self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
         self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+
+    def cut_words(self, text: str) -> list[str]:
+        try:
+            # re's \s also takes the four ASCII separators that Unicode's does not
+            raw = text.encode("latin-1")
+            if not any(c in raw for c in (28, 29, 30, 31)):
+                return self.latin_words.findall(text)
+        except UnicodeEncodeError:
+            pass
+        return self.words.findall(text)
 
     def split(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
-            return self.words.findall(text)
+            return self.cut_words(text)
         out: list[str] = []
         for part in self.cut.split(text):
-            out += [part] if part in self.special else self.words.findall(part)
+            out += [part] if part in self.special else self.cut_words(part)
         return out
 
     def encode(self, many: list[str]) -> list[bytes]:
         """Each text's ids as flat integers of ``dtype``."""
-        from struct import pack as flat
+        from itertools import chain
+
+        import numpy as np
+        width = np.dtype(self.dtype).itemsize
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
         split, cache = list(map(self.split, many)), self.cache
-        order, code = ("<>"[self.dtype[0] == ">"], "H" if self.dtype.endswith("u2") else "I")
-        if len(cache) > CACHE_WORDS:          # the generation before stays for look-ups
-            self.older, self.cache = cache, {}
-            cache = self.cache
-        older, new = self.older, []
-        for w in {w for words in split for w in words}.difference(cache):
-            got = older.get(w)
-            if got is None:
-                new.append(w)
-            else:
-                cache[w] = got
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = flat(f"{order}{len(e.ids)}{code}", *e.ids)
+        new = list(set(chain.from_iterable(split)).difference(cache))
+        for lo in range(0, len(new), 4096):
+            part = new[lo:lo + 4096]
+            e = self.lib.encode(part, is_pretokenized=True, add_special_tokens=False)
+            flat = np.asarray(e.ids, dtype=self.dtype).tobytes()
+            cuts = (np.searchsorted(np.asarray(e.word_ids), np.arange(len(part) + 1)) * width).tolist()
+            cache.update(zip(part, [flat[i:j] for i, j in zip(cuts, cuts[1:])]))
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 

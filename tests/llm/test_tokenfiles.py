@@ -78,3 +78,18 @@ def test_separator_scan(spark, block, store, monkeypatch):
         want.append((int(begins[-1]), int(len(stream) - begins[-1]), False))
     got = separators.count(spark, out, sep, ">u2", block=block).collect()
     assert sorted((r.start, r.n_tokens, r.closed) for r in got) == want
+
+
+def test_words_are_cut_as_the_vocabulary_says():
+    """Latin-1 texts take a plain pattern; every character, alone and between
+    others, falls as the general pattern has it."""
+    import public_tokenizers
+    import regex
+
+    from freshstream.llm.tokenfiles import BYTE_LEVEL, WordCachedTokenizer
+    tok = WordCachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"), "<u2", True)
+    general = regex.compile(BYTE_LEVEL)
+    for i in range(0x250):
+        c = chr(i)
+        for text in (c, f" {c}", f"{c}a", f"a{c}1", f" {c}{c}", f"{c} ", f"\n{c}", f"1{c}", f"a{c}\x1cb", f"don't{c}x"):
+            assert tok.cut_words(text) == general.findall(text), (hex(i), text)
