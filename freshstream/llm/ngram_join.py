@@ -10,21 +10,23 @@ estimate is enough, any order is valid), and inside a class each order has its
 own hash permutation.
 
 1. One pass over the texts: class key and size of each document, counts.
-2. One pass: prefix tokens under order 0, to blocks of classes by token;
-   blocks of one class are dropped.
-3. Star rounds, which need not find everything: every class is compared with
-   the one leader it shares most prefix tokens with.  Links give components.
-4. Closing round, which has to: all pairs of one block *in different
-   components* that pass the size filter and the overlap bound (shared prefix
-   tokens + what can stand behind the prefixes).  Large groups of near copies
-   are one component by now and give no pairs; star rounds repeat with other
-   leaders while the number of such pairs, which is counted beforehand, is
-   out of proportion to the blocks.
-
-A candidate pair (in 3 and 4) must also share a prefix token under every
-further order; the pairs left are verified exactly on the whole sets.  Sets
-are read again from the texts for classes in pairs only (a fixed-size bit
-table says which may be), a leader's followers in salted groups.
+2. One pass: prefix tokens under order 0 with their places in it, to blocks of
+   classes by token; blocks of one class are dropped.
+3. One pass: the sets of the classes left in blocks, and their prefixes under
+   the further orders, written once for all later steps.
+4. Star rounds, which need not find everything: every class is compared with
+   one leader of its blocks, the most central one - its prefix tokens stand in the
+   largest blocks, as those of a text do that others are copies of; a copy's own
+   changes put tokens of their own, and so rare ones, first.  Links give components.
+5. Closing round, which has to: all pairs of one block *in different
+   components* that pass the place filter: sets that first meet in a token at
+   places i and j share at most ``min(n_a - i, n_b - j)`` tokens, and similar sets
+   pass it with that token.  The condition is part of the block join, large blocks
+   are dealt to several tasks by salt.
+
+A candidate pair (in 4 and 5) must also meet under every further order, with the
+same place filter: only the short prefixes are moved for that.  The pairs left
+are verified exactly on the whole sets, a leader's followers in salted groups.
 
 Edge cases: NULL or empty text: n_shingles 0, linked with nothing (its
 component is its own doc_id).  With fewer words than a shingle the whole
@@ -41,16 +43,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import slices, texts, worker_cache, written
 from .components import components
 
 ORDERS = 3
 COUNTERS = 1 << 21
+MOST_BITS = 1 << 30
 SLICES = 32
 FOLLOWERS = 64
 STAR_ROUNDS = 4
+BLOCK_ROWS = 2048
 WORDS_CACHED = 300_000
 
 
@@ -104,13 +107,13 @@ def order_keys(tokens, counts, order: int):
 
 
 def prefix(tokens, counts, order: int, percent: int):
-    """The prefix (tokens and its last sort key) under one order."""
+    """The prefix under one order, in that order."""
     import numpy as np
     n = len(tokens)
     p = n - -(-percent * n // 100) + 1
     keys = order_keys(tokens, counts, order)
     first = np.argpartition(keys, p - 1)[:p]
-    return tokens[first], keys[first].max()
+    return tokens[first[np.argsort(keys[first])]]
 
 
 def summed(parts: DataFrame, counters: int) -> "np.ndarray":  # noqa: F821
@@ -173,7 +176,7 @@ def sets_pass(docs: DataFrame, words: int) -> DataFrame:
 
 
 def prefix_pass(docs: DataFrame, words: int, percent: int, counts) -> DataFrame:
-    """(token, node, n, last): the prefix under order 0 of each class, once per
+    """(token, node, n, place): the prefix under order 0 of each class, once per
     task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,30 +190,28 @@ def prefix_pass(docs: DataFrame, words: int, percent: int, counts) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:          # only saves repeats
                     seen.add(node)
-                first, last = prefix(s, counts.value, 0, percent)
-                out.append((first, node, len(s), int(last >> np.uint64(1))))
+                out.append((prefix(s, counts.value, 0, percent), node, len(s)))
             if out:
                 k = [len(x[0]) for x in out]
-                each = lambda i: pa.array(np.repeat(np.array([x[i] for x in out], dtype="int64"), k))
+                each = lambda i, t: pa.array(np.repeat(np.array([x[i] for x in out], dtype=t), k))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[0] for x in out]).view("int64")), each(1), each(2), each(3)],
-                    names=["token", "node", "n", "last"])
+                    [pa.array(np.concatenate([x[0] for x in out]).view("int64")), each(1, "int64"), each(2, "int32"),
+                     pa.array(np.concatenate([np.arange(x, dtype="int32") for x in k]))],
+                    names=["token", "node", "n", "place"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n long, last long")
+    return docs.select("text").mapInArrow(run, "token long, node long, n int, place int")
 
 
-def wanted_sets(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
-    """(node, tokens binary) of the given classes - or a few more: nodes are
-    marked in a bit table of fixed size."""
+def marked(nodes: DataFrame, bits: int) -> bytes:
+    """A bit table with a bit set for each node: at most ``MOST_BITS``."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from pyspark import TaskContext
-        table = np.zeros(8 * COUNTERS, dtype="bool")
+        table = np.zeros(bits, dtype="bool")
         for b in batches:
-            table[np.asarray(b.column(0)).view("uint64") % np.uint64(len(table))] = True
-        packed = np.packbits(table).view("uint32")
-        yield table_rows(packed, [], [], TaskContext.get().partitionId())
+            table[np.asarray(b.column(0)).view("uint64") % np.uint64(bits)] = True
+        yield table_rows(np.packbits(table).view("uint32"), [], [], TaskContext.get().partitionId())
 
     def either(pdf):
         import numpy as np
@@ -220,28 +221,44 @@ def wanted_sets(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
 
     few = nodes.coalesce(16).mapInArrow(mark, "slice int, task int, counts binary")
     rows = few.groupBy("slice").applyInPandas(either, "slice int, counts binary").orderBy("slice").collect()
-    bits = docs.sparkSession.sparkContext.broadcast(b"".join(bytes(r["counts"]) for r in rows))
+    return b"".join(bytes(r["counts"]) for r in rows)
+
+
+def wanted_sets(docs: DataFrame, words: int, percent: int, counts, nodes: DataFrame) -> tuple:
+    """(node, n, tokens, heads) of the given classes, by one more pass over the
+    texts; ``heads`` are the prefixes under the further orders, one after the
+    other, as 32-bit tokens.  A bit table of the nodes (8 bits for each, up to a
+    bound) keeps most other sets from being moved."""
+    bits = 1 << 20
+    while bits < min(MOST_BITS, 8 * nodes.count()):
+        bits *= 2
+    table = docs.sparkSession.sparkContext.broadcast(marked(nodes, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         own, seen = worker_cache(("shingler", words), lambda: Shingler(words)), set()
-        table = np.unpackbits(np.frombuffer(bits.value, dtype="uint8")) if bits.value else np.zeros(1, "uint8")
+        flags = np.frombuffer(table.value, dtype="uint8")
         for b in slices(batches, "text"):
             out = []
             for t in b.column(0).to_pylist():
                 s = own.sets(t)
                 node = set_key(s)
-                if len(s) and table[(node % (1 << 64)) % len(table)] and node not in seen:
+                at = (node % (1 << 64)) % bits
+                if len(flags) and len(s) and flags[at >> 3] >> (7 - (at & 7)) & 1 and node not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(node)
-                    out.append((node, s.tobytes()))
+                    heads = np.concatenate([prefix(s, counts.value, k, percent) for k in range(1, ORDERS)])
+                    out.append((node, len(s), s.tobytes(), heads.astype("uint32").tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()),
-                                                  pa.array([x[1] for x in out], pa.binary())],
-                                                 names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()),
+                     pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())],
+                    names=["node", "n", "tokens", "heads"])
 
-    rows = docs.select("text").mapInArrow(run, "node long, tokens binary")
-    return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    rows = docs.select("text").mapInArrow(run, "node long, n int, tokens binary, heads binary")
+    found = rows.join(nodes, "node", "left_semi").groupBy("node").agg(
+        F.first(F.struct("n", "tokens", "heads")).alias("s")).select("node", "s.*")
+    return written(found, "ngram-wanted"), table
 
 
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -254,22 +271,39 @@ def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return comp.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
-def with_sets_of(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, words: int) -> DataFrame:
-    """``sets`` (node, tokens) with those of all classes in the pairs."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    if sets is not None:
-        nodes = nodes.join(sets.select("node"), "node", "left_anti")
-    nodes = written(nodes, "ngram-nodes")
-    if sets is not None and not nodes.limit(1).count():
-        return sets
-    more = written(wanted_sets(docs, words, nodes), "ngram-wanted")
-    return more if sets is None else sets.unionByName(more)
+def meeting(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that meet under every further order, place filter
+    included.  Only prefixes are moved."""
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("heads").alias(f"h{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ha", "hb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        for b in batches:
+            keep = []
+            for na, nb, ha, hb in zip(*[b.column(i).to_pylist() for i in range(2, 6)]):
+                x = np.frombuffer(ha, dtype="uint32").reshape(ORDERS - 1, -1)
+                y = np.frombuffer(hb, dtype="uint32").reshape(ORDERS - 1, -1)
+                keep.append(all(may_meet(p, q, na, nb, percent) for p, q in zip(x, y)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    return both.mapInArrow(run, "a long, b long")
 
-def verified(pairs: DataFrame, sets: DataFrame, counts, percent: int) -> DataFrame:
-    """The pairs (a, b) that share prefix tokens under all further orders and
-    whose sets reach the threshold.  The pairs of one ``a`` are dealt into
-    groups of about FOLLOWERS, each with a copy of its set."""
+
+def may_meet(p, q, na: int, nb: int, percent: int) -> bool:
+    """Do two prefixes, each in order, first meet early enough?  (Tokens cut
+    to 32 bits may meet without being equal: the filter only lets more pass.)"""
+    import numpy as np
+    _, i, j = np.intersect1d(p, q, return_indices=True)
+    if not len(i):
+        return False
+    most = np.minimum(na - i, nb - j).max()
+    return bool((100 + percent) * most >= percent * (na + nb))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold.  The pairs of one ``a``
+    are dealt into groups of about FOLLOWERS, each with a copy of its set."""
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("groups"))
     dealt = pairs.join(size, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups"))).drop("groups")
     follow = dealt.join(sets, dealt.b == sets.node).select("a", "salt", F.lit(1).alias("role"), "b", "tokens")
@@ -278,18 +312,13 @@ def verified(pairs: DataFrame, sets: DataFrame, counts, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        head, a, orders = None, None, []
-        further = range(1, ORDERS)
+        head, a = None, None
         for b in batches:
             found = []
             for r in range(b.num_rows):
                 s = np.frombuffer(b.column(4)[r].as_buffer(), dtype="uint64")
                 if b.column(2)[r].as_py() == 0:
                     head, a = s.copy(), b.column(0)[r].as_py()
-                    orders = [prefix(head, counts.value, k, percent)[0] for k in further]
-                    continue
-                if any(not np.isin(prefix(s, counts.value, k, percent)[0], p, assume_unique=True).any()
-                       for k, p in zip(further, orders)):
                     continue
                 both = len(np.intersect1d(head, s, assume_unique=True))
                 if 100 * both >= percent * (len(head) + len(s) - both):
@@ -311,35 +340,34 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     rows = first.where("slice IS NULL").select("doc_id", "n", "node")
     counts = spark.sparkContext.broadcast(summed(first.where("slice IS NOT NULL").select(
         "slice", "task", "counts"), COUNTERS))
-    block = Window.partitionBy("token")
-    blocks = prefix_pass(own, words, percent, counts).repartition("token")
-    blocks = (blocks.withColumn("low", F.min("node").over(block)).withColumn("high", F.max("node").over(block))
-              .where("low <> high").select("token", "node", "n", "last").dropDuplicates(["token", "node"]))
-    blocks = written(blocks, "ngram-blocks")
-    sets = linked = None
+    postings = prefix_pass(own, words, percent, counts).repartition("token")
+    shared = (postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+              .where("low <> high").select("token"))
+    blocks = written(postings.join(shared, "token", "left_semi").dropDuplicates(["token", "node"]), "ngram-blocks")
     comp = blocks.select("node", F.col("node").alias("component")).distinct()
+    comp = written(comp, "ngram-components")
+    sets, table = wanted_sets(own, words, percent, counts, comp.select("node"))
     for star in range(STAR_ROUNDS + 1):
-        at = blocks.join(comp, "node") if star else blocks.withColumn("component", F.col("node"))
         # blocks that still hold several components
-        at = (at.withColumn("low", F.min("component").over(block)).withColumn("high", F.max("component").over(block))
-              .where("low <> high").drop("low", "high"))
-        at = written(at, "ngram-open")
-        held = at.groupBy("token", "component").agg(F.count("*").cast("double").alias("k"))
-        held = held.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        left = held.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs"),
-                        F.sum("k").alias("rows")).first()
-        if not left.rows:
+        at = blocks.join(comp, "node")
+        still = (at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                         F.count("*").alias("size")).where("low <> high").select("token", "size"))
+        at = written(at.join(still, "token"), "ngram-open")
+        open_nodes = at.select("node").distinct().count()
+        if not open_nodes:
             break
-        # close when few pairs are left, or when stars no longer find much
-        closing = star == STAR_ROUNDS or (star > 0 and (
-            left.pairs <= 4 * left.rows or 100 * linked < comp.count()))
-        pairs = written(closing_pairs(at, percent) if closing else star_pairs(at, star, percent), "ngram-pairs")
-        sets = with_sets_of(pairs, sets, own, words)
-        new = written(verified(pairs, sets, counts, percent), "ngram-links")
+        # close when stars no longer find much
+        closing = star == STAR_ROUNDS or (star > 0 and 100 * linked < open_nodes)
+        pairs = written(closing_pairs(at, percent) if closing else star_pairs(at, percent), "ngram-pairs")
+        met = written(meeting(pairs, sets, percent), "ngram-met")
+        new = written(verified(met, sets, percent), "ngram-links")
         linked = new.count()
-        comp = written(joined(comp, new), "ngram-components")
+        if linked:
+            comp = written(joined(comp, new), "ngram-components")
         if closing:
             break
+    counts.destroy()
+    table.destroy()
     # the smallest doc_id of a class, then of its component
     named = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("smallest"))
     named = named.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -352,30 +380,36 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def star_pairs(at: DataFrame, star: int, percent: int) -> DataFrame:
-    """One pair per class: with the leader of most of its blocks (the class of
-    the smallest hash of this round), if it is of another component and leads
-    a fair share of the class's prefix (similar sets share about half of it;
-    who misses that here is left to the closing round)."""
-    turn = F.xxhash64("node", F.lit(star))
-    lead = at.groupBy("token").agg(F.min(F.struct(turn.alias("h"), "node", "component")).alias("lead"))
-    met = at.join(lead, "token").where("component <> lead.component")
-    met = met.groupBy("node", "n", F.col("lead.node").alias("leader")).agg(F.count("*").alias("k"))
-    met = met.where(F.col("k") * 10 >= 3 * (F.col("n") - F.floor(F.col("n") * percent / 100 + F.lit(0.999999)) + 1))
-    best = met.groupBy("node").agg(F.max(F.struct("k", "leader")).alias("best"))
-    return best.select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
+def similar(na: str, i: str, nb: str, j: str, percent: int):
+    """Sets that first meet at places i and j may reach the threshold."""
+    most = F.least(F.col(na) - F.col(i), F.col(nb) - F.col(j))
+    return most * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
+
+
+def star_pairs(at: DataFrame, percent: int) -> DataFrame:
+    """One pair per class: with the leader of most of its blocks, if that is of
+    another component.  A block is led by its most central class; who misses
+    its leader here is left to the closing round."""
+    weight = F.round(F.log2("size") * 1000).cast("long")
+    central = at.groupBy("node").agg(F.sum(weight).alias("central"))
+    lead = at.join(central, "node").groupBy("token").agg(
+        F.max(F.struct("central", "node", "component", "n", "place")).alias("lead"))
+    met = at.join(lead, "token").select("node", "n", "place", "component", *[
+        F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "component", "n", "place")])
+    met = met.where((F.col("component") != F.col("lead_component")) & similar("n", "place", "lead_n", "lead_place", percent))
+    met = met.groupBy("node", "lead_node").agg(F.count("*").alias("k"))
+    best = met.groupBy("node").agg(F.max(F.struct("k", "lead_node")).alias("best"))
+    return best.select(F.col("best.lead_node").alias("a"), F.col("node").alias("b"))
 
 
 def closing_pairs(at: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one block and different components that pass the size
-    filter and the overlap bound."""
-    a = at.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "last", "component")])
-    b = at.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "last", "component")])
-    met = a.join(b, "token").where("component_a < component_b")
-    met = met.where((F.col("n_a") * 100 >= percent * F.col("n_b")) & (F.col("n_b") * 100 >= percent * F.col("n_a")))
-    met = met.groupBy("node_a", "node_b", "n_a", "n_b", "last_a", "last_b").agg(F.count("*").alias("k"))
-    behind = lambda n: F.floor(F.col(n) * percent / 100 + F.lit(0.999999)) - 1  # noqa: E731  ceil(t n) - 1
-    bound = F.col("k") + F.when(F.col("last_a") < F.col("last_b"), behind("n_a")).when(
-        F.col("last_a") > F.col("last_b"), behind("n_b")).otherwise(F.greatest(behind("n_a"), behind("n_b")))
-    met = met.where(100 * bound >= percent * (F.col("n_a") + F.col("n_b") - bound))
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    """All pairs of one block and different components that pass the place
+    filter.  A block of many rows is dealt into salted parts: each row of one
+    side to one part, of the other side to all."""
+    parts = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "component")]
+    a = at.select("token", F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt"), *side("a"))
+    b = at.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), *side("b"))
+    on = ((a.token == b.token) & (a.salt == b.salt) & (F.col("component_a") < F.col("component_b"))
+          & similar("n_a", "place_a", "n_b", "place_b", percent))
+    return a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()

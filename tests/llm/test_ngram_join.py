@@ -102,3 +102,49 @@ def test_components_of_chains(spark):
                                   "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(71)}, 199: 199, 200: 199, 201: 199}
+
+
+def test_place_filter_keeps_every_similar_pair():
+    """Under any order, sets over the threshold meet early enough: no pair of
+    random similar sets is lost by the prefixes of any order."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 50, nj.COUNTERS).astype("uint32")
+    kept = dropped = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 120))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype("uint64"))
+        b = a[rng.random(len(a)) < rng.choice([0.5, 0.9, 1.0])]
+        b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, int(rng.integers(0, 12))).astype("uint64")]))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        for order in range(nj.ORDERS):
+            p, q = (nj.prefix(s, counts, order, 80) for s in (a, b))
+            may = nj.may_meet(p.astype("uint32"), q.astype("uint32"), len(a), len(b), 80)
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert may
+                kept += 1
+            else:
+                dropped += not may
+    assert kept > 50 and dropped > 50
+
+
+def test_stars_unite_copies_of_one_text_at_once(spark, monkeypatch):
+    """Copies that differ from each other by more than the threshold allows,
+    but not from their original: one central star, nothing left to close."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base))]
+    for i in range(120):
+        w = list(base)
+        for _ in range(4):
+            w[r.randrange(200)] = f"x{r.randrange(10 ** 9)}"
+        rows.append((2 + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = []
+    kept = nj.closing_pairs
+    monkeypatch.setattr(nj, "closing_pairs", lambda *a: made.append(n := kept(*a)) or n)
+    got = [tuple(x) for x in nj.join(docs, 4, 85).collect()]
+    assert order(got) == order(brute(rows, 4, 85))
+    assert sum(m.count() for m in made) < 600
