@@ -12,21 +12,21 @@ own hash permutation.
 1. One pass over the texts: class key and size of each document, counts.
 2. One pass: prefix tokens under order 0 with their places in it, to blocks of
    classes by token; blocks of one class are dropped.
-3. One pass: the sets of the classes left in blocks, and their prefixes under
-   the further orders, written once for all later steps.
-4. Star rounds, which need not find everything: every class is compared with
+3. Star rounds, which need not find everything: every class is compared with
    one leader of its blocks, the most central one - its prefix tokens stand in the
    largest blocks, as those of a text do that others are copies of; a copy's own
    changes put tokens of their own, and so rare ones, first.  Links give components.
-5. Closing round, which has to: all pairs of one block *in different
+4. Closing round, which has to: all pairs of one block *in different
    components* that pass the place filter: sets that first meet in a token at
    places i and j share at most ``min(n_a - i, n_b - j)`` tokens, and similar sets
    pass it with that token.  The condition is part of the block join, large blocks
    are dealt to several tasks by salt.
 
-A candidate pair (in 4 and 5) must also meet under every further order, with the
+A candidate pair (in 3 and 4) must also meet under every further order, with the
 same place filter: only the short prefixes are moved for that.  The pairs left
 are verified exactly on the whole sets, a leader's followers in salted groups.
+Sets and further prefixes are read again from the texts, in one pass a round,
+for classes in pairs that were in none before (a bit table says which may be).
 
 Edge cases: NULL or empty text: n_shingles 0, linked with nothing (its
 component is its own doc_id).  With fewer words than a shingle the whole
@@ -224,7 +224,7 @@ def marked(nodes: DataFrame, bits: int) -> bytes:
     return b"".join(bytes(r["counts"]) for r in rows)
 
 
-def wanted_sets(docs: DataFrame, words: int, percent: int, counts, nodes: DataFrame) -> tuple:
+def wanted_sets(docs: DataFrame, words: int, percent: int, counts, nodes: DataFrame) -> DataFrame:
     """(node, n, tokens, heads) of the given classes, by one more pass over the
     texts; ``heads`` are the prefixes under the further orders, one after the
     other, as 32-bit tokens.  A bit table of the nodes (8 bits for each, up to a
@@ -258,7 +258,22 @@ def wanted_sets(docs: DataFrame, words: int, percent: int, counts, nodes: DataFr
     rows = docs.select("text").mapInArrow(run, "node long, n int, tokens binary, heads binary")
     found = rows.join(nodes, "node", "left_semi").groupBy("node").agg(
         F.first(F.struct("n", "tokens", "heads")).alias("s")).select("node", "s.*")
-    return written(found, "ngram-wanted"), table
+    found = written(found, "ngram-wanted")
+    table.destroy()
+    return found
+
+
+def with_sets_of(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, words: int, percent: int,
+                 counts) -> DataFrame:
+    """``sets`` with those of all classes in the pairs."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if sets is not None:
+        nodes = nodes.join(sets.select("node"), "node", "left_anti")
+    nodes = written(nodes, "ngram-nodes")
+    if sets is not None and not nodes.limit(1).count():
+        return sets
+    more = wanted_sets(docs, words, percent, counts, nodes)
+    return more if sets is None else sets.unionByName(more)
 
 
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -340,13 +355,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     rows = first.where("slice IS NULL").select("doc_id", "n", "node")
     counts = spark.sparkContext.broadcast(summed(first.where("slice IS NOT NULL").select(
         "slice", "task", "counts"), COUNTERS))
-    postings = prefix_pass(own, words, percent, counts).repartition("token")
+    postings = written(prefix_pass(own, words, percent, counts), "ngram-postings")
     shared = (postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
               .where("low <> high").select("token"))
+    shared = written(shared, "ngram-shared")        # as small as it is, the postings need no shuffle
     blocks = written(postings.join(shared, "token", "left_semi").dropDuplicates(["token", "node"]), "ngram-blocks")
-    comp = blocks.select("node", F.col("node").alias("component")).distinct()
-    comp = written(comp, "ngram-components")
-    sets, table = wanted_sets(own, words, percent, counts, comp.select("node"))
+    comp = written(blocks.select("node", F.col("node").alias("component")).distinct(), "ngram-components")
+    sets = None
     for star in range(STAR_ROUNDS + 1):
         # blocks that still hold several components
         at = blocks.join(comp, "node")
@@ -359,6 +374,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         # close when stars no longer find much
         closing = star == STAR_ROUNDS or (star > 0 and 100 * linked < open_nodes)
         pairs = written(closing_pairs(at, percent) if closing else star_pairs(at, percent), "ngram-pairs")
+        sets = with_sets_of(pairs, sets, own, words, percent, counts)
         met = written(meeting(pairs, sets, percent), "ngram-met")
         new = written(verified(met, sets, percent), "ngram-links")
         linked = new.count()
@@ -367,7 +383,6 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         if closing:
             break
     counts.destroy()
-    table.destroy()
     # the smallest doc_id of a class, then of its component
     named = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("smallest"))
     named = named.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
