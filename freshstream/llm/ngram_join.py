@@ -53,6 +53,7 @@ MOST_BITS = 1 << 30
 SLICES = 32
 FOLLOWERS = 64
 STAR_ROUNDS = 4
+MOST_PAIRS = 16
 BLOCK_ROWS = 2048
 WORDS_CACHED = 300_000
 
@@ -256,11 +257,12 @@ def wanted_sets(docs: DataFrame, words: int, percent: int, counts, nodes: DataFr
                     names=["node", "n", "tokens", "heads"])
 
     rows = docs.select("text").mapInArrow(run, "node long, n int, tokens binary, heads binary")
-    found = rows.join(nodes, "node", "left_semi").groupBy("node").agg(
-        F.first(F.struct("n", "tokens", "heads")).alias("s")).select("node", "s.*")
-    found = written(found, "ngram-wanted")
+    found = written(rows.join(nodes, "node", "left_semi").withColumn("copy", F.monotonically_increasing_id()),
+                    "ngram-wanted")
     table.destroy()
-    return found
+    # copies of a set from several tasks: one stays, without moving the sets
+    one = written(found.groupBy("node").agg(F.min("copy").alias("copy")), "ngram-chosen")
+    return found.join(one, ["node", "copy"], "left_semi").drop("copy")
 
 
 def with_sets_of(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, words: int, percent: int,
@@ -321,6 +323,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     are dealt into groups of about FOLLOWERS, each with a copy of its set."""
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("groups"))
     dealt = pairs.join(size, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups"))).drop("groups")
+    dealt = written(dealt, "ngram-dealt")          # where it is small, the sets are not shuffled to meet it
     follow = dealt.join(sets, dealt.b == sets.node).select("a", "salt", F.lit(1).alias("role"), "b", "tokens")
     lead = dealt.select("a", "salt").distinct().join(sets, F.col("a") == sets.node).select(
         "a", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "tokens")
@@ -356,8 +359,12 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     counts = spark.sparkContext.broadcast(summed(first.where("slice IS NOT NULL").select(
         "slice", "task", "counts"), COUNTERS))
     postings = written(prefix_pass(own, words, percent, counts), "ngram-postings")
-    shared = (postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-              .where("low <> high").select("token"))
+    # a block of two rows is judged by the place filter at once (copies of one
+    # class from several tasks count as rows here and go right after)
+    shared = (postings.groupBy("token").agg(
+        F.count("*").alias("k"), F.min(F.col("n") - F.col("place")).alias("rest"), F.sum("n").alias("both"))
+        .where("k > 1").where((F.col("k") > 2) | (F.col("rest") * (100 + percent) >= F.col("both") * percent))
+        .select("token"))
     shared = written(shared, "ngram-shared")        # as small as it is, the postings need no shuffle
     blocks = written(postings.join(shared, "token", "left_semi").dropDuplicates(["token", "node"]), "ngram-blocks")
     comp = written(blocks.select("node", F.col("node").alias("component")).distinct(), "ngram-components")
@@ -371,9 +378,11 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         open_nodes = at.select("node").distinct().count()
         if not open_nodes:
             break
-        # close when stars no longer find much
-        closing = star == STAR_ROUNDS or (star > 0 and 100 * linked < open_nodes)
+        # after a star, close - unless that means pairs out of proportion
+        closing = star > 0
         pairs = written(closing_pairs(at, percent) if closing else star_pairs(at, percent), "ngram-pairs")
+        if closing and star < STAR_ROUNDS and linked and pairs.count() > MOST_PAIRS * open_nodes:
+            closing, pairs = False, written(star_pairs(at, percent), "ngram-pairs")
         sets = with_sets_of(pairs, sets, own, words, percent, counts)
         met = written(meeting(pairs, sets, percent), "ngram-met")
         new = written(verified(met, sets, percent), "ngram-links")
