@@ -177,14 +177,18 @@ def mix(docs: DataFrame, target_entropy: float = 0.9, max_repeats: float = 4.0,
         seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix: rows of ``docs`` once for each time they are taken, with
     ``_pass`` (0, 1, ...), ``_order`` (place in that pass, to sort by) and
-    ``_weight`` (the source's) behind the input's columns.  The input must not
-    have columns of these names itself."""
+    ``_weight`` (the source's) behind the input's columns.  An input column of one
+    of these three names gives way to the mix's own; all others stay."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()])
+    doc_id = names[id_col]
     p = plan(docs, target_entropy, max_repeats, budget_ratio, seed, id_col, text_col, source_col)
     p = bounded_broadcast(p.select(F.col("source").alias("_source"), F.col("passes").alias("_passes"),
                                    F.col("last").alias("_last"), F.col("weight").alias("_weight")))
-    taken = F.col("_passes") + F.when(place(id_col, seed) <= F.col("_last"), 1).otherwise(0)
-    rows = docs.join(p, key_of(docs[source_col]) == p["_source"])
+    taken = F.col("_passes") + F.when(place(doc_id, seed) <= F.col("_last"), 1).otherwise(0)
+    rows = own.join(p, key_of(F.col(names[source_col])) == F.col("_source"))
     rows = rows.withColumn("_taken", taken.cast("int")).where("_taken > 0")
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)))
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_pass"), F.col(id_col)), 2)
-    return rows.select(*[docs[c] for c in docs.columns], "_pass", order.alias("_order"), "_weight")
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_pass"), F.col(doc_id)), 2)
+    kept = [c for c in docs.columns if c not in ("_pass", "_order", "_weight")]
+    return rows.select(*[F.col(names[c]).alias(c) for c in kept], "_pass", order.alias("_order"), "_weight")

@@ -225,14 +225,37 @@ def marked(nodes: DataFrame, bits: int) -> bytes:
     return b"".join(bytes(r["counts"]) for r in rows)
 
 
+def bits_for(values: DataFrame) -> int:
+    bits, wanted = 1 << 20, min(MOST_BITS, 8 * values.count())
+    while bits < wanted:
+        bits *= 2
+    return bits
+
+
+def among(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is in ``values`` (one long column): a bit table
+    drops most others where they are read, a join the rest."""
+    bits = bits_for(values)
+    table = rows.sparkSession.sparkContext.broadcast(marked(values, bits))
+    at = rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        flags = np.frombuffer(table.value, dtype="uint8")
+        for b in batches:
+            if len(flags):
+                x = np.asarray(b.column(at)).view("uint64") % np.uint64(bits)
+                yield b.filter(pa.array(flags[x >> np.uint64(3)] >> (7 - (x & np.uint64(7))) & 1 == 1))
+
+    return rows.mapInArrow(run, rows.schema).join(values, column, "left_semi")
+
+
 def wanted_sets(docs: DataFrame, words: int, percent: int, counts, nodes: DataFrame) -> DataFrame:
     """(node, n, tokens, heads) of the given classes, by one more pass over the
     texts; ``heads`` are the prefixes under the further orders, one after the
     other, as 32-bit tokens.  A bit table of the nodes (8 bits for each, up to a
     bound) keeps most other sets from being moved."""
-    bits = 1 << 20
-    while bits < min(MOST_BITS, 8 * nodes.count()):
-        bits *= 2
+    bits = bits_for(nodes)
     table = docs.sparkSession.sparkContext.broadcast(marked(nodes, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,8 +388,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         F.count("*").alias("k"), F.min(F.col("n") - F.col("place")).alias("rest"), F.sum("n").alias("both"))
         .where("k > 1").where((F.col("k") > 2) | (F.col("rest") * (100 + percent) >= F.col("both") * percent))
         .select("token"))
-    shared = written(shared, "ngram-shared")        # as small as it is, the postings need no shuffle
-    blocks = written(postings.join(shared, "token", "left_semi").dropDuplicates(["token", "node"]), "ngram-blocks")
+    shared = written(shared, "ngram-shared")
+    blocks = written(among(postings, "token", shared).dropDuplicates(["token", "node"]), "ngram-blocks")
     comp = written(blocks.select("node", F.col("node").alias("component")).distinct(), "ngram-components")
     sets = None
     for star in range(STAR_ROUNDS + 1):

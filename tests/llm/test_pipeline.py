@@ -113,3 +113,27 @@ def test_the_rest_works_without_this_subpackage(tmp_path):
     r = subprocess.run([sys.executable, "-B", "-c", script], cwd=tmp_path, capture_output=True, text=True,
                        env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, timeout=120)
     assert r.returncode == 0, r.stderr[-2000:]
+
+
+CLASHING = ["_score", "_stay", "_first", "_pass", "_passes", "_last", "_taken", "_order", "_weight", "score", "stay",
+            "first", "c0", "c1", "row", "cands", "component_id", "n_shingles", "node", "token", "a.b"]
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "pii", "mix"])
+def test_extra_columns_with_the_stages_own_names_stay(spark, name):
+    from pyspark.sql import functions as F
+    docs = table(spark, SF_SMALL, "documents").limit(60)
+    more = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in CLASHING])
+    got = dict(cp.STAGES)[name](spark, more, SF_SMALL)
+    assert got.columns == more.columns
+    rows = got.collect()
+    assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHING)
+
+
+def test_mix_keeps_columns_that_look_like_its_own(spark):
+    from freshstream.llm import mixing
+    docs = spark.createDataFrame([(i, "a b c", "s%d" % (i % 2), i, "x", "y") for i in range(20)],
+                                 "doc_id long, text string, source string, _pass long, _passes string, _last string")
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "text", "source", "_passes", "_last", "_pass", "_order", "_weight"]
+    assert {(r._passes, r._last) for r in out.collect()} == {("x", "y")}
