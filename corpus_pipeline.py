@@ -22,11 +22,22 @@ from freshstream.llm.queries import vocabulary
 from freshstream.session import ensure_semantics
 
 
+def private(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under column names that clash with nothing, and which is which."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()]), names
+
+
+def public(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(k).alias(c) for c, k in names.items()])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.5 or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("_score", quality.score_column(model, F.col("text")))
-    return scored.where("_score >= 0.5").drop("_score")
+    own, names = private(docs)
+    scored = own.withColumn("score", quality.score_column(model, F.col(names["text"])))
+    return public(scored.where("score >= 0.5"), names)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,22 +45,27 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     of the smallest doc_id; repeated rows once.  Groups in which no row has a
     doc_id, and documents without words, stay as they are."""
     found = ngram_join.join(docs, words=5, percent=80)
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(F.col("_stay")), "left_semi")
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    first = F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(once))
-    return kept.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    own, names = private(docs)
+    doc_id, text = F.col(names["doc_id"]), F.col(names["text"])
+    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("stay")).distinct()
+    kept = own.join(stay, doc_id.eqNullSafe(F.col("stay")), "left_semi")
+    once = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.lit(0))
+    first = F.when(doc_id.isNull(), 1).otherwise(F.row_number().over(once))
+    return public(kept.withColumn("first", first).where("first = 1"), names)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every selected span replaced; n_chars follows."""
-    out = pii.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    own, names = private(docs)
+    out = pii.redact(own, names["text"])
+    size = F.length(names["text"]).cast(docs.schema["n_chars"].dataType)
+    return public(out.withColumn(names["n_chars"], size), names)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, once for each pass that takes them."""
-    return mixing.mix(docs).select(*docs.columns)
+    own, names = private(docs)
+    return public(mixing.mix(own, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"]), names)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
