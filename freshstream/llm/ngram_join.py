@@ -209,10 +209,11 @@ def marked(nodes: DataFrame, bits: int) -> bytes:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from pyspark import TaskContext
-        table = np.zeros(bits, dtype="bool")
+        table = np.zeros(bits // 8, dtype="uint8")
         for b in batches:
-            table[np.asarray(b.column(0)).view("uint64") % np.uint64(bits)] = True
-        yield table_rows(np.packbits(table).view("uint32"), [], [], TaskContext.get().partitionId())
+            at = np.asarray(b.column(0)).view("uint64") % np.uint64(bits)
+            np.bitwise_or.at(table, at >> np.uint64(3), (np.uint64(128) >> (at & np.uint64(7))).astype("uint8"))
+        yield table_rows(table.view("uint32"), [], [], TaskContext.get().partitionId())
 
     def either(pdf):
         import numpy as np
