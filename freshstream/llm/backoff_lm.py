@@ -8,20 +8,26 @@ the training tokens as well), with absolute discounting: an n-gram arc has
 probability ``(c - d) / C(history) + weight(history) * p(word | shorter)``,
 where ``weight`` is the mass left over, so every state is a distribution.
 
-States are the root, the words and the longer n-grams; each has arcs for its
+States are the root and all histories with arcs; each has arcs for its
 continuations and one failure arc, with the weight above, to its longest proper
-suffix.  The model grows with the corpus, so the automaton is laid out as
-tables, one row for each n-gram that any document holds: its key, the keys of
-its prefix (the state the arc leaves) and suffix (the state the failure arc of
-that one leads to), and its counts.  Level by level a row's probability comes
-from its prefix (count, weight) and its suffix (probability).
+suffix.  A text is scored by one walk from left to right that carries the state.
 
-Rows that stand for at least ``word_share`` or ``held_share`` of all tokens (at
-most ``1 / share`` of each order, a proven bound) go to every task; all others -
-each a small group by definition, so no join key is hot - are joined.  The
-shares decide only where a number is looked up, never what it is.
+The model grows with the corpus, so no process holds it.  Documents are cut
+into blocks of about ``BLOCK`` bytes.  A block names the n-grams it holds, with
+its training counts, to the buckets that own them (by a hash of the history);
+an owner adds up what all blocks name and answers each one with the counts of
+its n-grams and histories, in the order they were named.  From these a block
+lays out the part of the automaton that its texts touch and walks them.  Lists
+travel packed: sorted histories as differences, words as places in a list of
+the words used, all as byte planes under zstd.
 
-Keys are 64-bit hashes, taken as identity.
+A history that holds a bucket's share of the corpus is dealt out by its
+continuations instead; its totals are put together from all owners.  At most
+``2 / word_share`` and ``2 / held_share`` of them exist (one word, longer), which
+bounds what is sent to every task.  The shares and the bucket's size decide only
+where a number is looked up, never what it is.
+
+Keys of words and histories are 64-bit hashes, taken as identity.
 
 Edge cases: NULL text is empty: one token, the end.  Rows with NULL doc_id are
 scored and never learnt from.  Repeated doc_ids are scored row by row.
@@ -31,10 +37,8 @@ probability of any token is 1.  Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,7 +49,9 @@ from .common import slices, written
 END = b" "                   # cannot be a word: the end of every document
 ADD = 0.1
 DISCOUNT = 0.5
-COMBINE = 3_000_000          # n-grams of a task's map-side combine
+BLOCK = 8 << 20              # bytes of text in a block (a longer text is a block of its own)
+BUCKET = 1 << 20             # n-grams of one order that a bucket owns, about
+PIECE = 512                  # tokens of a piece; the pieces of a block are walked side by side
 
 
 def words_of(text: str) -> list[bytes]:
@@ -74,261 +80,390 @@ def longer(a, b):
     return x ^ (x >> np.uint64(32))
 
 
-def grams_of(texts: list[str | None], keys: Keys, order: int) -> list[tuple]:
-    """For each order from 1: keys, start places and documents of the n-grams
-    of these texts, each preceded by one end and closed by one (the first end
-    is no token: order 1 has it not)."""
+def pack(values) -> bytes:
+    """Unsigned integers as byte planes, compressed."""
     import numpy as np
-    parts = [[END, *words_of(t or ""), END] for t in texts]
-    doc = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    word = np.array([keys[w] for x in parts for w in x], dtype="uint64")
-    key, out = word, []
-    first = np.concatenate([[True], doc[1:] != doc[:-1]])
-    for k in range(1, order + 1):
-        if k > 1:
-            key = longer(key[:-1], word[k - 1:])
-        here = ~first if k == 1 else doc[:len(key)] == doc[k - 1:]
-        out.append((key, np.flatnonzero(here), doc, first))
-    return out
-
-
-def gram_counts(own: DataFrame, order: int) -> DataFrame:
-    """(level, key, prefix, suffix, starts, n, every): all n-grams of all
-    documents, with their counts in training and in all documents; ``starts``:
-    it opens a document."""
+    values = np.asarray(values)
+    top = int(values.max()) if len(values) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    planes = np.ascontiguousarray(values.astype(f"<u{width}").view("uint8").reshape(-1, width).T)
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    def run(batches):
+
+def unpack(data: bytes):
+    import numpy as np
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    if not n:
+        return np.zeros(0, dtype="uint64")
+    planes = np.frombuffer(pa.decompress(data[9:], decompressed_size=n * width, codec="zstd"), dtype="uint8")
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").ravel().astype("uint64")
+
+
+def blocks_of(own: DataFrame) -> DataFrame:
+    """(block, doc_id, held_out, train, size, words, ids): blocks of documents;
+    ``words`` are keys, the most frequent first, and ``ids`` places among them,
+    one end before each document and one after it (``size`` counts the latter)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        keys, held, size = Keys(), [], 0
-
-        def flush():
-            for k in range(order):
-                key, prefix, suffix, starts, learnt = (np.concatenate(x) for x in zip(*[h[k] for h in held]))
-                one, at, which = np.unique(key, return_index=True, return_inverse=True)
-                opens = np.zeros(len(one), dtype=bool)
-                opens[which[starts]] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(one), k + 1, "int32")), pa.array(one.view("int64")),
-                     pa.array(prefix[at].view("int64")), pa.array(suffix[at].view("int64")), pa.array(opens),
-                     pa.array(np.bincount(which, weights=learnt, minlength=len(one)).astype("int64")),
-                     pa.array(np.bincount(which, minlength=len(one)).astype("int64"))],
-                    names=["level", "key", "prefix", "suffix", "starts", "n", "every"])
-
-        for b in slices(batches, "text", 1 << 20):
-            train = np.asarray(b.column(b.schema.get_field_index("train")).to_numpy(zero_copy_only=False), dtype=bool)
-            levels, rows = grams_of(b.column(b.schema.get_field_index("text")).to_pylist(), keys, order), []
-            for k, (key, at, doc, first) in enumerate(levels):
-                below = levels[k - 1][0] if k else key
-                rows.append((key[at], below[at], below[at + (k > 0)], first[at], train[doc[at]]))
-                size += len(at)
-            held.append(rows)
-            if size > COMBINE:
-                yield from flush()
-                held, size = [], 0
+        from pyspark import TaskContext
+        keys, held, size, made = Keys(), [], 0, 0
+
+        def block():
+            docs = pa.Table.from_batches([h[0] for h in held])
+            key = np.concatenate([h[1] for h in held])
+            words, place, times = np.unique(key, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), dtype="int64")
+            rank[order] = np.arange(len(order))
+            one = lambda x, t: pa.array([x.to_pylist()], pa.list_(t))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()),
+                 one(docs.column("doc_id"), pa.int64()), one(docs.column("held_out"), pa.bool_()),
+                 one(docs.column("train"), pa.bool_()), one(docs.column("size"), pa.int64()),
+                 pa.array([words[order].tobytes()], pa.binary()), pa.array([pack(rank[place])], pa.binary())],
+                names=["block", "doc_id", "held_out", "train", "size", "words", "ids"])
+
+        for b in slices(batches, "text", BLOCK):
+            parts = [[END, *words_of(t or ""), END] for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            more = sum(map(len, parts))
+            if held and size + more > BLOCK // 6:
+                yield block()
+                held, size, made = [], 0, made + 1
+            info = b.drop_columns(["text"]).append_column("size", pa.array([len(x) - 1 for x in parts], pa.int64()))
+            held.append((info, np.array([keys[w] for x in parts for w in x], dtype="uint64")))
+            size += more
         if held:
-            yield from flush()
-
-    rows = own.select("text", F.expr("has_id AND NOT held_out").alias("train")).mapInArrow(
-        run, "level int, key long, prefix long, suffix long, starts boolean, n long, every long")
-    return rows.groupBy("level", "key").agg(
-        F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"), F.bool_or("starts").alias("starts"),
-        F.sum("n").alias("n"), F.sum("every").alias("every"))
-
-
-def looked_up(rows: DataFrame, on: str, states: DataFrame, columns: dict[str, str], least: float) -> DataFrame:
-    """``rows`` with ``columns`` of the state whose key is in ``on``: frequent
-    states are broadcast; rows that found theirs are dealt out by their own key
-    in the join with all others."""
-    names = list(columns)
-    state = states.select(F.col("key").alias("_state"), F.col("every").alias("_every"),
-                          *[F.col(c).alias(f"_{k}") for k, c in columns.items()])
-    hot = state.where(F.col("_every") >= least).drop("_every").select(
-        F.col("_state").alias("_hot"), *[F.col(f"_{k}").alias(f"_hot_{k}") for k in names])
-    near = rows.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")
-    near = near.withColumn("_to", F.when(F.col("_hot").isNull(), F.col(on)).otherwise(F.col("key")))
-    cold = state.where(F.col("_every") < least).drop("_every")
-    both = near.join(cold, F.col("_to") == F.col("_state"), "left")
-    return both.select(*rows.columns, *[
-        F.when(F.col("_hot").isNull(), F.col(f"_{k}")).otherwise(F.col(f"_hot_{k}")).alias(k) for k in names])
-
-
-def arcs(grams: DataFrame, order: int, scale: float, least: float, word_least: float, gram_least: float) -> list[DataFrame]:
-    """For each order from 1, (key, starts, n, every, p): the probability of
-    every n-gram's last word after the others."""
-    one = grams.where("level = 1")
-    levels = [one.select("key", "starts", "n", "every", ((F.col("n") + ADD) / F.lit(scale)).alias("p"))]
-    for k in range(2, order + 1):
-        own = grams.where(F.col("level") == k)
-        # the mass that a history's arcs take
-        taken = own.where(F.col("n") >= least).groupBy(F.col("prefix").alias("key")).agg(
-            F.sum(F.col("n") - DISCOUNT).alias("taken"))
-        states = written(levels[-1].join(taken, "key", "left").select(
-            "key", "every", "n", "p", F.coalesce(1 - F.col("taken") / F.col("n"), F.lit(1.0)).alias("left")), f"lm-states-{k - 1}")
-        bound = word_least if k == 2 else gram_least
-        rows = looked_up(own, "prefix", states, {"total": "n", "left": "left"}, bound)
-        rows = looked_up(rows, "suffix", states, {"shorter": "p"}, bound)
-        arc = F.when(F.col("n") >= least, (F.col("n") - DISCOUNT) / F.col("total")).otherwise(0.0)
-        levels.append(written(rows.select("key", "starts", "n", "every", (arc + F.col("left") * F.col("shorter")).alias("p")),
-                              f"lm-arcs-{k}"))
-    return levels
+            yield block()
+
+    return own.select("doc_id", "held_out", "train", "text").mapInArrow(
+        run, "block long, doc_id array<long>, held_out array<boolean>, train array<boolean>, size array<long>, "
+             "words binary, ids binary")
+
+
+class Block:
+    """The tokens of a block.  ``first`` marks the ends that open documents;
+    position t has the n-gram of each order that ends there."""
+
+    def __init__(self, row: dict):
+        import numpy as np
+        self.words, self.ids = np.frombuffer(row["words"], dtype="uint64"), unpack(row["ids"]).astype("int64")
+        self.size = np.asarray(row["size"], dtype="int64")
+        self.starts = np.cumsum(self.size + 1) - self.size - 1
+        self.first = np.zeros(len(self.ids), dtype=bool)
+        self.first[self.starts] = True
+        self.train = np.repeat(np.asarray(row["train"], dtype=bool), self.size + 1)
+        self.place = np.arange(len(self.ids)) - np.repeat(self.starts, self.size + 1)
+
+    def histories(self, order: int) -> list:
+        """For each order from 1, the positions that have an n-gram and the
+        keys of their histories (the root's is 0)."""
+        import numpy as np
+        key = self.words[self.ids]
+        out = [(np.flatnonzero(~self.first), np.zeros(int((~self.first).sum()), dtype="uint64"))]
+        back = key                                    # the key of the words that end at a position
+        for k in range(2, order + 1):
+            at = np.flatnonzero(self.place >= k - 1)
+            out.append((at, back[at - 1]))
+            nxt = np.zeros_like(back)
+            nxt[at] = longer(back[at - 1], key[at])
+            back = nxt
+        return out
+
+
+class Grams:
+    """The different n-grams of one order in a block, in the order in which
+    they are named: by bucket, history and word.  ``of[t]`` is the n-gram at a
+    position, ``at`` one position of each; likewise for histories."""
+
+    def __init__(self, block: Block, at, history, hot, buckets: int):
+        import numpy as np
+        self.key, place = np.unique(history, return_inverse=True)
+        where = np.minimum(np.searchsorted(hot, self.key), max(0, len(hot) - 1))
+        self.hot = hot[where] == self.key if len(hot) else np.zeros(len(self.key), dtype=bool)
+        word = block.ids[at]
+        one, first, gram = np.unique(place * len(block.words) + word, return_index=True, return_inverse=True)
+        own, word = one // max(1, len(block.words)), one % max(1, len(block.words))
+        home = self.key[own]
+        split = self.hot[own]
+        home[split] = longer(home[split], block.words[word[split]])
+        bucket = (longer(home, np.uint64(0x5BD1)) % np.uint64(buckets)).astype("int64")
+        turn = np.argsort(bucket, kind="stable")      # histories and words stay in order inside
+        back = np.empty(len(turn), dtype="int64")
+        back[turn] = np.arange(len(turn))
+        self.bucket, self.history, self.word = bucket[turn], own[turn], word[turn]
+        self.at = at[first][turn]
+        self.n = np.bincount(back[gram], weights=block.train[at], minlength=len(one)).astype("int64")
+        self.of = np.full(len(block.ids), -1, dtype="int64")
+        self.of[at] = back[gram]
+        self.history_of = np.full(len(block.ids), -1, dtype="int64")
+        self.history_of[at] = place
+        cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
+        self.runs = list(zip(cuts, np.append(cuts[1:], len(self.bucket))))
+
+    def named(self, lo: int, hi: int):
+        """Histories of one bucket, and how many n-grams each has there."""
+        import numpy as np
+        own = self.history[lo:hi]
+        new = np.flatnonzero(np.diff(own, prepend=-1))
+        return own[new], np.diff(np.append(new, len(own)))
+
+
+def hot_histories(blocks: DataFrame, order: int, n: int, least: list[float]) -> list:
+    """For each order, sorted keys of the histories that stand before at least
+    ``least`` of the n tokens (at most 2 n / least; the root always does)."""
+    import numpy as np
+
+    def run(batches):
+        import numpy as np
+        for b in batches:
+            for row in b.to_pylist():
+                block = Block(row)
+                total = len(block.ids) - len(block.size)
+                times = np.bincount(block.ids, minlength=len(block.words))
+                for k, (at, history) in enumerate(block.histories(order)[1:], 2):
+                    # a history is at most as frequent as its words
+                    bar = least[k - 1] / 2 / n * total
+                    common = times >= bar
+                    fits = np.ones(len(at), dtype=bool)
+                    for back in range(1, k):
+                        fits &= common[block.ids[at - back]]
+                    key, c = np.unique(history[fits], return_counts=True)
+                    key, c = key[c >= bar], c[c >= bar]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(key), k, "int32")), pa.array(key.view("int64")), pa.array(c.astype("int64"))],
+                        names=["level", "key", "c"])
+
+    # what blocks leave out of a history's count is below half of ``least``
+    bar = F.element_at(F.array(*[F.lit(float(x) / 2) for x in least]), F.col("level"))
+    rows = blocks.mapInArrow(run, "level int, key long, c long").groupBy("level", "key").agg(
+        F.sum("c").alias("c")).where(F.col("c") >= bar).toArrow()
+    level, key = np.asarray(rows.column("level")), np.asarray(rows.column("key")).view("uint64")
+    return [np.zeros(1, dtype="uint64"), *[np.sort(key[level == k]) for k in range(2, order + 1)]]
+
+
+def named_grams(blocks: DataFrame, order: int, hot, buckets: int) -> DataFrame:
+    """(bucket, level, block, ...): what every block names to every bucket."""
+
+    def run(batches):
+        import numpy as np
+        for b in batches:
+            for row in b.to_pylist():
+                block = Block(row)
+                for k, (at, history) in enumerate(block.histories(order), 1):
+                    grams, rows = Grams(block, at, history, hot.value[k - 1], buckets), []
+                    for lo, hi in grams.runs:
+                        own, many = grams.named(lo, hi)
+                        used, place = np.unique(grams.word[lo:hi], return_inverse=True)
+                        rows.append((int(grams.bucket[lo]), k, row["block"], pack(np.diff(grams.key[own], prepend=np.uint64(0))),
+                                     pack(many), block.words[used].tobytes(), pack(place), pack(grams.n[lo:hi]),
+                                     pack(grams.hot[own])))
+                    for lo in range(0, len(rows), 64):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, t) for c, t in zip(zip(*rows[lo:lo + 64]), [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6])],
+                            names=["bucket", "level", "block", "histories", "many", "words", "word", "n", "hot"])
+
+    return blocks.mapInArrow(run, "bucket long, level int, block long, histories binary, many binary, words binary, "
+                                  "word binary, n binary, hot binary")
+
+
+ANSWER = ("block long, level int, bucket long, n binary, total binary, kept binary, types binary, "
+          "key long, sum_total long, sum_kept long, sum_types long")
+
+
+def answers(named: DataFrame, least: float) -> DataFrame:
+    """For each list that a block named: the training counts of its n-grams
+    and, of its histories, the counts, what of them is kept, and the number of
+    different kept continuations.  For a history dealt out to many buckets, one
+    row (block -1) with this bucket's part of its sums."""
+
+    def own(t: pa.Table) -> pa.Table:
+        import numpy as np
+        rows = t.to_pylist()
+        key = [np.cumsum(unpack(r["histories"]), dtype="uint64") for r in rows]
+        many = [unpack(r["many"]).astype("int64") for r in rows]
+        hot = [unpack(r["hot"]) > 0 for r in rows]
+        history = np.concatenate([np.repeat(k, m) for k, m in zip(key, many)])
+        word = np.concatenate([np.frombuffer(r["words"], dtype="uint64")[unpack(r["word"]).astype("int64")] for r in rows])
+        one, first, gram = np.unique(longer(history, word), return_index=True, return_inverse=True)
+        n = np.bincount(gram, weights=np.concatenate([unpack(r["n"]) for r in rows]), minlength=len(one)).astype("int64")
+        keep = n >= (least if rows[0]["level"] > 1 else 1)
+        states, of = np.unique(history[first], return_inverse=True)
+        total, kept, types = (np.bincount(of, weights=w, minlength=len(states)).astype("int64")
+                              for w in (n, np.where(keep, n, 0), keep))
+        mine, out, lo = n[gram], [], 0
+        for r, k, m in zip(rows, key, many):
+            at, size = np.searchsorted(states, k), int(m.sum())
+            out.append((r["block"], r["level"], r["bucket"], pack(mine[lo:lo + size]), pack(total[at]),
+                        pack(total[at] - kept[at]), pack(types[at]), None, None, None, None))
+            lo += size
+        split = np.unique(np.concatenate([k[h] for k, h in zip(key, hot)]))
+        at = np.searchsorted(states, split)
+        level, bucket = rows[0]["level"], rows[0]["bucket"]
+        out += [(-1, level, bucket, None, None, None, None, *x) for x in zip(
+            split.view("int64").tolist(), total[at].tolist(), kept[at].tolist(), types[at].tolist())]
+        return pa.table([pa.array(c, f) for c, f in zip(zip(*out), [
+            pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 4])],
+            names=[c.split()[0] for c in ANSWER.split(", ")])
+
+    return named.groupBy("bucket", "level").applyInArrow(own, ANSWER)
 
 
 class Automaton:
-    """States with arcs {word id: (log10 p, next state)}, one failure arc and
-    its log10 weight each.  State 0 is the root; ``grams`` maps a state's
-    n-gram (a tuple) to the state.  The layout of the model for one process;
-    ``score`` lays the same states and arcs out as tables."""
-
-    def __init__(self, unigram: dict[int, float], counts: dict[int, int]):
-        self.arcs: list[dict[int, tuple[float, int]]] = [{}]
-        self.fail, self.weight = [0], [0.0]
-        self.grams: dict[tuple[int, ...], int] = {(): 0}
-        self.probability: dict[tuple[int, ...], float] = {(w,): p for w, p in unigram.items()}
-        self.counts = {(w,): c for w, c in counts.items()}
-        self.unigram = unigram
-
-    def p(self, history: tuple[int, ...], word: int) -> float:
-        """Probability of a frequent word after a history (any length)."""
-        mass = 1.0
-        while True:
-            got = self.probability.get((*history, word))
-            if got is not None:
-                return mass * got
-            mass *= self.left.get(history, 1.0)
-            history = history[1:]
-
-    def build(self, levels: list[dict[tuple[int, ...], int]]) -> "Automaton":
-        """Add the kept n-grams, one dict of counts for each order from 2."""
-        self.left: dict[tuple[int, ...], float] = {}
-        for grams in levels:
-            taken: Counter = Counter()
-            for g, c in grams.items():
-                taken[g[:-1]] += c - DISCOUNT
-            for h, mass in taken.items():
-                self.left[h] = max(1e-12, 1.0 - mass / self.counts[h])
-            new = {g: (c - DISCOUNT) / self.counts[g[:-1]] + self.left[g[:-1]] * self.p(g[1:-1], g[-1])
-                   for g, c in grams.items()}
-            self.probability.update(new)
-            self.counts.update(grams)
-        # states: histories that have arcs
-        for h in sorted(self.left, key=len):
-            self.grams[h] = len(self.arcs)
-            self.arcs.append({})
-            self.fail.append(0)
-            self.weight.append(log10(self.left[h]))
-        for h, s in self.grams.items():
-            if h:
-                self.fail[s] = self.state(h[1:])
-        for g, p in self.probability.items():
-            s = self.grams.get(g[:-1])
-            if s is not None:
-                self.arcs[s][g[-1]] = (log10(p), self.state(g))
-        return self
-
-    def state(self, gram: tuple[int, ...]) -> int:
-        """The state of the longest suffix that is one."""
-        while gram not in self.grams:
-            gram = gram[1:]
-        return self.grams[gram]
-
-    def traverse(self, ids: list[int | None], start: int) -> float:
-        """log10 of the probability of all words that are not None; a None (a
-        word that is on no arc) takes the failure arcs down to the root."""
-        arcs, fail, weight, s, total = self.arcs, self.fail, self.weight, start, 0.0
-        for w in ids:
-            if w is None:
-                while s:
-                    total += weight[s]
-                    s = fail[s]
-                continue
-            step = arcs[s].get(w)
-            while step is None:
-                total += weight[s]
-                s = fail[s]
-                step = arcs[s].get(w)
-            total += step[0]
-            s = step[1]
-        return total
+    """States with arcs (state, word) -> (log10 p, next state), one failure arc
+    and its log10 weight each; state 0 is the root, which has an arc for every
+    word.  Arcs stand in one sorted array under ``state * words + word``."""
+
+    def __init__(self, words: int, state, word, log, after, fail, weight):
+        import numpy as np
+        self.words = words
+        key = state * words + word
+        turn = np.argsort(key)
+        self.key, self.log, self.after = key[turn], log[turn], after[turn]
+        self.fail, self.weight = fail, weight
+
+    def step(self, state, word):
+        """log10 p of each word in its state, and the states after them."""
+        import numpy as np
+        state, total, after = state.copy(), np.zeros(len(state)), np.zeros(len(state), dtype="int64")
+        open_ = np.arange(len(state))
+        while len(open_):
+            key = state[open_] * self.words + word[open_]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            hit = self.key[at] == key
+            total[open_[hit]] += self.log[at[hit]]
+            after[open_[hit]] = self.after[at[hit]]
+            open_ = open_[~hit]
+            total[open_] += self.weight[state[open_]]
+            state[open_] = self.fail[state[open_]]
+        return total, after
+
+    def traverse(self, ids, start, size, state):
+        """log10 of the probability of each piece ``ids[start:start + size]``,
+        read from left to right from its state.  Pieces are walked side by side."""
+        import numpy as np
+        turn = np.argsort(-size, kind="stable")
+        start, size, state, total = start[turn], size[turn], state[turn], np.zeros(len(turn))
+        for t in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -t, side="left"))
+            log, state[:live] = self.step(state[:live], ids[start[:live] + t])
+            total[:live] += log
+        out = np.empty(len(turn))
+        out[turn] = total
+        return out
+
+
+def laid_out(block: Block, levels: list[Grams], counts: list[dict], scale: float, least: float):
+    """The part of the automaton that the block's texts touch, the state of
+    every position (before its word), and log10 p and training counts of words."""
+    import numpy as np
+    state_of, arcs = [np.zeros(len(levels[0].key), dtype="int64")], []
+    fail, weight, p = [np.zeros(1, dtype="int64")], [np.zeros(1)], None
+    here = np.zeros(len(block.ids), dtype="int64")           # the state before a position's word
+    before = [here]                                          # the same up to each order
+    made = 1
+    for k, (g, c) in enumerate(zip(levels, counts), 1):
+        if k == 1:
+            p = (c["n"] + ADD) / scale if scale else np.ones(len(c["n"]))
+        else:
+            alive = c["types"] > 0                            # histories with arcs are states
+            number = np.where(alive, made + np.cumsum(alive) - 1, -1)
+            left = np.where(alive, 1 - (c["kept"] - DISCOUNT * c["types"]) / np.maximum(c["total"], 1), 1.0)
+            one = np.full(len(g.key), -1, dtype="int64")      # a position before which the history stands
+            one[g.history] = g.at
+            fail.append(before[-1][one[alive]])
+            weight.append(np.log10(left[alive]))
+            made += int(alive.sum())
+            state_of.append(number)
+            arc = np.where(c["n"] >= least, (c["n"] - DISCOUNT) / np.maximum(c["total"][g.history], 1), 0.0)
+            p = arc + left[g.history] * p[levels[k - 2].of[g.at]]
+            found = np.flatnonzero(g.of >= 0)
+            own = number[g.history_of[found]]
+            here = here.copy()
+            here[found[own >= 0]] = own[own >= 0]
+            before.append(here)
+        kept = np.flatnonzero((c["n"] >= least) | (k == 1))
+        arcs.append((state_of[-1][g.history[kept]], g.word[kept], np.log10(p[kept]), g.at[kept], k))
+    after = []
+    for *_, at, k in arcs:
+        nxt = np.minimum(at + 1, len(block.ids) - 1)          # after an end the walk stops
+        after.append(np.where(block.place[nxt] > 0, before[min(k, len(levels) - 1)][nxt], 0))
+    state, word, log = (np.concatenate([a[i] for a in arcs]) for i in range(3))
+    return (Automaton(len(block.words), state, word, log, np.concatenate(after), np.concatenate(fail), np.concatenate(weight)),
+            here, arcs[0][2], counts[0]["n"])
+
+
+def walked(block: Block, levels: list[Grams], counts: list[dict], scale: float, least: float):
+    """(n_known, base, score) of each document of the block."""
+    import numpy as np
+    automaton, state, log, n = laid_out(block, levels, counts, scale, least)
+    # a state is known from the words before it: long texts are walked in pieces
+    pieces = -(-block.size // PIECE)
+    doc = np.repeat(np.arange(len(pieces)), pieces)
+    place = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+    start = block.starts[doc] + 1 + place
+    size = np.minimum(PIECE, block.size[doc] - place)
+    score = np.bincount(doc, weights=automaton.traverse(block.ids, start, size, state[start]), minlength=len(pieces))
+    owner = np.repeat(np.arange(len(pieces)), block.size + 1)[~block.first]
+    gram = levels[0].of[~block.first]
+    add = lambda w: np.bincount(owner, weights=w, minlength=len(pieces))
+    return add(n[gram] > 0), add(log[gram]), score
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3,
           word_share: float = 4e-6, arc_share: float = 0.0, folds: int = 10, held_out_fold: int = 0,
-          min_count: int = 1, held_share: float = 5e-6) -> DataFrame:
+          min_count: int = 1, held_share: float = 5e-6, bucket: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     for every row."""
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                      F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"),
-                      F.col(id_col).isNotNull().alias("has_id"),
+    held_out = F.coalesce(fold == held_out_fold, F.lit(False))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"),
+                      (F.col(id_col).isNotNull() & ~held_out).alias("train"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    grams = written(gram_counts(own, order), "lm-grams")
-    seen = grams.where("level = 1").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"),
-                                        F.sum("every").alias("every")).first()
-    n, v, every = seen.n or 0, seen.v, seen.every or 0
+    blocks = written(blocks_of(own), "lm-blocks")
+    sums = blocks.select(F.explode(F.arrays_zip("train", "size")).alias("d")).agg(
+        F.sum("d.size").alias("every"), F.sum(F.when(F.col("d.train"), F.col("d.size"))).alias("n")).first()
+    every, n = sums.every or 0, sums.n or 0
+    buckets = max(1, -(-every // bucket))
+    least = max(min_count, arc_share * n, 1)
+    # fewer than a quarter of a bucket's n-grams are no load
+    bars = [0.0, *[max((word_share if k == 2 else held_share) * every, bucket / 4, 1) for k in range(2, order + 1)]]
+    hot = spark.sparkContext.broadcast(hot_histories(blocks, order, max(1, every), bars))
+    found = written(answers(named_grams(blocks, order, hot, buckets), least), "lm-answers")
+    whole = found.where("block = -1").groupBy("level", "key").agg(
+        F.sum("sum_total").alias("total"), F.sum("sum_kept").alias("kept"), F.sum("sum_types").alias("types"))
+    rows = whole.collect()                                    # the hot histories
+    table = spark.sparkContext.broadcast({k: {r.key % (1 << 64): (r.total, r.kept, r.types) for r in rows if r.level == k}
+                                          for k in range(1, order + 1)})
+    v = sum(r.types for r in rows if r.level == 1)             # of the root: all words seen in training
     scale = n + ADD * (v + 1)
-    word_least, gram_least = word_share * every, held_share * every
-    levels = arcs(grams, order, scale, max(min_count, arc_share * n), word_least, gram_least)
-    # what documents ask for: their words, the n-grams of the highest order, shorter ones at their start
-    known = (F.col("n") > 0).cast("int")
-    asked = levels[0].select("key", F.log10("p").alias("log"), known.alias("known"), F.lit(True).alias("word"),
-                             (F.col("every") >= word_least).alias("hot"))
-    for k, rows in enumerate(levels[1:], 2):
-        rows = rows if k == order else rows.where("starts")
-        asked = asked.unionByName(rows.select("key", F.log10("p").alias("log"), F.lit(0).alias("known"),
-                                              F.lit(False).alias("word"), (F.col("every") >= gram_least).alias("hot")))
-    import numpy as np
-    hot = asked.where("hot").select("key", "log", "known").toArrow()      # at most 1 / share rows of each order
-    by_key = np.argsort(np.asarray(hot.column("key")).view("uint64"), kind="stable")
-    model = spark.sparkContext.broadcast((np.asarray(hot.column("key")).view("uint64")[by_key],
-                                          np.asarray(hot.column("log"))[by_key],
-                                          np.asarray(hot.column("known"))[by_key]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(mine: pa.Table, given: pa.Table) -> pa.Table:
         import numpy as np
-        held, logs, seen = model.value
-        keys = Keys()
-        for b in slices(batches, "text", 1 << 20):
-            levels, rows = grams_of(b.column(b.schema.get_field_index("text")).to_pylist(), keys, order), b.num_rows
-            sums, found, tokens, rest = [np.zeros(rows), np.zeros(rows)], np.zeros(rows), None, []
-            for k, (key, at, doc, first) in enumerate(levels):
-                if 0 < k < order - 1:
-                    at = at[first[at]]
-                key, doc = key[at], doc[at]
-                where = np.minimum(np.searchsorted(held, key), max(0, len(held) - 1))
-                hit = held[where] == key if len(held) else np.zeros(len(key), dtype=bool)
-                where = where[hit]
-                sums[k > 0] += np.bincount(doc[hit], weights=logs[where], minlength=rows)
-                if not k:
-                    tokens = np.bincount(doc, minlength=rows)
-                    found += np.bincount(doc[hit], weights=seen[where], minlength=rows)
-                rest.append((doc[~hit], key[~hit]))
-            doc, key = (np.concatenate(x) for x in zip(*rest))
-            turn = np.lexsort((key, doc))
-            doc, key = doc[turn], key[turn]
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])[:len(doc)])
-            times = np.diff(np.append(new, len(doc)))
-            cuts = np.searchsorted(doc[new], np.arange(rows + 1)).astype("int32")
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), x)
-                     for x in (pa.array(key[new].view("int64")), pa.array(times.astype("int64")))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")]
-                + [pa.array(tokens.astype("int64")), pa.array(found.astype("int64")), pa.array(sums[0]), pa.array(sums[1]),
-                   *lists],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "total", "keys", "times"])
-
-    local = written(
-        own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(
-            run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, "
-                 "total double, keys array<long>, times array<long>"), "lm-scored")
-    rare = local.select("row", F.explode(F.arrays_zip("keys", "times")).alias("r")).select(
-        "row", F.col("r.keys").alias("key"), F.col("r.times").alias("times"))
-    part = rare.join(asked.where("NOT hot"), "key").groupBy("row").agg(
-        F.sum(F.when(F.col("word"), F.col("times") * F.col("log"))).alias("more_base"),
-        F.sum(F.when(~F.col("word"), F.col("times") * F.col("log"))).alias("more_total"),
-        F.sum(F.col("times") * F.col("known")).alias("more"))
-    plus = lambda c, more: F.col(c) + F.coalesce(F.col(more), F.lit(0))
-    return (local.drop("keys", "times").join(part, "row", "left")
-            .select("doc_id", "held_out", "n_tokens", plus("known", "more").alias("n_known"),
-                    F.lit(n).cast("long").alias("train_tokens"),
-                    plus("base", "more_base").alias("base_score"), (plus("total", "more_total") if order > 1 else plus("base", "more_base")).alias("score")))
+        info = mine.to_pylist()[0]
+        block, levels, counts = Block(info), [], []
+        order_of = sorted(given.to_pylist(), key=lambda r: (r["level"], r["bucket"]))
+        for k, (at, history) in enumerate(block.histories(order), 1):
+            grams = Grams(block, at, history, hot.value[k - 1], buckets)
+            c = {x: np.zeros(len(grams.key), dtype="int64") for x in ("total", "kept", "types")}
+            lists = [r for r in order_of if r["level"] == k]
+            for (lo, hi), r in zip(grams.runs, lists, strict=True):
+                places = grams.named(lo, hi)[0]
+                c["total"][places] = unpack(r["total"])
+                c["kept"][places] = c["total"][places] - unpack(r["kept"]).astype("int64")
+                c["types"][places] = unpack(r["types"])
+            for i in np.flatnonzero(grams.hot):
+                c["total"][i], c["kept"][i], c["types"][i] = table.value[k][int(grams.key[i])]
+            c["n"] = np.concatenate([unpack(r["n"]).astype("int64") for r in lists]) if lists else np.zeros(0, "int64")
+            levels.append(grams)
+            counts.append(c)
+        known, base, total = walked(block, levels, counts, scale if n else 0.0, least)
+        return pa.table({"doc_id": pa.array(info["doc_id"], pa.int64()), "held_out": pa.array(info["held_out"], pa.bool_()),
+                         "n_tokens": pa.array(block.size), "n_known": pa.array(known.astype("int64")),
+                         "train_tokens": pa.array(np.full(len(block.size), n, "int64")), "base_score": pa.array(base),
+                         "score": pa.array(total)})
+
+    answered = found.where("block <> -1").select("block", "level", "bucket", "n", "total", "kept", "types")
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
+        walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -70,23 +70,64 @@ def test_scores_are_the_brute_force_ones(spark, order, word_share, arc_share):
         assert g[5] == pytest.approx(w[5], abs=1e-6) and g[6] == pytest.approx(w[6], abs=1e-6), g[0]
 
 
+def local_counts(levels, order):
+    """What owners answer, from one block that holds the whole corpus."""
+    import numpy as np
+    out = []
+    for g in levels:
+        total = np.bincount(g.history, weights=g.n, minlength=len(g.key)).astype("int64")
+        types = np.bincount(g.history, weights=g.n > 0, minlength=len(g.key)).astype("int64")
+        out.append({"n": g.n, "total": total, "kept": total, "types": types})
+    return out
+
+
+def one_block(texts, train, order):
+    import numpy as np
+    keys = lm.Keys()
+    parts = [[lm.END, *lm.words_of(t), lm.END] for t in texts]
+    words, ids = np.unique(np.array([keys[w] for x in parts for w in x], dtype="uint64"), return_inverse=True)
+    block = lm.Block({"words": words.tobytes(), "ids": lm.pack(ids), "size": [len(x) - 1 for x in parts], "train": train})
+    levels = [lm.Grams(block, at, h, np.zeros(0, "uint64"), 3) for at, h in block.histories(order)]
+    return block, levels
+
+
 def test_states_are_distributions():
-    r = random.Random(1)
-    counts = {w: r.randint(50, 90) for w in range(6)}
-    n = sum(counts.values())
-    unigram = {w: c / n for w, c in counts.items()}
-    two = {(a, b): r.randint(1, 6) for a in range(6) for b in range(6) if r.random() < 0.6}
-    three = {(*g, b): 1 for g in two for b in range(6) if (g[1], b) in two and r.random() < 0.2 and two[g] > 3}
-    a = lm.Automaton(unigram, counts).build([two, three])
-    for h in [(), *a.grams]:
-        s = a.state(h)
-        total = 0.0
-        for w in range(6):
-            lp, at = 0.0, s
-            while w not in a.arcs[at]:
-                lp, at = lp + a.weight[at], a.fail[at]
-            total += 10 ** (lp + a.arcs[at][w][0])
-        assert total == pytest.approx(1)
+    import numpy as np
+    texts = [t for _, t, _ in corpus(60)[:60]]
+    block, levels = one_block(texts, [True] * 60, 3)
+    counts = local_counts(levels, 3)
+    n = int(counts[0]["n"].sum())
+    automaton, here, *_ = lm.laid_out(block, levels, counts, n, 1)
+    assert len(automaton.fail) > 200 and (automaton.fail < np.maximum(1, np.arange(len(automaton.fail)))).all()
+    words = np.flatnonzero(np.bincount(block.ids, minlength=len(block.words)))
+    want = (n + lm.ADD * len(words)) / n                     # the unigram's own sum under this scale
+    sums = []
+    for s in range(len(automaton.fail)):
+        log, _ = automaton.step(np.full(len(words), s), words)
+        sums.append((10 ** log).sum())
+    left = 10 ** automaton.weight
+    assert sums[0] == pytest.approx(want)
+    for s in range(1, len(sums)):                             # arcs take 1 - weight, the rest is the shorter state's
+        assert sums[s] == pytest.approx(1 + left[s] * (sums[automaton.fail[s]] - 1), rel=1e-9)
+
+
+def test_walks_in_pieces_equal_whole_walks(monkeypatch):
+    import numpy as np
+    texts = [t or "" for _, t, _ in corpus(40)]
+    train = [i % 3 > 0 for i in range(len(texts))]
+    block, levels = one_block(texts, train, 3)
+    counts = local_counts(levels, 3)
+    scale = counts[0]["n"].sum() + 5.0
+    whole = lm.walked(block, levels, counts, scale, 1)
+    monkeypatch.setattr(lm, "PIECE", 7)
+    for a, b in zip(whole, lm.walked(block, levels, counts, scale, 1)):
+        assert np.allclose(a, b, rtol=1e-12)
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+    for values in ([], [0], [255, 0], [65535, 1], [2 ** 32 - 1], [2 ** 64 - 1, 0, 7]):
+        assert lm.unpack(lm.pack(np.array(values, dtype="uint64"))).tolist() == values
 
 
 def test_no_training_rows(spark):
@@ -96,11 +137,12 @@ def test_no_training_rows(spark):
     assert lm.score(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("share", [5e-6, 0.02])
+@pytest.mark.parametrize("share", [5e-6, 0.02, 0.0])
 def test_n_grams_seen_once_count_whatever_the_corpus_size(spark, share):
     rows = [*corpus(), *[(1000 + i, "filler " * 500, 5) for i in range(1000)]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3)
-    given = {} if share == 5e-6 else {"word_share": share, "held_share": share}
+    # many buckets, with histories dealt out to all of them, in the other two
+    given = {} if share == 5e-6 else {"word_share": share, "held_share": share, "bucket": 400 if share else 4000}
     key = lambda r: (r[0] is not None, r[0] or 0, r[2])
     got = sorted(map(tuple, lm.score(docs, **given).collect()), key=key)
     want = sorted(brute(rows, 3, 1e-12, 1e-12), key=key)
