@@ -13,13 +13,15 @@ continuations and one failure arc, with the weight above, to its longest proper
 suffix.  A text is scored by one walk from left to right that carries the state.
 
 The model grows with the corpus, so no process holds it.  Documents are cut
-into blocks of about ``BLOCK`` bytes.  A block names the n-grams it holds, with
-its training counts, to the buckets that own them (by a hash of the history);
-an owner adds up what all blocks name and answers each one with the counts of
-its n-grams and histories, in the order they were named.  From these a block
-lays out the part of the automaton that its texts touch and walks them.  Lists
-travel packed: sorted histories as differences, words as places in a list of
-the words used, all as byte planes under zstd.
+into blocks of about ``BLOCK`` bytes.  First the words: a block names its own to
+the buckets that own them (by a hash), with its training counts; owners add up,
+number the words, the most frequent first, and answer.  Then, in the same way,
+n-grams of the higher orders, as lists of word numbers, owned by a hash of the
+history: each list is answered with the counts of its n-grams and histories, in
+the order they were named.  From these a block lays out the part of the
+automaton that its texts touch and walks them.  Lists travel sorted, as byte
+planes under zstd; blocks stay where they were written (a table bucketed by
+block) and only the answers are moved to them.
 
 A history that holds a bucket's share of the corpus is dealt out by its
 continuations instead; its totals are put together from all owners.  At most
@@ -27,7 +29,7 @@ continuations instead; its totals are put together from all owners.  At most
 bounds what is sent to every task.  The shares and the bucket's size decide only
 where a number is looked up, never what it is.
 
-Keys of words and histories are 64-bit hashes, taken as identity.
+64-bit hashes of words and, at an owner, of n-grams are taken as identity.
 
 Edge cases: NULL text is empty: one token, the end.  Rows with NULL doc_id are
 scored and never learnt from.  Repeated doc_ids are scored row by row.
@@ -44,13 +46,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fresh_dir
 from .common import slices, written
 
 END = b" "                   # cannot be a word: the end of every document
 ADD = 0.1
 DISCOUNT = 0.5
-BLOCK = 8 << 20              # bytes of text in a block (a longer text is a block of its own)
-BUCKET = 1 << 20             # n-grams of one order that a bucket owns, about
+BLOCK = 6 << 20              # bytes of text in a block (a longer text is a block of its own)
+BUCKET = 1 << 19             # n-grams of one order that a bucket owns, about
 PIECE = 512                  # tokens of a piece; the pieces of a block are walked side by side
 
 
@@ -80,6 +83,14 @@ def longer(a, b):
     return x ^ (x >> np.uint64(32))
 
 
+def history_key(words: list):
+    """Keys of histories from the numbers of their words."""
+    key = words[0].astype("uint64")
+    for w in words[1:]:
+        key = longer(key, w.astype("uint64"))
+    return key
+
+
 def pack(values) -> bytes:
     """Unsigned integers as byte planes, compressed."""
     import numpy as np
@@ -141,9 +152,30 @@ def blocks_of(own: DataFrame) -> DataFrame:
              "words binary, ids binary")
 
 
+def lists(key, buckets: int):
+    """The bucket of each key, the order by bucket and key, and where each
+    bucket's keys begin and end in it."""
+    import numpy as np
+    bucket = (longer(key, np.uint64(0x5BD1)) % np.uint64(buckets)).astype("int64")
+    turn = np.lexsort((key, bucket))
+    cuts = np.flatnonzero(np.diff(bucket[turn], prepend=-1))
+    return bucket, turn, list(zip(cuts, np.append(cuts[1:], len(turn))))
+
+
+def bucketed(blocks: DataFrame) -> DataFrame:
+    """``blocks`` written once in the shared folder, as a table bucketed by
+    block: whatever is joined to it by block is moved, and it is not."""
+    spark = blocks.sparkSession
+    path = fresh_dir(spark, "lm-blocks")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    (blocks.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
 class Block:
-    """The tokens of a block.  ``first`` marks the ends that open documents;
-    position t has the n-gram of each order that ends there."""
+    """The tokens of a block; ``words`` are keys.  ``first`` marks the ends
+    that open documents, ``place`` counts tokens from there."""
 
     def __init__(self, row: dict):
         import numpy as np
@@ -153,14 +185,27 @@ class Block:
         self.first = np.zeros(len(self.ids), dtype=bool)
         self.first[self.starts] = True
         self.train = np.repeat(np.asarray(row["train"], dtype=bool), self.size + 1)
-        self.place = np.arange(len(self.ids)) - np.repeat(self.starts, self.size + 1)
+        self.place = (np.arange(len(self.ids)) - np.repeat(self.starts, self.size + 1)).astype("int32")
+
+    def numbered(self, answered: list[dict], buckets: int) -> "Block":
+        """With the numbers and training counts of its words; words stand in
+        the order of their numbers from here."""
+        import numpy as np
+        _, turn, runs = lists(self.words, buckets)
+        number, n = np.zeros(len(turn), dtype="int64"), np.zeros(len(turn), dtype="int64")
+        for (lo, hi), r in zip(runs, sorted(answered, key=lambda r: r["bucket"]), strict=True):
+            number[turn[lo:hi]], n[turn[lo:hi]] = unpack(r["total"]), unpack(r["n"])
+        order = np.argsort(number)
+        rank = np.empty(len(order), dtype="int64")
+        rank[order] = np.arange(len(order))
+        self.words, self.number, self.n, self.ids = self.words[order], number[order], n[order], rank[self.ids]
+        return self
 
     def histories(self, order: int) -> list:
-        """For each order from 1, the positions that have an n-gram and the
-        keys of their histories (the root's is 0)."""
+        """For each order from 2, the positions that have an n-gram and the
+        keys of their histories."""
         import numpy as np
-        key = self.words[self.ids]
-        out = [(np.flatnonzero(~self.first), np.zeros(int((~self.first).sum()), dtype="uint64"))]
+        key, out = self.words[self.ids], []
         back = key                                    # the key of the words that end at a position
         for k in range(2, order + 1):
             at = np.flatnonzero(self.place >= k - 1)
@@ -170,33 +215,48 @@ class Block:
             back = nxt
         return out
 
+    def grams(self, order: int, hot: list, buckets: int) -> Iterator["Grams"]:
+        """Of each order from 2."""
+        below = None
+        for k in range(2, order + 1):
+            below = Grams(self, k, below, hot[k - 2], buckets)
+            yield below
+
 
 class Grams:
     """The different n-grams of one order in a block, in the order in which
-    they are named: by bucket, history and word.  ``of[t]`` is the n-gram at a
-    position, ``at`` one position of each; likewise for histories."""
+    they are named: by bucket, history and word.  ``of[t]`` is the n-gram that
+    ends at position t, ``at`` one position of each; likewise ``history_of``."""
 
-    def __init__(self, block: Block, at, history, hot, buckets: int):
+    def __init__(self, block: Block, k: int, below: "Grams | None", hot, buckets: int):
         import numpy as np
-        self.key, place = np.unique(history, return_inverse=True)
-        where = np.minimum(np.searchsorted(hot, self.key), max(0, len(hot) - 1))
-        self.hot = hot[where] == self.key if len(hot) else np.zeros(len(self.key), dtype=bool)
-        word = block.ids[at]
-        one, first, gram = np.unique(place * len(block.words) + word, return_index=True, return_inverse=True)
-        own, word = one // max(1, len(block.words)), one % max(1, len(block.words))
-        home = self.key[own]
-        split = self.hot[own]
-        home[split] = longer(home[split], block.words[word[split]])
+        at = np.flatnonzero(block.place >= k - 1)
+        size = max(1, len(block.words))
+        if below is None:                             # a history of one word, which may be the opening end
+            seen, place = np.unique(block.ids[at - 1], return_inverse=True)
+            self.past, key = [seen], block.words[seen]
+        else:
+            seen, place = np.unique(below.sorted_of[at - 1], return_inverse=True)
+            self.past, key = [c[seen] for c in below.columns], below.grams[seen]
+        where = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
+        self.hot = hot[where] == key if len(hot) else np.zeros(len(key), dtype=bool)
+        one, first, gram = np.unique(place * size + block.ids[at], return_index=True, return_inverse=True)
+        own, word = one // size, one % size
+        self.columns = [*(c[own] for c in self.past), word]
+        self.grams = longer(key[own], block.words[word])
+        self.sorted_of = np.full(len(block.ids), -1, dtype="int32")
+        self.sorted_of[at] = gram
+        home = np.where(self.hot[own], self.grams, key[own])
         bucket = (longer(home, np.uint64(0x5BD1)) % np.uint64(buckets)).astype("int64")
         turn = np.argsort(bucket, kind="stable")      # histories and words stay in order inside
-        back = np.empty(len(turn), dtype="int64")
-        back[turn] = np.arange(len(turn))
-        self.bucket, self.history, self.word = bucket[turn], own[turn], word[turn]
-        self.at = at[first][turn]
+        back = np.empty(len(turn), dtype="int32")
+        back[turn] = np.arange(len(turn), dtype="int32")
+        self.size = len(key)
+        self.bucket, self.history, self.word, self.at = bucket[turn], own[turn], word[turn], at[first[turn]]
         self.n = np.bincount(back[gram], weights=block.train[at], minlength=len(one)).astype("int64")
-        self.of = np.full(len(block.ids), -1, dtype="int64")
+        self.of = np.full(len(block.ids), -1, dtype="int32")
         self.of[at] = back[gram]
-        self.history_of = np.full(len(block.ids), -1, dtype="int64")
+        self.history_of = np.full(len(block.ids), -1, dtype="int32")
         self.history_of[at] = place
         cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         self.runs = list(zip(cuts, np.append(cuts[1:], len(self.bucket))))
@@ -208,10 +268,62 @@ class Grams:
         new = np.flatnonzero(np.diff(own, prepend=-1))
         return own[new], np.diff(np.append(new, len(own)))
 
+    def packed(self, block: Block, lo: int, hi: int) -> tuple:
+        """What is sent to one bucket: the words of histories, how many
+        n-grams each has, their last words, counts, and which are dealt out."""
+        import numpy as np
+        own, many = self.named(lo, hi)
+        past = [block.number[c[own]] for c in self.past]
+        return ([pack(np.diff(c, prepend=0) if not i else c) for i, c in enumerate(past)], pack(many),
+                pack(block.number[self.word[lo:hi]]), pack(self.n[lo:hi]), pack(self.hot[own]))
+
+
+def named_words(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, words, n, every): the words of every block."""
+
+    def run(batches):
+        import numpy as np
+        for b in batches:
+            for row in b.to_pylist():
+                block = Block(row)
+                bucket, turn, runs = lists(block.words, buckets)
+                every = np.bincount(block.ids[~block.first], minlength=len(turn))
+                n = np.bincount(block.ids, weights=block.train & ~block.first, minlength=len(turn)).astype("int64")
+                for i in range(0, len(runs), 64):
+                    rows = [(int(bucket[turn[lo]]), row["block"], pack(np.diff(block.words[turn[lo:hi]], prepend=np.uint64(0))),
+                             pack(n[turn[lo:hi]]), pack(every[turn[lo:hi]])) for lo, hi in runs[i:i + 64]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), *[pa.binary()] * 3])],
+                        names=["bucket", "block", "words", "n", "every"])
+
+    return blocks.mapInArrow(run, "bucket long, block long, words binary, n binary, every binary")
+
+
+def numbered_words(named: DataFrame, buckets: int) -> DataFrame:
+    """For each list of words: their training counts and numbers; one row
+    (block -1) with how many of the bucket's words training has."""
+
+    def own(t: pa.Table) -> pa.Table:
+        import numpy as np
+        rows = t.to_pylist()
+        words = [np.cumsum(unpack(r["words"]), dtype="uint64") for r in rows]
+        one, at = np.unique(np.concatenate(words), return_inverse=True)
+        n, every = (np.bincount(at, weights=np.concatenate([unpack(r[c]) for r in rows]), minlength=len(one)).astype("int64")
+                    for c in ("n", "every"))
+        number = np.empty(len(one), dtype="int64")
+        number[np.argsort(-every, kind="stable")] = np.arange(len(one))
+        number, bucket = number * buckets + rows[0]["bucket"], rows[0]["bucket"]
+        ends = np.cumsum([len(w) for w in words])
+        out = [(r["block"], 1, bucket, pack(n[at[hi - len(w):hi]]), pack(number[at[hi - len(w):hi]]), None, None, None, None, None, None)
+               for r, w, hi in zip(rows, words, ends)]
+        return answer_rows([*out, (-1, 1, bucket, None, None, None, None, 0, 0, 0, int((n > 0).sum()))])
+
+    return named.groupBy("bucket").applyInArrow(own, ANSWER)
+
 
 def hot_histories(blocks: DataFrame, order: int, n: int, least: list[float]) -> list:
-    """For each order, sorted keys of the histories that stand before at least
-    ``least`` of the n tokens (at most 2 n / least; the root always does)."""
+    """For each order from 2, sorted keys of the histories that stand before at
+    least ``least`` of the n tokens (at most 2 n / least)."""
     import numpy as np
 
     def run(batches):
@@ -221,9 +333,9 @@ def hot_histories(blocks: DataFrame, order: int, n: int, least: list[float]) ->
                 block = Block(row)
                 total = len(block.ids) - len(block.size)
                 times = np.bincount(block.ids, minlength=len(block.words))
-                for k, (at, history) in enumerate(block.histories(order)[1:], 2):
+                for k, (at, history) in enumerate(block.histories(order), 2):
                     # a history is at most as frequent as its words
-                    bar = least[k - 1] / 2 / n * total
+                    bar = least[k - 2] / 2 / n * total
                     common = times >= bar
                     fits = np.ones(len(at), dtype=bool)
                     for back in range(1, k):
@@ -235,59 +347,56 @@ def hot_histories(blocks: DataFrame, order: int, n: int, least: list[float]) ->
                         names=["level", "key", "c"])
 
     # what blocks leave out of a history's count is below half of ``least``
-    bar = F.element_at(F.array(*[F.lit(float(x) / 2) for x in least]), F.col("level"))
+    bar = F.element_at(F.array(F.lit(0.0), *[F.lit(float(x) / 2) for x in least]), F.col("level"))
     rows = blocks.mapInArrow(run, "level int, key long, c long").groupBy("level", "key").agg(
         F.sum("c").alias("c")).where(F.col("c") >= bar).toArrow()
     level, key = np.asarray(rows.column("level")), np.asarray(rows.column("key")).view("uint64")
-    return [np.zeros(1, dtype="uint64"), *[np.sort(key[level == k]) for k in range(2, order + 1)]]
+    return [np.sort(key[level == k]) for k in range(2, order + 1)]
 
 
-def named_grams(blocks: DataFrame, order: int, hot, buckets: int) -> DataFrame:
-    """(bucket, level, block, ...): what every block names to every bucket."""
+ANSWER = ("block long, level int, bucket long, n binary, total binary, kept binary, types binary, "
+          "key long, sum_total long, sum_kept long, sum_types long")
 
-    def run(batches):
-        import numpy as np
-        for b in batches:
-            for row in b.to_pylist():
-                block = Block(row)
-                for k, (at, history) in enumerate(block.histories(order), 1):
-                    grams, rows = Grams(block, at, history, hot.value[k - 1], buckets), []
-                    for lo, hi in grams.runs:
-                        own, many = grams.named(lo, hi)
-                        used, place = np.unique(grams.word[lo:hi], return_inverse=True)
-                        rows.append((int(grams.bucket[lo]), k, row["block"], pack(np.diff(grams.key[own], prepend=np.uint64(0))),
-                                     pack(many), block.words[used].tobytes(), pack(place), pack(grams.n[lo:hi]),
-                                     pack(grams.hot[own])))
-                    for lo in range(0, len(rows), 64):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, t) for c, t in zip(zip(*rows[lo:lo + 64]), [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6])],
-                            names=["bucket", "level", "block", "histories", "many", "words", "word", "n", "hot"])
-
-    return blocks.mapInArrow(run, "bucket long, level int, block long, histories binary, many binary, words binary, "
-                                  "word binary, n binary, hot binary")
 
+def answer_rows(rows: list[tuple]) -> pa.Table:
+    types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 4]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in ANSWER.split(", ")])
 
-ANSWER = ("block long, level int, bucket long, n binary, total binary, kept binary, types binary, "
-          "key long, sum_total long, sum_kept long, sum_types long")
+
+def named_grams(blocks: DataFrame, words: DataFrame, order: int, hot, buckets: int) -> DataFrame:
+    """(bucket, level, block, ...): the n-grams of every block."""
+    names = ["bucket", "level", "block", "past", "many", "word", "n", "hot"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary()), *[pa.binary()] * 4]
+
+    def run(mine: pa.Table, given: pa.Table) -> pa.Table:
+        block, rows = Block(info := mine.to_pylist()[0]).numbered(given.to_pylist(), buckets), []
+        for k, grams in enumerate(block.grams(order, hot.value, buckets), 2):
+            rows += [(int(grams.bucket[lo]), k, info["block"], *grams.packed(block, lo, hi)) for lo, hi in grams.runs]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=names)
+
+    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
+        run, "bucket long, level int, block long, past array<binary>, many binary, word binary, n binary, hot binary")
 
 
 def answers(named: DataFrame, least: float) -> DataFrame:
     """For each list that a block named: the training counts of its n-grams
-    and, of its histories, the counts, what of them is kept, and the number of
-    different kept continuations.  For a history dealt out to many buckets, one
-    row (block -1) with this bucket's part of its sums."""
+    and, of its histories, the counts, what of them is not kept, and the number
+    of different kept continuations.  For a history dealt out to many buckets,
+    one row (block -1) with this bucket's part of its sums."""
 
     def own(t: pa.Table) -> pa.Table:
         import numpy as np
-        rows = t.to_pylist()
-        key = [np.cumsum(unpack(r["histories"]), dtype="uint64") for r in rows]
+        rows, key = t.to_pylist(), []
         many = [unpack(r["many"]).astype("int64") for r in rows]
         hot = [unpack(r["hot"]) > 0 for r in rows]
+        for r in rows:
+            past = [unpack(c) for c in r["past"]]
+            key.append(history_key([np.cumsum(past[0], dtype="uint64"), *past[1:]]))
         history = np.concatenate([np.repeat(k, m) for k, m in zip(key, many)])
-        word = np.concatenate([np.frombuffer(r["words"], dtype="uint64")[unpack(r["word"]).astype("int64")] for r in rows])
+        word = np.concatenate([unpack(r["word"]) for r in rows])
         one, first, gram = np.unique(longer(history, word), return_index=True, return_inverse=True)
         n = np.bincount(gram, weights=np.concatenate([unpack(r["n"]) for r in rows]), minlength=len(one)).astype("int64")
-        keep = n >= (least if rows[0]["level"] > 1 else 1)
+        keep = n >= least
         states, of = np.unique(history[first], return_inverse=True)
         total, kept, types = (np.bincount(of, weights=w, minlength=len(states)).astype("int64")
                               for w in (n, np.where(keep, n, 0), keep))
@@ -302,9 +411,7 @@ def answers(named: DataFrame, least: float) -> DataFrame:
         level, bucket = rows[0]["level"], rows[0]["bucket"]
         out += [(-1, level, bucket, None, None, None, None, *x) for x in zip(
             split.view("int64").tolist(), total[at].tolist(), kept[at].tolist(), types[at].tolist())]
-        return pa.table([pa.array(c, f) for c, f in zip(zip(*out), [
-            pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 4])],
-            names=[c.split()[0] for c in ANSWER.split(", ")])
+        return answer_rows(out)
 
     return named.groupBy("bucket", "level").applyInArrow(own, ANSWER)
 
@@ -355,48 +462,47 @@ class Automaton:
 
 def laid_out(block: Block, levels: list[Grams], counts: list[dict], scale: float, least: float):
     """The part of the automaton that the block's texts touch, the state of
-    every position (before its word), and log10 p and training counts of words."""
+    every position (before its word), and log10 p of its words in the root."""
     import numpy as np
-    state_of, arcs = [np.zeros(len(levels[0].key), dtype="int64")], []
-    fail, weight, p = [np.zeros(1, dtype="int64")], [np.zeros(1)], None
+    size = len(block.words)
+    p = (block.n + ADD) / scale if scale else np.ones(size)
+    root = np.log10(p)
     here = np.zeros(len(block.ids), dtype="int64")           # the state before a position's word
-    before = [here]                                          # the same up to each order
-    made = 1
-    for k, (g, c) in enumerate(zip(levels, counts), 1):
-        if k == 1:
-            p = (c["n"] + ADD) / scale if scale else np.ones(len(c["n"]))
-        else:
-            alive = c["types"] > 0                            # histories with arcs are states
-            number = np.where(alive, made + np.cumsum(alive) - 1, -1)
-            left = np.where(alive, 1 - (c["kept"] - DISCOUNT * c["types"]) / np.maximum(c["total"], 1), 1.0)
-            one = np.full(len(g.key), -1, dtype="int64")      # a position before which the history stands
-            one[g.history] = g.at
-            fail.append(before[-1][one[alive]])
-            weight.append(np.log10(left[alive]))
-            made += int(alive.sum())
-            state_of.append(number)
-            arc = np.where(c["n"] >= least, (c["n"] - DISCOUNT) / np.maximum(c["total"][g.history], 1), 0.0)
-            p = arc + left[g.history] * p[levels[k - 2].of[g.at]]
-            found = np.flatnonzero(g.of >= 0)
-            own = number[g.history_of[found]]
-            here = here.copy()
-            here[found[own >= 0]] = own[own >= 0]
-            before.append(here)
-        kept = np.flatnonzero((c["n"] >= least) | (k == 1))
-        arcs.append((state_of[-1][g.history[kept]], g.word[kept], np.log10(p[kept]), g.at[kept], k))
+    before, made = [here], 1                                 # the same by histories up to each order
+    one = np.zeros(size, dtype="int64")
+    one[block.ids] = np.arange(len(block.ids))
+    arcs = [(np.zeros(size, dtype="int64"), np.arange(size), root, one)]
+    fail, weight, shorter = [np.zeros(1, dtype="int64")], [np.zeros(1)], block.ids
+    for g, c in zip(levels, counts):
+        alive = c["types"] > 0                               # histories with arcs are states
+        number = np.where(alive, made + np.cumsum(alive) - 1, -1)
+        left = np.where(alive, 1 - (c["kept"] - DISCOUNT * c["types"]) / np.maximum(c["total"], 1), 1.0)
+        one = np.full(g.size, -1, dtype="int64")              # a position before which the history stands
+        one[g.history] = g.at
+        fail.append(here[one[alive]])
+        weight.append(np.log10(left[alive]))
+        made += int(alive.sum())
+        arc = np.where(c["n"] >= least, (c["n"] - DISCOUNT) / np.maximum(c["total"][g.history], 1), 0.0)
+        p = arc + left[g.history] * p[shorter[g.at]]
+        kept = np.flatnonzero(c["n"] >= least)
+        arcs.append((number[g.history[kept]], g.word[kept], np.log10(p[kept]), g.at[kept]))
+        found = np.flatnonzero(g.of >= 0)
+        own = number[g.history_of[found]]
+        here, shorter = here.copy(), g.of
+        here[found[own >= 0]] = own[own >= 0]
+        before.append(here)
     after = []
-    for *_, at, k in arcs:
+    for k, (*_, at) in enumerate(arcs, 1):
         nxt = np.minimum(at + 1, len(block.ids) - 1)          # after an end the walk stops
-        after.append(np.where(block.place[nxt] > 0, before[min(k, len(levels) - 1)][nxt], 0))
+        after.append(np.where(block.place[nxt] > 0, before[min(k, len(levels))][nxt], 0))
     state, word, log = (np.concatenate([a[i] for a in arcs]) for i in range(3))
-    return (Automaton(len(block.words), state, word, log, np.concatenate(after), np.concatenate(fail), np.concatenate(weight)),
-            here, arcs[0][2], counts[0]["n"])
+    return (Automaton(size, state, word, log, np.concatenate(after), np.concatenate(fail), np.concatenate(weight)), here, root)
 
 
 def walked(block: Block, levels: list[Grams], counts: list[dict], scale: float, least: float):
     """(n_known, base, score) of each document of the block."""
     import numpy as np
-    automaton, state, log, n = laid_out(block, levels, counts, scale, least)
+    automaton, state, root = laid_out(block, levels, counts, scale, least)
     # a state is known from the words before it: long texts are walked in pieces
     pieces = -(-block.size // PIECE)
     doc = np.repeat(np.arange(len(pieces)), pieces)
@@ -405,9 +511,9 @@ def walked(block: Block, levels: list[Grams], counts: list[dict], scale: float,
     size = np.minimum(PIECE, block.size[doc] - place)
     score = np.bincount(doc, weights=automaton.traverse(block.ids, start, size, state[start]), minlength=len(pieces))
     owner = np.repeat(np.arange(len(pieces)), block.size + 1)[~block.first]
-    gram = levels[0].of[~block.first]
+    word = block.ids[~block.first]
     add = lambda w: np.bincount(owner, weights=w, minlength=len(pieces))
-    return add(n[gram] > 0), add(log[gram]), score
+    return add(block.n[word] > 0), add(root[word]), score
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3,
@@ -421,40 +527,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"),
                       (F.col(id_col).isNotNull() & ~held_out).alias("train"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = written(blocks_of(own), "lm-blocks")
+    blocks = bucketed(blocks_of(own))
     sums = blocks.select(F.explode(F.arrays_zip("train", "size")).alias("d")).agg(
         F.sum("d.size").alias("every"), F.sum(F.when(F.col("d.train"), F.col("d.size"))).alias("n")).first()
     every, n = sums.every or 0, sums.n or 0
     buckets = max(1, -(-every // bucket))
     least = max(min_count, arc_share * n, 1)
     # fewer than a quarter of a bucket's n-grams are no load
-    bars = [0.0, *[max((word_share if k == 2 else held_share) * every, bucket / 4, 1) for k in range(2, order + 1)]]
-    hot = spark.sparkContext.broadcast(hot_histories(blocks, order, max(1, every), bars))
-    found = written(answers(named_grams(blocks, order, hot, buckets), least), "lm-answers")
-    whole = found.where("block = -1").groupBy("level", "key").agg(
-        F.sum("sum_total").alias("total"), F.sum("sum_kept").alias("kept"), F.sum("sum_types").alias("types"))
-    rows = whole.collect()                                    # the hot histories
-    table = spark.sparkContext.broadcast({k: {r.key % (1 << 64): (r.total, r.kept, r.types) for r in rows if r.level == k}
-                                          for k in range(1, order + 1)})
-    v = sum(r.types for r in rows if r.level == 1)             # of the root: all words seen in training
+    bars = [max((word_share if k == 2 else held_share) * every, bucket / 4, 1) for k in range(2, order + 1)]
+    words = written(numbered_words(named_words(blocks, buckets), buckets), "lm-words")
+    v = words.where("block = -1").agg(F.sum("sum_types")).first()[0] or 0
     scale = n + ADD * (v + 1)
+    mine = words.where("block <> -1").select("block", "level", "bucket", "n", "total", "kept", "types")
+    rows, answered = [], mine
+    hot = spark.sparkContext.broadcast(hot_histories(blocks, order, max(1, every), bars) if order > 1 else [])
+    if order > 1:
+        found = written(answers(named_grams(blocks, mine.select("block", "bucket", "n", "total"), order, hot, buckets), least),
+                        "lm-answers")
+        rows = found.where("block = -1").groupBy("level", "key").agg(
+            F.sum("sum_total").alias("total"), F.sum("sum_kept").alias("kept"), F.sum("sum_types").alias("types")).collect()
+        answered = mine.unionByName(found.where("block <> -1").select(mine.columns))
+    dealt = spark.sparkContext.broadcast({(r.level, r.key % (1 << 64)): r for r in rows})      # one row of each hot history
 
     def walk(mine: pa.Table, given: pa.Table) -> pa.Table:
         import numpy as np
-        info = mine.to_pylist()[0]
-        block, levels, counts = Block(info), [], []
-        order_of = sorted(given.to_pylist(), key=lambda r: (r["level"], r["bucket"]))
-        for k, (at, history) in enumerate(block.histories(order), 1):
-            grams = Grams(block, at, history, hot.value[k - 1], buckets)
-            c = {x: np.zeros(len(grams.key), dtype="int64") for x in ("total", "kept", "types")}
-            lists = [r for r in order_of if r["level"] == k]
+        info, levels, counts = mine.to_pylist()[0], [], []
+        given = sorted(given.to_pylist(), key=lambda r: (r["level"], r["bucket"]))
+        block = Block(info).numbered([r for r in given if r["level"] == 1], buckets)
+        for k, grams in enumerate(block.grams(order, hot.value, buckets), 2):
+            c = {x: np.zeros(grams.size, dtype="int64") for x in ("total", "kept", "types")}
+            lists = [r for r in given if r["level"] == k]
             for (lo, hi), r in zip(grams.runs, lists, strict=True):
                 places = grams.named(lo, hi)[0]
                 c["total"][places] = unpack(r["total"])
                 c["kept"][places] = c["total"][places] - unpack(r["kept"]).astype("int64")
                 c["types"][places] = unpack(r["types"])
-            for i in np.flatnonzero(grams.hot):
-                c["total"][i], c["kept"][i], c["types"][i] = table.value[k][int(grams.key[i])]
+            split = np.flatnonzero(grams.hot)
+            for i, key in zip(split, history_key([block.number[w[split]] for w in grams.past]).tolist()):
+                c["total"][i], c["kept"][i], c["types"][i] = (dealt.value[k, key][x] for x in ("total", "kept", "types"))
             c["n"] = np.concatenate([unpack(r["n"]).astype("int64") for r in lists]) if lists else np.zeros(0, "int64")
             levels.append(grams)
             counts.append(c)
@@ -464,6 +574,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                          "train_tokens": pa.array(np.full(len(block.size), n, "int64")), "base_score": pa.array(base),
                          "score": pa.array(total)})
 
-    answered = found.where("block <> -1").select("block", "level", "bucket", "n", "total", "kept", "types")
     return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
         walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -75,8 +75,8 @@ def local_counts(levels, order):
     import numpy as np
     out = []
     for g in levels:
-        total = np.bincount(g.history, weights=g.n, minlength=len(g.key)).astype("int64")
-        types = np.bincount(g.history, weights=g.n > 0, minlength=len(g.key)).astype("int64")
+        total = np.bincount(g.history, weights=g.n, minlength=g.size).astype("int64")
+        types = np.bincount(g.history, weights=g.n > 0, minlength=g.size).astype("int64")
         out.append({"n": g.n, "total": total, "kept": total, "types": types})
     return out
 
@@ -86,9 +86,13 @@ def one_block(texts, train, order):
     keys = lm.Keys()
     parts = [[lm.END, *lm.words_of(t), lm.END] for t in texts]
     words, ids = np.unique(np.array([keys[w] for x in parts for w in x], dtype="uint64"), return_inverse=True)
-    block = lm.Block({"words": words.tobytes(), "ids": lm.pack(ids), "size": [len(x) - 1 for x in parts], "train": train})
-    levels = [lm.Grams(block, at, h, np.zeros(0, "uint64"), 3) for at, h in block.histories(order)]
-    return block, levels
+    row = {"words": words.tobytes(), "ids": lm.pack(ids), "size": [len(x) - 1 for x in parts], "train": train}
+    block = lm.Block(row)
+    n = np.bincount(block.ids, weights=block.train & ~block.first).astype("int64")
+    _, turn, runs = lm.lists(block.words, 3)
+    block.numbered([{"bucket": i, "n": lm.pack(n[turn[lo:hi]]), "total": lm.pack(turn[lo:hi])}
+                    for i, (lo, hi) in enumerate(runs)], 3)
+    return block, list(block.grams(order, [np.zeros(0, "uint64")] * (order - 1), 3))
 
 
 def test_states_are_distributions():
@@ -96,7 +100,7 @@ def test_states_are_distributions():
     texts = [t for _, t, _ in corpus(60)[:60]]
     block, levels = one_block(texts, [True] * 60, 3)
     counts = local_counts(levels, 3)
-    n = int(counts[0]["n"].sum())
+    n = int(block.n.sum())
     automaton, here, *_ = lm.laid_out(block, levels, counts, n, 1)
     assert len(automaton.fail) > 200 and (automaton.fail < np.maximum(1, np.arange(len(automaton.fail)))).all()
     words = np.flatnonzero(np.bincount(block.ids, minlength=len(block.words)))
@@ -117,7 +121,7 @@ def test_walks_in_pieces_equal_whole_walks(monkeypatch):
     train = [i % 3 > 0 for i in range(len(texts))]
     block, levels = one_block(texts, train, 3)
     counts = local_counts(levels, 3)
-    scale = counts[0]["n"].sum() + 5.0
+    scale = block.n.sum() + 5.0
     whole = lm.walked(block, levels, counts, scale, 1)
     monkeypatch.setattr(lm, "PIECE", 7)
     for a, b in zip(whole, lm.walked(block, levels, counts, scale, 1)):
