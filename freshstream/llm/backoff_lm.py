@@ -40,7 +40,6 @@ probability of any token is 1.  Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,14 +62,18 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-class Keys(dict):
-    """64-bit keys of words, remembered up to a bound."""
+class Numbers(dict):
+    """Words numbered as they come."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        key = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return key
+        number = self[word] = len(self)
+        return number
+
+    def keys_of(self):
+        """64-bit keys of the words, in the order of their numbers."""
+        import numpy as np
+        from xxhash import xxh3_64_intdigest
+        return np.fromiter(map(xxh3_64_intdigest, self), dtype="uint64", count=len(self))
 
 
 def longer(a, b):
@@ -118,13 +121,12 @@ def blocks_of(own: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from pyspark import TaskContext
-        keys, held, size, made = Keys(), [], 0, 0
+        words, held, size, made = Numbers(), [], 0, 0
 
         def block():
             docs = pa.Table.from_batches([h[0] for h in held])
-            key = np.concatenate([h[1] for h in held])
-            words, place, times = np.unique(key, return_inverse=True, return_counts=True)
-            order = np.argsort(-times, kind="stable")
+            ids, key = np.concatenate([h[1] for h in held]), words.keys_of()
+            order = np.argsort(-np.bincount(ids, minlength=len(key)), kind="stable")
             rank = np.empty(len(order), dtype="int64")
             rank[order] = np.arange(len(order))
             one = lambda x, t: pa.array([x.to_pylist()], pa.list_(t))
@@ -132,18 +134,20 @@ def blocks_of(own: DataFrame) -> DataFrame:
                 [pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()),
                  one(docs.column("doc_id"), pa.int64()), one(docs.column("held_out"), pa.bool_()),
                  one(docs.column("train"), pa.bool_()), one(docs.column("size"), pa.int64()),
-                 pa.array([words[order].tobytes()], pa.binary()), pa.array([pack(rank[place])], pa.binary())],
+                 pa.array([key[order].tobytes()], pa.binary()), pa.array([pack(rank[ids])], pa.binary())],
                 names=["block", "doc_id", "held_out", "train", "size", "words", "ids"])
 
         for b in slices(batches, "text", BLOCK):
-            parts = [[END, *words_of(t or ""), END] for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            more = sum(map(len, parts))
-            if held and size + more > BLOCK // 6:
-                yield block()
-                held, size, made = [], 0, made + 1
-            info = b.drop_columns(["text"]).append_column("size", pa.array([len(x) - 1 for x in parts], pa.int64()))
-            held.append((info, np.array([keys[w] for x in parts for w in x], dtype="uint64")))
-            size += more
+            for lo in range(0, b.num_rows, 256):
+                few = b.slice(lo, 256)
+                parts = [[END, *words_of(t or ""), END] for t in few.column(few.schema.get_field_index("text")).to_pylist()]
+                more = sum(map(len, parts))
+                if held and size + more > BLOCK // 6:
+                    yield block()
+                    words, held, size, made = Numbers(), [], 0, made + 1
+                info = few.drop_columns(["text"]).append_column("size", pa.array([len(x) - 1 for x in parts], pa.int64()))
+                held.append((info, np.fromiter((words[w] for x in parts for w in x), dtype="int32", count=more)))
+                size += more
         if held:
             yield block()
 
@@ -201,19 +205,19 @@ class Block:
         self.words, self.number, self.n, self.ids = self.words[order], number[order], n[order], rank[self.ids]
         return self
 
-    def histories(self, order: int) -> list:
-        """For each order from 2, the positions that have an n-gram and the
-        keys of their histories."""
+    def histories(self, k: int, common):
+        """Keys of the histories of order k, all of whose words are common,
+        before every n-gram that has one."""
         import numpy as np
-        key, out = self.words[self.ids], []
-        back = key                                    # the key of the words that end at a position
-        for k in range(2, order + 1):
-            at = np.flatnonzero(self.place >= k - 1)
-            out.append((at, back[at - 1]))
-            nxt = np.zeros_like(back)
-            nxt[at] = longer(back[at - 1], key[at])
-            back = nxt
-        return out
+        usual = common[self.ids]
+        at = np.flatnonzero(usual & (self.place >= k - 2))     # where the history ends: not at a closing end
+        at = at[(self.place[at] == 0) | (at + 1 < len(self.ids)) & (self.place[np.minimum(at + 1, len(self.ids) - 1)] > 0)]
+        for back in range(1, k - 1):
+            at = at[usual[at - back]]
+        key = self.words[self.ids[at - (k - 2)]]
+        for back in range(k - 3, -1, -1):
+            key = longer(key, self.words[self.ids[at - back]])
+        return key
 
     def grams(self, order: int, hot: list, buckets: int) -> Iterator["Grams"]:
         """Of each order from 2."""
@@ -240,7 +244,9 @@ class Grams:
             self.past, key = [c[seen] for c in below.columns], below.grams[seen]
         where = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
         self.hot = hot[where] == key if len(hot) else np.zeros(len(key), dtype=bool)
-        one, first, gram = np.unique(place * size + block.ids[at], return_index=True, return_inverse=True)
+        one, gram = np.unique(place * size + block.ids[at], return_inverse=True)
+        first = np.empty(len(one), dtype="int64")
+        first[gram] = np.arange(len(at))              # any place of each
         own, word = one // size, one % size
         self.columns = [*(c[own] for c in self.past), word]
         self.grams = longer(key[own], block.words[word])
@@ -333,14 +339,10 @@ def hot_histories(blocks: DataFrame, order: int, n: int, least: list[float]) ->
                 block = Block(row)
                 total = len(block.ids) - len(block.size)
                 times = np.bincount(block.ids, minlength=len(block.words))
-                for k, (at, history) in enumerate(block.histories(order), 2):
+                for k in range(2, order + 1):
                     # a history is at most as frequent as its words
                     bar = least[k - 2] / 2 / n * total
-                    common = times >= bar
-                    fits = np.ones(len(at), dtype=bool)
-                    for back in range(1, k):
-                        fits &= common[block.ids[at - back]]
-                    key, c = np.unique(history[fits], return_counts=True)
+                    key, c = np.unique(block.histories(k, times >= bar), return_counts=True)
                     key, c = key[c >= bar], c[c >= bar]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(key), k, "int32")), pa.array(key.view("int64")), pa.array(c.astype("int64"))],
@@ -394,7 +396,9 @@ def answers(named: DataFrame, least: float) -> DataFrame:
             key.append(history_key([np.cumsum(past[0], dtype="uint64"), *past[1:]]))
         history = np.concatenate([np.repeat(k, m) for k, m in zip(key, many)])
         word = np.concatenate([unpack(r["word"]) for r in rows])
-        one, first, gram = np.unique(longer(history, word), return_index=True, return_inverse=True)
+        one, gram = np.unique(longer(history, word), return_inverse=True)
+        first = np.empty(len(one), dtype="int64")
+        first[gram] = np.arange(len(history))         # any place of each
         n = np.bincount(gram, weights=np.concatenate([unpack(r["n"]) for r in rows]), minlength=len(one)).astype("int64")
         keep = n >= least
         states, of = np.unique(history[first], return_inverse=True)

@@ -83,9 +83,10 @@ def local_counts(levels, order):
 
 def one_block(texts, train, order):
     import numpy as np
-    keys = lm.Keys()
+    numbers = lm.Numbers()
     parts = [[lm.END, *lm.words_of(t), lm.END] for t in texts]
-    words, ids = np.unique(np.array([keys[w] for x in parts for w in x], dtype="uint64"), return_inverse=True)
+    ids = np.array([numbers[w] for x in parts for w in x])
+    words = numbers.keys_of()
     row = {"words": words.tobytes(), "ids": lm.pack(ids), "size": [len(x) - 1 for x in parts], "train": train}
     block = lm.Block(row)
     n = np.bincount(block.ids, weights=block.train & ~block.first).astype("int64")
@@ -128,6 +129,16 @@ def test_walks_in_pieces_equal_whole_walks(monkeypatch):
         assert np.allclose(a, b, rtol=1e-12)
 
 
+def test_histories_stand_before_every_n_gram():
+    import numpy as np
+    block, levels = one_block(["a b a", "", "b a b a c", "c"], [True] * 4, 4)
+    for k, g in enumerate(levels, 2):
+        got = block.histories(k, np.ones(len(block.words), dtype=bool))
+        assert len(got) == (g.of >= 0).sum() and len(np.unique(got)) == g.size
+        some = block.histories(k, np.arange(len(block.words)) < 2)
+        assert set(some.tolist()) <= set(got.tolist())
+
+
 def test_packed_numbers_come_back():
     import numpy as np
     for values in ([], [0], [255, 0], [65535, 1], [2 ** 32 - 1], [2 ** 64 - 1, 0, 7]):
