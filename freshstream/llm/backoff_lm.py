@@ -51,8 +51,8 @@ from .common import slices, written
 END = b" "                   # cannot be a word: the end of every document
 ADD = 0.1
 DISCOUNT = 0.5
-BLOCK = 6 << 20              # bytes of text in a block (a longer text is a block of its own)
-BUCKET = 1 << 19             # n-grams of one order that a bucket owns, about
+BLOCK = 4 << 20              # bytes of text in a block (a longer text is a block of its own)
+BUCKET = 1 << 20             # n-grams of one order that a bucket owns, about
 PIECE = 512                  # tokens of a piece; the pieces of a block are walked side by side
 
 
