@@ -64,3 +64,18 @@ def test_a_slower_cadence_is_further_behind(spark, workdir):
     total = G.consumer_lag(measure.offsets(spark, out)).where("partition IS NULL")
     assert {r.group_id: r.lag for r in total.collect()}["stream-qb"] == 1000
     assert measure.ticks(spark, out).agg(F.count("producer_max_et")).first()[0] == 18
+
+
+def test_queries_that_wait_for_slower_ones_are_not_taken_for_stuck(spark, workdir):
+    key = "spark.sql.streaming.noDataProgressEventInterval"
+    spark.conf.set(key, "0")                              # every idle trigger leaves a progress, not one in ten seconds
+    try:
+        chunks = EL.time_chunks(table(spark, SF_SMALL, "events"), 2)
+        logs = [EL.records_from_transactions(transactions_from_events(c)) for c in chunks]
+        out = measure.record(spark, logs)
+    finally:
+        spark.conf.unset(key)
+    total = G.consumer_lag(measure.offsets(spark, out)).where("partition IS NULL")
+    assert {r.group_id: r.lag for r in total.collect()} == {
+        "stream-qa": 0, "stream-qb": 0, "stream-qc": 0, "partials": 0, "append": 1000}
+    assert measure.last_batch(None) == -1
