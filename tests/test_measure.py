@@ -79,3 +79,13 @@ def test_queries_that_wait_for_slower_ones_are_not_taken_for_stuck(spark, workdi
     assert {r.group_id: r.lag for r in total.collect()} == {
         "stream-qa": 0, "stream-qb": 0, "stream-qc": 0, "partials": 0, "append": 1000}
     assert measure.last_batch(None) == -1
+
+
+def test_produce_rate_observes_commits_too(spark):
+    """A tick at which only the consumer's commit shows is an observation, at rate 0."""
+    import datetime as dt
+    at = lambda s: dt.datetime(2024, 1, 1, 12, 0, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    txn = spark.createDataFrame([(12, at(10)), (12, at(45)), (12, at(400))], "user_id long, ingest_time timestamp")
+    got = G.produce_rate(G.offset_log(txn)).orderBy("observed_at").collect()
+    assert [(r.delta_offsets, r.delta_s, r.rate_per_s) for r in got] == [
+        (0, 60, 0.0), (1, 300, 1 / 300), (0, 60, 0.0)]
