@@ -12,8 +12,9 @@ written to, in two tiers:
 So a batch costs what was written around its own event times, not the table, and
 nothing is dropped.  Copies of an event carry the event's own time (they are
 found in the hour it names); of the copies in one batch the first by arrival
-stays.  The table is partitioned by batch and hour; a replayed batch compares
-with earlier batches only and replaces what it wrote.
+stays.  The table is partitioned by batch and hour, an hour of a batch is one file
+unless it holds very many rows; a replayed batch compares with earlier batches only
+and replaces what it wrote.
 
 Rows without an event time are compared among themselves.  NULL keys are one key.
 A key with many copies is combined in each task before it is shuffled.
@@ -31,6 +32,8 @@ from ..session import path_exists
 #: Hours a batch may name before the hour filter is left to the join.
 MOST_HOURS = 1000
 UNTIMED = "none"
+#: Rows of an hour that one task writes; a fuller hour is dealt to several.
+HOUR_ROWS = 1_000_000
 
 
 def first_per_key(batch: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
@@ -67,6 +70,15 @@ def unseen(rows: DataFrame, known: DataFrame | None, key: str, since: bool) -> D
     return rows.join(ids, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
 
 
+def by_hour(new: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """``new`` (some rows of ``batch``) with each hour in one task, so that it is
+    one file; hours of more than ``HOUR_ROWS`` in several, dealt by key."""
+    full = (batch.groupBy("event_hour").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOUR_ROWS)
+            .select("event_hour", F.ceil(F.col("_n") / HOUR_ROWS).alias("_n")))
+    piece = F.pmod(F.xxhash64(key), F.coalesce("_n", F.lit(1)))
+    return new.join(F.broadcast(full), "event_hour", "left").repartition("event_hour", piece).drop("_n")
+
+
 def dedup_sink(path: str, key: str = "event_id", order: tuple[str, ...] = ("offset",), horizon_minutes: int = 10):
     """foreachBatch writer: the batch's unseen rows to ``path/rows``."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -84,7 +96,7 @@ def dedup_sink(path: str, key: str = "event_id", order: tuple[str, ...] = ("offs
             new = unseen(rows.where(~late), known, key, True)
             if edge is not None:
                 new = new.unionByName(unseen(rows.where(late), known, key, False))
-            (new.sortWithinPartitions("event_hour", "event_time")
+            (by_hour(new, rows, key).sortWithinPartitions("event_hour", "event_time")
              .write.mode("overwrite").partitionBy("event_hour").parquet(f"{path}/rows/batch_id={batch_id}"))
             (rows.agg(F.max("event_time").alias("mark"))
              .write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}"))

@@ -1,11 +1,13 @@
 """Exact stream duplicate suppression, and reconciliation by digest."""
 
 import datetime as dt
+import pathlib
 import random
 
 from pyspark.sql import functions as F
 
 from freshstream.operators import digest as D
+from freshstream.streaming import dedup
 from freshstream.streaming.dedup import dedup_sink, known_rows, unseen
 
 SCHEMA = "event_id string, event_time timestamp, value int, offset long"
@@ -54,6 +56,25 @@ def test_random_feed_equals_first_arrivals(spark, workdir):
     assert content(spark, workdir) == sorted(((k, v) for k, v in seen.items()), key=repr)
 
 
+def files(path):
+    return len(list(pathlib.Path(path.removeprefix("file:")).glob("rows/batch_id=*/event_hour=*/*.parquet")))
+
+
+def test_an_hour_is_one_file_however_many_tasks(spark, workdir, monkeypatch):
+    rows = [(f"x{m}", m % 600, m, m) for m in range(3000)]          # ten hours
+    spark.conf.set("spark.sql.adaptive.enabled", "false")           # as in a stream
+    try:
+        dedup_sink(f"{workdir}/one")(batch(spark, rows).repartition(8), 0)
+        monkeypatch.setattr(dedup, "HOUR_ROWS", 100)                # 300 an hour: three tasks each, if dealt apart
+        dedup_sink(f"{workdir}/full")(batch(spark, rows).repartition(8), 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert files(f"{workdir}/one") == 10
+    assert 10 < files(f"{workdir}/full") <= 30
+    assert content(spark, f"{workdir}/full") == content(spark, f"{workdir}/one") and len(rows) == 3000
+    assert len(content(spark, f"{workdir}/one")) == 3000
+
+
 def test_only_the_hours_of_the_rows_are_read(spark, workdir):
     write = dedup_sink(workdir)
     write(batch(spark, [(f"x{m}", m, m, m) for m in range(0, 6000, 50)]), 0)
