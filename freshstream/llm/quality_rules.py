@@ -14,12 +14,13 @@ not depend on the order of addition.
 Ahead of it stand plain rules (``with_facts``): too few words, or too many words
 inside repeated three-word windows.
 
-Scale: the corpus is read three times (counts, trusted texts, scores), no text
-is shuffled.  Counts are combined in each task into at most ``buckets`` rows;
-the ratio table (``buckets`` rows, a parameter) is broadcast; scores are combined
-in each task, one row per document crosses the shuffle.  The trusted rows are a
-bounded sample (``max_trusted``, chosen by a hash of doc_id, so their ids can be
-broadcast); counts, thresholds and decisions cover all documents.
+Scale: the corpus is read three times (counts, trusted texts, scores).  Counts are
+combined in each task into at most ``buckets`` rows; the ratio table (``buckets``
+rows, a parameter) is broadcast; scores are combined in each task, one row per
+document crosses the shuffle.  Every trusted document counts: its id is broadcast
+while all ids together are small enough (``bounded_broadcast``), beyond that texts
+and ids meet in a shuffle.  Quantiles are exact: scores are counted by slices, and
+only the slices that hold them are read by value.
 
 Defined results: NULL and empty texts have no words and fail the rules.  Several
 labels of one doc_id count by their mean (>= 0.5 is trusted), NULL labels not at
@@ -30,11 +31,13 @@ length are taken whole.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import bounded_broadcast
 from .common import written
 
 SPACE = r"\x20\x09-\x0D"
@@ -43,6 +46,8 @@ SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 16
 #: A score is kept in whole millionths.
 UNIT = 1_000_000
+#: Slices a score unit is cut into where quantiles are looked for.
+SLICES = 1000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -105,14 +110,21 @@ def with_facts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                         "of_words.n_repeat_words", "of_words.slots")
 
 
-def trusted_ids(labels: DataFrame, id_col: str, quality_col: str, max_trusted: int) -> DataFrame:
-    """Ids of at most ``max_trusted`` trusted documents, least hash first, with
-    ``fit`` (four of five) or not."""
+def trusted_ids(labels: DataFrame, id_col: str, quality_col: str, max_trusted: int | None = None) -> DataFrame:
+    """Ids of the trusted documents (all, or for a caller that wants few the
+    ``max_trusted`` of least hash), with ``fit`` (four of five) or not."""
     h = F.xxhash64(F.col("t_id"), F.lit("trusted"))
-    return (labels.select(F.col(id_col).alias("t_id"), F.col(quality_col).alias("q"))
-            .where("t_id IS NOT NULL AND q IS NOT NULL").groupBy("t_id").agg(F.avg("q").alias("q"))
-            .where("q >= 0.5").select("t_id", h.alias("h")).orderBy("h", "t_id").limit(max_trusted)
-            .select("t_id", (F.pmod(F.xxhash64("h"), F.lit(5)) != 0).alias("fit")))
+    ids = (labels.select(F.col(id_col).alias("t_id"), F.col(quality_col).alias("q"))
+           .where("t_id IS NOT NULL AND q IS NOT NULL").groupBy("t_id").agg(F.avg("q").alias("q"))
+           .where("q >= 0.5").select("t_id", h.alias("h")))
+    if max_trusted is not None:
+        ids = ids.orderBy("h", "t_id").limit(max_trusted)
+    return ids.select("t_id", (F.pmod(F.xxhash64("h"), F.lit(5)) != 0).alias("fit"))
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is one of ``ids`` (t_id)."""
+    return rows.join(bounded_broadcast(ids.select("t_id")), F.col("doc_id") == F.col("t_id"), "left_semi")
 
 
 def counted(texts: DataFrame, buckets: int) -> DataFrame:
@@ -124,8 +136,7 @@ def counted(texts: DataFrame, buckets: int) -> DataFrame:
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, pseudo: float) -> DataFrame:
     """slot -> log p_target - log p_raw, in whole millionths; every slot."""
     raw = counted(docs, buckets).toDF("slot", "raw")
-    target = counted(docs.join(F.broadcast(trusted.where("fit")), F.col("doc_id") == F.col("t_id"), "left_semi"),
-                     buckets).toDF("slot", "target")
+    target = counted(among(docs, trusted.where("fit")), buckets).toDF("slot", "target")
     both = (docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("slot"))
             .join(raw, "slot", "left").join(target, "slot", "left").na.fill(0))
     both = written(both, "gram-counts")
@@ -135,14 +146,37 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int, pseudo: float) ->
     return both.select("slot", (ratio if sums["target"] else F.lit(0).cast("bigint")).alias("ratio"))
 
 
+def quantiles(rows: DataFrame, column: str, points: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles of a column without NULLs, linear between neighbours (as
+    ``percentile``, but no task holds all values); None where there are no rows."""
+    part = F.floor(F.col(column) * SLICES)
+    counts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    total = sum(r["n"] for r in counts)
+    if not total:
+        return [None] * len(points)
+    places = [p * (total - 1) for p in points]
+    ranks = {f(x) for x in places for f in (math.floor, math.ceil)}
+    first, seen = {}, 0                        # rank of the first value of each part that is needed
+    for r in counts:
+        if any(seen <= k < seen + r["n"] for k in ranks):
+            first[r["part"]] = seen
+        seen += r["n"]
+    value = {}
+    for r in (rows.where(part.isin(list(first))).groupBy(part.alias("part"), F.col(column).alias("v"))
+              .agg(F.count(F.lit(1)).alias("n")).orderBy("part", "v").collect()):
+        begin, first[r["part"]] = first[r["part"]], first[r["part"]] + r["n"]
+        value.update({k: r["v"] for k in ranks if begin <= k < begin + r["n"]})
+    return [value[lo] if lo == hi else (hi - x) * value[lo] + (x - lo) * value[hi]
+            for x, lo, hi in ((x, math.floor(x), math.ceil(x)) for x in places)]
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           quality_col: str = "quality", min_words: int = 50, max_repeat_percent: int = 50, buckets: int = BUCKETS,
-          pseudo: float = 1.0, max_trusted: int = 200_000, quantile: float = 0.005,
-          slack: float = 1.0) -> DataFrame:
+          pseudo: float = 1.0, quantile: float = 0.005, slack: float = 1.0) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score, threshold, kept."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    trusted = written(trusted_ids(labels, id_col, quality_col, max_trusted), "trusted")
+    trusted = written(trusted_ids(labels, id_col, quality_col), "trusted")
     table = written(ratios(docs, trusted, buckets, pseudo), "gram-ratios")
     facts = with_facts(docs, buckets).withColumn("row", F.monotonically_increasing_id())
     keys = [c for c in facts.columns if c != "slots"]
@@ -154,10 +188,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     mean = F.when(F.col("n_grams") > 0, F.col("total") / F.col("n_grams") / UNIT).otherwise(F.lit(0.0))
     scored = written(scored.select("*", failed.alias("base_failed"), mean.alias("score"))
                      .drop("row", "total", "n_grams"), "scored")
-    held = scored.join(F.broadcast(trusted.where("NOT fit")), F.col("doc_id") == F.col("t_id"), "left_semi")
-    # at most max_trusted / 5 documents (and their repeated rows), combined by value
-    low, middle = held.where("NOT base_failed").agg(
-        F.percentile("score", F.array(F.lit(quantile), F.lit(0.5))).alias("b")).first()["b"] or (None, None)
+    held = written(among(scored.where("NOT base_failed"), trusted.where("NOT fit")).select("score"), "held-scores")
+    low, middle = quantiles(held, "score", (quantile, 0.5))
     bound = float("-inf") if low is None else low - slack * (middle - low)
     return scored.select("*", F.lit(bound).alias("threshold"),
                          (~F.col("base_failed") & (F.col("score") >= F.lit(bound))).alias("kept"))

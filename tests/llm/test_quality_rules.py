@@ -109,3 +109,22 @@ def test_no_python_in_the_plan(spark):
 def test_repeated_windows_overlap(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(Q.repeated_words(Q.words_of(df.t)).alias("n")).first().n == facts(text)[4]
+
+
+def test_every_trusted_document_counts(spark, monkeypatch):
+    """Beyond 200,000 too, with the ids broadcast or not."""
+    labels = spark.range(250_000).selectExpr("id AS doc_id", "1 AS quality")
+    ids = Q.trusted_ids(labels, "doc_id", "quality")
+    assert ids.count() == 250_000
+    docs = spark.range(0, 500_000, 7).withColumnRenamed("id", "doc_id")
+    assert Q.among(docs, ids).count() == 35_715
+    monkeypatch.setattr("freshstream.operators.joins.bounded_broadcast.__defaults__", (10, 10))
+    assert Q.among(docs, ids).count() == 35_715
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 401])
+def test_quantiles_are_exact(spark, n):
+    rows = spark.createDataFrame([(((i * 37) % 101 - 50) / 777,) for i in range(n)], "score double")
+    got = Q.quantiles(rows, "score", (0.005, 0.5))
+    want = rows.selectExpr("percentile(score, array(0.005, 0.5)) AS p").first()["p"] or [None, None]
+    assert got == want
