@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from freshstream.operators.regional import minute_buckets
-from freshstream.schema import transactions
+from freshstream.schema import transactions, transactions_from_events
 from freshstream.sources import event_log as EL
 from freshstream.streaming import maintained as M
 from freshstream.streaming import runner
@@ -173,3 +173,19 @@ def test_replay_deadline_stops_the_query(spark, workdir):
         runner.replay(segs, log, lambda: M.qb_running_total(M.typed_stream(spark, log)),
                       "deadline", "update", runner.batch_writer(f"{workdir}/out"), timeout_s=0)
     assert not spark.streams.active
+
+
+def test_a_chunk_of_a_time_ordered_table_is_written_by_several_tasks(spark, workdir):
+    events = spark.range(0, 40_000, 1, 4).selectExpr(
+        "id AS event_id", "CAST(timestamp_micros(id * 1000000) AS timestamp_ntz) AS ts", "id % 100 AS user_id",
+        "'view' AS event_type", "1.5D AS value")
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(key, "10k")
+    try:
+        parts = [EL.append_chunk(EL.records_from_transactions(transactions_from_events(c)), f"{workdir}/log", i)
+                 for i, c in enumerate(EL.event_chunks(events, 4))]
+    finally:
+        spark.conf.unset(key)
+    held = [EL.read_log(spark, p).groupBy(F.input_file_name()).count().collect() for p in parts]
+    assert all(max(r["count"] for r in files) < 0.6 * sum(r["count"] for r in files) for files in held)
+    assert sum(r["count"] for files in held for r in files) == 40_000
