@@ -27,9 +27,9 @@ rows of their own; an empty table gives no rows.  Other columns are ignored
 
 from __future__ import annotations
 
-import json
 import random
 
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -190,10 +190,14 @@ def examples(seed: int = 11) -> list[tuple[str, int]]:
 def looser(spans: DataFrame) -> DataFrame:
     """The looser spans that the trees select."""
     spark = spans.sparkSession
-    rows = json.dumps([{"row": 2 * i + label, "text": text} for i, (text, label) in enumerate(examples())])
-    given = spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<row:bigint,text:string>>")).alias("e")).select("e.*")
+    told = [(2 * i + label, text) for i, (text, label) in enumerate(examples())]
+    # as files: a plan that carries them costs the driver hundreds of megabytes
+    given = written(spark.createDataFrame(pa.table({"row": pa.array([r for r, _ in told], pa.int64()),
+                                                    "text": [t for _, t in told]})).coalesce(1), "pii-examples")
     vector = lambda df, names: VectorAssembler(inputCols=names, outputCol="features").transform(df)
-    shown, names = with_features(spans_of(proposals(given, F.col("text"), ["row"])).where("NOT base AND good"))
+    # step by step, as for the texts: one plan of all steps takes the driver's memory too
+    tried = written(proposals(given, F.col("text"), ["row"]), "pii-example-proposals")
+    shown, names = with_features(written(spans_of(tried), "pii-example-spans").where("NOT base AND good"))
     known = written(vector(shown, names).select(
         (F.col("row") % 2).cast("double").alias("label"), "kind", "features",
         F.pmod(F.xxhash64("row", F.lit("part")), F.lit(3)).alias("part")), "pii-train")

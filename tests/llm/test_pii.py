@@ -100,3 +100,16 @@ def test_looser_spans_are_judged_by_evidence_not_by_form_alone(spark):
     assert got == [""] * len(clean) + [want for _, want in private]
     texts = [r.text for r in pii.redact(docs).orderBy("doc_id").collect()]
     assert texts[:len(clean)] == clean and all("[" + w.split(":")[0].upper() + "]" in t for t, (_, w) in zip(texts[len(clean):], private))
+
+
+def test_no_plan_carries_the_examples_or_all_steps(spark, monkeypatch):
+    """The driver holds a plan many times over; those of the training took hundreds of megabytes."""
+    sizes, plain = {}, pii.written
+
+    def measured(df, name):
+        sizes[name] = len(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(pii, "written", measured)
+    pii.find(table(spark, SF_SMALL, "documents")).count()
+    assert "pii-train" in sizes and max(sizes.values()) < 100_000, sizes
