@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import slices, texts, worker_cache
@@ -77,6 +78,7 @@ class RankArrayBpe:
         self.word = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.column: pa.Array | None = None
 
     def normalise(self, text: str) -> str:
         """NFC, then lower case character by character (no final-sigma rule)."""
@@ -158,6 +160,17 @@ class RankArrayBpe:
         """The file names no decoder: tokens joined by one space."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """``decode`` of every list (NULL: empty), column by column."""
+        if self.column is None:
+            self.column = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.large_string())
+        tokens = self.column.take(ids.flatten())
+        if tokens.null_count:
+            raise KeyError("an id that the tokenizer file does not have")
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(ids), 0))
+        lists = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), tokens)
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
 
 def tokenizer(path: str) -> RankArrayBpe:
     return worker_cache(("rank-array-bpe", path), lambda: RankArrayBpe(path))
@@ -190,8 +203,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                out = [bpe.decode(ids or ()) for ids in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())],
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), bpe.decode_lists(b.column(1))],
                                                  names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

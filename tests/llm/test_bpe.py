@@ -1,6 +1,8 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from pyspark.sql import Row
 from tokenizers import Tokenizer
 
@@ -48,3 +50,16 @@ def test_rows_nulls_repeats_and_clashing_columns(spark):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids) for r in rows) == want
     assert all(r.decoded == lib.decode(r.ids, skip_special_tokens=False) for r in rows)
     assert encode(docs.limit(0), PATH).count() == 0
+
+
+def test_lists_are_decoded_by_columns():
+    own = RankArrayBpe(PATH)
+    ids = [[i for w in own.encode(t) for i in w] for t in TEXTS] + [None, []]
+    column = pa.array(ids, pa.list_(pa.int32()))
+    want = [own.decode(x or ()) for x in ids]
+    assert own.decode_lists(column).to_pylist() == want
+    assert own.decode_lists(column.slice(3, 5)).to_pylist() == want[3:8]
+    assert own.decode_lists(column.slice(0, 0)).to_pylist() == []
+    for wrong in ([max(own.tokens) + 1], [None]):
+        with pytest.raises((KeyError, IndexError)):
+            own.decode_lists(pa.array([wrong], pa.list_(pa.int32())))
