@@ -45,8 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir
-from .common import slices, written
+from .common import bucketed, pack, slices, unpack, written
 
 END = b" "                   # cannot be a word: the end of every document
 ADD = 0.1
@@ -94,25 +93,6 @@ def history_key(words: list):
     return key
 
 
-def pack(values) -> bytes:
-    """Unsigned integers as byte planes, compressed."""
-    import numpy as np
-    values = np.asarray(values)
-    top = int(values.max()) if len(values) else 0
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    planes = np.ascontiguousarray(values.astype(f"<u{width}").view("uint8").reshape(-1, width).T)
-    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpack(data: bytes):
-    import numpy as np
-    width, n = data[0], int.from_bytes(data[1:9], "little")
-    if not n:
-        return np.zeros(0, dtype="uint64")
-    planes = np.frombuffer(pa.decompress(data[9:], decompressed_size=n * width, codec="zstd"), dtype="uint8")
-    return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").ravel().astype("uint64")
-
-
 def blocks_of(own: DataFrame) -> DataFrame:
     """(block, doc_id, held_out, train, size, words, ids): blocks of documents;
     ``words`` are keys, the most frequent first, and ``ids`` places among them,
@@ -166,17 +146,6 @@ def lists(key, buckets: int):
     return bucket, turn, list(zip(cuts, np.append(cuts[1:], len(turn))))
 
 
-def bucketed(blocks: DataFrame) -> DataFrame:
-    """``blocks`` written once in the shared folder, as a table bucketed by
-    block: whatever is joined to it by block is moved, and it is not."""
-    spark = blocks.sparkSession
-    path = fresh_dir(spark, "lm-blocks")
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    (blocks.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
-     .option("path", path).saveAsTable(name))
-    return spark.table(name)
-
-
 class Block:
     """The tokens of a block; ``words`` are keys.  ``first`` marks the ends
     that open documents, ``place`` counts tokens from there."""
@@ -531,7 +500,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"),
                       (F.col(id_col).isNotNull() & ~held_out).alias("train"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = bucketed(blocks_of(own))
+    blocks = bucketed(blocks_of(own), "lm-blocks", "block")
     sums = blocks.select(F.explode(F.arrays_zip("train", "size")).alias("d")).agg(
         F.sum("d.size").alias("every"), F.sum(F.when(F.col("d.train"), F.col("d.size"))).alias("n")).first()
     every, n = sums.every or 0, sums.n or 0

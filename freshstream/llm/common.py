@@ -42,6 +42,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """``df`` written once in the shared folder, as a table bucketed by a
+    column: whatever is joined to it by that column is moved, and it is not."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    (df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
+     .option("path", path).saveAsTable(table))
+    return spark.table(table)
+
+
+def pack(values) -> bytes:
+    """Unsigned integers as byte planes, compressed."""
+    import numpy as np
+    values = np.asarray(values)
+    top = int(values.max()) if len(values) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    planes = np.ascontiguousarray(values.astype(f"<u{width}").view("uint8").reshape(-1, width).T)
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes):
+    import numpy as np
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    if not n:
+        return np.zeros(0, dtype="uint64")
+    planes = np.frombuffer(pa.decompress(data[9:], decompressed_size=n * width, codec="zstd"), dtype="uint8")
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").ravel().astype("uint64")
+
+
 def worker_cache(key, make):
     """``make()`` once per Python worker process, kept across tasks.  The
     library's functions travel by value, so module globals would not last."""

@@ -148,3 +148,62 @@ def test_stars_unite_copies_of_one_text_at_once(spark, monkeypatch):
     got = [tuple(x) for x in nj.join(docs, 4, 85).collect()]
     assert order(got) == order(brute(rows, 4, 85))
     assert sum(m.count() for m in made) < 600
+
+
+def test_sets_of_a_batch_are_those_of_each_text():
+    """One pass over a batch of texts finds what splitting each text finds."""
+    import numpy as np
+    import pyarrow as pa
+    texts = [*noisy(), "\tA b\x0bC d\x0c", "", " ", "x\x1cy\x85z \u00c9 \u00e9 a b", "w" * 64 + " " + "w" * 65, "W" * 65 + " " + "w" * 64,
+             "w" * 200 + " a b c " + "w" * 201, "ab cd ef gh", "abcd ef gh", "a", "\u3000 a"]
+    for words in (1, 2, 4, 5):
+        number = {}
+        for column in (pa.array(texts), pa.array(["head", *texts]).slice(1), pa.array(texts, pa.large_string())):
+            tokens, ends = nj.shingled(column, words)
+            assert len(ends) == len(texts) + 1 and ends[-1] == len(tokens)
+            for t, lo, hi in zip(texts, ends[:-1], ends[1:]):
+                own = shingles(t, words)
+                assert hi - lo == len(own) and np.all(np.diff(tokens[lo:hi].astype("object")) > 0)
+                number.setdefault(frozenset(own), tokens[lo:hi].tolist())
+                assert number[frozenset(own)] == tokens[lo:hi].tolist()
+        assert len({tuple(x) for x in number.values()}) == len(number)
+    for few in (["", ""], ["a"], ["a b"], [" "]):
+        for words in (1, 4, 5):
+            assert np.diff(nj.shingled(pa.array(few), words)[1]).tolist() == [len(shingles(t, words)) for t in few]
+
+
+def test_sketches_drop_no_similar_pair():
+    import numpy as np
+    rng = np.random.default_rng(8)
+    kept = dropped = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300))).astype("uint64"))
+        b = a[rng.random(len(a)) < rng.choice([0.3, 0.7, 0.95, 1.0])]
+        b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, int(rng.integers(1, 30))).astype("uint64")]))
+        both, may = len(np.intersect1d(a, b)), nj.may_share(nj.sketch(a), nj.sketch(b), len(a), len(b), 85)
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            assert may
+            kept += 1
+        else:
+            dropped += not may
+    assert kept > 30 and dropped > 200
+
+
+def test_a_pair_of_many_blocks_is_joined_once(spark):
+    """Near copies share a run of prefix tokens: the block join makes a row for
+    the first of them, not for each."""
+    rows = [(token, node, 1000, token, node, 40) for node in range(40) for token in range(50)]
+    at = spark.createDataFrame(rows, "token long, node long, n int, place int, component long, size long")
+    met = nj.meetings(nj.with_earlier(at), 85)
+    assert met.count() == met.distinct().count() == 40 * 39 // 2
+
+
+def test_sets_are_moved_to_no_pair(spark):
+    """Pairs meet prefixes and sketches, and find the sets to verify, without
+    the table of sets being dealt again."""
+    from freshstream.llm.common import bucketed, written
+    sets = bucketed(spark.createDataFrame([(i, 3, b"", b"", b"") for i in range(9)],
+                                          "node long, n int, tokens binary, heads binary, sketch binary"), "test-sets", "node")
+    pairs = written(spark.createDataFrame([(1, 2), (3, 4)], "a long, b long"), "test-pairs").hint("shuffle_merge")
+    plan = nj.beside(pairs, "b", [sets], "tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
