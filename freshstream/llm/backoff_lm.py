@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, pack, slices, unpack, written
+from .common import bucketed, new_table, pack, slices, unpack, written
 
 END = b" "                   # cannot be a word: the end of every document
 ADD = 0.1
@@ -500,7 +500,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"),
                       (F.col(id_col).isNotNull() & ~held_out).alias("train"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = bucketed(blocks_of(own), "lm-blocks", "block")
+    blocks = bucketed(blocks_of(own), new_table(spark, "lm-blocks"), "block")
     sums = blocks.select(F.explode(F.arrays_zip("train", "size")).alias("d")).agg(
         F.sum("d.size").alias("every"), F.sum(F.when(F.col("d.train"), F.col("d.size"))).alias("n")).first()
     every, n = sums.every or 0, sums.n or 0

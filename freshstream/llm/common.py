@@ -42,15 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
-    """``df`` written once in the shared folder, as a table bucketed by a
-    column: whatever is joined to it by that column is moved, and it is not."""
-    spark = df.sparkSession
+def new_table(spark: SparkSession, name: str) -> tuple[str, str, int]:
+    """Name, folder and buckets of a table that ``bucketed`` can write."""
     path = fresh_dir(spark, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
-    (df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
-     .option("path", path).saveAsTable(table))
-    return spark.table(table)
+    return path.rsplit("/", 1)[1].replace("-", "_"), path, int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, to: tuple[str, str, int], by: str) -> DataFrame:
+    """``df`` added to a table in the shared folder that is bucketed by a
+    column: whatever is joined to it by that column is moved, and it is not."""
+    name, path, buckets = to
+    df.write.format("parquet").mode("append").bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def pack(values) -> bytes:

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucketed, pack, slices, texts, unpack, written
+from .common import bucketed, new_table, pack, slices, texts, unpack, written
 from .components import components
 
 ORDERS = 3
@@ -338,12 +338,13 @@ def among(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema).join(values, column, "left_semi")
 
 
-def wanted_sets(docs: DataFrame, words: int, percent: int, kinds, nodes: DataFrame) -> DataFrame:
+def wanted_sets(docs: DataFrame, words: int, percent: int, kinds, nodes: DataFrame, to: tuple) -> DataFrame:
     """(node, n, tokens, heads, sketch) of the given classes (node, key: a text's
     hash), by one more pass over the texts; ``heads`` are the prefixes under the
     further orders, one after the other, as 32-bit tokens.  A bit table of the
     keys (64 bits for each, up to a bound) tells which texts are cut into shingles
-    at all.  The sets are moved once, to a table bucketed by node."""
+    at all.  The sets are moved once, to the table ``to`` bucketed by node,
+    which is returned with what it had before."""
     bits = bits_for(nodes, 64)
     table = docs.sparkSession.sparkContext.broadcast(marked(nodes.select("key"), bits))
 
@@ -373,30 +374,26 @@ def wanted_sets(docs: DataFrame, words: int, percent: int, kinds, nodes: DataFra
     rows = docs.select("key", "text").mapInArrow(run, "node long, n int, tokens binary, heads binary, sketch binary")
     # copies of a set from several tasks meet by node: one stays
     found = rows.repartition("node").join(nodes.select("node").hint("shuffle_merge"), "node", "left_semi")
-    return bucketed(found.dropDuplicates(["node"]), "ngram-wanted", "node")
+    return bucketed(found.dropDuplicates(["node"]), to, "node")
 
 
-def with_sets_of(pairs: DataFrame, sets: list[DataFrame], rows: DataFrame, docs: DataFrame, words: int, percent: int,
-                 kinds) -> list[DataFrame]:
-    """``sets`` and a table of those of further classes in the pairs."""
+def with_sets_of(pairs: DataFrame, sets: DataFrame | None, rows: DataFrame, docs: DataFrame, words: int, percent: int,
+                 kinds, to: tuple) -> DataFrame:
+    """``sets`` with those of all classes in the pairs."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    for have in sets:
-        nodes = nodes.join(have.select("node"), "node", "left_anti")
+    if sets is not None:
+        nodes = nodes.join(sets.select("node"), "node", "left_anti")
     nodes = written(rows.where("n > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")),
                     "ngram-nodes")
-    if sets and not nodes.limit(1).count():
+    if sets is not None and not nodes.limit(1).count():
         return sets
-    return [*sets, wanted_sets(docs, words, percent, kinds, nodes)]
+    return wanted_sets(docs, words, percent, kinds, nodes, to)
 
 
-def beside(rows: DataFrame, end: str, sets: list[DataFrame], *columns) -> DataFrame:
+def beside(rows: DataFrame, end: str, sets: DataFrame, *columns) -> DataFrame:
     """``rows`` with columns of the sets of one end: the sets stay in their
     buckets, the rows are moved to them."""
-    parts = [rows.join(s.select(F.col("node").alias(end), *columns), end) for s in sets]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rows.join(sets.select(F.col("node").alias(end), *columns), end)
 
 
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -409,7 +406,7 @@ def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return comp.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
-def meeting(pairs: DataFrame, sets: list[DataFrame], percent: int) -> DataFrame:
+def meeting(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that meet under every further order, place filter
     included, and whose sketches allow it.  Only prefixes and sketches are moved."""
     of = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("n", "heads", "sketch")]
@@ -441,7 +438,7 @@ def may_meet(p, q, na: int, nb: int, percent: int) -> bool:
     return bool((100 + percent) * most >= percent * (na + nb))
 
 
-def verified(pairs: DataFrame, sets: list[DataFrame], percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold.  The pairs of one ``a``
     are dealt into groups of about FOLLOWERS, each with a copy of its set."""
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("groups"))
@@ -491,7 +488,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     shared = written(shared, "ngram-shared")
     blocks = written(among(postings, "token", shared).dropDuplicates(["token", "node"]), "ngram-blocks")
     comp = written(blocks.select("node", F.col("node").alias("component")).distinct(), "ngram-components")
-    sets = []
+    sets, to = None, new_table(spark, "ngram-wanted")
     for star in range(STAR_ROUNDS + 1):
         # blocks that still hold several components (in the first round every class is one)
         at = with_earlier(blocks.join(comp, "node")) if star else blocks.withColumn("component", F.col("node"))
@@ -507,7 +504,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         pairs = written(closing_pairs(at, percent) if closing else star_pairs(at, percent), "ngram-pairs")
         if closing and star < STAR_ROUNDS and linked and pairs.count() > MOST_PAIRS * open_nodes:
             closing, pairs = False, written(star_pairs(at, percent), "ngram-pairs")
-        sets = with_sets_of(pairs, sets, rows, own, words, percent, kinds)
+        sets = with_sets_of(pairs, sets, rows, own, words, percent, kinds, to)
         met = written(meeting(pairs, sets, percent), "ngram-met")
         new = written(verified(met, sets, percent), "ngram-links")
         linked = new.count()

@@ -201,9 +201,13 @@ def test_a_pair_of_many_blocks_is_joined_once(spark):
 def test_sets_are_moved_to_no_pair(spark):
     """Pairs meet prefixes and sketches, and find the sets to verify, without
     the table of sets being dealt again."""
-    from freshstream.llm.common import bucketed, written
-    sets = bucketed(spark.createDataFrame([(i, 3, b"", b"", b"") for i in range(9)],
-                                          "node long, n int, tokens binary, heads binary, sketch binary"), "test-sets", "node")
+    from freshstream.llm.common import bucketed, new_table, written
+    some = lambda *r: spark.createDataFrame([(i, 3, b"", b"", b"") for i in range(*r)],
+                                            "node long, n int, tokens binary, heads binary, sketch binary")
+    to = new_table(spark, "test-sets")
+    assert bucketed(some(4), to, "node").count() == 4
+    sets = bucketed(some(4, 9), to, "node")                 # sets of a later round: the same table
+    assert sets.count() == 9
     pairs = written(spark.createDataFrame([(1, 2), (3, 4)], "a long, b long"), "test-pairs").hint("shuffle_merge")
-    plan = nj.beside(pairs, "b", [sets], "tokens")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    plan = nj.beside(pairs, "b", sets, "tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Union" not in plan and plan.count("Exchange hashpartitioning") == 1
