@@ -42,6 +42,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,8 @@ PIECE = 512                  # tokens of a piece; the pieces of a block are walk
 
 def words_of(text: str) -> list[bytes]:
     """Words of the text with A-Z lower-cased (bytes.split separates at
-    exactly \x20 and \x09-\x0D)."""
+    exactly \x20 and \x09-\x0D).  With ``Numbers`` the plain form, against
+    which tests hold the tokens of blocks."""
     return text.encode("utf-8").lower().split()
 
 
@@ -69,10 +71,41 @@ class Numbers(dict):
         return number
 
     def keys_of(self):
-        """64-bit keys of the words, in the order of their numbers."""
-        import numpy as np
-        from xxhash import xxh3_64_intdigest
-        return np.fromiter(map(xxh3_64_intdigest, self), dtype="uint64", count=len(self))
+        return keys_of(self, len(self))
+
+
+def keys_of(words, count: int):
+    """64-bit keys of words."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+    return np.fromiter(map(xxh3_64_intdigest, words), dtype="uint64", count=count)
+
+
+def cut(texts: pa.Array):
+    """The words of all texts one after another, as ``words_of`` finds them, and
+    how many each text has."""
+    import numpy as np
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    parts = split.flatten()
+    real = np.asarray(pc.binary_length(parts)) > 0            # leading and trailing blanks leave empty parts
+    ends = np.cumsum(np.asarray(pc.list_value_length(split)), dtype="int64")
+    before = np.concatenate([[0], np.cumsum(real)])
+    return parts.filter(pa.array(real)), np.diff(before[ends], prepend=0)
+
+
+def tokens_of(words: pa.Array, size):
+    """Keys of the different tokens and, by their places among them, the tokens
+    of all texts, with an end before and after each.  Only the different words
+    become Python values."""
+    import numpy as np
+    found = words.dictionary_encode()
+    different = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    stop = np.cumsum(size + 2)
+    inner = np.ones(int(stop[-1]), dtype=bool)
+    inner[stop - 1] = inner[stop - size - 2] = False
+    ids = np.zeros(len(inner), dtype="int32")
+    ids[inner] = np.asarray(found.indices) + 1
+    return keys_of([END, *different], len(different) + 1), ids
 
 
 def longer(a, b):
@@ -85,6 +118,64 @@ def longer(a, b):
     return x ^ (x >> np.uint64(32))
 
 
+def in_order(key):
+    """The keys sorted, and where each stood, equal ones in their order: a
+    plain sort of numbers that carry the places in their low bits."""
+    import numpy as np
+    key = key.view("uint64")
+    bits = np.uint64(max(1, len(key).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    fits = not len(key) or int(key.max()) >> int(64 - bits) == 0
+    found = key << bits if fits else key & ~low
+    found |= np.arange(len(key), dtype="uint64")
+    found.sort()
+    turn = (found & low).view("int64")
+    if fits:
+        found >>= bits
+        return found, turn
+    found = key[turn]
+    if (found[1:] < found[:-1]).any():                        # keys that differ in the low bits only
+        turn = np.argsort(key, kind="stable")
+        found = key[turn]
+    return found, turn
+
+
+def grouped(key):
+    """The different keys, ascending, the first place of each, and which of
+    them stands at every place."""
+    import numpy as np
+    found, turn = in_order(key)
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = found[1:] != found[:-1]
+    of = np.empty(len(found), dtype="int32")
+    of[turn] = np.cumsum(new, dtype="int32") - np.int32(1)
+    return found[new], turn[new], of
+
+
+def used(ids, size: int):
+    """Which of the numbers below ``size`` occur, and each one's place among them."""
+    import numpy as np
+    seen = np.zeros(size, dtype=bool)
+    seen[ids] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype="int32") - np.int32(1))[ids]
+
+
+def among(key, few):
+    """Which keys are in the sorted few: most are ruled out by 16 of their bits."""
+    import numpy as np
+    some, found = np.zeros(1 << 16, dtype=bool), np.zeros(len(key), dtype=bool)
+    some[few & np.uint64(0xFFFF)] = True
+    maybe = np.flatnonzero(some[key & np.uint64(0xFFFF)])
+    if len(maybe):
+        found[maybe] = few[np.minimum(np.searchsorted(few, key[maybe]), len(few) - 1)] == key[maybe]
+    return found
+
+
+def buckets_of(key, buckets: int):
+    import numpy as np
+    return (longer(key, np.uint64(0x5BD1)) % np.uint64(buckets)).astype("uint16" if buckets <= 1 << 16 else "int64")
+
+
 def history_key(words: list):
     """Keys of histories from the numbers of their words."""
     key = words[0].astype("uint64")
@@ -101,11 +192,11 @@ def blocks_of(own: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from pyspark import TaskContext
-        words, held, size, made = Numbers(), [], 0, 0
+        held, size, made = [], 0, 0
 
         def block():
             docs = pa.Table.from_batches([h[0] for h in held])
-            ids, key = np.concatenate([h[1] for h in held]), words.keys_of()
+            key, ids = tokens_of(pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held]))
             order = np.argsort(-np.bincount(ids, minlength=len(key)), kind="stable")
             rank = np.empty(len(order), dtype="int64")
             rank[order] = np.arange(len(order))
@@ -120,13 +211,13 @@ def blocks_of(own: DataFrame) -> DataFrame:
         for b in slices(batches, "text", BLOCK):
             for lo in range(0, b.num_rows, 256):
                 few = b.slice(lo, 256)
-                parts = [[END, *words_of(t or ""), END] for t in few.column(few.schema.get_field_index("text")).to_pylist()]
-                more = sum(map(len, parts))
+                found, many = cut(few.column(few.schema.get_field_index("text")))
+                more = len(found) + 2 * len(many)
                 if held and size + more > BLOCK // 6:
                     yield block()
-                    words, held, size, made = Numbers(), [], 0, made + 1
-                info = few.drop_columns(["text"]).append_column("size", pa.array([len(x) - 1 for x in parts], pa.int64()))
-                held.append((info, np.fromiter((words[w] for x in parts for w in x), dtype="int32", count=more)))
+                    held, size, made = [], 0, made + 1
+                info = few.drop_columns(["text"]).append_column("size", pa.array(many + 1, pa.int64()))
+                held.append((info, found, many))
                 size += more
         if held:
             yield block()
@@ -140,23 +231,32 @@ def lists(key, buckets: int):
     """The bucket of each key, the order by bucket and key, and where each
     bucket's keys begin and end in it."""
     import numpy as np
-    bucket = (longer(key, np.uint64(0x5BD1)) % np.uint64(buckets)).astype("int64")
-    turn = np.lexsort((key, bucket))
-    cuts = np.flatnonzero(np.diff(bucket[turn], prepend=-1))
-    return bucket, turn, list(zip(cuts, np.append(cuts[1:], len(turn))))
+    bucket, turn = buckets_of(key, buckets), in_order(key)[1]
+    turn = turn[np.argsort(bucket[turn], kind="stable")]
+    return bucket, turn, runs_of(bucket[turn])
+
+
+def runs_of(values) -> list:
+    """Where runs of equal values begin and end."""
+    import numpy as np
+    cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return list(zip([0, *cuts], [*cuts, len(values)])) if len(values) else []
 
 
 class Block:
     """The tokens of a block; ``words`` are keys.  ``first`` marks the ends
-    that open documents, ``place`` counts tokens from there."""
+    that open documents, ``closing`` those that close them, ``place`` counts
+    tokens from the former."""
 
     def __init__(self, row: dict):
         import numpy as np
-        self.words, self.ids = np.frombuffer(row["words"], dtype="uint64"), unpack(row["ids"]).astype("int64")
+        self.words, self.ids = np.frombuffer(row["words"], dtype="uint64"), unpack(row["ids"]).astype("int32")
         self.size = np.asarray(row["size"], dtype="int64")
         self.starts = np.cumsum(self.size + 1) - self.size - 1
         self.first = np.zeros(len(self.ids), dtype=bool)
         self.first[self.starts] = True
+        self.closing = np.zeros(len(self.ids), dtype=bool)
+        self.closing[self.starts + self.size] = True
         self.train = np.repeat(np.asarray(row["train"], dtype=bool), self.size + 1)
         self.place = (np.arange(len(self.ids)) - np.repeat(self.starts, self.size + 1)).astype("int32")
 
@@ -168,9 +268,9 @@ class Block:
         number, n = np.zeros(len(turn), dtype="int64"), np.zeros(len(turn), dtype="int64")
         for (lo, hi), r in zip(runs, sorted(answered, key=lambda r: r["bucket"]), strict=True):
             number[turn[lo:hi]], n[turn[lo:hi]] = unpack(r["total"]), unpack(r["n"])
-        order = np.argsort(number)
-        rank = np.empty(len(order), dtype="int64")
-        rank[order] = np.arange(len(order))
+        order = in_order(number)[1]
+        rank = np.empty(len(order), dtype="int32")
+        rank[order] = np.arange(len(order), dtype="int32")
         self.words, self.number, self.n, self.ids = self.words[order], number[order], n[order], rank[self.ids]
         return self
 
@@ -198,43 +298,49 @@ class Block:
 
 class Grams:
     """The different n-grams of one order in a block, in the order in which
-    they are named: by bucket, history and word.  ``of[t]`` is the n-gram that
-    ends at position t, ``at`` one position of each; likewise ``history_of``."""
+    they are named: by bucket, history and word.  ``ends`` are the positions
+    where one ends, ``gram`` and ``place`` which one and after which history;
+    ``of[t]`` is the n-gram that ends at position t, ``at`` one position of each."""
 
     def __init__(self, block: Block, k: int, below: "Grams | None", hot, buckets: int):
         import numpy as np
-        at = np.flatnonzero(block.place >= k - 1)
-        size = max(1, len(block.words))
+        self.block, self.ends = block, np.flatnonzero(block.place >= k - 1).astype("int32")
         if below is None:                             # a history of one word, which may be the opening end
-            seen, place = np.unique(block.ids[at - 1], return_inverse=True)
-            self.past, key = [seen], block.words[seen]
+            seen, self.place = used(block.ids[self.ends - 1], len(block.words))
+            self.past, self.key = [seen], block.words[seen]
         else:
-            seen, place = np.unique(below.sorted_of[at - 1], return_inverse=True)
-            self.past, key = [c[seen] for c in below.columns], below.grams[seen]
-        where = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
-        self.hot = hot[where] == key if len(hot) else np.zeros(len(key), dtype=bool)
-        one, gram = np.unique(place * size + block.ids[at], return_inverse=True)
-        first = np.empty(len(one), dtype="int64")
-        first[gram] = np.arange(len(at))              # any place of each
-        own, word = one // size, one % size
-        self.columns = [*(c[own] for c in self.past), word]
-        self.grams = longer(key[own], block.words[word])
-        self.sorted_of = np.full(len(block.ids), -1, dtype="int32")
-        self.sorted_of[at] = gram
-        home = np.where(self.hot[own], self.grams, key[own])
-        bucket = (longer(home, np.uint64(0x5BD1)) % np.uint64(buckets)).astype("int64")
-        turn = np.argsort(bucket, kind="stable")      # histories and words stay in order inside
-        back = np.empty(len(turn), dtype="int32")
-        back[turn] = np.arange(len(turn), dtype="int32")
-        self.size = len(key)
-        self.bucket, self.history, self.word, self.at = bucket[turn], own[turn], word[turn], at[first[turn]]
-        self.n = np.bincount(back[gram], weights=block.train[at], minlength=len(one)).astype("int64")
-        self.of = np.full(len(block.ids), -1, dtype="int32")
-        self.of[at] = back[gram]
-        self.history_of = np.full(len(block.ids), -1, dtype="int32")
-        self.history_of[at] = place
-        cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
-        self.runs = list(zip(cuts, np.append(cuts[1:], len(self.bucket))))
+            seen, self.place = used(below.gram[~block.closing[below.ends]], len(below.turn))
+            own, word = below.own[seen], below.last[seen]
+            self.past, self.key = [*(c[own] for c in below.past), word], longer(below.key[own], block.words[word])
+        self.hot, self.size = among(self.key, hot), len(seen)
+        bits = len(block.words).bit_length()
+        one, first, self.gram = grouped(self.place.astype("int64") << bits | block.ids[self.ends])
+        one = one.view("int64")
+        self.own, self.last, self.first = (x.astype("int32") for x in (one >> bits, one & (1 << bits) - 1, first))
+        del one, first
+        bucket, dealt = buckets_of(self.key, buckets)[self.own], np.flatnonzero(self.hot[self.own])
+        bucket[dealt] = buckets_of(longer(self.key[self.own[dealt]], block.words[self.last[dealt]]), buckets)
+        self.turn = np.argsort(bucket, kind="stable").astype("int32")     # histories and words stay in order inside
+        self.bucket, self.history, self.word = bucket[self.turn], self.own[self.turn], self.last[self.turn]
+        self.runs = runs_of(self.bucket)
+
+    @property
+    def n(self):
+        """How often each stands in training texts."""
+        import numpy as np
+        return np.bincount(self.gram[self.block.train[self.ends]], minlength=len(self.turn))[self.turn]
+
+    @property
+    def at(self):
+        return self.ends[self.first[self.turn]]
+
+    @property
+    def of(self):
+        import numpy as np
+        back, of = np.empty(len(self.turn), dtype="int32"), np.full(len(self.block.ids), -1, dtype="int32")
+        back[self.turn] = np.arange(len(back), dtype="int32")
+        of[self.ends] = back[self.gram]
+        return of
 
     def named(self, lo: int, hi: int):
         """Histories of one bucket, and how many n-grams each has there."""
@@ -243,14 +349,14 @@ class Grams:
         new = np.flatnonzero(np.diff(own, prepend=-1))
         return own[new], np.diff(np.append(new, len(own)))
 
-    def packed(self, block: Block, lo: int, hi: int) -> tuple:
+    def packed(self, block: Block, n, lo: int, hi: int) -> tuple:
         """What is sent to one bucket: the words of histories, how many
         n-grams each has, their last words, counts, and which are dealt out."""
         import numpy as np
         own, many = self.named(lo, hi)
         past = [block.number[c[own]] for c in self.past]
         return ([pack(np.diff(c, prepend=0) if not i else c) for i, c in enumerate(past)], pack(many),
-                pack(block.number[self.word[lo:hi]]), pack(self.n[lo:hi]), pack(self.hot[own]))
+                pack(block.number[self.word[lo:hi]]), pack(n[lo:hi]), pack(self.hot[own]))
 
 
 def named_words(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -282,7 +388,7 @@ def numbered_words(named: DataFrame, buckets: int) -> DataFrame:
         import numpy as np
         rows = t.to_pylist()
         words = [np.cumsum(unpack(r["words"]), dtype="uint64") for r in rows]
-        one, at = np.unique(np.concatenate(words), return_inverse=True)
+        one, _, at = grouped(np.concatenate(words))
         n, every = (np.bincount(at, weights=np.concatenate([unpack(r[c]) for r in rows]), minlength=len(one)).astype("int64")
                     for c in ("n", "every"))
         number = np.empty(len(one), dtype="int64")
@@ -342,7 +448,8 @@ def named_grams(blocks: DataFrame, words: DataFrame, order: int, hot, buckets: i
     def run(mine: pa.Table, given: pa.Table) -> pa.Table:
         block, rows = Block(info := mine.to_pylist()[0]).numbered(given.to_pylist(), buckets), []
         for k, grams in enumerate(block.grams(order, hot.value, buckets), 2):
-            rows += [(int(grams.bucket[lo]), k, info["block"], *grams.packed(block, lo, hi)) for lo, hi in grams.runs]
+            n = grams.n
+            rows += [(int(grams.bucket[lo]), k, info["block"], *grams.packed(block, n, lo, hi)) for lo, hi in grams.runs]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=names)
 
     return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
@@ -363,22 +470,21 @@ def answers(named: DataFrame, least: float) -> DataFrame:
         for r in rows:
             past = [unpack(c) for c in r["past"]]
             key.append(history_key([np.cumsum(past[0], dtype="uint64"), *past[1:]]))
-        history = np.concatenate([np.repeat(k, m) for k, m in zip(key, many)])
-        word = np.concatenate([unpack(r["word"]) for r in rows])
-        one, gram = np.unique(longer(history, word), return_inverse=True)
-        first = np.empty(len(one), dtype="int64")
-        first[gram] = np.arange(len(history))         # any place of each
-        n = np.bincount(gram, weights=np.concatenate([unpack(r["n"]) for r in rows]), minlength=len(one)).astype("int64")
+        states, _, own = grouped(np.concatenate(key))
+        of, word = np.repeat(own, np.concatenate(many)), np.concatenate([unpack(r["word"]) for r in rows])
+        one, first, gram = grouped(longer(states[of], word))
+        times = np.concatenate([unpack(r["n"]) for r in rows])
+        n = np.bincount(gram, weights=times, minlength=len(one)).astype("int64")
         keep = n >= least
-        states, of = np.unique(history[first], return_inverse=True)
-        total, kept, types = (np.bincount(of, weights=w, minlength=len(states)).astype("int64")
-                              for w in (n, np.where(keep, n, 0), keep))
-        mine, out, lo = n[gram], [], 0
+        state = of[first[keep]]
+        total, kept, types = (np.bincount(at, weights=w, minlength=len(states)).astype("int64")
+                              for at, w in ((of, times), (state, n[keep]), (state, None)))
+        mine, out, lo, here = n[gram], [], 0, 0
         for r, k, m in zip(rows, key, many):
-            at, size = np.searchsorted(states, k), int(m.sum())
+            at, size = own[here:here + len(k)], int(m.sum())
             out.append((r["block"], r["level"], r["bucket"], pack(mine[lo:lo + size]), pack(total[at]),
                         pack(total[at] - kept[at]), pack(types[at]), None, None, None, None))
-            lo += size
+            lo, here = lo + size, here + len(k)
         split = np.unique(np.concatenate([k[h] for k, h in zip(key, hot)]))
         at = np.searchsorted(states, split)
         level, bucket = rows[0]["level"], rows[0]["bucket"]
@@ -394,29 +500,29 @@ class Automaton:
     and its log10 weight each; state 0 is the root, which has an arc for every
     word.  Arcs stand in one sorted array under ``state * words + word``."""
 
-    def __init__(self, words: int, state, word, log, after, fail, weight):
+    def __init__(self, words: int, key, log, after, fail, weight):
+        self.words, self.fail, self.weight = words, fail, weight
+        key, turn = in_order(key)
+        self.key, self.log, self.after = key.view("int64"), log[turn], after[turn]
+
+    def arc(self, state, word):
+        """Which arc leaves each state under its word, -1 without one."""
         import numpy as np
-        self.words = words
-        key = state * words + word
-        turn = np.argsort(key)
-        self.key, self.log, self.after = key[turn], log[turn], after[turn]
-        self.fail, self.weight = fail, weight
+        key = state.astype("int64") * self.words + word
+        at = np.searchsorted(self.key, key)
+        return np.where(self.key[np.minimum(at, len(self.key) - 1)] == key, at, -1)
 
     def step(self, state, word):
         """log10 p of each word in its state, and the states after them."""
         import numpy as np
-        state, total, after = state.copy(), np.zeros(len(state)), np.zeros(len(state), dtype="int64")
-        open_ = np.arange(len(state))
+        state, total, at = state.copy(), np.zeros(len(state)), self.arc(state, word)
+        open_ = np.flatnonzero(at < 0)
         while len(open_):
-            key = state[open_] * self.words + word[open_]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            hit = self.key[at] == key
-            total[open_[hit]] += self.log[at[hit]]
-            after[open_[hit]] = self.after[at[hit]]
-            open_ = open_[~hit]
             total[open_] += self.weight[state[open_]]
             state[open_] = self.fail[state[open_]]
-        return total, after
+            at[open_] = found = self.arc(state[open_], word[open_])
+            open_ = open_[found < 0]
+        return total + self.log[at], self.after[at]
 
     def traverse(self, ids, start, size, state):
         """log10 of the probability of each piece ``ids[start:start + size]``,
@@ -440,36 +546,39 @@ def laid_out(block: Block, levels: list[Grams], counts: list[dict], scale: float
     size = len(block.words)
     p = (block.n + ADD) / scale if scale else np.ones(size)
     root = np.log10(p)
-    here = np.zeros(len(block.ids), dtype="int64")           # the state before a position's word
-    before, made = [here], 1                                 # the same by histories up to each order
-    one = np.zeros(size, dtype="int64")
-    one[block.ids] = np.arange(len(block.ids))
-    arcs = [(np.zeros(size, dtype="int64"), np.arange(size), root, one)]
-    fail, weight, shorter = [np.zeros(1, dtype="int64")], [np.zeros(1)], block.ids
+    here = np.zeros(len(block.ids), dtype="int32")           # the state before a position's word
+    made, shorter = 1, block.ids
+    one = np.zeros(size, dtype="int32")
+    one[block.ids] = np.arange(len(block.ids), dtype="int32")
+    key, log, after, at = [np.arange(size)], [root], [], one  # arcs, and a position where each ends
+    fail, weight = [np.zeros(1, dtype="int64")], [np.zeros(1)]
+
+    def behind(at):
+        """The states after arcs; after an end the walk stops."""
+        nxt = np.minimum(at + 1, len(block.ids) - 1)
+        return np.where(block.place[nxt] > 0, here[nxt], 0)
+
     for g, c in zip(levels, counts):
         alive = c["types"] > 0                               # histories with arcs are states
         number = np.where(alive, made + np.cumsum(alive) - 1, -1)
         left = np.where(alive, 1 - (c["kept"] - DISCOUNT * c["types"]) / np.maximum(c["total"], 1), 1.0)
-        one = np.full(g.size, -1, dtype="int64")              # a position before which the history stands
-        one[g.history] = g.at
+        ends = g.at
+        one = np.full(g.size, -1, dtype="int32")              # a position before which the history stands
+        one[g.history] = ends
         fail.append(here[one[alive]])
         weight.append(np.log10(left[alive]))
         made += int(alive.sum())
-        arc = np.where(c["n"] >= least, (c["n"] - DISCOUNT) / np.maximum(c["total"][g.history], 1), 0.0)
-        p = arc + left[g.history] * p[shorter[g.at]]
-        kept = np.flatnonzero(c["n"] >= least)
-        arcs.append((number[g.history[kept]], g.word[kept], np.log10(p[kept]), g.at[kept]))
-        found = np.flatnonzero(g.of >= 0)
-        own = number[g.history_of[found]]
-        here, shorter = here.copy(), g.of
-        here[found[own >= 0]] = own[own >= 0]
-        before.append(here)
-    after = []
-    for k, (*_, at) in enumerate(arcs, 1):
-        nxt = np.minimum(at + 1, len(block.ids) - 1)          # after an end the walk stops
-        after.append(np.where(block.place[nxt] > 0, before[min(k, len(levels))][nxt], 0))
-    state, word, log = (np.concatenate([a[i] for a in arcs]) for i in range(3))
-    return (Automaton(size, state, word, log, np.concatenate(after), np.concatenate(fail), np.concatenate(weight)), here, root)
+        keep = c["n"] >= least
+        p = np.where(keep, (c["n"] - DISCOUNT) / np.maximum(c["total"][g.history], 1), 0.0) + left[g.history] * p[shorter[ends]]
+        own = number[g.place]
+        here, shorter = here.copy(), g.of if g is not levels[-1] else None
+        here[g.ends[own >= 0]] = own[own >= 0]
+        after.append(behind(at))
+        key.append(number[g.history[keep]] * size + g.word[keep])
+        log.append(np.log10(p[keep]))
+        at = ends[keep]
+    after.append(behind(at))
+    return (Automaton(size, *map(np.concatenate, (key, log, after, fail, weight))), here, root)
 
 
 def walked(block: Block, levels: list[Grams], counts: list[dict], scale: float, least: float):

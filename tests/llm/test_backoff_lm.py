@@ -164,3 +164,52 @@ def test_n_grams_seen_once_count_whatever_the_corpus_size(spark, share):
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert g[5] == pytest.approx(w[5], rel=1e-9, abs=1e-6) and g[6] == pytest.approx(w[6], rel=1e-9, abs=1e-6), g[0]
+
+
+def test_words_cut_by_the_batch_are_those_of_each_text():
+    import numpy as np
+    import pyarrow as pa
+    texts = ["", "a\x1cb\x1d C\x1f\x85x\xa0y Z", None, "  \t\n", "\x0bA\x0cB\r\n CÉİ \x00 d\x00e ", "a a", " b"]
+    numbers, parts = lm.Numbers(), [[lm.END, *lm.words_of(t or ""), lm.END] for t in texts]
+    ids = [numbers[w] for x in parts for w in x]
+    for t in (pa.array(texts), pa.array(["q r", *texts, "s"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        key, got = lm.tokens_of(*(found := lm.cut(t)))
+        assert found[1].tolist() == [len(x) - 2 for x in parts]
+        assert got.tolist() == ids and key.tolist() == numbers.keys_of().tolist()
+    key, got = lm.tokens_of(*lm.cut(pa.array(["", None], pa.string())))
+    assert got.tolist() == [0] * 4 and len(key) == 1
+
+
+def test_keys_grouped_by_one_sort_are_the_unique_ones():
+    import numpy as np
+    r = np.random.default_rng(3)
+    wide = r.integers(0, 1 << 64, 50, dtype="uint64")
+    low = np.uint64(7) << np.uint64(61) | r.integers(0, 4, 1000).astype("uint64")     # differ in the low bits only
+    for key in (r.integers(0, 99, 1000), wide[r.integers(0, 50, 1000)], low, np.zeros(0, "int64"), wide[:1],
+                np.array([(1 << 64) - 1, 0, 5, (1 << 64) - 1], dtype="uint64"), np.array([1 << 53, 1, 1 << 53])):
+        one, first, of = lm.grouped(key)
+        want = np.unique(key, return_index=True, return_inverse=True)
+        assert one.tolist() == want[0].tolist() and first.tolist() == want[1].tolist() and of.tolist() == want[2].tolist()
+        found, turn = lm.in_order(key)
+        assert found.tolist() == sorted(key.tolist()) and turn.tolist() == np.argsort(key, kind="stable").tolist()
+    few = np.sort(wide[:20])
+    assert lm.among(wide, few).tolist() == [True] * 20 + [False] * 30
+    assert not lm.among(wide, few[:0]).any()
+
+
+def test_n_grams_of_a_block_need_no_indirect_sorts(monkeypatch):
+    """The tokens of a block are sorted once for each order, by a plain sort;
+    only buckets (16 bits, a radix sort) are sorted by their places."""
+    import numpy as np
+    texts = [t or "" for _, t, _ in corpus()]
+    block, _ = one_block(texts, [True] * len(texts), 3)
+    assert len(block.ids) > 5000
+    seen = []
+    for name in ("unique", "argsort", "lexsort"):
+        def spy(a, *args, name=name, real=getattr(np, name), **kw):
+            if name != "argsort" or np.asarray(a).dtype.itemsize > 2:
+                seen.append(np.asarray(a).shape[-1])
+            return real(a, *args, **kw)
+        monkeypatch.setattr(np, name, spy)
+    levels = list(block.grams(3, [np.zeros(0, "uint64")] * 2, 3))
+    assert max(seen, default=0) < 100 and sum(g.n.sum() for g in levels) > 5000
